@@ -77,7 +77,8 @@ def not_in(column: str | Column, values: Iterable) -> Column:
 def percent(value: Column, digits: int = 1) -> Column:
     """A proportion as text: 0.1234 becomes ``12.3%``; NULL stays NULL."""
     rounded = F.round(value * 100, digits) + F.lit(0.0)
-    return F.concat(F.format_string(f"%.{digits}f", rounded), F.lit("%"))
+    text = F.concat(F.format_string(f"%.{digits}f", rounded), F.lit("%"))
+    return F.when(value.isNotNull(), text)
 
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:

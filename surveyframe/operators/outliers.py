@@ -79,8 +79,7 @@ def _fences(
             F.when(spread, q[1] - FENCE * iqr).alias(f"low{i}"),
             F.when(spread, q[3] + FENCE * iqr).alias(f"high{i}"),
         ]
-    fences = wide.select(*by, *found)
-    return kept(fences) if by else fences
+    return kept(wide.select(*by, *found))
 
 
 def _at_fence(i: int, name: str) -> tuple[Column, Column]:

@@ -98,14 +98,13 @@ def stratified_proportion(
     the square of its share of the sample.
     """
     parts, strata = _stratum_variances(df, outcome, names(strata), populations, population)
-    whole = parts.agg(F.sum("n_h").cast("double").alias("n"))
-    share = F.pow(divide(F.col("n_h").cast("double"), F.col("n")), 2)
+    n = F.sum("n_h").cast("double")
+    weighted = F.sum(F.pow(F.col("n_h").cast("double"), 2) * F.col("variance_h"))
     return (
-        with_only_row(parts, whole)
-        .agg(
-            F.max("n").cast("bigint").alias("n"), F.count("*").alias("strata"),
-            divide(F.sum("x_h").cast("double"), F.max("n")).alias("proportion"),
-            F.sum(share * F.col("variance_h")).alias("variance"),
+        parts.agg(
+            F.sum("n_h").alias("n"), F.count("*").alias("strata"),
+            divide(F.sum("x_h").cast("double"), n).alias("proportion"),
+            divide(weighted, n * n).alias("variance"),
         )
         .withColumn("std_error", F.sqrt("variance"))
         .withColumn("margin_of_error", z * F.col("std_error"))

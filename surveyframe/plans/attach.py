@@ -14,10 +14,10 @@ import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
-# Values (rows x columns) up to which group statistics are broadcast; some
-# 40 MB in memory.
-BROADCAST_VALUES = 2_000_000
+# Size up to which group statistics are broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def only_row(stats: DataFrame) -> Column:
@@ -54,18 +54,30 @@ def _use_checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def stored_bytes(stats: DataFrame) -> int:
+    """Rough size of a small table, from its rows and the length of its texts and arrays."""
+    size = F.lit(0)
+    for field in stats.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            size = size + 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            size = size + 16 + 8 * F.greatest(F.size(field.name), F.lit(0))
+        else:
+            size = size + 16
+    return stats.agg(F.sum(size)).first()[0] or 0
+
+
 def join_groups(
     rows: DataFrame, stats: DataFrame, by: Sequence[str], *,
-    broadcast_values: int = BROADCAST_VALUES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``rows`` with the statistics of their group; ``stats`` comes from :func:`kept`.
 
     A NULL key is a group like any other.  Rows without a group keep NULLs.
     """
-    few = stats.limit(broadcast_values // len(stats.columns) + 1).count()
     renamed = stats.withColumnsRenamed({c: f"__group_{c}" for c in by})
-    if few * len(stats.columns) <= broadcast_values:
-        renamed = F.broadcast(renamed)
+    small = stored_bytes(stats) <= broadcast_bytes
+    renamed = F.broadcast(renamed) if small else renamed.hint("shuffle_merge")
     same = [F.col(c).eqNullSafe(F.col(f"__group_{c}")) for c in by]
     return rows.join(renamed, same, "left").drop(*[f"__group_{c}" for c in by])
 

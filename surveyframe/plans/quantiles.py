@@ -1,10 +1,11 @@
 """Exact quantiles (linear interpolation) that no single task has to hold.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.  That
-is right for groups of ordinary size and is used for them.  For larger groups
-the values around each wanted rank are bracketed by a sketch, rows outside the
-brackets are only counted, and the exact value is picked from the few rows
-inside.  The sketch decides how many rows that is, never what the result is.
+is right for groups of ordinary size and is used for them.  In a large group the
+wanted ranks are closed in first: sketches, merged through salts, give for each
+rank a bracket that must contain it; the next pass looks only inside.  When the
+brackets are small, one more pass counts the values inside them one by one and
+everything else in bulk, which gives the exact values.
 """
 
 from __future__ import annotations
@@ -16,37 +17,49 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import number
 from .attach import join_groups, kept
 
-# Rows per group that one aggregation buffer may hold.
+# Rows of a group that one aggregation buffer, or one sorted window, may hold.
 SMALL_GROUP = 100_000
-# Rank error of the sketches is one part in ACCURACY.
-ACCURACY = 10_000
-# A bracket reaches this many sketch errors to each side of the wanted rank.
-MARGIN = 5
-# Steps of the second sketch, taken inside the first brackets.
-GRID = 1_000
+# A sketch's rank error is one part in ACCURACY; it is read at POINTS steps.
+ACCURACY = 5_000
+POINTS = 500
+# The tasks' sketches of a group are merged in parts, one per so many rows of the
+# largest group; at most SALTS parts then meet.
+ROWS_PER_SALT = 10_000_000
+SALTS = 128
 
 
 def quantiles(
     df: DataFrame, variables: Sequence[str], probabilities: Sequence[float],
-    by: Sequence[str] = (), *, small_group: int = SMALL_GROUP, accuracy: int = ACCURACY,
+    by: Sequence[str] = (), *, small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per group, with an array column ``q0``, ``q1``, ... per variable.
 
-    Counts the rows of the largest group first, to choose the way; that reads
-    only the grouping columns.  A variable without values has a NULL array.
+    Counts the rows of every group first, which reads only the grouping columns.
+    A variable without values has a NULL array.
     """
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small_group:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        return df.groupBy(*by).agg(*[
-            F.percentile(number(v), wanted).alias(f"q{i}") for i, v in enumerate(variables)
-        ])
-    return _bracketed(df, variables, probabilities, by, largest, small_group, accuracy)
+    probabilities = [float(p) for p in probabilities]
+    counts = df.groupBy(*by).count()
+    if by:
+        counts = kept(counts)
+    large = counts.filter(F.col("count") > small_group)
+    groups, largest = large.agg(F.count("*"), F.max("count")).first()
+    if groups == 0:
+        return _of_small_groups(df, variables, probabilities, by)
+    if not by:
+        return _of_large_groups(df, variables, probabilities, by, largest, small_group)
+
+    marked = join_groups(df, kept(large.select(*by, F.lit(True).alias("__large"))), by)
+    rows = marked.filter(F.col("__large"))
+    found = _of_large_groups(rows, variables, probabilities, by, largest, small_group)
+    if groups == counts.count():
+        return found
+    rest = marked.filter(F.col("__large").isNull())
+    return found.unionByName(_of_small_groups(rest, variables, probabilities, by))
 
 
 def approximate_quantiles(
     df: DataFrame, variables: Sequence[str], probabilities: Sequence[float],
-    by: Sequence[str] = (), *, accuracy: int = ACCURACY,
+    by: Sequence[str] = (), *, accuracy: int = 10_000,
 ) -> DataFrame:
     """Like :func:`quantiles`, from Spark's sketch alone: one pass, no interpolation."""
     wanted = [float(p) for p in probabilities]
@@ -56,85 +69,115 @@ def approximate_quantiles(
     ])
 
 
-def _bracketed(
+def _of_small_groups(
+    df: DataFrame, variables: Sequence[str], probabilities: Sequence[float], by: Sequence[str],
+) -> DataFrame:
+    wanted = F.array(*[F.lit(p) for p in probabilities])
+    return df.groupBy(*by).agg(*[
+        F.percentile(number(v), wanted).alias(f"q{i}") for i, v in enumerate(variables)])
+
+
+def _of_large_groups(
     df: DataFrame, variables: Sequence[str], probabilities: Sequence[float],
-    by: Sequence[str], largest: int, small_group: int, accuracy: int,
+    by: Sequence[str], largest: int, small_group: int,
 ) -> DataFrame:
-    inner = sorted({float(p) for p in probabilities if 0 < p < 1})
     keys = [*by, "variable"]
     values = F.array(*[
         F.struct(F.lit(i).alias("variable"), number(v).alias("value"))
         for i, v in enumerate(variables)
     ])
-    rows = df.select(*by, F.inline(values)).filter(F.col("value").isNotNull())
-
-    brackets = kept(_first_brackets(rows, keys, inner, accuracy))
-    if largest * 2 * MARGIN // accuracy > small_group:
-        brackets = kept(_narrower_brackets(rows, brackets, keys, inner, accuracy))
-    found = _picked(rows, brackets, keys, len(inner), [float(p) for p in probabilities])
-
-    # Every group must appear, also one without a single value.
-    per_variable = found.groupBy(*by).agg(*[
+    rows = df.select(*by, F.inline(values))
+    brackets, inside = None, largest
+    while inside > small_group:
+        salts = max(1, min(SALTS, inside // ROWS_PER_SALT))
+        brackets = kept(_closer_brackets(rows, keys, probabilities, brackets, salts))
+        inside = int(inside * (4 / POINTS + 8 / ACCURACY))
+    found = _picked(rows, keys, probabilities, brackets)
+    return found.groupBy(*by).agg(*[
         F.max(F.when(F.col("variable") == i, F.col("quantiles"))).alias(f"q{i}")
         for i in range(len(variables))
     ])
-    if not by:
-        return per_variable
-    groups = df.select(*by).distinct()
-    return join_groups(groups, kept(per_variable), by)
 
 
-def _first_brackets(
-    rows: DataFrame, keys: Sequence[str], inner: Sequence[float], accuracy: int,
+def _zoned(
+    rows: DataFrame, keys: Sequence[str], count: int, brackets: DataFrame | None,
 ) -> DataFrame:
-    """Per group and variable: number of values, and a (low, high) per inner rank."""
-    reach = MARGIN / accuracy
-    ends = [max(p - reach, 0.0) for p in inner] + [min(p + reach, 1.0) for p in inner]
-    sketch = F.percentile_approx(F.col("value"), ends, accuracy) if inner else F.array()
-    size = len(inner)
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), sketch.cast("array<double>").alias("ends"),
-    ).select(
-        *keys, "n",
-        F.slice("ends", 1, size).alias("low"), F.slice("ends", size + 1, size).alias("high"),
-    )
+    """Rows with the number of their zone and whether it lies inside a bracket.
 
-
-def _narrower_brackets(
-    rows: DataFrame, brackets: DataFrame, keys: Sequence[str], inner: Sequence[float],
-    accuracy: int,
+    The ends of the brackets cut the values into zones, numbered upwards.
+    """
+    value = F.col("value")
+    if brackets is None:
+        return rows.select(*keys, "value", F.lit(0).alias("zone"), F.lit(True).alias("inside"))
+    begun, ended = F.lit(0), F.lit(0)
+    for j in range(count):
+        begun = begun + F.when(value >= F.col("low")[j], 1).otherwise(0)
+        ended = ended + F.when(value > F.col("high")[j], 1).otherwise(0)
+    return join_groups(rows, brackets, keys).select(
+        *keys, "value", (begun + ended).alias("zone"), (begun > ended).alias("inside"))
+
+
+def _closer_brackets(
+    rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float],
+    brackets: DataFrame | None, salts: int,
 ) -> DataFrame:
-    """Brackets again, from a sketch of only the values inside the present ones."""
-    value, steps = F.col("value"), [s / GRID for s in range(GRID + 1)]
-    held = join_groups(rows, brackets, keys)
-    measures = []
-    for j in range(len(inner)):
-        low, high = F.col("low")[j], F.col("high")[j]
-        inside = value.between(low, high)
-        measures += [
-            F.count_if(value < low).alias(f"below{j}"),
-            F.count_if(inside).alias(f"inside{j}"),
-            F.percentile_approx(F.when(inside, value), steps, accuracy).alias(f"grid{j}"),
-        ]
-    measured = held.groupBy(*keys).agg(F.max("n").alias("n"), *measures)
-
-    def step(j: int, p: float, ahead: int) -> Column:
-        """Grid step just before the wanted rank, or just after the next one."""
-        rank = F.floor((F.col("n") - 1) * F.lit(p)) - F.col(f"below{j}")
-        place = (rank + (2 if ahead > 0 else 0)) * F.lit(float(GRID)) / F.col(f"inside{j}")
-        near = (F.ceil(place) if ahead > 0 else F.floor(place)) + ahead
-        return F.greatest(F.lit(0), F.least(F.lit(GRID), near)).cast("int")
-
-    return measured.select(
-        *keys, "n",
-        F.array(*[F.col(f"grid{j}")[step(j, p, -1)] for j, p in enumerate(inner)]).alias("low"),
-        F.array(*[F.col(f"grid{j}")[step(j, p, +1)] for j, p in enumerate(inner)]).alias("high"),
+    """For every group and probability a (low, high) that contains the wanted ranks.
+
+    Each task sketches its part of a zone; the sketches are merged per salt, and
+    the salts' quantiles together bound the rank of any of them.
+    """
+    steps = ", ".join(f"{k / POINTS}D" for k in range(POINTS + 1))
+    grid = F.expr(f"array({steps})")
+    value = F.col("value")
+    salted = kept(
+        _zoned(rows, keys, len(probabilities), brackets)
+        .withColumn("salt", F.spark_partition_id() % salts)
+        .groupBy(*keys, "zone", "salt").agg(
+            F.count("value").alias("held"), F.min("value").alias("least"),
+            F.max("value").alias("most"),
+            F.percentile_approx(F.when(F.col("inside"), value), grid, ACCURACY).alias("points"),
+        )
+    )
+    group, zone = Window.partitionBy(*keys), Window.partitionBy(*keys, "zone")
+    placed = salted.select(
+        *keys, "points", (F.col("held") / POINTS).alias("weight"),
+        F.sum("held").over(group).alias("n"),
+        F.sum("held").over(group.orderBy("zone")).alias("upto"),
+        F.sum("held").over(zone).alias("zone_held"),
+        F.min("least").over(zone).alias("zone_least"),
+        F.max("most").over(zone).alias("zone_most"),
+    )
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.lit(p).alias("p")) for j, p in enumerate(probabilities)]))
+    # 0-based rank within the one zone that holds it; -1 rows when there is no value at all.
+    rank = F.floor((F.col("n") - 1) * F.col("wanted.p")) - (F.col("upto") - F.col("zone_held"))
+    targets = (
+        placed.select("*", wanted.alias("wanted")).withColumn("rank", rank)
+        .filter(((F.col("rank") >= 0) & (F.col("rank") < F.col("zone_held"))) | (F.col("n") == 0))
+        .select(*keys, F.col("wanted.j").alias("j"), "rank", "weight", "zone_held",
+                "zone_least", "zone_most", F.explode_outer("points").alias("point"))
+    )
+    reached = F.sum("weight").over(Window.partitionBy(*keys, "j").orderBy("point"))
+    error = F.col("zone_held") * (1 / POINTS + 2 / ACCURACY) + (salts + 1)
+    point = F.col("point")
+    bounds = targets.withColumn("reached", reached).groupBy(*keys, "j").agg(
+        F.coalesce(
+            F.max(F.when(F.col("reached") + error <= F.col("rank"), point)),
+            F.min("zone_least")).alias("low"),
+        F.coalesce(
+            F.min(F.when(F.col("reached") - error >= F.col("rank") + 2, point)),
+            F.max("zone_most")).alias("high"),
     )
 
+    def listed(end: str) -> Column:
+        return F.array(*[
+            F.max(F.when(F.col("j") == j, F.col(end))) for j in range(len(probabilities))])
+
+    return bounds.groupBy(*keys).agg(listed("low").alias("low"), listed("high").alias("high"))
+
 
 def _picked(
-    rows: DataFrame, brackets: DataFrame, keys: Sequence[str], inner_count: int,
-    probabilities: Sequence[float],
+    rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float], brackets: DataFrame,
 ) -> DataFrame:
     """The exact quantiles of every group and variable.
 
@@ -143,16 +186,11 @@ def _picked(
     each covers.  Of the cells between brackets only the ends can be wanted.
     """
     value = F.col("value")
-    held = join_groups(rows, brackets.drop("n"), keys)
-    brackets_of_row = [(F.col("low")[j], F.col("high")[j]) for j in range(inner_count)]
-    inside, passed = F.lit(False), F.lit(0)
-    for low, high in brackets_of_row:
-        inside = inside | value.between(low, high)
-        passed = passed + F.when(value > high, 1).otherwise(0)
     cells = (
-        held.select(*keys, "value", passed.alias("zone"), F.when(inside, value).alias("single"))
+        _zoned(rows, keys, len(probabilities), brackets)
+        .withColumn("single", F.when(F.col("inside"), value))
         .groupBy(*keys, "zone", "single")
-        .agg(F.count("*").alias("held"), F.min("value").alias("first"),
+        .agg(F.count("value").alias("held"), F.min("value").alias("first"),
              F.max("value").alias("last"))
     )
     group = Window.partitionBy(*keys)
@@ -188,7 +226,5 @@ def _picked(
         under, over = F.col(f"under{j}"), F.col(f"over{j}")
         return under + (place - F.floor(place)) * (over - under)
 
-    return picked.select(
-        *keys,
-        F.array(*[interpolated(j, p) for j, p in enumerate(probabilities)]).alias("quantiles"),
-    )
+    found = F.array(*[interpolated(j, p) for j, p in enumerate(probabilities)])
+    return picked.select(*keys, F.when(n > 0, found).alias("quantiles"))
