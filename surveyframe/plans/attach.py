@@ -28,8 +28,7 @@ def only_row(stats: DataFrame) -> Column:
 def with_only_row(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """``rows`` with the columns of the one-row frame ``stats`` on each of them."""
     placed = rows.withColumn("__row", only_row(stats))
-    fields = [F.col("__row").getField(c).alias(c) for c in stats.columns]
-    return placed.select(*rows.columns, *fields)
+    return placed.select(*rows.columns, "__row.*")
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -87,12 +87,15 @@ def _of_large_groups(
         for i, v in enumerate(variables)
     ])
     rows = df.select(*by, F.inline(values))
-    brackets, inside = None, largest
+    # The least and the largest value are found without a bracket.
+    inner = sorted({p for p in probabilities if 0 < p < 1})
+    brackets, inside = None, largest if inner else 0
     while inside > small_group:
         salts = max(1, min(SALTS, inside // ROWS_PER_SALT))
-        brackets = kept(_closer_brackets(rows, keys, probabilities, brackets, salts))
+        brackets = kept(_closer_brackets(rows, keys, inner, brackets, salts))
         inside = int(inside * (4 / POINTS + 8 / ACCURACY))
-    found = _picked(rows, keys, probabilities, brackets)
+    zoned = _zoned(rows, keys, len(inner), brackets)
+    found = _picked(zoned, keys, probabilities)
     return found.groupBy(*by).agg(*[
         F.max(F.when(F.col("variable") == i, F.col("quantiles"))).alias(f"q{i}")
         for i in range(len(variables))
@@ -108,7 +111,8 @@ def _zoned(
     """
     value = F.col("value")
     if brackets is None:
-        return rows.select(*keys, "value", F.lit(0).alias("zone"), F.lit(True).alias("inside"))
+        return rows.select(
+            *keys, "value", F.lit(0).alias("zone"), F.lit(count > 0).alias("inside"))
     begun, ended = F.lit(0), F.lit(0)
     for j in range(count):
         begun = begun + F.when(value >= F.col("low")[j], 1).otherwise(0)
@@ -147,12 +151,10 @@ def _closer_brackets(
         F.min("least").over(zone).alias("zone_least"),
         F.max("most").over(zone).alias("zone_most"),
     )
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(j).alias("j"), F.lit(p).alias("p")) for j, p in enumerate(probabilities)]))
     # 0-based rank within the one zone that holds it; -1 rows when there is no value at all.
     rank = F.floor((F.col("n") - 1) * F.col("wanted.p")) - (F.col("upto") - F.col("zone_held"))
     targets = (
-        placed.select("*", wanted.alias("wanted")).withColumn("rank", rank)
+        placed.select("*", _each(probabilities).alias("wanted")).withColumn("rank", rank)
         .filter(((F.col("rank") >= 0) & (F.col("rank") < F.col("zone_held"))) | (F.col("n") == 0))
         .select(*keys, F.col("wanted.j").alias("j"), "rank", "weight", "zone_held",
                 "zone_least", "zone_most", F.explode_outer("points").alias("point"))
@@ -176,9 +178,13 @@ def _closer_brackets(
     return bounds.groupBy(*keys).agg(listed("low").alias("low"), listed("high").alias("high"))
 
 
-def _picked(
-    rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float], brackets: DataFrame,
-) -> DataFrame:
+def _each(probabilities: Sequence[float]) -> Column:
+    """A row (j, p) for every probability."""
+    return F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.lit(p).alias("p")) for j, p in enumerate(probabilities)]))
+
+
+def _picked(zoned: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """The exact quantiles of every group and variable.
 
     Values inside a bracket are counted one by one, those between two brackets
@@ -187,44 +193,41 @@ def _picked(
     """
     value = F.col("value")
     cells = (
-        _zoned(rows, keys, len(probabilities), brackets)
-        .withColumn("single", F.when(F.col("inside"), value))
+        zoned.withColumn("single", F.when(F.col("inside"), value))
         .groupBy(*keys, "zone", "single")
         .agg(F.count("value").alias("held"), F.min("value").alias("first"),
              F.max("value").alias("last"))
     )
     group = Window.partitionBy(*keys)
     running = group.orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = (F.col("n") - 1) * F.col("wanted.p")
     ranked = cells.select(
-        *keys, "first", "last", "held",
+        *keys, "first", "last",
+        (F.sum("held").over(running) - 1).alias("end"),
         (F.sum("held").over(running) - F.col("held")).alias("start"),
         F.sum("held").over(group).alias("n"),
-    )
+    ).select("*", _each(probabilities).alias("wanted")).withColumns({
+        "place": place, "under": F.floor(place), "over": F.ceil(place)})
 
-    def at(rank: Column) -> Column:
-        """The value of a 0-based rank if this cell covers it."""
-        end = F.col("start") + F.col("held") - 1
-        return F.when(
-            rank.between(F.col("start"), end),
-            F.when((rank == F.col("start")) | (F.col("first") == F.col("last")), F.col("first"))
-            .when(rank == end, F.col("last"))
-            .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")),
-        )
+    def covers(rank: str) -> Column:
+        return F.col(rank).between(F.col("start"), F.col("end"))
 
-    n = F.col("n")
-    picks = []
-    for j, p in enumerate(probabilities):
-        place = (n - 1) * F.lit(p)
-        picks += [
-            F.max(at(F.floor(place))).alias(f"under{j}"),
-            F.max(at(F.ceil(place))).alias(f"over{j}"),
-        ]
-    picked = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-
-    def interpolated(j: int, p: float) -> Column:
-        place = (n - 1) * F.lit(p)
-        under, over = F.col(f"under{j}"), F.col(f"over{j}")
-        return under + (place - F.floor(place)) * (over - under)
-
-    found = F.array(*[interpolated(j, p) for j, p in enumerate(probabilities)])
-    return picked.select(*keys, F.when(n > 0, found).alias("quantiles"))
+    def at(rank: str) -> Column:
+        """The value of a 0-based rank if this cell covers it."""
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        first, last = F.col("first"), F.col("last")
+        found = F.when((F.col(rank) == F.col("start")) | (first == last), first)
+        return F.when(covers(rank), found.when(F.col(rank) == F.col("end"), last).otherwise(missed))
+
+    nothing = F.col("n") == 0
+    picked = (
+        ranked.filter(covers("under") | covers("over") | nothing)
+        .groupBy(*keys, "wanted.j").agg(
+            F.max(at("under")).alias("low"), F.max(at("over")).alias("high"),
+            F.max(F.col("place") - F.col("under")).alias("part"))
+        .withColumn("quantile", F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
+    )
+    found = [
+        F.max(F.when(F.col("j") == j, F.col("quantile"))) for j in range(len(probabilities))]
+    listed = F.when(F.count("quantile") > 0, F.array(*found))
+    return picked.groupBy(*keys).agg(listed.alias("quantiles"))

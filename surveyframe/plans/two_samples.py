@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import divide, number, require, require_number
+from ..functions.columns import number, require, require_number
 from .attach import with_only_row
 
 SIDES = ("x", "y")
@@ -45,58 +45,54 @@ def two_sample_moments(
     rows = two_samples(df, variables, group, x, y, weight)
     indices = range(len(variables))
     wide = rows.agg(*[
-        a for side in SIDES for a in _plain_moments(side, indices) + (
+        F.expr(text) for side in SIDES for text in _plain_moments(side, indices) + (
             _weight_sums(side, indices) if weight else [])
     ])
     if weight:
         wide = _centred_pass(rows, wide, indices)
 
     measures = _MEASURES + (_WEIGHTED_MEASURES if weight else [])
-    structs = [
-        F.struct(
+
+    def row(i: int, name: str) -> Column:
+        fields = ", ".join(
+            f"{side}_flat" if m == "flat" else f"{side}{i}_{m} AS {side}_{m}"
+            for side in SIDES for m in measures)
+        return F.struct(
             F.lit(i).alias("variable_index"), F.lit(name).alias("variable"),
-            *[_measure(side, i, m).alias(f"{side}_{m}") for side in SIDES for m in measures],
-        )
-        for i, name in enumerate(variables)
-    ]
-    return wide.select(F.inline(F.array(*structs)))
+            F.expr(f"struct({fields})").alias("moments"))
+
+    rows_of_variables = wide.select(F.inline(F.array(*[
+        row(i, name) for i, name in enumerate(variables)])))
+    return rows_of_variables.select("variable_index", "variable", "moments.*")
 
 
 _MEASURES = ["n", "missing", "mean", "var"]
 _WEIGHTED_MEASURES = ["flat", "wn", "wsum", "wmean", "wspread", "wscore"]
 
 
-def _measure(side: str, i: int, measure: str) -> Column:
-    return F.col(f"{side}_flat") if measure == "flat" else F.col(f"{side}{i}_{measure}")
-
-
-def _plain_moments(side: str, indices: Sequence[int]) -> list[Column]:
-    here = F.col("side") == side
-    found = []
-    for i in indices:
-        value = F.when(here, F.col(f"v{i}"))
-        found += [
-            F.count(value).alias(f"{side}{i}_n"),
-            F.count_if(here & F.col(f"v{i}").isNull()).alias(f"{side}{i}_missing"),
-            F.avg(value).alias(f"{side}{i}_mean"),
-            F.var_samp(value).alias(f"{side}{i}_var"),
-        ]
-    return found
+def _plain_moments(side: str, indices: Sequence[int]) -> list[str]:
+    here = f"side = '{side}'"
+    return [
+        text for i in indices for text in (
+            f"count(CASE WHEN {here} THEN v{i} END) AS {side}{i}_n",
+            f"count_if({here} AND v{i} IS NULL) AS {side}{i}_missing",
+            f"avg(CASE WHEN {here} THEN v{i} END) AS {side}{i}_mean",
+            f"var_samp(CASE WHEN {here} THEN v{i} END) AS {side}{i}_var",
+        )
+    ]
 
 
-def _weight_sums(side: str, indices: Sequence[int]) -> list[Column]:
-    here, w = F.col("side") == side, F.col("w")
-    mine = F.when(here, w)
-    all_equal = F.min(mine).eqNullSafe(F.max(mine))
-    some_missing = (F.count(mine) > 0) & (F.count(mine) < F.count_if(here))
-    found = [(all_equal & ~some_missing).alias(f"{side}_flat")]
+def _weight_sums(side: str, indices: Sequence[int]) -> list[str]:
+    here = f"side = '{side}'"
+    mine = f"CASE WHEN {here} THEN w END"
+    flat = (f"(min({mine}) <=> max({mine}) AND count({mine}) IN (0, count_if({here})))"
+            f" AS {side}_flat")
+    found = [flat]
     for i in indices:
-        v = F.col(f"v{i}")
-        used = F.when(here & v.isNotNull(), w)
+        used = f"CASE WHEN {here} AND v{i} IS NOT NULL THEN w END"
         found += [
-            F.count(used).alias(f"{side}{i}_wn"),
-            F.sum(used).alias(f"{side}{i}_wsum"),
-            divide(F.sum(used * v), F.sum(used)).alias(f"{side}{i}_wmean"),
+            f"count({used}) AS {side}{i}_wn", f"sum({used}) AS {side}{i}_wsum",
+            f"try_divide(sum({used} * v{i}), sum({used})) AS {side}{i}_wmean",
         ]
     return found
 
@@ -109,9 +105,9 @@ def _centred_pass(rows: DataFrame, wide: DataFrame, indices: Sequence[int]) -> D
     centred = []
     for side in SIDES:
         for i in indices:
-            off = F.when(F.col("side") == side, F.col(f"v{i}") - F.col(f"{side}{i}_wmean"))
+            off = f"CASE WHEN side = '{side}' THEN v{i} - {side}{i}_wmean END"
             centred += [
-                F.sum(F.col("w") * off * off).alias(f"{side}{i}_wspread"),
-                F.sum(F.pow(F.col("w") * off, 2)).alias(f"{side}{i}_wscore"),
+                F.expr(f"sum(w * {off} * {off}) AS {side}{i}_wspread"),
+                F.expr(f"sum(power(w * {off}, 2)) AS {side}{i}_wscore"),
             ]
     return with_only_row(with_only_row(rows, wide).agg(*centred), wide)
