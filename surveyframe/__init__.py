@@ -1 +1,34 @@
-"""Survey statistics over Spark DataFrames."""
+"""Survey statistics over Spark DataFrames.
+
+Every operator takes a DataFrame and column names and returns a DataFrame.
+"""
+
+from .operators.domains import domain_vs_overall
+from .operators.means import (
+    compare_mean_tests, means_of_two_tables, means_of_variables, pooled_t_test, survey_t_test,
+    t_test, t_test_from_summary, two_sample_means, weighted_t_test, welch_t_test,
+)
+from .operators.outliers import (
+    five_number_summary, flag_outliers, null_outliers, outlier_histogram, outlier_summary,
+    quantiles_long,
+)
+from .operators.proportions import (
+    grouped_proportions, margin_of_error, newcombe_differences, prop_test, prop_test_one_sample,
+    proportion_cv, required_sample_size, suppression_flags, two_proportion_test, wilson_intervals,
+)
+from .operators.ratios import (
+    category_shares, listed_counts, mean_of_ratios, member_flag, person_category_counts,
+)
+from .operators.regression import linear_regression, predictions, slope_standard_error
+from .operators.report import treatment_control_report
+from .operators.sampling import grid_weight, stratified_split
+from .operators.survey import (
+    SurveyDesign, strata_overview, stratified_proportion, stratum_variances, survey_mean,
+)
+from .operators.tables import (
+    binary_violations, crosstab, filter_by_mean, frequency_table, group_moments, group_total,
+    pivot_group_means, split_by_mean, stack_tables, weighted_mean,
+)
+from .sources import read_table
+
+__all__ = [name for name in dir() if not name.startswith("_")]

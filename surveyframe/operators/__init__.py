@@ -1,0 +1 @@
+"""The operators, by subject."""

@@ -33,18 +33,17 @@ def person_category_counts(
     new_label: str | None = None, excluded_labels: Sequence[str] = (),
     attributes: DataFrame | None = None, attributes_key: str | None = None,
     attributes_filter: Column | None = None, attribute_columns: Sequence[str] = (),
-    first_rows: int | None = None,
 ) -> DataFrame:
-    """Dates on which each person had each category.
+    """How many dates each person had each category, as ``person, category, dates, sets``.
 
     Persons listed in ``relabelled`` have all their categories replaced by
     ``new_label``.  Rows whose label is excluded are dropped after that; rows
-    without a label stay.  ``attributes`` (filtered first) are joined to the
-    person, and a person counts once per distinct set of them.  ``first_rows``
-    keeps only the first rows in key order.
+    without a label stay.  ``attributes`` (filtered first) belong to the person:
+    ``sets`` is the person's number of distinct sets of them, one where there is
+    none, and a date counts once per set.  Dates and sets are counted apart and
+    multiplied, so their pairs are never written out.
     """
     require(df, person, date, category)
-    columns = ["person", "date", "category"]
     # Once per person, date and category first: all that follows is small.
     events = df.select(
         F.col(person).alias("person"), F.col(date).alias("date"),
@@ -53,45 +52,54 @@ def person_category_counts(
         events = member_flag(
             events, "person", relabelled, relabelled_key or person, "listed",
         ).select("person", "date", F.when(F.col("listed"), F.lit(new_label)).otherwise(
-            F.col("category")).alias("category"))
+            F.col("category")).alias("category")).distinct()
     if excluded_labels:
         events = events.filter(not_in("category", excluded_labels))
-    if attributes is not None:
-        wanted = attributes if attributes_filter is None else attributes.filter(attributes_filter)
-        owned = wanted.select(
-            F.col(attributes_key or person).alias("__owner"), *attribute_columns)
-        events = events.join(
-            owned, F.col("person").eqNullSafe(F.col("__owner")), "left").drop("__owner")
-
-    counted = (
-        events.select(*columns, *attribute_columns).distinct()
-        .groupBy("person", "category", *attribute_columns).agg(F.count("*").alias("dates"))
+    counted = events.groupBy("person", "category").agg(F.count("*").alias("days"))
+    if attributes is None:
+        return counted.select(
+            "person", "category", F.col("days").alias("dates"), F.lit(1).cast("bigint").alias("sets"))
+
+    wanted = attributes if attributes_filter is None else attributes.filter(attributes_filter)
+    sets = (
+        wanted.select(F.col(attributes_key or person).alias("__owner"), *attribute_columns)
+        .distinct().groupBy("__owner").agg(F.count("*").alias("held"))
     )
-    if attribute_columns:
-        # One row per set of attributes, each with the total for the category.
-        total = F.sum("dates").over(Window.partitionBy("person", "category"))
-        counted = counted.select("person", "category", total.alias("dates"))
+    held = F.coalesce(F.col("held"), F.lit(1).cast("bigint"))
+    return counted.join(sets, F.col("person").eqNullSafe(F.col("__owner")), "left").select(
+        "person", "category", (F.col("days") * held).alias("dates"), held.alias("sets"))
+
+
+def listed_counts(counts: DataFrame, first_rows: int | None = None) -> DataFrame:
+    """The counts with one row per set of attributes; optionally only the first in key order."""
+    rows = counts.select(
+        "person", "category", "dates",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("sets"))).alias("set")).drop("set")
     if first_rows is None:
-        return counted
-    return counted.orderBy("person", "category", "dates").limit(first_rows)
+        return rows
+    return rows.orderBy("person", "category", "dates").limit(first_rows)
 
 
 def category_shares(counts: DataFrame) -> DataFrame:
     """Per category: persons, and means of their counts, totals, shares and categories.
 
-    ``counts`` has one row per person and category, as from
-    :func:`person_category_counts`; a person's rows are few.
+    ``counts`` comes from :func:`person_category_counts`.  Every set of attributes
+    weighs as a row of its own, which ``sets`` stands for.
     """
-    of_person = Window.partitionBy("person")
+    of_person, sets = Window.partitionBy("person"), F.col("sets")
     placed = counts.withColumns({
-        "total": F.sum("dates").over(of_person),
-        "categories": F.count("*").over(of_person),
+        "total": F.sum(F.col("dates") * sets).over(of_person),
+        "categories": F.sum("sets").over(of_person),
     })
     share = divide(F.col("dates").cast("double"), F.col("total").cast("double"))
+
+    def mean(value: Column) -> Column:
+        return divide(F.sum((value * sets).cast("double")), F.sum("sets"))
+
     return placed.groupBy("category").agg(
-        F.count("*").alias("persons"), F.avg("dates").alias("mean_dates"),
-        F.avg("total").alias("mean_total"), F.avg(share).alias("mean_share"),
-        F.avg("categories").alias("mean_categories"),
+        F.sum("sets").alias("persons"), mean(F.col("dates")).alias("mean_dates"),
+        mean(F.col("total")).alias("mean_total"), mean(share).alias("mean_share"),
+        mean(F.col("categories")).alias("mean_categories"),
     )
 
 

@@ -299,13 +299,14 @@ def test_share_pipeline_by_hand(spark):
         excluded_labels=["undefined"], attributes=owners, attributes_key="owner",
         attributes_filter=F.col("principal") == 1, attribute_columns=["approved"])
     # Person 1 has two sets of attributes, so every day counts once per set.
-    assert sorted((r.person, str(r.category), r.dates) for r in counts.collect()) == [
+    listed_rows = ratios.listed_counts(counts)
+    assert sorted((r.person, str(r.category), r.dates) for r in listed_rows.collect()) == [
         (1, "drug", 4), (1, "drug", 4), (1, "theft", 2), (1, "theft", 2), (2, "theft", 1),
         (3, "hidden", 1), (4, "None", 1)]
     shares = by_key(ratios.category_shares(counts), "category")
     assert shares["drug"].mean_share == pytest.approx(4 / 12)
     assert shares["theft"].persons == 3
     assert shares["theft"].mean_share == pytest.approx((2 / 12 + 2 / 12 + 1) / 3)
-    first = ratios.person_category_counts(
-        events, "id", "day", "kind", first_rows=2).collect()
+    first = ratios.listed_counts(
+        ratios.person_category_counts(events, "id", "day", "kind"), first_rows=2).collect()
     assert [(r.person, r.category) for r in first] == [(1, "drug"), (1, "theft")]

@@ -804,6 +804,32 @@ def all_sql() -> dict[str, str]:
             FROM (SELECT *, sum(dates) OVER (PARTITION BY person) AS total,
                          count(*) OVER (PARTITION BY person) AS categories FROM counts)
             GROUP BY category""", "mean_dates mean_total mean_share mean_categories"),
+        "charge_shares_many_attributes": rounded(f"""{ev},
+            {ORDERS.strip()},
+            arrests AS (
+              SELECT DISTINCT user_id AS person, CAST(ts AS DATE) AS day, kind AS category,
+                     o_orderstatus, priority
+              FROM ev LEFT JOIN o ON o_custkey = user_id),
+            totals AS (SELECT person, category, count(*) AS dates FROM arrests GROUP BY 1, 2),
+            counts AS (
+              SELECT a.person, a.category, t.dates
+              FROM (SELECT DISTINCT person, category, o_orderstatus, priority FROM arrests) a
+              JOIN totals t ON a.person = t.person
+               AND a.category IS NOT DISTINCT FROM t.category)
+            SELECT category, count(*) AS persons, avg(dates) AS mean_dates,
+                   avg(total) AS mean_total, avg(dates / total) AS mean_share,
+                   avg(categories) AS mean_categories
+            FROM (SELECT *, sum(dates) OVER (PARTITION BY person) AS total,
+                         count(*) OVER (PARTITION BY person) AS categories FROM counts)
+            GROUP BY category""", "mean_dates mean_total mean_share mean_categories"),
+        "prefixed_columns": rounded(rounded("""
+            SELECT l_returnflag, count(*) AS lines_n, count(l_quantity) AS lines_l_quantity_count,
+                   count(*) - count(l_quantity) AS lines_l_quantity_missing,
+                   sum(l_quantity) AS lines_l_quantity_sum,
+                   avg(l_quantity) AS lines_l_quantity_mean,
+                   stddev_samp(l_quantity) AS lines_l_quantity_sd
+            FROM lineitem GROUP BY 1""", "lines_l_quantity_mean lines_l_quantity_sd"),
+            "lines_l_quantity_sum", 2),
         "five_number_summary": rounded(f"""{ev}
             SELECT kind, 'known_value' AS variable, {five_columns('q')}
             FROM (SELECT kind, quantile_cont(known_value, {FIVE}) AS q FROM ev GROUP BY kind)

@@ -152,6 +152,11 @@ def group_moments(spark, sf):
     return rounded(found, known_price_sum=2, l_quantity_sum=2)
 
 
+def prefixed_columns(spark, sf):
+    found = tables.group_moments(lineitem(spark, sf), "l_quantity", "l_returnflag")
+    return rounded(C.prefixed(found, "lines_", keep=["l_returnflag"]), lines_l_quantity_sum=2)
+
+
 def weighted_mean_by_group(spark, sf):
     return rounded(tables.weighted_mean(
         lineitem(spark, sf), "known_price", "weight", "l_returnflag"), weight_sum=2)
@@ -185,7 +190,7 @@ def mean_of_ratios_vs_ratio_of_means(spark, sf):
         lineitem(spark, sf), "l_discount", "l_tax", "l_returnflag"))
 
 
-def _event_counts(spark, sf, **options):
+def _event_counts(spark, sf):
     people = customers(spark, sf)
     return ratios.person_category_counts(
         events(spark, sf).withColumn("day", F.to_date("ts")), "user_id", "day", "kind",
@@ -193,21 +198,31 @@ def _event_counts(spark, sf, **options):
         new_label="unable to extract", excluded_labels=["signup", "undefined"],
         attributes=people, attributes_key="c_custkey",
         attributes_filter=F.col("c_mktsegment") != "BUILDING",
-        attribute_columns=["c_nationkey", "c_mktsegment"], **options)
+        attribute_columns=["c_nationkey", "c_mktsegment"])
 
 
 def charge_counts(spark, sf):
-    return _event_counts(spark, sf)
+    return ratios.listed_counts(_event_counts(spark, sf))
 
 
 def charge_counts_first_rows(spark, sf):
-    return _event_counts(spark, sf, first_rows=10)
+    return ratios.listed_counts(_event_counts(spark, sf), first_rows=10)
 
 
 def charge_shares(spark, sf):
     return rounded(ratios.category_shares(_event_counts(spark, sf)))
 
 
+def charge_shares_many_attributes(spark, sf):
+    """The same with orders as attributes: each person has several sets of them."""
+    cases = orders(spark, sf).select("o_custkey", "o_orderstatus", "priority")
+    counts = ratios.person_category_counts(
+        events(spark, sf).withColumn("day", F.to_date("ts")), "user_id", "day", "kind",
+        attributes=cases, attributes_key="o_custkey",
+        attribute_columns=["o_orderstatus", "priority"])
+    return rounded(ratios.category_shares(counts))
+
+
 # --- quantiles and outliers --------------------------------------------------
 
 def five_number_summary(spark, sf):
@@ -559,6 +574,7 @@ def all_queries() -> dict[str, Query]:
         group_moments, weighted_mean_by_group, frequency_table, crosstab, pivot_group_means,
         group_total_window, share_of_group_total, mean_of_ratios_vs_ratio_of_means,
         charge_counts, charge_counts_first_rows, charge_shares,
+        charge_shares_many_attributes, prefixed_columns,
         five_number_summary, quantiles_long, outlier_summary, outlier_summary_grouped,
         outlier_summary_many_vars, null_outliers_both, null_outliers_upper,
         null_outliers_lower, null_outliers_grouped, flag_outliers, histogram_before_after,
