@@ -11,23 +11,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import ColumnNames, names, require
 from ..plans.attach import join_groups, kept
 
-_HASH_BITS = 60
-_BUCKET_BITS = 16
 
-
-def keyed_hash(key: str, seed: int | str, bits: int = 32) -> Column:
-    """Uniform whole number of ``bits`` bits (a multiple of 4) from a key and a seed."""
-    if bits % 4 or not 0 < bits <= _HASH_BITS:
-        raise ValueError(f"bits must be a multiple of 4 up to {_HASH_BITS}")
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    return F.conv(F.substring(digest, 1, bits // 4), 16, 10).cast("bigint")
+def keyed_digest(key: str, seed: int | str) -> Column:
+    """Hash of a key and a seed, as hexadecimal text."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
 def grid_weight(
     key: str, seed: int | str, *, start: float = 1.0, step: float = 0.1, points: int = 11,
 ) -> Column:
     """A weight drawn from the grid start, start + step, ..., by key and seed."""
-    return F.lit(start) + (keyed_hash(key, seed) % points) * F.lit(step)
+    draw = F.conv(F.substring(keyed_digest(key, seed), 1, 8), 16, 10).cast("bigint")
+    return F.lit(start) + (draw % points) * F.lit(step)
 
 
 def stratified_split(
@@ -45,17 +40,20 @@ def stratified_split(
     require(df, key, *strata)
     if not 0 < proportion < 1:
         raise ValueError("proportion must lie between 0 and 1")
-    hashed = df.select(*strata, F.col(key).alias("key")).withColumn(
-        "hash", keyed_hash("key", seed, _HASH_BITS)
-    ).withColumn("slice", F.shiftright("hash", _HASH_BITS - _BUCKET_BITS))
+    # A stratum of n rows has about sqrt(n) slices of sqrt(n) rows.
+    sizes = kept(df.groupBy(*strata).agg(F.count("*").alias("rows")).select(
+        *strata, F.ceil(F.col("rows") * F.lit(proportion)).alias("wanted"),
+        F.floor(F.log2("rows") / 8).cast("int").alias("digits")))
+    keyed = df.select(*strata, F.col(key).alias("key"), keyed_digest(key, seed).alias("hash"))
+    hashed = join_groups(keyed, sizes, strata).select(
+        *strata, "key", "hash", "wanted", F.left("hash", "digits").alias("slice"))
 
-    slices = hashed.groupBy(*strata, "slice").agg(F.count("*").alias("held"))
     stratum = Window.partitionBy(*strata)
     upto = stratum.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.ceil(F.sum("held").over(stratum) * F.lit(proportion))
     cut_slices = kept(
-        slices.select(*strata, "slice", "held", F.sum("held").over(upto).alias("upto"),
-                      wanted.alias("wanted"))
+        hashed.groupBy(*strata, "slice").agg(
+            F.count("*").alias("held"), F.first("wanted").alias("wanted"))
+        .withColumn("upto", F.sum("held").over(upto))
         .filter((F.col("upto") >= F.col("wanted"))
                 & (F.col("upto") - F.col("held") < F.col("wanted")))
         .select(*strata, F.col("slice").alias("cut_slice"),
@@ -63,11 +61,11 @@ def stratified_split(
     )
     in_cut = join_groups(hashed, cut_slices, strata).filter(
         F.col("slice") == F.col("cut_slice"))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("hash", "key"))
+    rank = F.row_number().over(stratum.orderBy("hash", "key"))
     cuts = kept(
         in_cut.withColumn("rank", rank).filter(F.col("rank") == F.col("still_wanted"))
         .select(*strata, F.struct("hash", "key").alias("__cut"))
     )
-    own = F.struct(keyed_hash(key, seed, _HASH_BITS).alias("hash"), F.col(key).alias("key"))
+    own = F.struct(keyed_digest(key, seed).alias("hash"), F.col(key).alias("key"))
     return join_groups(df, cuts, strata).select(
         *df.columns, F.when(own <= F.col("__cut"), 1).otherwise(0).alias(flag))

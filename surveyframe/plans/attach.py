@@ -59,6 +59,8 @@ def stored_bytes(stats: DataFrame) -> int:
     for field in stats.schema.fields:
         if isinstance(field.dataType, T.StringType):
             size = size + 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.StructType):
+            size = size + 16 + F.octet_length(F.to_json(field.name))
         elif isinstance(field.dataType, T.ArrayType):
             size = size + 16 + 8 * F.greatest(F.size(field.name), F.lit(0))
         else:

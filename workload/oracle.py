@@ -701,8 +701,8 @@ counts AS (
 """
 
 
-def hash_sql(key: str, seed: int, digits: int) -> str:
-    return f"CAST('0x' || substr(md5({key} || '|{seed}'), 1, {digits}) AS BIGINT)"
+def draw(key: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5({key} || '|{seed}'), 1, 8) AS BIGINT)"
 
 
 STRATUM_PARTS = """
@@ -981,8 +981,8 @@ def all_sql() -> dict[str, str]:
                    CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY h, c_custkey)
                              <= ceil(0.5e0 * count(*) OVER (PARTITION BY c_mktsegment))
                         THEN 1 ELSE 0 END AS in_first
-            FROM (SELECT *, {hash_sql('c_custkey', 123, 15)} AS h FROM customer)""",
+            FROM (SELECT *, md5(c_custkey || '|123') AS h FROM customer)""",
         "grid_weights": rounded(f"""
-            SELECT event_id, 1 + ({hash_sql('event_id', 123, 8)} % 11) * 0.1e0 AS weight
+            SELECT event_id, 1 + ({draw('event_id', 123)} % 11) * 0.1e0 AS weight
             FROM events""", "weight"),
     }
