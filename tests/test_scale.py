@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from surveyframe.operators import domains, means, outliers, report, sampling, tables
@@ -23,23 +24,26 @@ def scans(spark, df, rows: int) -> int:
 
     The single row that carries the totals of a domain test counts as a record too.
     """
-    context = spark.sparkContext._jsc.sc()
-
-    def records_after(first: int) -> tuple[int, int]:
-        context.listenerBus().waitUntilEmpty()
-        taken, stage, absent = 0, first, 0
-        while absent < 50:
-            try:
-                taken += context.statusStore().lastStageAttempt(stage).inputRecords()
-                absent = 0
-            except Exception:  # a stage that was skipped or does not exist
-                absent += 1
-            stage += 1
-        return taken, stage - absent
-
-    _, start = records_after(0)
+    context = spark.sparkContext
+    context.setJobGroup("before", "the last stage before the query")
+    spark.range(1).count()
+    tracker = context.statusTracker()
+    stage = 1 + max(
+        s for job in tracker.getJobIdsForGroup("before") for s in tracker.getJobInfo(job).stageIds)
+    context.setLocalProperty("spark.jobGroup.id", None)
+
     df.collect()
-    times, rest = divmod(records_after(start)[0], rows)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store = context._jsc.sc().statusStore()
+    taken, absent = 0, 0
+    while absent < 50:
+        try:
+            taken += store.lastStageAttempt(stage).inputRecords()
+            absent = 0
+        except Py4JJavaError:  # a stage that was skipped or does not exist
+            absent += 1
+        stage += 1
+    times, rest = divmod(taken, rows)
     assert rest <= 1
     return times
 
