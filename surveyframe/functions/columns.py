@@ -74,11 +74,11 @@ def not_in(column: str | Column, values: Iterable) -> Column:
     return ~F.coalesce(value.isin(list(values)), F.lit(False))
 
 
-def percent(value: Column, digits: int = 1) -> Column:
-    """A proportion as text: 0.1234 becomes ``12.3%``; NULL stays NULL."""
-    rounded = F.round(value * 100, digits) + F.lit(0.0)
-    text = F.concat(F.format_string(f"%.{digits}f", rounded), F.lit("%"))
-    return F.when(value.isNotNull(), text)
+def percent(value: str, digits: int = 1) -> str:
+    """SQL text that writes a proportion: 0.1234 becomes ``12.3%``; NULL stays NULL."""
+    rounded = f"round(({value}) * 100, {digits}) + 0D"
+    return (f"CASE WHEN ({value}) IS NOT NULL THEN"
+            f" concat(format_string('%.{digits}f', {rounded}), '%') END")
 
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -1,14 +1,13 @@
 """Interval formulas for proportions, as column expressions.
 
-Each takes columns of counts and proportions that some aggregate has already
-produced, so none of them costs a pass over rows.
+The operands are SQL text, usually column names, of counts and proportions that
+some aggregate has already produced, so none of them costs a pass over rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .columns import divide
 from .distributions import normal_quantile
 
 # Fixed values of the survey tables: the usual 95 % multiplier, and the small
@@ -17,42 +16,42 @@ Z_95 = 1.96
 CV_OFFSET = 0.001
 
 
-def wilson(n: Column, p: Column, z: float = Z_95) -> tuple[Column, Column]:
+def wilson(n: str, p: str, z: float = Z_95) -> tuple[Column, Column]:
     """Wilson score interval (lower, upper) for proportion ``p`` of ``n``."""
-    shrunk = n + z * z
-    centre = (n * p + z * z / 2) / shrunk
-    reach = z * F.sqrt(n * p * (1 - p) + z * z / 4) / shrunk
-    return centre - reach, centre + reach
+    z2 = z * z
+    centre = f"({n} * {p} + {z2 / 2}D) / ({n} + {z2}D)"
+    reach = f"{z}D * sqrt({n} * {p} * (1 - {p}) + {z2 / 4}D) / ({n} + {z2}D)"
+    return F.expr(f"{centre} - {reach}"), F.expr(f"{centre} + {reach}")
 
 
 def newcombe(
-    p1: Column, lower1: Column, upper1: Column,
-    p2: Column, lower2: Column, upper2: Column,
+    p1: str, lower1: str, upper1: str, p2: str, lower2: str, upper2: str, scale: str = "1D",
 ) -> tuple[Column, Column]:
-    """Newcombe's interval (lower, upper) for ``p1 - p2`` from two score intervals."""
-    difference = p1 - p2
+    """Newcombe's interval (lower, upper) for ``scale * (p1 - p2)`` from two score intervals."""
+    down = f"hypot({p1} - {lower1}, {upper2} - {p2})"
+    up = f"hypot({upper1} - {p1}, {p2} - {lower2})"
     return (
-        difference - F.hypot(p1 - lower1, upper2 - p2),
-        difference + F.hypot(upper1 - p1, p2 - lower2),
+        F.expr(f"{scale} * ({p1} - {p2} - {down})"),
+        F.expr(f"{scale} * ({p1} - {p2} + {up})"),
     )
 
 
-def wald_margin(n: Column, p: Column, level: float = 0.95, z: float | None = None) -> Column:
+def wald_margin(n: str, p: str, level: float = 0.95, z: float | None = None) -> Column:
     """Margin of error of a proportion; ``z`` overrides the level's own quantile."""
     multiplier = normal_quantile((1 + level) / 2) if z is None else z
-    return multiplier * F.sqrt(divide(p * (1 - p), n))
+    return F.expr(f"{multiplier}D * sqrt(try_divide({p} * (1 - {p}), {n}))")
 
 
-def sample_size(p: Column, margin: float, z: float = Z_95) -> Column:
+def sample_size(p: str, margin: float, z: float = Z_95) -> Column:
     """Rows needed to estimate ``p`` within ``margin``."""
-    return p * (1 - p) / (margin / z) ** 2
+    return F.expr(f"{p} * (1 - {p}) / {(margin / z) ** 2}D")
 
 
-def standard_error_of_interval(lower: Column, upper: Column) -> Column:
+def standard_error_of_interval(lower: str, upper: str) -> Column:
     """Standard error implied by an interval; always the 1.96 multiplier."""
-    return (upper - lower) / (2 * Z_95)
+    return F.expr(f"({upper} - {lower}) / {2 * Z_95}D")
 
 
-def coefficient_of_variation(standard_error: Column, p: Column) -> Column:
+def coefficient_of_variation(standard_error: str, p: str) -> Column:
     """Standard error relative to the rarer outcome's proportion."""
-    return standard_error / (F.least(p, 1 - p) + CV_OFFSET)
+    return F.expr(f"{standard_error} / (least({p}, 1 - {p}) + {CV_OFFSET}D)")

@@ -21,10 +21,10 @@ KINDS = ("sample", "population")
 
 
 def publication_flags(
-    x: Column, n: Column, cv: Column, *,
+    x: str, n: str, cv: str, *,
     strict: bool = True, confidential: bool = True, kind: str = "sample",
 ) -> tuple[Column, Column]:
-    """Return the 0/1 columns (suppressed, unreliable).
+    """Return the 0/1 columns (suppressed, unreliable) from three column names.
 
     An estimate without a coefficient of variation cannot be judged and is
     suppressed.  The two flags are independent of each other.
@@ -32,22 +32,21 @@ def publication_flags(
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
 
-    small = (x < SMALL_SUCCESSES) | (n < SMALL_SAMPLE)
-    few = x < FEW_SUCCESSES
-    doubtful = (cv > HIGH_CV) & (cv <= EXTREME_CV)
-    never = F.lit(False)
+    small = f"({x} < {SMALL_SUCCESSES} OR {n} < {SMALL_SAMPLE})"
+    few = f"{x} < {FEW_SUCCESSES}"
+    doubtful = f"({cv} > {HIGH_CV}D AND {cv} <= {EXTREME_CV}D)"
 
     if strict:
         by_count = few if kind == "sample" and not confidential else small
-        suppressed, unreliable = by_count | (cv > HIGH_CV), never
+        suppressed, unreliable = f"{by_count} OR {cv} > {HIGH_CV}D", "false"
     elif confidential:
-        suppressed, unreliable = small | (cv > EXTREME_CV), small | doubtful
+        suppressed, unreliable = f"{small} OR {cv} > {EXTREME_CV}D", f"{small} OR {doubtful}"
     else:
-        between = (x >= FEW_SUCCESSES) & (x < SMALL_SUCCESSES)
-        suppressed, unreliable = few | (cv > EXTREME_CV), doubtful | between
+        between = f"({x} >= {FEW_SUCCESSES} AND {x} < {SMALL_SUCCESSES})"
+        suppressed, unreliable = f"{few} OR {cv} > {EXTREME_CV}D", f"{doubtful} OR {between}"
 
-    return _flag(suppressed | cv.isNull()), _flag(unreliable)
+    return _flag(f"{suppressed} OR {cv} IS NULL"), _flag(unreliable)
 
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
+def _flag(condition: str) -> Column:
+    return F.expr(f"CASE WHEN {condition} THEN 1 ELSE 0 END")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import checked_binary, divide, require, require_number
+from ..functions.columns import checked_binary, require, require_number
 from ..functions.intervals import (
     Z_95, coefficient_of_variation, newcombe, standard_error_of_interval, wilson,
 )
@@ -153,67 +153,69 @@ def _with_statistics(df: DataFrame, prefixes: Sequence[str], rules: Rules) -> Da
         df = df.withColumns({
             prefix + name: column
             for prefix in prefixes
-            for name, column in step(lambda name, p=prefix: F.col(p + name), rules).items()
+            for name, column in step(lambda name, p=prefix: f"`{p}{name}`", rules).items()
         })
     return df
 
 
-Columns = Callable[[str], Column]
+Names = Callable[[str], str]
 
 
-def _proportions(col: Columns, rules: Rules) -> dict[str, Column]:
+def _proportions(c: Names, rules: Rules) -> dict[str, Column]:
     def setting(value) -> Column:
-        return F.when(col("present"), F.lit(value))
+        return F.expr(f"CASE WHEN {c('present')} THEN {value!r} END")
 
     return {
-        "p_weighted": divide(col("x_weighted"), col("n_weighted")),
-        "p_unweighted": divide(col("x_unweighted").cast("double"), col("n_unweighted")),
-        "other_p": divide(col("other_x"), col("other_n")),
+        "p_weighted": F.expr(f"try_divide({c('x_weighted')}, {c('n_weighted')})"),
+        "p_unweighted": F.expr(
+            f"try_divide(double({c('x_unweighted')}), {c('n_unweighted')})"),
+        "other_p": F.expr(f"try_divide({c('other_x')}, {c('other_n')})"),
         "strict_suppression": setting(rules.strict),
         "confidentiality_concerns": setting(rules.confidential),
         "sample_or_population": setting(rules.kind),
     }
 
 
-def _intervals(col: Columns, rules: Rules) -> dict[str, Column]:
-    lower, upper = wilson(col("n_weighted"), col("p_weighted"), rules.z)
-    other_lower, other_upper = wilson(col("other_n"), col("other_p"), rules.z)
+def _intervals(c: Names, rules: Rules) -> dict[str, Column]:
+    lower, upper = wilson(c("n_weighted"), c("p_weighted"), rules.z)
+    other_lower, other_upper = wilson(c("other_n"), c("other_p"), rules.z)
     return {"conf_int_lower": lower, "conf_int_upper": upper,
             "other_lower": other_lower, "other_upper": other_upper}
 
 
-def _errors(col: Columns, rules: Rules) -> dict[str, Column]:
+def _errors(c: Names, rules: Rules) -> dict[str, Column]:
     return {"standard_error": standard_error_of_interval(
-        col("conf_int_lower"), col("conf_int_upper"))}
+        c("conf_int_lower"), c("conf_int_upper"))}
 
 
-def _variations(col: Columns, rules: Rules) -> dict[str, Column]:
+def _variations(c: Names, rules: Rules) -> dict[str, Column]:
     return {"coeff_of_variation": coefficient_of_variation(
-        col("standard_error"), col("p_weighted"))}
+        c("standard_error"), c("p_weighted"))}
 
 
-def _flags_and_differences(col: Columns, rules: Rules) -> dict[str, Column]:
+def _flags_and_differences(c: Names, rules: Rules) -> dict[str, Column]:
     """Publication flags, and the difference from the complement scaled to the whole."""
     suppressed, unreliable = publication_flags(
-        col("x_unweighted"), col("n_unweighted"), col("coeff_of_variation"),
+        c("x_unweighted"), c("n_unweighted"), c("coeff_of_variation"),
         strict=rules.strict, confidential=rules.confidential, kind=rules.kind)
+    share = f"try_divide({c('other_n')}, {c('n_weighted')} + {c('other_n')})"
     low, high = newcombe(
-        col("p_weighted"), col("conf_int_lower"), col("conf_int_upper"),
-        col("other_p"), col("other_lower"), col("other_upper"))
-    share = divide(col("other_n"), col("n_weighted") + col("other_n"))
+        c("p_weighted"), c("conf_int_lower"), c("conf_int_upper"),
+        c("other_p"), c("other_lower"), c("other_upper"), scale=share)
+    present = F.expr(c("present"))
     return {
-        "unreliable_flag": F.when(col("present"), unreliable),
-        "suppressed_flag": F.when(col("present"), suppressed),
-        "diff_btw_domain_and_overall_p": share * (col("p_weighted") - col("other_p")),
-        "conf_int_lower_weighted_for_diff_btw_domain_and_overall_p": share * low,
-        "conf_int_upper_weighted_for_diff_btw_domain_and_overall_p": share * high,
+        "unreliable_flag": F.when(present, unreliable),
+        "suppressed_flag": F.when(present, suppressed),
+        "diff_btw_domain_and_overall_p": F.expr(
+            f"{share} * ({c('p_weighted')} - {c('other_p')})"),
+        "conf_int_lower_weighted_for_diff_btw_domain_and_overall_p": low,
+        "conf_int_upper_weighted_for_diff_btw_domain_and_overall_p": high,
     }
 
 
-def _significance(col: Columns, rules: Rules) -> dict[str, Column]:
-    low = col("conf_int_lower_weighted_for_diff_btw_domain_and_overall_p")
-    high = col("conf_int_upper_weighted_for_diff_btw_domain_and_overall_p")
-    apart = (F.least(low, high) > 0) | (F.greatest(low, high) < 0)
-    known = low.isNotNull() & high.isNotNull()
-    return {"diff_btw_domain_and_overall_significant": F.when(
-        known, F.when(apart, 1).otherwise(0))}
+def _significance(c: Names, rules: Rules) -> dict[str, Column]:
+    low = c("conf_int_lower_weighted_for_diff_btw_domain_and_overall_p")
+    high = c("conf_int_upper_weighted_for_diff_btw_domain_and_overall_p")
+    return {"diff_btw_domain_and_overall_significant": F.expr(
+        f"CASE WHEN {low} IS NULL OR {high} IS NULL THEN NULL"
+        f" WHEN least({low}, {high}) > 0 OR greatest({low}, {high}) < 0 THEN 1 ELSE 0 END")}

@@ -50,7 +50,7 @@ def wilson_intervals(
 ) -> DataFrame:
     """Wilson score interval of each group's (weighted) proportion."""
     counted = grouped_proportions(df, outcome, by, weight=weight)
-    lower, upper = wilson(F.col("n_weighted"), F.col("p_weighted"), z)
+    lower, upper = wilson("n_weighted", "p_weighted", z)
     return counted.withColumns({"conf_int_lower": lower, "conf_int_upper": upper})
 
 
@@ -62,9 +62,9 @@ def proportion_cv(
     return (
         wilson_intervals(df, outcome, by, weight=weight, z=z)
         .withColumn("standard_error", standard_error_of_interval(
-            F.col("conf_int_lower"), F.col("conf_int_upper")))
+            "conf_int_lower", "conf_int_upper"))
         .withColumn("coeff_of_variation", coefficient_of_variation(
-            F.col("standard_error"), F.col("p_weighted")))
+            "standard_error", "p_weighted"))
     )
 
 
@@ -75,7 +75,7 @@ def suppression_flags(
 ) -> DataFrame:
     """Each group's proportion with its unreliable and suppressed flags."""
     suppressed, unreliable = publication_flags(
-        F.col("x_unweighted"), F.col("n_unweighted"), F.col("coeff_of_variation"),
+        "x_unweighted", "n_unweighted", "coeff_of_variation",
         strict=strict, confidential=confidential, kind=kind,
     )
     return proportion_cv(df, outcome, by, weight=weight, z=z).withColumns({
@@ -101,7 +101,7 @@ def margin_of_error(
         .withColumn("proportion", checked_binary(
             outcome, divide(F.col("successes").cast("double"), F.col("n")), F.col("bad_rows")))
         .withColumn("std_error", F.sqrt(divide(p * (1 - p), n)))
-        .withColumn("margin_of_error", wald_margin(n, p, level, z))
+        .withColumn("margin_of_error", wald_margin("n", "proportion", level, z))
         .select(
             *by, "n", "successes", "proportion", "std_error", "margin_of_error",
             (p - F.col("margin_of_error")).alias("conf_int_lower"),
@@ -119,7 +119,7 @@ def required_sample_size(
     found = margin_of_error(df, outcome, by)
     return found.select(
         *by, "n", "proportion",
-        sample_size(F.col("proportion"), margin, z).alias("required_sample_size"),
+        sample_size("proportion", margin, z).alias("required_sample_size"),
     )
 
 
@@ -246,8 +246,8 @@ def prop_test_one_sample(
         "statistic": divide(F.pow(off_centre - correction, 2), n / 4),
         "low_p": p - divide(correction, n), "high_p": p + divide(correction, n),
     })
-    lower, _ = wilson(n, F.col("low_p"), z)
-    _, upper = wilson(n, F.col("high_p"), z)
+    lower, _ = wilson("n", "low_p", z)
+    _, upper = wilson("n", "high_p", z)
     return shifted.select(
         *by, "n", "successes", "proportion", "statistic",
         chi_squared_p_value(F.col("statistic")).alias("p_value"),
@@ -264,12 +264,9 @@ def newcombe_differences(
     by = names(by)
     counted = _two_groups(df, outcome, group, x, y, weight, by)
     for side in ("x", "y"):
-        lower, upper = wilson(F.col(f"weight_{side}"), F.col(f"p_{side}"), z)
+        lower, upper = wilson(f"weight_{side}", f"p_{side}", z)
         counted = counted.withColumns({f"lower_{side}": lower, f"upper_{side}": upper})
-    lower, upper = newcombe(
-        F.col("p_x"), F.col("lower_x"), F.col("upper_x"),
-        F.col("p_y"), F.col("lower_y"), F.col("upper_y"),
-    )
+    lower, upper = newcombe("p_x", "lower_x", "upper_x", "p_y", "lower_y", "upper_y")
     return counted.select(
         *by, "n_x", "n_y", "p_x", "p_y", (F.col("p_x") - F.col("p_y")).alias("p_diff"),
         lower.alias("conf_int_lower"), upper.alias("conf_int_upper"),

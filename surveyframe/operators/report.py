@@ -87,71 +87,65 @@ _GAP_COLUMNS = [
 ]
 
 
-def _flag(condition: Column) -> Column:
+def _flag(condition: str) -> Column:
     """1 where the condition holds, 0 where it fails or is unknown."""
-    return F.when(condition, 1).otherwise(0)
+    return F.expr(f"CASE WHEN {condition} THEN 1 ELSE 0 END")
 
 
 def _with_gap(table: DataFrame, gap: str, one: str, other: str) -> DataFrame:
     """The difference between the arms, its interval and its flags."""
-    def of(side: str) -> list[Column]:
-        return [F.col(f"{side}_{c}") for c in ("p_weighted", "conf_int_lower", "conf_int_upper")]
+    def of(side: str) -> list[str]:
+        return [f"`{side}_{c}`" for c in ("p_weighted", "conf_int_lower", "conf_int_upper")]
 
     lower, upper = newcombe(*of(one), *of(other))
     table = table.withColumns({
-        f"{gap}_p_weighted": F.col(f"{one}_p_weighted") - F.col(f"{other}_p_weighted"),
+        f"{gap}_p_weighted": F.expr(f"{of(one)[0]} - {of(other)[0]}"),
         f"{gap}_conf_int_lower": lower,
         f"{gap}_conf_int_upper": upper,
     })
 
-    def either(flag: str) -> Column:
-        return (F.coalesce(F.col(f"{one}_{flag}"), F.lit(0)) == 1) | (
-            F.coalesce(F.col(f"{other}_{flag}"), F.lit(0)) == 1)
+    def either(flag: str) -> str:
+        return " OR ".join(f"coalesce(`{side}_{flag}`, 0) = 1" for side in (one, other))
 
     hidden = either("suppressed_flag")
-    below = F.coalesce(F.col(f"{gap}_conf_int_lower") < 0, F.lit(False))
+    below = f"coalesce(`{gap}_conf_int_lower` < 0, false)"
     return table.withColumns({
         f"{gap}_p_weighted_suppressed_flag": _flag(hidden),
         f"{gap}_conf_int_suppressed_flag": _flag(hidden),
         f"{gap}_conf_int_lower_negative_flag": _flag(below),
-        f"{gap}_conf_int_upper_negative_flag": _flag(F.col(f"{gap}_conf_int_upper") < 0),
+        f"{gap}_conf_int_upper_negative_flag": _flag(f"`{gap}_conf_int_upper` < 0"),
         f"{gap}_p_weighted_unreliable_flag": _flag(
-            ~hidden & (either("unreliable_flag") | below)),
+            f"NOT ({hidden}) AND ({either('unreliable_flag')} OR {below})"),
     })
 
 
-def _published(shown: Column, suppressed: Column, unreliable: Column | None = None) -> Column:
-    text = F.when(suppressed == 1, SUPPRESSED)
-    if unreliable is not None:
-        text = text.when(unreliable == 1, F.concat(shown, F.lit(UNRELIABLE)))
-    return text.otherwise(shown)
+def _published(shown: str, suppressed: str, unreliable: str | None = None) -> Column:
+    """The text to print: a dash when suppressed, a trailing mark when unreliable."""
+    marked = f"WHEN `{unreliable}` = 1 THEN concat({shown}, '{UNRELIABLE}')" if unreliable else ""
+    return F.expr(f"CASE WHEN `{suppressed}` = 1 THEN '{SUPPRESSED}' {marked} ELSE {shown} END")
 
 
 def _with_labels(table: DataFrame, sides: list[str], gap: str) -> DataFrame:
     labels = {}
     for side in sides:
-        value = percent(F.col(f"{side}_p_weighted"))
-        starred = F.when(
-            F.col(f"{side}_diff_btw_domain_and_overall_significant") == 1,
-            F.concat(value, F.lit(SIGNIFICANT)),
-        ).otherwise(value)
-        interval = F.concat(
-            percent(F.col(f"{side}_conf_int_lower")), F.lit(BETWEEN),
-            percent(F.col(f"{side}_conf_int_upper")))
-        suppressed = F.col(f"{side}_suppressed_flag")
+        value = percent(f"`{side}_p_weighted`")
+        significant = f"`{side}_diff_btw_domain_and_overall_significant` = 1"
+        starred = f"CASE WHEN {significant} THEN concat({value}, '{SIGNIFICANT}') ELSE {value} END"
+        interval = (f"concat({percent(f'`{side}_conf_int_lower`')}, '{BETWEEN}',"
+                    f" {percent(f'`{side}_conf_int_upper`')})")
+        suppressed = f"{side}_suppressed_flag"
         labels[f"{side}_p_weighted_output"] = _published(
-            starred, suppressed, F.col(f"{side}_unreliable_flag"))
+            starred, suppressed, f"{side}_unreliable_flag")
         labels[f"{side}_conf_int_output"] = _published(interval, suppressed)
 
     labels["diff_btw_treatment_and_control_p_weighted_output"] = _published(
-        percent(F.col(f"{gap}_p_weighted")), F.col(f"{gap}_p_weighted_suppressed_flag"),
-        F.col(f"{gap}_p_weighted_unreliable_flag"))
+        percent(f"`{gap}_p_weighted`"), f"{gap}_p_weighted_suppressed_flag",
+        f"{gap}_p_weighted_unreliable_flag")
     for end in ("lower", "upper"):
-        labels[f"{gap}_conf_int_{end}_output"] = F.when(
-            F.col(f"{gap}_conf_int_{end}_negative_flag") == 1, NEGATIVE,
-        ).otherwise(percent(F.col(f"{gap}_conf_int_{end}")))
+        labels[f"{gap}_conf_int_{end}_output"] = F.expr(
+            f"CASE WHEN `{gap}_conf_int_{end}_negative_flag` = 1 THEN '{NEGATIVE}'"
+            f" ELSE {percent(f'`{gap}_conf_int_{end}`')} END")
     table = table.withColumns(labels)
     return table.withColumn(f"{gap}_conf_int_output", _published(
-        F.concat(F.col(f"{gap}_conf_int_lower_output"), F.lit(BETWEEN),
-                 F.col(f"{gap}_conf_int_upper_output")),
-        F.col(f"{gap}_conf_int_suppressed_flag")))
+        f"concat(`{gap}_conf_int_lower_output`, '{BETWEEN}', `{gap}_conf_int_upper_output`)",
+        f"{gap}_conf_int_suppressed_flag"))

@@ -207,7 +207,7 @@ def test_newcombe_is_symmetric(spark):
 def test_percent_labels(spark):
     values = [0.1234, 0.12345, 1.0, 0.0, -0.0001, None]
     table = spark.createDataFrame([(v,) for v in values], "p double")
-    assert [r[0] for r in table.select(percent(F.col("p"))).collect()] == [
+    assert [r[0] for r in table.select(F.expr(percent("p"))).collect()] == [
         "12.3%", "12.3%", "100.0%", "0.0%", "0.0%", None]
 
 
@@ -215,7 +215,7 @@ def test_wilson_bounds_stay_in_range(spark):
     grid = spark.range(0, 51).crossJoin(spark.range(1, 51).withColumnRenamed("id", "n"))
     usable = grid.filter("id <= n").select(
         F.col("n").cast("double").alias("n"), (F.col("id") / F.col("n")).alias("p"))
-    lower, upper = intervals.wilson(F.col("n"), F.col("p"))
+    lower, upper = intervals.wilson("n", "p")
     worst = usable.select(lower.alias("l"), upper.alias("u"), "p").agg(
         F.min("l"), F.max("u"), F.min(F.col("p") - F.col("l")), F.min(F.col("u") - F.col("p"))
     ).first()

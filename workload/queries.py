@@ -129,8 +129,8 @@ def membership_flag(spark, sf):
 def percent_label(spark, sf):
     found = proportions.grouped_proportions(orders(spark, sf), "medium", "o_orderpriority")
     return found.select(
-        "o_orderpriority", C.percent(F.col("p_weighted")).alias("label"),
-        C.percent(F.col("p_weighted") - 0.5, 0).alias("off_half"))
+        "o_orderpriority", F.expr(C.percent("p_weighted")).alias("label"),
+        F.expr(C.percent("p_weighted - 0.5D", 0)).alias("off_half"))
 
 
 def union_samples(spark, sf):
@@ -479,7 +479,7 @@ def suppression_flags(spark, sf):
     flags = {}
     for name, rules in RULES:
         suppressed, unreliable = publication_flags(
-            F.col("x_unweighted"), F.col("n_unweighted"), F.col("coeff_of_variation"), **rules)
+            "x_unweighted", "n_unweighted", "coeff_of_variation", **rules)
         flags |= {f"{name}_suppressed": suppressed, f"{name}_unreliable": unreliable}
     return rounded(found.withColumns(flags).select(
         "p_brand", "n_unweighted", "x_unweighted", "coeff_of_variation", *flags))
