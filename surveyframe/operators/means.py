@@ -18,6 +18,10 @@ from ..plans.two_samples import two_sample_moments
 
 DF_RULES = ("welch", "pooled", "conservative")
 
+# Fixed values of the test_type column.
+UNWEIGHTED_TEST = "t.test"
+WEIGHTED_TEST = "wtd.t.test"
+
 
 # --- shared arithmetic -------------------------------------------------------
 
@@ -262,7 +266,7 @@ def means_of_variables(
             F.col("y_n").alias("y_unweighted_count"), F.col("y_missing").alias("y_na_count"),
             "mean_x", "mean_y", "diff_in_means",
             used["x"].alias("weights_x_used"), used["y"].alias("weights_y_used"),
-            F.when(F.col("plain"), "t.test").otherwise("wtd.t.test").alias("test_type"),
+            F.when(F.col("plain"), UNWEIGHTED_TEST).otherwise(WEIGHTED_TEST).alias("test_type"),
             "t_stat", "p_value", "std_error",
             pooled.alias("equal_variance"),
             (F.col("diff_in_means") - F.col("reach")).alias("conf_int_lower"),

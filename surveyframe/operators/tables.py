@@ -84,7 +84,8 @@ def crosstab(
     """
     require(df, rows, columns)
     if levels is None:
-        return df.groupBy(rows).pivot(columns).count().na.fill(0)
+        wide = df.groupBy(rows).pivot(columns).count()
+        return wide.na.fill(0, [c for c in wide.columns if c != rows])
     return df.groupBy(rows).agg(*[
         F.count_if(F.col(columns).eqNullSafe(F.lit(level))).alias(str(level))
         for level in levels

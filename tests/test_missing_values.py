@@ -256,6 +256,28 @@ def test_group_totals_treat_missing_keys_as_a_group(spark):
         ("None", 2.0, 2, 1.0), ("a", 4.0, 2, 0.25), ("a", 4.0, 2, 0.75), ("z", 0.0, 1, None)]
 
 
+def test_crosstab_looks_levels_up_and_keeps_missing_rows(spark):
+    table = frame(spark, [(1, "a"), (1, "a"), (1, "b"), (None, "b")], "r int, c string")
+    for levels in (None, ["a", "b"]):
+        found = by_key(tables.crosstab(table, "r", "c", levels), "r")
+        assert {k: (r.a, r.b) for k, r in found.items()} == {1: (2, 1), None: (0, 1)}
+
+
+def test_rows_without_value_are_on_neither_side_of_the_mean(spark):
+    table = frame(spark, [(1.0,), (2.0,), (3.0,), (None,)], "v double")
+    for above, expected in ((True, [2.0, 3.0]), (False, [1.0])):
+        kept = tables.filter_by_mean(table, "v", above=above)
+        assert sorted(r.v for r in kept.collect()) == expected
+    strict = tables.filter_by_mean(table, "v", inclusive=False)
+    assert [r.v for r in strict.collect()] == [3.0]
+
+
+def test_stacked_tables_fill_absent_columns(spark):
+    stacked = tables.stack_tables({
+        "x": frame(spark, [(1, "a")], "k int, only_x string"), "y": frame(spark, [(2,)], "k int")})
+    assert sorted(map(tuple, stacked.collect())) == [(1, "a", "x"), (2, None, "y")]
+
+
 def test_mean_of_ratios_skips_zero_denominators(spark):
     table = frame(spark, [(1.0, 2.0), (3.0, 0.0), (None, 1.0)], "a double, b double")
     row = ratios.mean_of_ratios(table, "a", "b").first()

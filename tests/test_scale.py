@@ -102,6 +102,13 @@ def test_approximate_quantiles_are_near(skewed):
     assert near == pytest.approx(exact, rel=0.02)
 
 
+def test_approximate_outliers_are_near(skewed):
+    exact = outliers.outlier_summary(skewed, "value").first()
+    near = outliers.outlier_summary(skewed, "value", approximate=True).first()
+    assert near.upper_outlier_threshold == pytest.approx(exact.upper_outlier_threshold, rel=0.02)
+    assert near.upper_outlier_count == pytest.approx(exact.upper_outlier_count, rel=0.05)
+
+
 # --- statistics back on rows --------------------------------------------------
 
 @pytest.mark.parametrize("limit, join", [
