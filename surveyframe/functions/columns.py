@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 ColumnNames = str | Sequence[str]
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def names(columns: ColumnNames | None) -> list[str]:
     """One name, several names or nothing, as a list."""
     if columns is None:

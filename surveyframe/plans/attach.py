@@ -2,20 +2,22 @@
 
 * One set of statistics for the whole table goes on as a scalar subquery: one
   row by construction, no join.
-* Statistics per group are computed once into the checkpoint folder.  Their
-  size is then known: few groups are broadcast, so the rows stay where they
-  are; many groups are joined through a shuffle, where adaptive execution
-  splits the partitions of hot groups.
+* Statistics per group are computed once into the shared folder.  Their size
+  is then known: few groups are broadcast, so the rows stay where they are;
+  many groups are joined through a shuffle, where adaptive execution splits the
+  partitions of hot groups.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import quoted
+from .store import stored
+
 # Size up to which group statistics are broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -32,37 +34,22 @@ def with_only_row(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed now and stored in the session's checkpoint folder.
+    """``df`` computed now and stored in the session's shared folder.
 
     Later steps read the stored result, whatever executors are lost meanwhile.
     """
-    _use_checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def _use_checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="surveyframe-checkpoint-")
-    context.setCheckpointDir(folder)
+    return stored(df, "statistics")
 
 
 def stored_bytes(stats: DataFrame) -> int:
-    """Rough size of a small table, from its rows and the length of its texts and arrays."""
+    """Rough size of a small table: eight bytes a number, and the length of everything else."""
     size = F.lit(0)
     for field in stats.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            size = size + 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.StructType):
-            size = size + 16 + F.octet_length(F.to_json(field.name))
-        elif isinstance(field.dataType, T.ArrayType):
-            size = size + 16 + 8 * F.greatest(F.size(field.name), F.lit(0))
+        name = quoted(field.name)
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            size = size + 16 + 2 * F.octet_length(F.to_json(F.struct(F.col(name))))
         else:
             size = size + 16
     return stats.agg(F.sum(size)).first()[0] or 0

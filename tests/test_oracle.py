@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from workload import oracle, queries as registered
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registered.all_queries()
+ORACLE = oracle.all_sql()
 DUCK_TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "int": "INTEGER", "string": "VARCHAR",
               "boolean": "BOOLEAN"}
 
@@ -24,6 +25,8 @@ def duck(data):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= entry.queries().items()
+    assert ORACLE.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -8,7 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from surveyframe.operators import domains, means, outliers, report, sampling, tables
-from surveyframe.plans import attach, quantiles as plan
+from surveyframe.plans import attach, quantiles as plan, store
 from workload import queries
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.251, 0.5, 0.75, 0.99, 1.0]
@@ -132,10 +132,41 @@ def test_size_counts_long_texts(spark):
     assert attach.stored_bytes(short.limit(0)) == 0
 
 
+def test_size_counts_binary_arrays_and_maps(spark):
+    long = spark.range(10).select(
+        F.lit("a" * 10_000).cast("binary").alias("binary"),
+        F.array(F.lit("a" * 10_000)).alias("texts"),
+        F.create_map(F.lit("a" * 10_000), F.lit(1)).alias("map"))
+    for column in long.columns:
+        assert attach.stored_bytes(long.select(column)) > 100_000
+
+
 def test_kept_tables_lie_in_the_checkpoint_folder(spark):
     kept = attach.kept(spark.range(10).groupBy((F.col("id") % 2).alias("k")).count())
-    assert "ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
-    assert spark.sparkContext.getCheckpointDir() is not None
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert all(folder in file for file in kept.inputFiles())
+    assert sorted(map(tuple, kept.collect())) == [(0, 5), (1, 5)]
+
+
+class Settings(dict):
+    """Stands for a session where only the configuration is read."""
+
+    @property
+    def conf(self):
+        return self
+
+
+def test_folder_of_intermediate_tables():
+    warehouse = {"spark.sql.warehouse.dir": "hdfs://a/warehouse"}
+    assert store.folder(Settings(warehouse)) == "hdfs://a/warehouse/_intermediate"
+    cluster = warehouse | {"spark.master": "spark://a:7077"}
+    named = {"spark.checkpoint.dir": "s3a://bucket/folder/"}
+    assert store.folder(Settings(cluster | named)) == "s3a://bucket/folder"
+    with pytest.raises(ValueError, match="scheme"):
+        store.folder(Settings(cluster | {"spark.checkpoint.dir": "/tmp/folder"}))
+    shared = cluster | {
+        "spark.checkpoint.dir": "/folder", "spark.hadoop.fs.defaultFS": "hdfs://a:9000"}
+    assert store.folder(Settings(shared)) == "/folder"
 
 
 # --- plans --------------------------------------------------------------------
