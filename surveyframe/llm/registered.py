@@ -2,21 +2,176 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
+from ..plans.store import folder
 from ..sources import read_table
-from . import minhash
+from . import (
+    cap_filters, decontamination, html_text, licenses, maxent, minhash, mixing, suffix_dedup,
+    token_blocks, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _remainder(parts: int) -> Column:
+    """The remainder by which doc_id is held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op1_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_blocks.write_tokens(
+        read_table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_blocks.read_documents(spark, path)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read_table(spark, sf, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_cap_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return cap_filters.linked_vectors(read_table(spark, sf, "embeddings"), similarity=0.93)
+
+
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contained_items(
+        read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf, "documents"), share=1.5, weights=(3, 1, 2), limit=2.0)
+    taken = mixed.draws.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    sources = mixed.sources.select(F.col("source").alias("__source"), "source_size", "target")
+    return mixed.rows.join(taken, "row_id", "left").join(
+        sources, F.col("source").eqNullSafe(F.col("__source"))).select(
+        "doc_id", "size", "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf, "documents"), width=3, percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    model = toxicity.train(docs, read_table(spark, sf, "labels"), use=_remainder(3) != 1)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf, "documents")).drop("detections")
+
+
+def op10_maxent(spark: SparkSession, sf: str) -> DataFrame:
+    return maxent.score(read_table(spark, sf, "documents"), held_out=_remainder(10) == 0)
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES: dict[str, Query] = {
-    query.__name__: query for query in (op7_minhash_near_dedup,)
+    query.__name__: query for query in (
+        op1_token_blocks, op2_suffix_dedup, op3_cap_filters, op4_decontamination, op5_mixing,
+        op6_html_text, op7_minhash_near_dedup, op8_toxicity, op9_licenses, op10_maxent, pipeline)
+}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = """
+    SELECT DISTINCT {id}, array_to_string(w[i:i + 4], ' ') AS run
+    FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i
+          FROM (SELECT {id}, regexp_extract_all({text},
+                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table})
+          WHERE len(w) >= 5)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_cap_filters": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+            ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        links AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+        reach AS (
+            SELECT x AS id, x AS other FROM links
+            UNION SELECT reach.id, links.y FROM reach JOIN links ON links.x = reach.other),
+        least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+        counts AS (SELECT x AS id, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+            coalesce(component_id, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN least ON least.id = vec_id LEFT JOIN counts ON counts.id = vec_id
+    """,
+    "op4_decontamination": f"""
+        WITH d AS ({_RUNS.format(id='doc_id', text=_LOWER.format('text'), table='documents')}),
+        b AS ({_RUNS.format(id='item_id', text=_LOWER.format('text'), table='benchmark')}),
+        sizes AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+        found AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN b USING (run)
+                  GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+        FROM found JOIN sizes USING (item_id) WHERE 100 * n_found >= 80 * n_shingles
+    """,
+    "op5_mixing": """
+        WITH RECURSIVE rows AS (
+            SELECT doc_id, source,
+                coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size
+            FROM documents),
+        sized AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+                (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS source_no
+            FROM rows GROUP BY source),
+        weighed AS (
+            SELECT *, [3.0, 1.0, 2.0][source_no % 3 + 1]::DOUBLE AS weight,
+                (SELECT 1.5::DOUBLE * sum(source_size) FROM sized) AS budget FROM sized),
+        levels AS (
+            SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY most / weight, source_no
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+                / sum(weight) OVER (ORDER BY most / weight, source_no
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+        chosen AS (SELECT level FROM levels WHERE level * weight <= most
+                   ORDER BY most / weight, source_no LIMIT 1),
+        targets AS (
+            SELECT source, source_no, source_size,
+                least(most, coalesce((SELECT level FROM chosen) * weight, most)) AS target
+            FROM levels),
+        passes AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT
+                AS passes FROM targets),
+        blocks AS (
+            SELECT doc_id, source_no, passes, target - passes * source_size AS rest,
+                least(512, size - 512 * block) AS words,
+                md5('0|pass|' || doc_id || '|' || block) AS hash
+            FROM (SELECT doc_id, source, size, unnest(range(0, (size + 511) // 512)) AS block
+                  FROM rows WHERE size > 0) b
+            JOIN passes p ON b.source IS NOT DISTINCT FROM p.source),
+        placed AS (
+            SELECT *, sum(words) OVER (PARTITION BY source_no ORDER BY hash, doc_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM blocks),
+        taken AS (
+            SELECT doc_id, sum(words * (passes + CASE WHEN upto - words / 2.0 <= rest THEN 1
+                ELSE 0 END))::BIGINT AS taken FROM placed GROUP BY doc_id)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+        FROM rows JOIN targets ON rows.source IS NOT DISTINCT FROM targets.source
+        LEFT JOIN taken USING (doc_id)
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
