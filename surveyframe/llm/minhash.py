@@ -6,9 +6,13 @@ texts meet in some table when some key of the first and some key of the second
 collection agree.
 
 Texts with the same shingle set are one class from the start.  In each table the
-members of a bucket are compared with its least member.  What stays apart is
-then compared with every other part of the bucket except its own, so each pair
-of a bucket that could still join two components is verified, on full sets.
+members of a bucket are compared with its least member.  Where a bucket then
+still holds several components, each member outside the largest is compared with
+all members of others, so that every pair that could still join two components
+is verified, on full sets.  Small buckets list these pairs.  The members of large
+ones are dealt to pairs of blocks, gathered by one key of the first collection
+rather than by table; a task compares two blocks in one product of matrices and
+reports a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -23,11 +27,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.store import stored
 from . import words as W
 from .components import components
+from .grouped import block_pairs, forest, groups
 from .ship import ship
 
 VALUES_PER_KEY = 2
 MISS = 1e-4
 MEMBERS_PER_TASK_GROUP = 512
+LISTED_MEMBERS = 24
+BLOCK_ROWS = 512
+_COLUMNS_AT_ONCE = 4_096
 
 _random = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _random.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,9 +175,9 @@ def near_duplicates(
     # Keys are recomputed rather than written: they are the largest table of the job.
     first = classes.select("id", "n", "keys", F.posexplode(F.slice("keys", 1, keys)))
     table = first.select(
-        "id", "n", F.col("pos").alias("i"), F.col("col").alias("x"),
+        "id", "n", F.xxhash64("pos", "col").alias("half"),
         F.posexplode(F.slice("keys", keys + 1, keys))).select(
-        F.xxhash64("i", "pos", "x", "col").alias("key"), "id", "n")
+        F.xxhash64("half", "pos", "col").alias("key"), "half", "id", "n")
     buckets = table.groupBy("key").agg(
         F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
     shared = stored(table.join(buckets.select("key", "least"), "key"), "buckets")
@@ -186,34 +194,101 @@ def near_duplicates(
         docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi"), "texts")
     links = _confirmed(tried, texts, width, percent)
 
-    rest = _apart(shared, links, tried, percent)
-    if not rest.isEmpty():
-        links = links.union(_confirmed(rest, texts, width, percent))
+    apart = _apart(shared, links)
+    links = links.union(_confirmed(_listed(apart, tried, percent), texts, width, percent))
+    links = links.union(_compared(apart, texts, width, percent))
     found = components(links.union(copies)).withColumnsRenamed({"id": "doc_id"})
     return marks.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _apart(shared: DataFrame, links: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs of a bucket whose members are still in different components.
-
-    In every bucket all members outside its largest component are paired with the
-    members of its other components.
-    """
+def _apart(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The buckets whose members are still in several components: (key, half, id, n, part, main,
+    members), where ``main`` is the bucket's largest component."""
     parts = components(links).withColumnRenamed("component_id", "part")
-    placed = stored(shared.select("key", "id", "n").join(parts, "id", "left").select(
-        "key", "id", "n", F.coalesce("part", "id").alias("part")), "parts")
+    placed = stored(shared.join(parts, "id", "left").select(
+        "key", "half", "id", "n", F.coalesce("part", "id").alias("part")), "parts")
     counts = placed.groupBy("key", "part").count()
     split = counts.groupBy("key").agg(
         F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("main"),
-    ).where("parts > 1").select("key", "main")
-    split = placed.join(split, "key")
-    aside = split.where("part != main").select(
+        F.sum("count").alias("members")).where("parts > 1").drop("parts")
+    return stored(placed.join(split, "key"), "apart")
+
+
+def _listed(apart: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Untried pairs of different components of small buckets."""
+    small = apart.where(F.col("members") <= LISTED_MEMBERS)
+    aside = small.where("part != main").select(
         "key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"))
-    pairs = split.join(aside, "key").where(
+    pairs = small.join(aside, "key").where(
         (F.col("part") != F.col("part_x"))
         & ((F.col("part") == F.col("main")) | (F.col("id") < F.col("x")))
         & (F.lit(100) * F.least("n", "n_x") >= F.lit(percent) * F.greatest("n", "n_x"))
     ).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    return stored(pairs.join(tried, ["a", "b"], "left_anti"), "apart")
+    return stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+
+
+def _compared(apart: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components of large buckets."""
+    large = apart.where(F.col("members") > LISTED_MEMBERS).select("half", "id", "part").distinct()
+    tasks = block_pairs(stored(large, "large"), "half", BLOCK_ROWS)
+    sets = stored(texts.join(large.select("id").distinct(), "id", "left_semi").mapInArrow(
+        _sets(width), "id bigint, shingles binary"), "sets")
+    rows = tasks.join(sets, "id").select("task", "i", "j", "block", "id", "part", "shingles")
+    dealt = rows.repartition("task").sortWithinPartitions("task")
+    return stored(dealt.mapInArrow(_compare(percent), "a bigint, b bigint"), "compared")
+
+
+def _sets(width: int):
+    """Task function: texts to their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, "text"):
+            sets = [s.tobytes() for s in _shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _compare(percent: int):
+    """Task function: the two blocks of each task to a forest of the links between components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "task"):
+            sets = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
+            block = batch.column("block").to_numpy()
+            part = batch.column("part").to_numpy()
+            sizes = np.array([len(s) for s in sets])
+            shared = _intersections(sets, sizes)
+            linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+            linked &= part[:, None] != part[None, :]
+            if batch.column("i")[0].as_py() != batch.column("j")[0].as_py():
+                linked &= block[:, None] != block[None, :]
+            has = np.flatnonzero(linked.any(axis=1))
+            if len(has):
+                ids = batch.column("id").to_numpy()[has]
+                root = forest(linked[np.ix_(has, has)])
+                joined = root != np.arange(len(has))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[joined]), pa.array(ids[root[joined]])], ["a", "b"])
+
+    return run
+
+
+def _intersections(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """How many values each two of some sets share."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    several = times[place] > 1
+    owner, place = owner[several], place[several]
+    names, place = np.unique(place, return_inverse=True)
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(names), _COLUMNS_AT_ONCE):
+        some = (place >= at) & (place < at + _COLUMNS_AT_ONCE)
+        has = np.zeros((len(sets), min(_COLUMNS_AT_ONCE, len(names) - at)), np.float32)
+        has[owner[some], place[some] - at] = 1
+        shared += has @ has.T
+    return np.rint(shared).astype(np.int64)
