@@ -56,6 +56,7 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
             frozenset(("table",)))
     for group in ("thead", "tbody", "tfoot", "colgroup")
 }
+TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 HEAD_CONTENT = frozenset("base link meta title style script noscript template".split())
 # An end tag reaches no further than these.
 SCOPE = frozenset(("table", "td", "th", "caption", "template"))
@@ -215,7 +216,8 @@ class Renderer:
                 self.lists[-1][1] += 1
             self.flow.inset(lines, mark, " " * len(mark))
         elif tag == "dd":
-            self.flow.inset(self.flows.pop().done(), "  ", "  ")
+            lines = self.flows.pop().done()
+            self.flow.inset(lines, "  ", "  ")
         elif tag in ("tr", "thead", "tbody", "tfoot") and self.tables:
             pass
         elif tag in BLOCK:
@@ -293,6 +295,8 @@ class Builder:
     def start(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body") and self.count.get(tag):
             return
+        if tag in TABLE_PARTS and not self.count.get("table"):
+            return
         if self.count.get("head") and tag not in HEAD_CONTENT and tag != "head":
             self.close(frozenset(("head",)), frozenset())
         if tag in CLOSES_P and self.count.get("p"):

@@ -35,7 +35,7 @@ PHRASES = (
 # What may stand between words: characters that are no letters or digits.
 _GAP = r"[\x00-/:-`{-\x7f]{1,8}"
 _LICENSE = r"licen[sc]e"
-_VERSION = rf"(?:,?{_GAP})?(?:version{_GAP}|ver\.?{_GAP}|v\.?{_GAP}?)?"
+_VERSION = rf"(?:,?{_GAP})?(?:version{_GAP}|ver\.?{_GAP}|v\.?(?:{_GAP})?)?"
 _CUT = r"(?<![^\x00-/:-`{-\x7f])", r"(?![^\x00-/:-`{-\x7f])"
 
 
