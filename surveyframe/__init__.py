@@ -13,8 +13,10 @@ from .operators.outliers import (
     quantiles_long,
 )
 from .operators.proportions import (
-    grouped_proportions, margin_of_error, newcombe_differences, prop_test, prop_test_one_sample,
-    proportion_cv, required_sample_size, suppression_flags, two_proportion_test, wilson_intervals,
+    compare_proportion_tests, grouped_proportions, margin_of_error, margin_of_error_from_counts,
+    newcombe_differences, newcombe_from_counts, prop_test, prop_test_from_counts,
+    prop_test_one_sample, proportion_cv, required_sample_size, suppression_flags,
+    two_proportion_test, wilson_from_counts, wilson_intervals,
 )
 from .operators.ratios import (
     category_shares, listed_counts, mean_of_ratios, member_flag, person_category_counts,

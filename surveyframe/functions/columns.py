@@ -19,6 +19,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name: dots and spaces are part of it."""
+    return F.col(quoted(name))
+
+
+def cols(columns: Iterable[str | Column]) -> list[Column]:
+    """Columns of exactly these names; columns stay as they are."""
+    return [col(c) if isinstance(c, str) else c for c in columns]
+
+
 def names(columns: ColumnNames | None) -> list[str]:
     """One name, several names or nothing, as a list."""
     if columns is None:
@@ -49,7 +59,7 @@ def require_number(df: DataFrame, *columns: str | None) -> None:
 
 def number(column: str | Column) -> Column:
     """The column as a double: booleans become 0/1, and NaN counts as missing."""
-    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    value = (col(column) if isinstance(column, str) else column).cast("double")
     return F.when(~F.isnan(value), value)
 
 
@@ -75,7 +85,7 @@ def dummy(predicate: Column) -> Column:
 
 def not_in(column: str | Column, values: Iterable) -> Column:
     """``NOT IN`` that keeps the rows whose value is missing."""
-    value = F.col(column) if isinstance(column, str) else column
+    value = col(column) if isinstance(column, str) else column
     return ~F.coalesce(value.isin(list(values)), F.lit(False))
 
 
@@ -89,7 +99,7 @@ def percent(value: str, digits: int = 1) -> str:
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
     """Every column renamed to ``prefix + name``, apart from those in ``keep``."""
     return df.select([
-        F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns
+        col(c) if c in keep else col(c).alias(prefix + c) for c in df.columns
     ])
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import checked_binary, require, require_number
+from ..functions.columns import checked_binary, col, require, require_number
 from ..functions.intervals import (
     Z_95, coefficient_of_variation, newcombe, standard_error_of_interval, wilson,
 )
@@ -22,6 +22,7 @@ from ..plans.proportion_sums import SUMS, checked, proportion_sums
 
 OVERALL = "overall"
 
+# Fixed names of the published table.
 STATISTICS = [
     "n_weighted", "n_unweighted", "x_weighted", "x_unweighted", "p_weighted", "p_unweighted",
     "conf_int_lower", "conf_int_upper", "standard_error", "coeff_of_variation",
@@ -31,7 +32,7 @@ STATISTICS = [
     "conf_int_upper_weighted_for_diff_btw_domain_and_overall_p",
     "diff_btw_domain_and_overall_significant",
 ]
-COLUMNS = ["domain_var", "domain_var_value", "stat_var", "stat", *STATISTICS]
+COLUMNS = ["domain_var", "domain_var_value", "is_overall", "stat_var", "stat", *STATISTICS]
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ class Measure:
     prefix: str = ""
 
     def holds(self) -> Column | None:
-        return None if self.among is None else F.coalesce(F.col(self.among) == 1, F.lit(False))
+        return None if self.among is None else F.coalesce(col(self.among) == 1, F.lit(False))
 
 
 def domain_vs_overall(
@@ -69,7 +70,8 @@ def domain_vs_overall(
 ) -> DataFrame:
     """Test each domain's proportion against the overall one.
 
-    One row per value of ``domain`` and one, named ``overall``, for the table.
+    One row per value of ``domain`` and one, named ``overall``, for the table;
+    ``is_overall`` tells it from a domain of that name.
     Rows without a domain count only in the overall row.  The difference is that
     of the domain and its complement, with Newcombe's interval, scaled by the
     complement's share; it is significant when the interval leaves out 0.  The
@@ -78,7 +80,7 @@ def domain_vs_overall(
     measure, rules = Measure(outcome), Rules(z, strict, confidential, kind)
     found = domain_statistics(df, domain, [measure], weight, rules)
     return found.select(
-        F.lit(domain).alias("domain_var"), "domain_var_value",
+        F.lit(domain).alias("domain_var"), "domain_var_value", "is_overall",
         F.lit(outcome).alias("stat_var"), F.lit("proportion").alias("stat"), *STATISTICS,
     )
 
@@ -92,7 +94,8 @@ def domain_statistics(
     placed = _sums(df, domain, measures, weight)
     placed = _with_statistics(placed, [m.prefix for m in measures], rules)
     return placed.select(
-        "domain_var_value", *[m.prefix + s for m in measures for s in STATISTICS])
+        "domain_var_value", "is_overall",
+        *[m.prefix + s for m in measures for s in STATISTICS])
 
 
 def _sums(
@@ -104,12 +107,12 @@ def _sums(
     ]
     # The flag is an aggregate so that its filter stays behind the grouping: every
     # use below then reads the same shuffled sums.
-    sums = df.groupBy(F.col(domain).alias("value")).agg(
-        *aggregates, F.max(F.col(domain).isNotNull()).alias("known"))
+    sums = df.groupBy(col(domain).alias("value")).agg(
+        *aggregates, F.max(col(domain).isNotNull()).alias("known"))
     columns = [m.prefix + s for m in measures for s in SUMS]
     totals = sums.agg(
-        *[F.sum(c).alias(f"all_{c}") for c in columns],
-        *[F.sum(F.when(F.col("known"), F.col(c))).alias(f"known_{c}") for c in columns],
+        *[F.sum(col(c)).alias(f"all_{c}") for c in columns],
+        *[F.sum(F.when(F.col("known"), col(c))).alias(f"known_{c}") for c in columns],
     )
 
     # Both branches take the totals from the same subquery, which runs once.
@@ -120,30 +123,33 @@ def _sums(
         p = m.prefix
 
         def left(name: str) -> Column:
-            return F.col(f"known_{p}{name}") - F.col(f"{p}{name}")
+            return col(f"known_{p}{name}") - col(f"{p}{name}")
 
-        present = F.col(f"{p}n_unweighted") > 0
+        present = col(f"{p}n_unweighted") > 0
         others, other_hits = left("n_unweighted") > 0, left("x_unweighted") > 0
         domain_columns += [
             F.when(present, checked(m.outcome, p)).alias(f"{p}n_weighted"),
-            *[F.when(present, F.col(p + s)).alias(p + s) for s in SUMS[1:4]],
+            *[F.when(present, col(p + s)).alias(p + s) for s in SUMS[1:4]],
             # Counts decide what is left; a difference of weights may miss 0 by a little.
             F.when(others, left("n_weighted")).alias(f"{p}other_n"),
             F.when(others & other_hits, left("x_weighted")).when(others, 0.0)
             .alias(f"{p}other_x"),
             present.alias(f"{p}present"),
         ]
-        every = F.coalesce(F.col(f"all_{p}n_weighted"), F.lit(0.0))
+        every = F.coalesce(col(f"all_{p}n_weighted"), F.lit(0.0))
         nothing = F.lit(None).cast("double")
         overall_columns += [
-            checked_binary(m.outcome, every, F.col(f"all_{p}bad_rows")).alias(f"{p}n_weighted"),
-            *[F.col(f"all_{p}{s}").alias(p + s) for s in SUMS[1:4]],
+            checked_binary(m.outcome, every, col(f"all_{p}bad_rows")).alias(f"{p}n_weighted"),
+            *[col(f"all_{p}{s}").alias(p + s) for s in SUMS[1:4]],
             nothing.alias(f"{p}other_n"), nothing.alias(f"{p}other_x"),
             F.lit(True).alias(f"{p}present"),
         ]
     return of_domains.select(
-        F.col("value").cast("string").alias("domain_var_value"), *domain_columns,
-    ).unionByName(overall.select(F.lit(OVERALL).alias("domain_var_value"), *overall_columns))
+        F.col("value").cast("string").alias("domain_var_value"),
+        F.lit(False).alias("is_overall"), *domain_columns,
+    ).unionByName(overall.select(
+        F.lit(OVERALL).alias("domain_var_value"), F.lit(True).alias("is_overall"),
+        *overall_columns))
 
 
 def _with_statistics(df: DataFrame, prefixes: Sequence[str], rules: Rules) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
-    ColumnNames, divide, names, require, require_number,
+    ColumnNames, col, cols, divide, names, number, require, require_number,
 )
 from ..functions.distributions import t_p_value, t_quantile
 from ..plans.two_samples import two_sample_moments
+from .regression import linear_regression
 
 DF_RULES = ("welch", "pooled", "conservative")
 
@@ -131,8 +132,8 @@ def t_test_from_summary(
     if taken:
         raise ValueError(f"the table already has column(s) {taken}")
     return _tested(
-        df, F.col(m1).cast("double"), F.col(m2).cast("double"),
-        F.pow(F.col(s1), 2), F.pow(F.col(s2), 2), F.col(n1), F.col(n2),
+        df, col(m1).cast("double"), col(m2).cast("double"),
+        F.pow(col(s1), 2), F.pow(col(s2), 2), col(n1), col(n2),
         rule, level, null_difference,
     )
 
@@ -141,12 +142,12 @@ def t_test_from_summary(
 
 def _weighted_size(side: str, mean_one: bool) -> Column:
     """Sample size of the weighted test: rows, or the sum of the weights."""
-    return F.col(f"{side}_wn").cast("double") if mean_one else F.col(f"{side}_wsum")
+    return col(f"{side}_wn").cast("double") if mean_one else col(f"{side}_wsum")
 
 
 def _weighted_variance(side: str, mean_one: bool) -> Column:
     size = _weighted_size(side, mean_one)
-    return divide(divide(F.col(f"{side}_wspread"), F.col(f"{side}_wsum")) * size, size - 1)
+    return divide(divide(col(f"{side}_wspread"), col(f"{side}_wsum")) * size, size - 1)
 
 
 def weighted_t_test(
@@ -192,7 +193,7 @@ def survey_t_test(
 def _survey_tested(moments: DataFrame, difference: Column, level: float) -> DataFrame:
     n = (F.col("x_wn") + F.col("y_wn")).cast("double")
     scores = sum(
-        (divide(F.col(f"{s}_wscore"), F.pow(F.col(f"{s}_wsum"), 2)) for s in ("x", "y")),
+        (divide(col(f"{s}_wscore"), F.pow(col(f"{s}_wsum"), 2)) for s in ("x", "y")),
         F.lit(0.0),
     )
     started = moments.withColumns({
@@ -228,7 +229,7 @@ def means_of_variables(
     moments = two_sample_moments(df, variables, group, x, y, weight)
     if weight:
         plain = F.col("x_flat") & F.col("y_flat")
-        used = {s: ~F.col(f"{s}_flat") for s in ("x", "y")}
+        used = {s: ~col(f"{s}_flat") for s in ("x", "y")}
     else:
         plain = F.lit(True)
         used = {s: F.lit(False) for s in ("x", "y")}
@@ -238,16 +239,16 @@ def means_of_variables(
 
     chosen = moments.withColumns({
         "plain": plain,
-        **{f"{s}_size": pick(F.col(f"{s}_n").cast("double"),
+        **{f"{s}_size": pick(col(f"{s}_n").cast("double"),
                              lambda s=s: _weighted_size(s, weights_are_statistical))
            for s in ("x", "y")},
-        **{f"mean_{s}": pick(F.col(f"{s}_mean"), lambda s=s: F.col(f"{s}_wmean"))
+        **{f"mean_{s}": pick(col(f"{s}_mean"), lambda s=s: col(f"{s}_wmean"))
            for s in ("x", "y")},
-        **{f"{s}_spread": pick(F.col(f"{s}_var"),
+        **{f"{s}_spread": pick(col(f"{s}_var"),
                                lambda s=s: _weighted_variance(s, weights_are_statistical))
            for s in ("x", "y")},
     })
-    parts = [F.col(c) for c in ("x_spread", "y_spread", "x_size", "y_size")]
+    parts = [col(c) for c in ("x_spread", "y_spread", "x_size", "y_size")]
     pooled = F.col("plain") & F.lit(equal_variance)
     tested = _with_t(chosen.withColumns({
         "diff_in_means": F.col("mean_x") - F.col("mean_y"),
@@ -294,8 +295,8 @@ def means_of_two_tables(
     def narrowed(table: DataFrame, own: str | None, label: str) -> DataFrame:
         require(table, *variables)
         require_number(table, own)
-        extra = [(F.col(own).cast("double") if own else F.lit(1.0)).alias(weight)] if weight else []
-        return table.select(*variables, *extra, F.lit(label).alias("__sample"))
+        extra = [(col(own).cast("double") if own else F.lit(1.0)).alias(weight)] if weight else []
+        return table.select(*cols(variables), *extra, F.lit(label).alias("__sample"))
 
     both = narrowed(x_table, x_weight, "x").unionByName(narrowed(y_table, y_weight, "y"))
     return means_of_variables(both, variables, "__sample", "x", "y", weight=weight, **options)
@@ -308,13 +309,23 @@ def compare_mean_tests(
 ) -> DataFrame:
     """Welch, pooled, regression, weighted and design-based tests of the same difference.
 
-    One row per ``method``, all as mean of x minus mean of y.  The regression on
-    a dummy is the pooled test; it is computed from its own sums of squares.
-    All five share the two passes of the weighted moments.
+    One row per ``method``, all as mean of x minus mean of y.  ``weighted`` takes
+    the weights as statistical, ``weighted_sum_n`` as counts of observations.  The
+    regressions on a dummy, ``ols`` and with weights ``wls``, are fitted on their
+    own sums; the first five share the two passes of the weighted moments.
     """
     moments = two_sample_moments(df, [value], group, x, y, weight)
+    methods = _with_interval(_with_t(differences_by_method(moments)), level)
+    dummy = F.when(col(group) == F.lit(x), 1.0).otherwise(0.0).alias("__is_x")
+    rows = df.filter(col(group).isin(x, y)).select(
+        number(value).alias("__value"), number(weight).alias("__weight"), dummy)
+    return methods.unionByName(_regressed(rows, None, level, "ols")).unionByName(
+        _regressed(rows, "__weight", level, "wls"))
+
 
-    def col(name: str) -> Column:
+def differences_by_method(moments: DataFrame) -> DataFrame:
+    """The difference, its error and degrees of freedom by each method, from the moments."""
+    def side(name: str) -> Column:
         return F.col(name).cast("double")
 
     def row(method: str, m1, m2, v1, v2, n1, n2, rule: str) -> Column:
@@ -324,22 +335,13 @@ def compare_mean_tests(
             _degrees_of_freedom(v1, v2, n1, n2, rule).alias("df"),
         )
 
-    plain = [col(c) for c in ("x_mean", "y_mean", "x_var", "y_var", "x_n", "y_n")]
-    weighted = [
-        col("x_wmean"), col("y_wmean"),
-        _weighted_variance("x", True), _weighted_variance("y", True),
-        col("x_wn"), col("y_wn"),
-    ]
-    n_x, n_y = col("x_n"), col("y_n")
-    residual = (n_x - 1) * col("x_var") + (n_y - 1) * col("y_var")
-    spread_of_dummy = divide(n_x * n_y, n_x + n_y)
-    regression = F.struct(
-        F.lit("ols").alias("method"),
-        (F.col("x_mean") - F.col("y_mean")).alias("diff_in_means"),
-        F.sqrt(divide(divide(residual, n_x + n_y - 2), spread_of_dummy)).alias("std_error"),
-        (n_x + n_y - 2).alias("df"),
-    )
-    n = col("x_wn") + col("y_wn")
+    plain = [side(c) for c in ("x_mean", "y_mean", "x_var", "y_var", "x_n", "y_n")]
+
+    def weighted(mean_one: bool) -> list[Column]:
+        return [side("x_wmean"), side("y_wmean"), *[
+            f(s, mean_one) for f in (_weighted_variance, _weighted_size) for s in ("x", "y")]]
+
+    n = side("x_wn") + side("y_wn")
     scores = sum(
         (divide(F.col(f"{s}_wscore"), F.pow(F.col(f"{s}_wsum"), 2)) for s in ("x", "y")),
         F.lit(0.0),
@@ -349,8 +351,16 @@ def compare_mean_tests(
         (F.col("x_wmean") - F.col("y_wmean")).alias("diff_in_means"),
         F.sqrt(divide(n, n - 1) * scores).alias("std_error"), (n - 2).alias("df"),
     )
-    methods = moments.select(F.inline(F.array(
-        row("welch", *plain, "welch"), row("pooled", *plain, "pooled"), regression,
-        row("weighted", *weighted, "welch"), survey,
+    return moments.select(F.inline(F.array(
+        row("welch", *plain, "welch"), row("pooled", *plain, "pooled"),
+        row("weighted", *weighted(True), "welch"),
+        row("weighted_sum_n", *weighted(False), "welch"), survey,
     )))
-    return _with_interval(_with_t(methods), level)
+
+
+def _regressed(rows: DataFrame, weight: str | None, level: float, method: str) -> DataFrame:
+    """The slope of ``__value`` on ``__is_x`` as a row of the comparison."""
+    terms = linear_regression(rows, "__value", "__is_x", weight=weight, level=level)
+    return terms.filter(F.col("term") == "__is_x").select(
+        F.lit(method).alias("method"), F.col("estimate").alias("diff_in_means"), "std_error",
+        "df", F.col("statistic").alias("t_stat"), "p_value", "conf_int_lower", "conf_int_upper")

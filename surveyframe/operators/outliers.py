@@ -4,15 +4,21 @@ A value at or beyond ``q25 - 1.5 iqr`` or ``q75 + 1.5 iqr`` is an outlier.  A
 variable with a single distinct value has no fences and no outliers.  When the
 quartiles coincide but the values do not, every value at the quartiles is at
 both fences and counts as an outlier on both sides.
+
+``buffer_rows`` says how many rows of a group one task may hold while it looks for
+the quartiles; larger groups are bracketed first.  It changes the plan, not the
+result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import ColumnNames, divide, names, number, require, require_number
+from ..functions.columns import (
+    ColumnNames, col, cols, divide, names, number, require, require_number,
+)
 from ..plans.attach import kept, with_only_row, with_stats
-from ..plans.quantiles import approximate_quantiles, quantiles
+from ..plans.quantiles import SMALL_GROUP, approximate_quantiles, quantiles
 
 FIVE_NUMBERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 _QUANTILE_NAMES = ["q0", "q25", "q50", "q75", "q100"]
@@ -22,73 +28,81 @@ HISTOGRAM_BINS = 30
 
 
 def _five_numbers(
-    df: DataFrame, variables: list[str], by: list[str], approximate: bool,
+    df: DataFrame, variables: list[str], by: list[str], approximate: bool, buffer_rows: int,
 ) -> DataFrame:
     require(df, *by)
     require_number(df, *variables)
     clash = set(variables) & set(by)
     if clash:
         raise ValueError(f"{sorted(clash)} cannot be both grouped by and summarised")
-    find = approximate_quantiles if approximate else quantiles
-    return find(df, variables, FIVE_NUMBERS, by)
+    if approximate:
+        return approximate_quantiles(df, variables, FIVE_NUMBERS, by)
+    return quantiles(df, variables, FIVE_NUMBERS, by, small_group=buffer_rows)
+
+
+def _refuse_outputs(by: list[str], outputs: list[str]) -> None:
+    taken = sorted(set(by) & set(outputs))
+    if taken:
+        raise ValueError(f"rename grouping column(s) {taken}: the result has columns of that name")
 
 
 def five_number_summary(
     df: DataFrame, variables: ColumnNames, by: ColumnNames | None = None, *,
-    approximate: bool = False,
+    approximate: bool = False, buffer_rows: int = SMALL_GROUP,
 ) -> DataFrame:
     """Minimum, quartiles and maximum per variable and group."""
     variables, by = names(variables), names(by)
-    wide = _five_numbers(df, variables, by, approximate)
+    _refuse_outputs(by, ["variable", *_QUANTILE_NAMES])
+    wide = _five_numbers(df, variables, by, approximate, buffer_rows)
     rows = F.array(*[
         F.struct(
             F.lit(name).alias("variable"),
-            *[F.col(f"q{i}")[k].alias(q) for k, q in enumerate(_QUANTILE_NAMES)],
+            *[col(f"__q{i}")[k].alias(q) for k, q in enumerate(_QUANTILE_NAMES)],
         )
         for i, name in enumerate(variables)
     ])
-    return wide.select(*by, F.inline(rows))
+    return wide.select(*cols(by), F.inline(rows))
 
 
 def quantiles_long(
     df: DataFrame, variable: str, by: ColumnNames | None = None, *,
-    approximate: bool = False,
+    approximate: bool = False, buffer_rows: int = SMALL_GROUP,
 ) -> DataFrame:
     """The five quantiles of a variable as rows (name, value) per group."""
     by = names(by)
-    wide = _five_numbers(df, [variable], by, approximate)
+    wide = _five_numbers(df, [variable], by, approximate, buffer_rows)
     rows = F.array(*[
-        F.struct(F.lit(f"{int(100 * p)}%").alias("name"), F.col("q0")[k].alias("value"))
+        F.struct(F.lit(f"{int(100 * p)}%").alias("name"), F.col("__q0")[k].alias("value"))
         for k, p in enumerate(FIVE_NUMBERS)
     ])
-    return wide.select(*by, F.inline(rows))
+    return wide.select(*cols(by), F.inline(rows))
 
 
 def _fences(
-    df: DataFrame, variables: list[str], by: list[str], approximate: bool,
+    df: DataFrame, variables: list[str], by: list[str], approximate: bool, buffer_rows: int,
 ) -> DataFrame:
-    """Per group and variable ``i``: quantiles ``q<i>`` and fences ``low<i>``, ``high<i>``."""
-    wide = _five_numbers(df, variables, by, approximate)
+    """Per group and variable ``i``: quantiles ``__q<i>`` and fences ``__low<i>``, ``__high<i>``."""
+    wide = _five_numbers(df, variables, by, approximate, buffer_rows)
     found = []
     for i in range(len(variables)):
-        q = F.col(f"q{i}")
+        q = col(f"__q{i}")
         iqr = q[3] - q[1]
         spread = q[0] != q[4]
         found += [
-            F.when(spread, q).alias(f"q{i}"),
-            F.when(spread, q[1] - FENCE * iqr).alias(f"low{i}"),
-            F.when(spread, q[3] + FENCE * iqr).alias(f"high{i}"),
+            F.when(spread, q).alias(f"__q{i}"),
+            F.when(spread, q[1] - FENCE * iqr).alias(f"__low{i}"),
+            F.when(spread, q[3] + FENCE * iqr).alias(f"__high{i}"),
         ]
-    return kept(wide.select(*by, *found))
+    return kept(wide.select(*cols(by), *found))
 
 
 def _at_fence(i: int, name: str) -> tuple[Column, Column]:
     """Conditions: at or below the lower, at or above the upper fence."""
-    return number(name) <= F.col(f"low{i}"), number(name) >= F.col(f"high{i}")
+    return number(name) <= col(f"__low{i}"), number(name) >= col(f"__high{i}")
 
 
 def _fence_columns(variables: list[str]) -> list[str]:
-    return [f"{c}{i}" for i in range(len(variables)) for c in ("q", "low", "high")]
+    return [f"__{c}{i}" for i in range(len(variables)) for c in ("q", "low", "high")]
 
 
 def _with_fences(
@@ -102,47 +116,48 @@ def _with_fences(
 
 def outlier_summary(
     df: DataFrame, variables: ColumnNames, by: ColumnNames | None = None, *,
-    approximate: bool = False,
+    approximate: bool = False, buffer_rows: int = SMALL_GROUP,
 ) -> DataFrame:
     """Quantiles, fences and outlier counts, one row per variable and group.
 
     The percentages are of all rows, those without a value included.
     """
     variables, by = names(variables), names(by)
-    fences = _fences(df, variables, by, approximate)
+    _refuse_outputs(by, ["var", *_QUANTILE_NAMES])
+    fences = _fences(df, variables, by, approximate, buffer_rows)
     counts = []
     for i, name in enumerate(variables):
         below, above = _at_fence(i, name)
-        counts += [F.count_if(below).alias(f"below{i}"), F.count_if(above).alias(f"above{i}")]
-    narrow = df.select(*by, *variables)
+        counts += [F.count_if(below).alias(f"__below{i}"), F.count_if(above).alias(f"__above{i}")]
+    narrow = df.select(*cols(by), *cols(variables))
     counted = (
         _with_fences(narrow, fences, variables, by)
-        .groupBy(*by).agg(F.count("*").alias("n"), *counts)
+        .groupBy(*cols(by)).agg(F.count("*").alias("__n"), *counts)
     )
     complete = with_stats(counted, fences, by)
     rows = F.array(*[_summary_row(i, name) for i, name in enumerate(variables)])
-    listed = complete.select(*by, F.inline(rows))
+    listed = complete.select(*cols(by), F.inline(rows))
     measures = [c for c in listed.columns if c not in by and c != "var"]
-    return listed.select("var", *by, *measures)
+    return listed.select("var", *cols(by), *measures)
 
 
 def _summary_row(i: int, name: str) -> Column:
-    n = F.col("n").cast("double")
+    n = F.col("__n").cast("double")
     return F.struct(
         F.lit(name).alias("var"),
-        *[F.col(f"q{i}")[k].alias(q) for k, q in enumerate(_QUANTILE_NAMES)],
-        F.col(f"low{i}").alias("lower_outlier_threshold"),
-        F.col(f"below{i}").alias("lower_outlier_count"),
-        divide(F.col(f"below{i}"), n).alias("lower_outlier_pct"),
-        F.col(f"high{i}").alias("upper_outlier_threshold"),
-        F.col(f"above{i}").alias("upper_outlier_count"),
-        divide(F.col(f"above{i}"), n).alias("upper_outlier_pct"),
+        *[col(f"__q{i}")[k].alias(q) for k, q in enumerate(_QUANTILE_NAMES)],
+        col(f"__low{i}").alias("lower_outlier_threshold"),
+        col(f"__below{i}").alias("lower_outlier_count"),
+        divide(col(f"__below{i}"), n).alias("lower_outlier_pct"),
+        col(f"__high{i}").alias("upper_outlier_threshold"),
+        col(f"__above{i}").alias("upper_outlier_count"),
+        divide(col(f"__above{i}"), n).alias("upper_outlier_pct"),
     )
 
 
 def null_outliers(
     df: DataFrame, variables: ColumnNames, which: str, by: ColumnNames | None = None, *,
-    approximate: bool = False,
+    approximate: bool = False, buffer_rows: int = SMALL_GROUP,
 ) -> DataFrame:
     """Every row, with the variables' outliers set to NULL and the rest as doubles.
 
@@ -151,7 +166,7 @@ def null_outliers(
     if which not in SIDES:
         raise ValueError(f"which must be one of {SIDES}, not {which!r}")
     variables, by = names(variables), names(by)
-    fences = _fences(df, variables, by, approximate)
+    fences = _fences(df, variables, by, approximate, buffer_rows)
 
     def cleaned(i: int, name: str) -> Column:
         below, above = _at_fence(i, name)
@@ -160,20 +175,20 @@ def null_outliers(
 
     place = {name: i for i, name in enumerate(variables)}
     return _with_fences(df, fences, variables, by).select([
-        cleaned(place[c], c) if c in place else F.col(c) for c in df.columns
+        cleaned(place[c], c) if c in place else col(c) for c in df.columns
     ])
 
 
 def flag_outliers(
     df: DataFrame, variables: ColumnNames, by: ColumnNames | None = None, *,
-    approximate: bool = False,
+    approximate: bool = False, buffer_rows: int = SMALL_GROUP,
 ) -> DataFrame:
     """Every row, with 0/1 columns ``<variable>_lower_outlier_flag`` and ``_upper_``.
 
     A missing value is not an outlier.
     """
     variables, by = names(variables), names(by)
-    fences = _fences(df, variables, by, approximate)
+    fences = _fences(df, variables, by, approximate, buffer_rows)
     flags = []
     for i, name in enumerate(variables):
         below, above = _at_fence(i, name)
@@ -181,12 +196,12 @@ def flag_outliers(
             F.when(below, 1).otherwise(0).alias(f"{name}_lower_outlier_flag"),
             F.when(above, 1).otherwise(0).alias(f"{name}_upper_outlier_flag"),
         ]
-    return _with_fences(df, fences, variables, by).select(*df.columns, *flags)
+    return _with_fences(df, fences, variables, by).select(*cols(df.columns), *flags)
 
 
 def outlier_histogram(
     df: DataFrame, variable: str, which: str = "both", *,
-    bins: int = HISTOGRAM_BINS, approximate: bool = False,
+    bins: int = HISTOGRAM_BINS, approximate: bool = False, buffer_rows: int = SMALL_GROUP,
 ) -> DataFrame:
     """Histogram of a variable before and after its outliers are removed.
 
@@ -198,7 +213,8 @@ def outlier_histogram(
         F.struct(F.lit("after").alias("version"), F.col("after").alias("value")),
     )
     plain = df.select(number(variable).alias("before"), number(variable).alias("after"))
-    cleaned = null_outliers(plain, "after", which, approximate=approximate)
+    cleaned = null_outliers(
+        plain, "after", which, approximate=approximate, buffer_rows=buffer_rows)
     values = cleaned.select(F.inline(both)).filter(F.col("value").isNotNull())
 
     ranges = cleaned.agg(*[
@@ -207,8 +223,8 @@ def outlier_histogram(
     ])
 
     def of_version(label: str) -> Column:
-        return F.when(F.col("version") == "before", F.col(f"before_{label}")).otherwise(
-            F.col(f"after_{label}"))
+        return F.when(F.col("version") == "before", col(f"before_{label}")).otherwise(
+            col(f"after_{label}"))
 
     low, width = of_version("low"), (of_version("high") - of_version("low")) / bins
     slot = F.least(F.floor(divide(F.col("value") - low, width)), F.lit(bins - 1))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
-    ColumnNames, checked_binary, divide, is_not_binary, names, number, require,
+    ColumnNames, checked_binary, col, cols, divide, is_not_binary, names, number, quoted, require,
     require_number, weight_or_one,
 )
 from ..functions.distributions import (
@@ -21,6 +21,8 @@ from ..functions.intervals import (
 )
 from ..functions.reliability import publication_flags
 from ..plans.proportion_sums import checked, proportion_sums
+from ..plans.two_samples import two_sample_moments
+from .means import differences_by_method
 
 
 # --- one proportion per group ------------------------------------------------
@@ -32,11 +34,11 @@ def grouped_proportions(
     by = names(by)
     require(df, *by)
     require_number(df, outcome, weight)
-    sums = df.groupBy(*by).agg(*proportion_sums(outcome, weight))
+    sums = df.groupBy(*cols(by)).agg(*proportion_sums(outcome, weight))
     return (
         sums.withColumn("n_weighted", checked(outcome))
         .select(
-            *by, "n_weighted", "n_unweighted", "x_weighted", "x_unweighted",
+            *cols(by), "n_weighted", "n_unweighted", "x_weighted", "x_unweighted",
             divide(F.col("x_weighted"), F.col("n_weighted")).alias("p_weighted"),
             divide(F.col("x_unweighted").cast("double"), F.col("n_unweighted"))
             .alias("p_unweighted"),
@@ -91,7 +93,7 @@ def margin_of_error(
     require(df, *by)
     require_number(df, outcome)
     y = number(outcome)
-    counted = df.groupBy(*by).agg(
+    counted = df.groupBy(*cols(by)).agg(
         F.count(y).alias("n"), F.count_if(y == 1).alias("successes"),
         F.count_if(is_not_binary(y)).alias("bad_rows"),
     )
@@ -103,7 +105,7 @@ def margin_of_error(
         .withColumn("std_error", F.sqrt(divide(p * (1 - p), n)))
         .withColumn("margin_of_error", wald_margin("n", "proportion", level, z))
         .select(
-            *by, "n", "successes", "proportion", "std_error", "margin_of_error",
+            *cols(by), "n", "successes", "proportion", "std_error", "margin_of_error",
             (p - F.col("margin_of_error")).alias("conf_int_lower"),
             (p + F.col("margin_of_error")).alias("conf_int_upper"),
         )
@@ -118,7 +120,7 @@ def required_sample_size(
     by = names(by)
     found = margin_of_error(df, outcome, by)
     return found.select(
-        *by, "n", "proportion",
+        *cols(by), "n", "proportion",
         sample_size("proportion", margin, z).alias("required_sample_size"),
     )
 
@@ -133,8 +135,8 @@ def _two_groups(
     require_number(df, outcome, weight)
     value = number(outcome)
     rows = (
-        df.filter(F.col(group).isin(x, y))
-        .select(*by, (F.col(group) == F.lit(x)).alias("is_x"), value.alias("hit"),
+        df.filter(col(group).isin(x, y))
+        .select(*cols(by), (col(group) == F.lit(x)).alias("is_x"), value.alias("hit"),
                 weight_or_one(weight).alias("w"))
         .filter(F.col("hit").isNotNull())
     )
@@ -145,10 +147,10 @@ def _two_groups(
             F.sum(F.when(here, F.col("w"))).alias(f"weight_{side}"),
             F.sum(F.when(here & (F.col("hit") == 1), F.col("w"))).alias(f"hits_{side}"),
         ]
-    counted = rows.groupBy(*by).agg(
+    counted = rows.groupBy(*cols(by)).agg(
         *sums, F.count_if(is_not_binary(F.col("hit"))).alias("bad_rows"))
     proportions = {
-        f"p_{s}": divide(F.coalesce(F.col(f"hits_{s}"), F.lit(0.0)), F.col(f"weight_{s}"))
+        f"p_{s}": divide(F.coalesce(col(f"hits_{s}"), F.lit(0.0)), col(f"weight_{s}"))
         for s in ("x", "y")
     }
     return counted.withColumn(
@@ -199,35 +201,45 @@ def prop_test(
     With a weight, the sums of the weights stand for the counts.
     """
     counted = _two_groups(df, outcome, group, x, y, weight, [])
-    z = normal_quantile((1 + level) / 2)
-    n_x, n_y = F.col("weight_x"), F.col("weight_y")
-    p_x, p_y = F.col("p_x"), F.col("p_y")
-    delta, inverse = F.col("p_diff"), F.col("inverse_n")
+    tested = _equality_tested(counted, "weight_x", "weight_y", "p_x", "p_y", yates, level)
+    return tested.select(
+        F.col("weight_x").alias("n_x"), F.col("weight_y").alias("n_y"), "p_x", "p_y",
+        *_EQUALITY_COLUMNS)
+
+
+_EQUALITY_COLUMNS = ["p_diff", "statistic", "p_value", "conf_int_lower", "conf_int_upper"]
+
+
+def _equality_parts(
+    n_x: Column, n_y: Column, p_x: Column, p_y: Column, yates: bool, z: float,
+) -> tuple[Column, Column]:
+    """The chi-squared statistic of two proportions and the reach of their difference's interval."""
+    delta = p_x - p_y
+    inverse = divide(F.lit(1.0), n_x) + divide(F.lit(1.0), n_y)
     pooled = divide(p_x * n_x + p_y * n_y, n_x + n_y)
     correction = F.least(F.lit(0.5), divide(F.abs(delta), inverse)) if yates else F.lit(0.0)
+    shift = correction * inverse
     separate = divide(p_x * (1 - p_x), n_x) + divide(p_y * (1 - p_y), n_y)
+    statistic = divide(F.pow(F.abs(delta) - shift, 2), pooled * (1 - pooled) * inverse)
+    return statistic, z * F.sqrt(separate) + shift
+
+
+def _equality_tested(
+    df: DataFrame, n_x: str, n_y: str, p_x: str, p_y: str, yates: bool, level: float,
+) -> DataFrame:
+    """Add the columns of the chi-squared test of two proportions."""
+    sides = [col(c).cast("double") for c in (n_x, n_y, p_x, p_y)]
+    statistic, reach = _equality_parts(*sides, yates, normal_quantile((1 + level) / 2))
+    delta = F.col("p_diff")
     return (
-        counted
-        .withColumns({
-            "p_diff": p_x - p_y,
-            "inverse_n": divide(F.lit(1.0), n_x) + divide(F.lit(1.0), n_y),
-            "pooled": pooled,
-        })
-        .withColumn("shift", correction * inverse)
+        df.withColumns({"p_diff": sides[2] - sides[3], "statistic": statistic, "__reach": reach})
         .withColumns({
-            "statistic": divide(
-                F.pow(F.abs(delta) - F.col("shift"), 2),
-                F.col("pooled") * (1 - F.col("pooled")) * inverse),
-            "reach": z * F.sqrt(separate) + F.col("shift"),
-        })
-        .select(
-            n_x.alias("n_x"), n_y.alias("n_y"), "p_x", "p_y", "p_diff", "statistic",
-            chi_squared_p_value(F.col("statistic")).alias("p_value"),
-            F.when(delta.isNotNull(), F.greatest(delta - F.col("reach"), F.lit(-1.0)))
-            .alias("conf_int_lower"),
-            F.when(delta.isNotNull(), F.least(delta + F.col("reach"), F.lit(1.0)))
-            .alias("conf_int_upper"),
-        )
+            "p_value": chi_squared_p_value(F.col("statistic")),
+            "conf_int_lower": F.when(
+                delta.isNotNull(), F.greatest(delta - F.col("__reach"), F.lit(-1.0))),
+            "conf_int_upper": F.when(
+                delta.isNotNull(), F.least(delta + F.col("__reach"), F.lit(1.0))),
+        }).drop("__reach")
     )
 
 
@@ -237,23 +249,33 @@ def prop_test_one_sample(
 ) -> DataFrame:
     """Test of a proportion against one half, with its score interval, per group."""
     by = names(by)
-    counted = margin_of_error(df, outcome, by).select(*by, "n", "successes", "proportion")
+    counted = margin_of_error(df, outcome, by).select(*cols(by), "n", "successes", "proportion")
+    return _half_tested(counted, "successes", "n", level, yates)
+
+
+_HALF_COLUMNS = ["statistic", "p_value", "conf_int_lower", "conf_int_upper"]
+
+
+def _half_tested(
+    df: DataFrame, successes: str, n: str, level: float, yates: bool,
+) -> DataFrame:
+    """Add the test of a proportion against one half and its score interval."""
     z = normal_quantile((1 + level) / 2)
-    n, p = F.col("n").cast("double"), F.col("proportion")
-    off_centre = F.abs(F.col("successes") - n / 2)
+    size, hits = col(n).cast("double"), col(successes).cast("double")
+    p = divide(hits, size)
+    off_centre = F.abs(hits - size / 2)
     correction = F.least(F.lit(0.5), off_centre) if yates else F.lit(0.0)
-    shifted = counted.withColumns({
-        "statistic": divide(F.pow(off_centre - correction, 2), n / 4),
-        "low_p": p - divide(correction, n), "high_p": p + divide(correction, n),
+    shifted = df.withColumns({
+        "statistic": divide(F.pow(off_centre - correction, 2), size / 4), "__size": size,
+        "__low_p": p - divide(correction, size), "__high_p": p + divide(correction, size),
     })
-    lower, _ = wilson("n", "low_p", z)
-    _, upper = wilson("n", "high_p", z)
-    return shifted.select(
-        *by, "n", "successes", "proportion", "statistic",
-        chi_squared_p_value(F.col("statistic")).alias("p_value"),
-        F.when(F.col("low_p") <= 0, 0.0).otherwise(lower).alias("conf_int_lower"),
-        F.when(F.col("high_p") >= 1, 1.0).otherwise(upper).alias("conf_int_upper"),
-    )
+    lower, _ = wilson("__size", "__low_p", z)
+    _, upper = wilson("__size", "__high_p", z)
+    return shifted.withColumns({
+        "p_value": chi_squared_p_value(F.col("statistic")),
+        "conf_int_lower": F.when(F.col("__low_p") <= 0, 0.0).otherwise(lower),
+        "conf_int_upper": F.when(F.col("__high_p") >= 1, 1.0).otherwise(upper),
+    }).drop("__size", "__low_p", "__high_p")
 
 
 def newcombe_differences(
@@ -268,6 +290,162 @@ def newcombe_differences(
         counted = counted.withColumns({f"lower_{side}": lower, f"upper_{side}": upper})
     lower, upper = newcombe("p_x", "lower_x", "upper_x", "p_y", "lower_y", "upper_y")
     return counted.select(
-        *by, "n_x", "n_y", "p_x", "p_y", (F.col("p_x") - F.col("p_y")).alias("p_diff"),
+        *cols(by), "n_x", "n_y", "p_x", "p_y", (F.col("p_x") - F.col("p_y")).alias("p_diff"),
         lower.alias("conf_int_lower"), upper.alias("conf_int_upper"),
     )
+
+
+# --- from counts -------------------------------------------------------------
+
+def _checked_counts(df: DataFrame, added: list[str], *columns: str) -> None:
+    require_number(df, *columns)
+    taken = [c for c in added if c in df.columns]
+    if taken:
+        raise ValueError(f"the table already has column(s) {taken}")
+
+
+def _score_interval(df: DataFrame, n: str, p: str, z: float, lower: str, upper: str) -> DataFrame:
+    sized = df.withColumns({"__n": col(n).cast("double"), "__p": col(p).cast("double")})
+    low, high = wilson("__n", "__p", z)
+    # Without rows there is no interval.
+    return sized.withColumns({
+        lower: F.when(F.col("__n") > 0, low), upper: F.when(F.col("__n") > 0, high),
+    }).drop("__n", "__p")
+
+
+def wilson_from_counts(df: DataFrame, n: str, p: str, *, z: float = Z_95) -> DataFrame:
+    """Wilson score interval on every row of a table of counts ``n`` and proportions ``p``."""
+    _checked_counts(df, ["conf_int_lower", "conf_int_upper"], n, p)
+    return _score_interval(df, n, p, z, "conf_int_lower", "conf_int_upper")
+
+
+def newcombe_from_counts(
+    df: DataFrame, n_x: str, p_x: str, n_y: str, p_y: str, *, z: float = Z_95,
+) -> DataFrame:
+    """Difference ``p_x - p_y`` with Newcombe's interval on every row of a table of counts and
+    proportions."""
+    _checked_counts(df, ["p_diff", "conf_int_lower", "conf_int_upper"], n_x, p_x, n_y, p_y)
+    sided = df
+    for side, n, p in (("x", n_x, p_x), ("y", n_y, p_y)):
+        sided = _score_interval(sided, n, p, z, f"__lower_{side}", f"__upper_{side}")
+        sided = sided.withColumn(f"__p_{side}", col(p).cast("double"))
+    lower, upper = newcombe(
+        "__p_x", "__lower_x", "__upper_x", "__p_y", "__lower_y", "__upper_y")
+    return sided.withColumns({
+        "p_diff": F.col("__p_x") - F.col("__p_y"), "conf_int_lower": lower,
+        "conf_int_upper": upper,
+    }).drop(*[f"__{c}_{s}" for c in ("p", "lower", "upper") for s in ("x", "y")])
+
+
+def prop_test_from_counts(
+    df: DataFrame, successes: ColumnNames, n: ColumnNames, *,
+    yates: bool = True, level: float = 0.95,
+) -> DataFrame:
+    """Chi-squared test of proportions on every row of a table of successes and counts.
+
+    One column of each tests the proportion against one half, two test that the
+    proportions are equal.
+    """
+    successes, n = names(successes), names(n)
+    if len(successes) != len(n) or len(n) not in (1, 2):
+        raise ValueError("name one or two columns of successes, and as many of counts")
+    if len(n) == 1:
+        _checked_counts(df, ["proportion", *_HALF_COLUMNS], *successes, *n)
+        found = df.withColumn("proportion", divide(
+            col(successes[0]).cast("double"), col(n[0]).cast("double")))
+        return _half_tested(found, successes[0], n[0], level, yates)
+    _checked_counts(df, ["p_x", "p_y", *_EQUALITY_COLUMNS], *successes, *n)
+    found = df.withColumns({
+        f"p_{side}": divide(col(hits).cast("double"), col(size).cast("double"))
+        for side, hits, size in zip(("x", "y"), successes, n)})
+    return _equality_tested(found, *n, "p_x", "p_y", yates, level)
+
+
+def margin_of_error_from_counts(
+    df: DataFrame, n: str, p: str, *, level: float = 0.95, z: float | None = None,
+) -> DataFrame:
+    """Wald standard error, margin and interval on every row of a table of counts and
+    proportions."""
+    added = ["std_error", "margin_of_error", "conf_int_lower", "conf_int_upper"]
+    _checked_counts(df, added, n, p)
+    size, share = col(n).cast("double"), col(p).cast("double")
+    margin = F.col("margin_of_error")
+    return df.withColumns({
+        "std_error": F.sqrt(divide(share * (1 - share), size)),
+        "margin_of_error": wald_margin(quoted(n), quoted(p), level, z),
+    }).withColumns({"conf_int_lower": share - margin, "conf_int_upper": share + margin})
+
+
+# --- the methods side by side ------------------------------------------------
+
+def compare_proportion_tests(
+    df: DataFrame, outcome: str, group: str, x, y, weight: str, *, level: float = 0.95,
+) -> DataFrame:
+    """Tests of means on a 0/1 outcome beside the tests of proportions, one row per ``method``.
+
+    All report the proportion of x minus that of y.  ``statistic`` is t, or
+    chi-squared with one degree of freedom for the ``prop_test`` rows.  All share
+    the two passes of the weighted moments.
+    """
+    require(df, group)
+    require_number(df, outcome, weight)
+    value = number(outcome)
+    wrong = F.raise_error(F.lit(f"{outcome} must hold only 0, 1 or NULL")).cast("double")
+    rows = df.select(
+        col(group).alias("__group"), number(weight).alias("__weight"),
+        F.when(is_not_binary(value), wrong).otherwise(value).alias("__value"))
+    moments = two_sample_moments(rows, ["__value"], "__group", x, y, "__weight")
+    z = normal_quantile((1 + level) / 2)
+
+    def side(name: str) -> Column:
+        return F.col(name).cast("double")
+
+    n_x, n_y = side("x_n"), side("y_n")
+    sizes = {"plain": (n_x, n_y, side("x_mean"), side("y_mean")),
+             "weighted": (side("x_wsum"), side("y_wsum"), side("x_wmean"), side("y_wmean"))}
+
+    def chi(method: str, kind: str, yates: bool) -> Column:
+        statistic, reach = _equality_parts(*sizes[kind], yates, z)
+        return _method_row(method, sizes[kind][2] - sizes[kind][3], None, F.lit(1.0),
+                           statistic, reach)
+
+    def pooled(method: str, kind: str) -> Column:
+        w_x, w_y, p_x, p_y = sizes[kind]
+        p = divide(p_x * w_x + p_y * w_y, w_x + w_y)
+        spread = p * (1 - p) * (divide(F.lit(1.0), n_x) + divide(F.lit(1.0), n_y))
+        return _method_row(method, p_x - p_y, F.sqrt(spread), n_x + n_y - 2, None, None)
+
+    means = differences_by_method(moments).select(
+        F.col("method"), F.col("diff_in_means").alias("p_diff"), "std_error", "df",
+        *[F.lit(None).cast("double").alias(c) for c in ("chi", "reach")])
+    shares = moments.select(F.inline(F.array(
+        pooled("two_proportion", "plain"), pooled("two_proportion_weighted", "weighted"),
+        chi("prop_test", "plain", False), chi("prop_test_yates", "plain", True),
+        chi("prop_test_weighted", "weighted", False),
+    )))
+    t = divide(F.col("p_diff"), F.col("std_error"))
+    of_t = t_quantile((1 + level) / 2, F.col("df")) * F.col("std_error")
+    is_chi = F.col("chi").isNotNull()
+    low, high = (F.col("p_diff") - F.col("reach"), F.col("p_diff") + F.col("reach"))
+    return (
+        means.unionByName(shares)
+        .withColumn("statistic", F.coalesce("chi", t))
+        .withColumns({
+            "p_value": F.when(is_chi, chi_squared_p_value(F.col("statistic"))).otherwise(
+                t_p_value(F.col("statistic"), F.col("df"))),
+            "reach": F.coalesce(F.col("reach"), of_t),
+        })
+        .select(
+            "method", "p_diff", "std_error", "df", "statistic", "p_value",
+            F.when(is_chi, F.greatest(low, F.lit(-1.0))).otherwise(low).alias("conf_int_lower"),
+            F.when(is_chi, F.least(high, F.lit(1.0))).otherwise(high).alias("conf_int_upper"))
+    )
+
+
+def _method_row(method: str, difference, std_error, df, chi, reach) -> Column:
+    nothing = F.lit(None).cast("double")
+    return F.struct(
+        F.lit(method).alias("method"), difference.alias("p_diff"),
+        (nothing if std_error is None else std_error).alias("std_error"), df.alias("df"),
+        (nothing if chi is None else chi).alias("chi"),
+        (nothing if reach is None else reach).alias("reach"))

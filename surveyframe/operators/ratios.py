@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
-    ColumnNames, divide, names, not_in, number, ratio, require, require_number,
+    ColumnNames, col, cols, divide, names, not_in, number, ratio, require, require_number,
 )
+from ..plans.attach import join_groups, kept
+
+# Rows that one row is multiplied into at a time.
+LISTED_AT_ONCE = 65_536
 
 
 def mean_of_ratios(
@@ -19,7 +23,7 @@ def mean_of_ratios(
     require(df, *by)
     require_number(df, top, bottom)
     t, b = number(top), number(bottom)
-    return df.groupBy(*by).agg(
+    return df.groupBy(*cols(by)).agg(
         F.count("*").alias("n"), F.avg(t).alias("mean_top"), F.avg(b).alias("mean_bottom"),
         F.avg(ratio(top, bottom)).alias("mean_of_ratios"),
         divide(F.avg(t), F.avg(b)).alias("ratio_of_means"),
@@ -46,8 +50,8 @@ def person_category_counts(
     require(df, person, date, category)
     # Once per person, date and category first: all that follows is small.
     events = df.select(
-        F.col(person).alias("person"), F.col(date).alias("date"),
-        F.col(category).alias("category")).distinct()
+        col(person).alias("person"), col(date).alias("date"),
+        col(category).alias("category")).distinct()
     if relabelled is not None:
         events = member_flag(
             events, "person", relabelled, relabelled_key or person, "listed",
@@ -62,7 +66,7 @@ def person_category_counts(
 
     wanted = attributes if attributes_filter is None else attributes.filter(attributes_filter)
     sets = (
-        wanted.select(F.col(attributes_key or person).alias("__owner"), *attribute_columns)
+        wanted.select(col(attributes_key or person).alias("__owner"), *cols(attribute_columns))
         .distinct().groupBy("__owner").agg(F.count("*").alias("held"))
     )
     held = F.coalesce(F.col("held"), F.lit(1).cast("bigint"))
@@ -71,10 +75,18 @@ def person_category_counts(
 
 
 def listed_counts(counts: DataFrame, first_rows: int | None = None) -> DataFrame:
-    """The counts with one row per set of attributes; optionally only the first in key order."""
-    rows = counts.select(
-        "person", "category", "dates",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("sets"))).alias("set")).drop("set")
+    """The counts with one row per set of attributes; optionally only the first in key order.
+
+    Rows are multiplied in steps, so that no row holds a long list.
+    """
+    rows = counts.select("person", "category", "dates", F.col("sets").alias("__left"))
+    for size in (LISTED_AT_ONCE**2, LISTED_AT_ONCE, 1):
+        whole = F.floor((F.col("__left") - 1) / F.lit(size))
+        part = F.explode(F.sequence(F.lit(0).cast("bigint"), whole)).alias("__part")
+        rows = rows.select("person", "category", "dates", "__left", part).select(
+            "person", "category", "dates",
+            F.least(F.col("__left") - F.col("__part") * size, F.lit(size)).alias("__left"))
+    rows = rows.drop("__left")
     if first_rows is None:
         return rows
     return rows.orderBy("person", "category", "dates").limit(first_rows)
@@ -84,13 +96,13 @@ def category_shares(counts: DataFrame) -> DataFrame:
     """Per category: persons, and means of their counts, totals, shares and categories.
 
     ``counts`` comes from :func:`person_category_counts`.  Every set of attributes
-    weighs as a row of its own, which ``sets`` stands for.
+    weighs as a row of its own, which ``sets`` stands for.  Persons' totals are
+    aggregated and joined back, so a person with many categories is not gathered.
     """
-    of_person, sets = Window.partitionBy("person"), F.col("sets")
-    placed = counts.withColumns({
-        "total": F.sum(F.col("dates") * sets).over(of_person),
-        "categories": F.sum("sets").over(of_person),
-    })
+    counts, sets = kept(counts), F.col("sets")
+    totals = kept(counts.groupBy("person").agg(
+        F.sum(F.col("dates") * sets).alias("total"), F.sum("sets").alias("categories")))
+    placed = join_groups(counts, totals, ["person"])
     share = divide(F.col("dates").cast("double"), F.col("total").cast("double"))
 
     def mean(value: Column) -> Column:
@@ -109,7 +121,7 @@ def member_flag(
     """Every row with a boolean: does its value occur in the other table's column?"""
     require(df, column)
     require(other, other_column)
-    keys = other.select(F.col(other_column).alias("__member")).distinct().withColumn(
+    keys = other.select(col(other_column).alias("__member")).distinct().withColumn(
         flag, F.lit(True))
-    joined = df.join(keys, F.col(column).eqNullSafe(F.col("__member")), "left")
-    return joined.select(*df.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+    joined = df.join(keys, col(column).eqNullSafe(F.col("__member")), "left")
+    return joined.select(*cols(df.columns), F.coalesce(col(flag), F.lit(False)).alias(flag))

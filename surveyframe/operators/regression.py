@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import divide, number, require_number
+from ..functions.columns import col, divide, number, require_number
 from ..functions.distributions import t_p_value, t_quantile
 from ..plans.attach import with_only_row
 
@@ -72,7 +72,7 @@ def linear_regression(
 
     def term(name: str, estimate: str, variance: Column) -> Column:
         return F.struct(
-            F.lit(name).alias("term"), F.col(estimate).alias("estimate"),
+            F.lit(name).alias("term"), col(estimate).alias("estimate"),
             F.sqrt(variance).alias("std_error"), F.col("df").alias("df"))
 
     return (
@@ -92,15 +92,16 @@ def predictions(
     predicted: str = "predicted", residual: str = "residual",
 ) -> DataFrame:
     """Every row with the fitted value and the residual."""
-    taken = [c for c in (predicted, residual, "slope", "intercept") if c in df.columns]
+    taken = [c for c in (predicted, residual) if c in df.columns]
     if taken:
         raise ValueError(f"the table already has column(s) {taken}")
-    line = _line(_sums(df, y, x, weight)).select("slope", "intercept")
-    fitted = F.col("intercept") + F.col("slope") * number(x)
+    line = _line(_sums(df, y, x, weight)).select(
+        F.col("slope").alias("__slope"), F.col("intercept").alias("__intercept"))
+    fitted = F.col("__intercept") + F.col("__slope") * number(x)
     return (
         with_only_row(df, line).withColumn(predicted, fitted)
-        .withColumn(residual, number(y) - F.col(predicted))
-        .drop("slope", "intercept")
+        .withColumn(residual, number(y) - col(predicted))
+        .drop("__slope", "__intercept")
     )
 
 

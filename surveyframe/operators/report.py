@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import percent, require, require_number
+from ..functions.columns import col, percent, require, require_number
 from ..functions.intervals import Z_95, newcombe
 from .domains import Measure, Rules, STATISTICS, domain_statistics
 
@@ -33,7 +33,7 @@ def treatment_control_report(
     ``treatment`` and ``control`` are 0/1 columns naming the arms.  ``first`` and
     ``second`` name the outcomes in the output columns.  Domains found only in
     the control arm do not appear; where the control arm lacks a domain its side
-    is NULL.
+    is NULL.  ``is_overall`` marks the row of the whole table.
     """
     require(df, domain)
     require_number(df, treatment, control, first_outcome, second_outcome, control_outcome, weight)
@@ -44,30 +44,30 @@ def treatment_control_report(
             sides, (first_outcome, second_outcome, control_outcome),
             (treatment, treatment, control))
     ]
-    arms = df.filter((F.col(treatment) == 1) | (F.col(control) == 1))
+    arms = df.filter((col(treatment) == 1) | (col(control) == 1))
     table = domain_statistics(arms, domain, measures, weight, _RULES)
-    table = table.filter(F.col(f"{sides[0]}_n_unweighted").isNotNull())
+    table = table.filter(col(f"{sides[0]}_n_unweighted").isNotNull())
 
     gap = f"diff_btw_treatment_and_control_{second}"
     table = _with_gap(table, gap, sides[1], sides[2])
     table = _with_labels(table, sides, gap)
 
-    key = F.col("domain_var_value").alias(f"{sides[0]}_domain_var_value")
+    key = [F.col("domain_var_value").alias(f"{sides[0]}_domain_var_value"), "is_overall"]
     gap_label = "diff_btw_treatment_and_control_p_weighted_output"
     if not expanded:
         return table.select(
-            key, *[f"{s}_{label}_output" for s in sides for label in ("p_weighted", "conf_int")],
+            *key, *[f"{s}_{label}_output" for s in sides for label in ("p_weighted", "conf_int")],
             gap_label, f"{gap}_conf_int_output",
         )
     described = []
     for side, measure in zip(sides, measures):
-        present = F.col(f"{side}_n_unweighted").isNotNull()
+        present = col(f"{side}_n_unweighted").isNotNull()
 
         def fixed(name: str, text: str) -> Column:
             return F.when(present, F.lit(text)).alias(f"{side}_{name}")
 
         described += [
-            fixed("domain_var", domain), *([key] if side == sides[0] else []),
+            fixed("domain_var", domain), *(key if side == sides[0] else []),
             fixed("stat_var", measure.outcome), fixed("stat", "proportion"),
             *[f"{side}_{s}" for s in STATISTICS],
         ]
@@ -79,6 +79,7 @@ def treatment_control_report(
     )
 
 
+# Fixed names of the published table.
 _GAP_COLUMNS = [
     "p_weighted", "conf_int_lower", "conf_int_upper",
     "p_weighted_suppressed_flag", "conf_int_suppressed_flag",

@@ -6,15 +6,17 @@ the same draw, whatever the partitioning and however often a task is repeated.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import ColumnNames, names, require
+from ..functions.columns import ColumnNames, col, cols, names, require
 from ..plans.attach import join_groups, kept
 
 
 def keyed_digest(key: str, seed: int | str) -> Column:
     """Hash of a key and a seed, as hexadecimal text."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    return F.md5(F.concat(col(key).cast("string"), F.lit(f"|{seed}")))
 
 
 def grid_weight(
@@ -34,38 +36,47 @@ def stratified_split(
     Exactly ``ceil(proportion * rows)`` rows of each stratum are, those with the
     smallest hashes of the unique column ``key``.  No stratum is sorted whole:
     counts per slice of the hash range show in which slice the cut lies, and only
-    that slice is ranked.
+    that slice is ranked.  A missing key stops the job, and so does a key on the cut
+    that another row of the stratum has too.
     """
     strata = names(strata)
     require(df, key, *strata)
     if not 0 < proportion < 1:
         raise ValueError("proportion must lie between 0 and 1")
-    # A stratum of n rows has about sqrt(n) slices of sqrt(n) rows.
-    sizes = kept(df.groupBy(*strata).agg(F.count("*").alias("rows")).select(
-        *strata, F.ceil(F.col("rows") * F.lit(proportion)).alias("wanted"),
-        F.floor(F.log2("rows") / 8).cast("int").alias("digits")))
-    keyed = df.select(*strata, F.col(key).alias("key"), keyed_digest(key, seed).alias("hash"))
-    hashed = join_groups(keyed, sizes, strata).select(
-        *strata, "key", "hash", "wanted", F.left("hash", "digits").alias("slice"))
+    own = [f"__stratum{i}" for i in range(len(strata))]
+    missing = F.raise_error(F.lit(f"{key} must not be NULL")).cast("string")
+    keyed = df.select(
+        *[col(s).alias(o) for s, o in zip(strata, own)], col(key).alias("__key"),
+        F.when(col(key).isNull(), missing).otherwise(keyed_digest(key, seed)).alias("__hash"))
+    # Slices of about sqrt(n) of the largest stratum's n rows.
+    largest = keyed.groupBy(*own).count().agg(F.max("count")).first()[0] or 1
+    digits = int(math.log2(largest) / 8)
+    slice_of = F.left("__hash", F.lit(digits))
 
-    stratum = Window.partitionBy(*strata)
-    upto = stratum.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stratum = Window.partitionBy(*own)
+    upto = stratum.orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.ceil(F.sum("held").over(stratum) * F.lit(proportion))
     cut_slices = kept(
-        hashed.groupBy(*strata, "slice").agg(
-            F.count("*").alias("held"), F.first("wanted").alias("wanted"))
-        .withColumn("upto", F.sum("held").over(upto))
+        keyed.groupBy(*own, slice_of.alias("__slice")).agg(F.count("*").alias("held"))
+        .select(*own, "__slice", "held", F.sum("held").over(upto).alias("upto"),
+                wanted.alias("wanted"))
         .filter((F.col("upto") >= F.col("wanted"))
                 & (F.col("upto") - F.col("held") < F.col("wanted")))
-        .select(*strata, F.col("slice").alias("cut_slice"),
-                (F.col("wanted") - F.col("upto") + F.col("held")).alias("still_wanted"))
+        .select(*own, F.col("__slice").alias("__cut_slice"),
+                (F.col("wanted") - F.col("upto") + F.col("held")).alias("__still_wanted"))
     )
-    in_cut = join_groups(hashed, cut_slices, strata).filter(
-        F.col("slice") == F.col("cut_slice"))
-    rank = F.row_number().over(stratum.orderBy("hash", "key"))
+    in_cut = join_groups(keyed, cut_slices, own).filter(slice_of == F.col("__cut_slice"))
+    order = stratum.orderBy("__hash", "__key")
+    cut = F.struct(F.col("__hash").alias("hash"), F.col("__key").alias("key"))
+    tied = F.raise_error(F.lit(f"{key} must be unique: two rows meet at the cut"))
     cuts = kept(
-        in_cut.withColumn("rank", rank).filter(F.col("rank") == F.col("still_wanted"))
-        .select(*strata, F.struct("hash", "key").alias("__cut"))
+        in_cut.withColumns({"__rank": F.row_number().over(order),
+                            "__next": F.lead("__key").over(order)})
+        .filter(F.col("__rank") == F.col("__still_wanted"))
+        .select(*own, F.when(F.col("__next") == F.col("__key"), tied).otherwise(cut)
+                .alias("__cut"))
+        .withColumnsRenamed(dict(zip(own, strata)))
     )
-    own = F.struct(keyed_digest(key, seed).alias("hash"), F.col(key).alias("key"))
+    mine = F.struct(keyed_digest(key, seed).alias("hash"), col(key).alias("key"))
     return join_groups(df, cuts, strata).select(
-        *df.columns, F.when(own <= F.col("__cut"), 1).otherwise(0).alias(flag))
+        *cols(df.columns), F.when(mine <= F.col("__cut"), 1).otherwise(0).alias(flag))

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import (
-    ColumnNames, checked_binary, divide, is_not_binary, names, number, require, require_number,
-    weight_or_one,
+    ColumnNames, checked_binary, col, cols, divide, is_not_binary, names, number, require,
+    require_number, weight_or_one,
 )
 from ..functions.intervals import Z_95
 from ..plans.attach import with_only_row
@@ -37,7 +37,7 @@ def survey_mean(df: DataFrame, value: str, design: SurveyDesign) -> DataFrame:
     """
     design.check(df)
     require_number(df, value)
-    stratum = F.col(design.strata).cast("string") if design.strata else F.lit("all rows")
+    stratum = col(design.strata).cast("string") if design.strata else F.lit("all rows")
     population = number(design.fpc) if design.fpc else F.lit(None).cast("double")
     rows = df.select(
         stratum.alias("stratum"), population.alias("population"),
@@ -78,7 +78,7 @@ def strata_overview(
     design.check(df)
     require(df, design.strata)
     require_number(df, outcome)
-    stratum = F.col(design.strata) if design.strata else F.lit(1)
+    stratum = col(design.strata) if design.strata else F.lit(1)
     hit = F.when(number(outcome) == 1, 1.0).otherwise(0.0) if outcome else F.lit(None)
     return df.agg(
         F.count("*").alias("n"), F.sum(weight_or_one(design.weight)).alias("sum_of_weights"),
@@ -117,7 +117,7 @@ def stratum_variances(
     """Each stratum's rows, successes, population, proportion and variance."""
     parts, strata = _stratum_variances(df, outcome, names(strata), populations, population)
     return parts.select(
-        *strata, "n_h", "x_h", "population_h",
+        *cols(strata), "n_h", "x_h", "population_h",
         divide(F.col("x_h").cast("double"), F.col("n_h")).alias("p_h"), "variance_h")
 
 
@@ -129,13 +129,13 @@ def _stratum_variances(
     require(populations, *strata)
     require_number(populations, population)
     y = number(outcome)
-    sample = df.filter(y.isNotNull()).groupBy(*strata).agg(
+    sample = df.filter(y.isNotNull()).groupBy(*cols(strata)).agg(
         F.count("*").alias("n_h"), F.count_if(y == 1).alias("x_h"),
         F.count_if(is_not_binary(y)).alias("bad_rows"))
     sizes = populations.select(
-        *[F.col(s).alias(f"__of_{s}") for s in strata],
+        *[col(s).alias(f"__of_{s}") for s in strata],
         number(population).alias("population_h"))
-    same = [F.col(s).eqNullSafe(F.col(f"__of_{s}")) for s in strata]
+    same = [col(s).eqNullSafe(col(f"__of_{s}")) for s in strata]
     joined = sample.join(sizes, same, "left").drop(*[f"__of_{s}" for s in strata])
     p = divide(F.col("x_h").cast("double"), F.col("n_h"))
     size, n = F.col("population_h"), F.col("n_h").cast("double")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import (
-    ColumnNames, divide, is_not_binary, names, number, require, require_number,
+    ColumnNames, col, cols, divide, is_not_binary, names, number, quoted, require, require_number,
 )
 from ..plans.attach import join_groups, kept, with_only_row
 
@@ -30,7 +30,7 @@ def group_moments(
             F.sum(value).alias(f"{v}_sum"), F.avg(value).alias(f"{v}_mean"),
             F.stddev_samp(value).alias(f"{v}_sd"),
         ]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *measures)
+    return df.groupBy(*cols(by)).agg(F.count("*").alias("n"), *measures)
 
 
 def weighted_mean(
@@ -42,7 +42,7 @@ def weighted_mean(
     require_number(df, value, weight)
     y = number(value)
     w = F.when(y.isNotNull(), number(weight))
-    return df.groupBy(*by).agg(
+    return df.groupBy(*cols(by)).agg(
         F.count(y).alias("n"), F.sum(w).alias("weight_sum"),
         divide(F.sum(w * y), F.sum(w)).alias("weighted_mean"),
     )
@@ -55,24 +55,24 @@ def pivot_group_means(
     require(df, group)
     require_number(df, value)
     means = [
-        F.avg(F.when(F.col(group) == F.lit(level), number(value))).alias(f"mean_{level}")
+        F.avg(F.when(col(group) == F.lit(level), number(value))).alias(f"mean_{level}")
         for level in levels
     ]
-    wide = df.filter(F.col(group).isin(list(levels))).agg(*means)
+    wide = df.filter(col(group).isin(list(levels))).agg(*means)
     if len(levels) < 2:
         return wide
     return wide.withColumn(
-        "mean_difference", F.col(f"mean_{levels[0]}") - F.col(f"mean_{levels[1]}"))
+        "mean_difference", col(f"mean_{levels[0]}") - col(f"mean_{levels[1]}"))
 
 
 def frequency_table(df: DataFrame, by: ColumnNames) -> DataFrame:
     """Rows per group and their share of all rows."""
     by = names(by)
     require(df, *by)
-    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*cols(by)).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return with_only_row(counts, total).select(
-        *by, "n", divide(F.col("n").cast("double"), F.col("total")).alias("share"))
+        *cols(by), "n", divide(F.col("n").cast("double"), F.col("total")).alias("share"))
 
 
 def crosstab(
@@ -84,10 +84,10 @@ def crosstab(
     """
     require(df, rows, columns)
     if levels is None:
-        wide = df.groupBy(rows).pivot(columns).count()
+        wide = df.groupBy(col(rows)).pivot(quoted(columns)).count()
         return wide.na.fill(0, [c for c in wide.columns if c != rows])
-    return df.groupBy(rows).agg(*[
-        F.count_if(F.col(columns).eqNullSafe(F.lit(level))).alias(str(level))
+    return df.groupBy(col(rows)).agg(*[
+        F.count_if(col(columns).eqNullSafe(F.lit(level))).alias(str(level))
         for level in levels
     ])
 
@@ -99,7 +99,7 @@ def binary_violations(df: DataFrame, columns: ColumnNames) -> DataFrame:
     counted = df.agg(*[
         F.count_if(is_not_binary(number(c))).alias(f"bad{i}") for i, c in enumerate(columns)])
     return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"bad{i}").alias("violations"))
+        F.struct(F.lit(c).alias("column"), col(f"bad{i}").alias("violations"))
         for i, c in enumerate(columns)
     ])))
 
@@ -124,9 +124,9 @@ def group_total(
     stats = [F.sum(number(value)).alias(total)]
     if count:
         stats.append(F.count("*").alias(count))
-    placed = join_groups(df, kept(df.groupBy(*by).agg(*stats)), by)
+    placed = join_groups(df, kept(df.groupBy(*cols(by)).agg(*stats)), by)
     if share:
-        placed = placed.withColumn(share, divide(number(value), F.col(total)))
+        placed = placed.withColumn(share, divide(number(value), col(total)))
     return placed
 
 
@@ -141,7 +141,7 @@ def split_by_mean(
     mean = df.agg(F.avg(value).alias("__mean"))
     above = value >= F.col("__mean") if inclusive else value > F.col("__mean")
     return with_only_row(df, mean).select(
-        *df.columns, F.when(above, 1).when(~above, 0).alias(flag))
+        *cols(df.columns), F.when(above, 1).when(~above, 0).alias(flag))
 
 
 def filter_by_mean(

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import quoted
+from ..functions.columns import col, cols
 from .store import stored
 
 # Size up to which group statistics are broadcast.
@@ -24,13 +24,13 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 def only_row(stats: DataFrame) -> Column:
     """The single row of ``stats`` as a struct column usable on any other frame."""
-    return stats.select(F.struct(*stats.columns).alias("row")).scalar()
+    return stats.select(F.struct(*cols(stats.columns)).alias("row")).scalar()
 
 
 def with_only_row(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """``rows`` with the columns of the one-row frame ``stats`` on each of them."""
     placed = rows.withColumn("__row", only_row(stats))
-    return placed.select(*rows.columns, "__row.*")
+    return placed.select(*cols(rows.columns), "__row.*")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -45,11 +45,11 @@ def stored_bytes(stats: DataFrame) -> int:
     """Rough size of a small table: eight bytes a number, and the length of everything else."""
     size = F.lit(0)
     for field in stats.schema.fields:
-        name = quoted(field.name)
+        held = col(field.name)
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            size = size + 16 + F.coalesce(F.octet_length(name), F.lit(0))
+            size = size + 16 + F.coalesce(F.octet_length(held), F.lit(0))
         elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            size = size + 16 + 2 * F.octet_length(F.to_json(F.struct(F.col(name))))
+            size = size + 16 + 2 * F.octet_length(F.to_json(F.struct(held)))
         else:
             size = size + 16
     return stats.agg(F.sum(size)).first()[0] or 0
@@ -66,7 +66,7 @@ def join_groups(
     renamed = stats.withColumnsRenamed({c: f"__group_{c}" for c in by})
     small = stored_bytes(stats) <= broadcast_bytes
     renamed = F.broadcast(renamed) if small else renamed.hint("shuffle_merge")
-    same = [F.col(c).eqNullSafe(F.col(f"__group_{c}")) for c in by]
+    same = [col(c).eqNullSafe(col(f"__group_{c}")) for c in by]
     return rows.join(renamed, same, "left").drop(*[f"__group_{c}" for c in by])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.columns import checked_binary, is_not_binary, number, weight_or_one
+from ..functions.columns import checked_binary, col, is_not_binary, number, weight_or_one
 
 SUMS = ("n_weighted", "n_unweighted", "x_weighted", "x_unweighted", "bad_rows")
 
@@ -34,4 +34,4 @@ def proportion_sums(
 
 def checked(outcome: str, prefix: str = "", column: str = "n_weighted") -> Column:
     """The named sum, or an error where the outcome was not 0/1."""
-    return checked_binary(outcome, F.col(prefix + column), F.col(prefix + "bad_rows"))
+    return checked_binary(outcome, col(prefix + column), col(prefix + "bad_rows"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import number
+from ..functions.columns import col, number
 from .attach import join_groups, kept
 
 # Rows of a group that one aggregation buffer, or one sorted window, may hold.
@@ -32,29 +32,47 @@ def quantiles(
     df: DataFrame, variables: Sequence[str], probabilities: Sequence[float],
     by: Sequence[str] = (), *, small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """One row per group, with an array column ``q0``, ``q1``, ... per variable.
+    """One row per group, with an array column ``__q0``, ``__q1``, ... per variable.
 
-    Counts the rows of every group first, which reads only the grouping columns.
-    A variable without values has a NULL array.
+    Groups of more than ``small_group`` rows go the way for large ones; the result
+    is the same to the last bit.  Counts the rows of every group first, which reads
+    only the grouping columns.  A variable without values has a NULL array.
     """
     probabilities = [float(p) for p in probabilities]
-    counts = df.groupBy(*by).count()
+    rows, keys = _narrowed(df, variables, by)
+    counts = rows.groupBy(*keys).count()
     if by:
         counts = kept(counts)
-    large = counts.filter(F.col("count") > small_group)
-    groups, largest = large.agg(F.count("*"), F.max("count")).first()
-    if groups == 0:
-        return _of_small_groups(df, variables, probabilities, by)
-    if not by:
-        return _of_large_groups(df, variables, probabilities, by, largest, small_group)
-
-    marked = join_groups(df, kept(large.select(*by, F.lit(True).alias("__large"))), by)
-    rows = marked.filter(F.col("__large"))
-    found = _of_large_groups(rows, variables, probabilities, by, largest, small_group)
-    if groups == counts.count():
-        return found
-    rest = marked.filter(F.col("__large").isNull())
-    return found.unionByName(_of_small_groups(rest, variables, probabilities, by))
+    is_large = F.col("count") > small_group
+    groups, large, largest = counts.agg(
+        F.count("*"), F.count_if(is_large), F.max("count")).first()
+    if large == 0:
+        found = _of_small_groups(rows, len(variables), probabilities, keys)
+    elif large == groups:
+        found = _of_large_groups(rows, len(variables), probabilities, keys, largest, small_group)
+    else:
+        marks = kept(counts.filter(is_large).select(*keys, F.lit(True).alias("__large")))
+        marked = join_groups(rows, marks, keys)
+        found = _of_large_groups(
+            marked.filter(F.col("__large")), len(variables), probabilities, keys, largest,
+            small_group,
+        ).unionByName(_of_small_groups(
+            marked.filter(F.col("__large").isNull()), len(variables), probabilities, keys))
+    return _named(found, by)
+
+
+def _narrowed(
+    df: DataFrame, variables: Sequence[str], by: Sequence[str],
+) -> tuple[DataFrame, list[str]]:
+    """The rows under names of this module's own, and the names of the keys."""
+    keys = [f"__by{i}" for i in range(len(by))]
+    return df.select(
+        *[col(b).alias(k) for b, k in zip(by, keys)],
+        *[number(v).alias(f"__v{i}") for i, v in enumerate(variables)]), keys
+
+
+def _named(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    return found.withColumnsRenamed({f"__by{i}": b for i, b in enumerate(by)})
 
 
 def approximate_quantiles(
@@ -63,28 +81,29 @@ def approximate_quantiles(
 ) -> DataFrame:
     """Like :func:`quantiles`, from Spark's sketch alone: one pass, no interpolation."""
     wanted = [float(p) for p in probabilities]
-    return df.groupBy(*by).agg(*[
-        F.percentile_approx(number(v), wanted, accuracy).alias(f"q{i}")
-        for i, v in enumerate(variables)
-    ])
+    rows, keys = _narrowed(df, variables, by)
+    return _named(rows.groupBy(*keys).agg(*[
+        F.percentile_approx(f"__v{i}", wanted, accuracy).alias(f"__q{i}")
+        for i in range(len(variables))
+    ]), by)
 
 
 def _of_small_groups(
-    df: DataFrame, variables: Sequence[str], probabilities: Sequence[float], by: Sequence[str],
+    rows: DataFrame, variables: int, probabilities: Sequence[float], by: Sequence[str],
 ) -> DataFrame:
     wanted = F.array(*[F.lit(p) for p in probabilities])
-    return df.groupBy(*by).agg(*[
-        F.percentile(number(v), wanted).alias(f"q{i}") for i, v in enumerate(variables)])
+    return rows.groupBy(*by).agg(*[
+        F.percentile(f"__v{i}", wanted).alias(f"__q{i}") for i in range(variables)])
 
 
 def _of_large_groups(
-    df: DataFrame, variables: Sequence[str], probabilities: Sequence[float],
+    df: DataFrame, variables: int, probabilities: Sequence[float],
     by: Sequence[str], largest: int, small_group: int,
 ) -> DataFrame:
     keys = [*by, "variable"]
     values = F.array(*[
-        F.struct(F.lit(i).alias("variable"), number(v).alias("value"))
-        for i, v in enumerate(variables)
+        F.struct(F.lit(i).alias("variable"), F.col(f"__v{i}").alias("value"))
+        for i in range(variables)
     ])
     rows = df.select(*by, F.inline(values))
     # The least and the largest value are found without a bracket.
@@ -97,8 +116,8 @@ def _of_large_groups(
     zoned = _zoned(rows, keys, len(inner), brackets)
     found = _picked(zoned, keys, probabilities)
     return found.groupBy(*by).agg(*[
-        F.max(F.when(F.col("variable") == i, F.col("quantiles"))).alias(f"q{i}")
-        for i in range(len(variables))
+        F.max(F.when(F.col("variable") == i, F.col("quantiles"))).alias(f"__q{i}")
+        for i in range(variables)
     ])
 
 
@@ -133,15 +152,17 @@ def _closer_brackets(
     steps = ", ".join(f"{k / POINTS}D" for k in range(POINTS + 1))
     grid = F.expr(f"array({steps})")
     value = F.col("value")
-    salted = kept(
-        _zoned(rows, keys, len(probabilities), brackets)
-        .withColumn("salt", F.spark_partition_id() % salts)
-        .groupBy(*keys, "zone", "salt").agg(
-            F.count("value").alias("held"), F.min("value").alias("least"),
-            F.max("value").alias("most"),
-            F.percentile_approx(F.when(F.col("inside"), value), grid, ACCURACY).alias("points"),
-        )
-    )
+    zoned = _zoned(rows, keys, len(probabilities), brackets)
+    measures = [F.count("value").alias("held"), F.min("value").alias("least"),
+                F.max("value").alias("most")]
+    # Only rows inside a bracket are sketched; the zones between are counted.
+    salted = zoned.filter("inside").withColumn("salt", F.spark_partition_id() % salts).groupBy(
+        *keys, "zone", "salt").agg(
+        *measures, F.percentile_approx(value, grid, ACCURACY).alias("points"))
+    if brackets is not None:
+        salted = salted.unionByName(zoned.filter("NOT inside").groupBy(*keys, "zone").agg(
+            *measures).withColumn("points", F.lit(None)), allowMissingColumns=True)
+    salted = kept(salted)
     group, zone = Window.partitionBy(*keys), Window.partitionBy(*keys, "zone")
     placed = salted.select(
         *keys, "points", (F.col("held") / POINTS).alias("weight"),
@@ -173,7 +194,7 @@ def _closer_brackets(
 
     def listed(end: str) -> Column:
         return F.array(*[
-            F.max(F.when(F.col("j") == j, F.col(end))) for j in range(len(probabilities))])
+            F.max(F.when(F.col("j") == j, col(end))) for j in range(len(probabilities))])
 
     return bounds.groupBy(*keys).agg(listed("low").alias("low"), listed("high").alias("high"))
 
@@ -210,22 +231,26 @@ def _picked(zoned: DataFrame, keys: Sequence[str], probabilities: Sequence[float
         "place": place, "under": F.floor(place), "over": F.ceil(place)})
 
     def covers(rank: str) -> Column:
-        return F.col(rank).between(F.col("start"), F.col("end"))
+        return col(rank).between(F.col("start"), F.col("end"))
 
     def at(rank: str) -> Column:
         """The value of a 0-based rank if this cell covers it."""
         missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
         first, last = F.col("first"), F.col("last")
-        found = F.when((F.col(rank) == F.col("start")) | (first == last), first)
-        return F.when(covers(rank), found.when(F.col(rank) == F.col("end"), last).otherwise(missed))
+        found = F.when((col(rank) == F.col("start")) | (first == last), first)
+        return F.when(covers(rank), found.when(col(rank) == F.col("end"), last).otherwise(missed))
 
     nothing = F.col("n") == 0
+    # In the order in which Spark's percentile computes it, so that both ways agree exactly.
+    low, high, position = F.col("low"), F.col("high"), F.col("place")
+    between = F.when((F.col("under") == F.col("over")) | (low == high), low).otherwise(
+        (F.col("over") - position) * low + (position - F.col("under")) * high)
     picked = (
         ranked.filter(covers("under") | covers("over") | nothing)
         .groupBy(*keys, "wanted.j").agg(
             F.max(at("under")).alias("low"), F.max(at("over")).alias("high"),
-            F.max(F.col("place") - F.col("under")).alias("part"))
-        .withColumn("quantile", F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
+            *[F.max(c).alias(c) for c in ("place", "under", "over")])
+        .withColumn("quantile", between)
     )
     found = [
         F.max(F.when(F.col("j") == j, F.col("quantile"))) for j in range(len(probabilities))]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import number, require, require_number
+from ..functions.columns import col, number, require, require_number
 from .attach import with_only_row
 
 SIDES = ("x", "y")
@@ -27,8 +27,8 @@ def two_samples(
         raise ValueError("the two samples need different levels")
     values = [number(v).alias(f"v{i}") for i, v in enumerate(variables)]
     weights = [number(weight).alias("w")] if weight else []
-    level = F.when(F.col(group) == F.lit(x), "x").otherwise("y").alias("side")
-    return df.filter(F.col(group).isin(x, y)).select(level, *weights, *values)
+    level = F.when(col(group) == F.lit(x), "x").otherwise("y").alias("side")
+    return df.filter(col(group).isin(x, y)).select(level, *weights, *values)
 
 
 def two_sample_moments(

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions import distributions, intervals
 from surveyframe.functions.columns import percent
-from surveyframe.operators import domains, means, outliers, proportions, ratios, survey
+from surveyframe.operators import (
+    domains, means, outliers, proportions, ratios, report, survey,
+)
 
+# Fixed inputs: the samples of the textbook cases, which the golden values belong to.
 SAMPLE = [1, 1, 1, 1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4]
 WEIGHTS = [0.5] * 5 + [1.0] * 4 + [2.0] * 5
 
@@ -221,3 +224,93 @@ def test_wilson_bounds_stay_in_range(spark):
     ).first()
     assert worst[0] > -1e-12 and worst[1] < 1 + 1e-12
     assert worst[2] > -1e-12 and worst[3] > -1e-12
+
+
+# --- counts as input; fixed values of the textbook cases -----------------------
+
+def test_counts_as_input(spark):
+    counts = spark.createDataFrame(
+        [(91, 149, 117, 236, 30, 100, 0.3, 0.4, 1600)],
+        "x1 int, n1 int, x2 int, n2 int, x int, n int, p double, q double, m int")
+    plain = proportions.prop_test_from_counts(
+        counts, ["x1", "x2"], ["n1", "n2"], yates=False).first()
+    assert (plain.p_x, plain.p_y) == (close(0.6107383), close(0.4957627))
+    assert (plain.statistic, plain.p_value) == (close(4.8610864), close(0.0274690339))
+    assert (plain.conf_int_lower, plain.conf_int_upper) == (close(0.0139890), close(0.2159621))
+    yates = proportions.prop_test_from_counts(counts, ["x1", "x2"], ["n1", "n2"]).first()
+    assert (yates.statistic, yates.p_value) == (close(4.4092032), close(0.0357455342))
+    assert (yates.conf_int_lower, yates.conf_int_upper) == (close(0.0085146), close(0.2214365))
+    one = proportions.prop_test_from_counts(counts, "x", "n").first()
+    assert (one.statistic, one.p_value) == (close(15.21), close(9.61927e-05))
+    assert (one.conf_int_lower, one.conf_int_upper) == (close(0.2145426), close(0.4010604))
+    wilson = proportions.wilson_from_counts(counts, "n", "p").first()
+    assert (wilson.conf_int_lower, wilson.conf_int_upper) == (close(0.2189475), close(0.3958504))
+    margin = proportions.margin_of_error_from_counts(counts, "m", "q", level=0.99).first()
+    assert margin.margin_of_error == close(0.0315473)
+    assert (margin.conf_int_lower, margin.conf_int_upper) == (close(0.3684527), close(0.4315473))
+
+
+def test_counts_without_rows_have_no_statistics(spark):
+    counts = spark.createDataFrame(
+        [(0, 0, 0.0), (None, None, None)], "x int, n int, p double")
+    for row in proportions.prop_test_from_counts(counts, "x", "n").collect():
+        assert (row.statistic, row.p_value) == (None, None)
+    for row in proportions.wilson_from_counts(counts, "n", "p").collect():
+        assert (row.conf_int_lower, row.conf_int_upper) == (None, None)
+    with pytest.raises(ValueError, match="as many"):
+        proportions.prop_test_from_counts(counts, ["x", "x"], "n")
+    with pytest.raises(ValueError, match="already has"):
+        proportions.wilson_from_counts(counts.withColumn("conf_int_lower", counts.p), "n", "p")
+
+
+def test_t_quantiles_have_no_largest_value(spark):
+    """Against closed forms, and the tail's leading term, which is all there is far out."""
+    import math
+
+    degrees = spark.createDataFrame([(x,) for x in (
+        0.05, 0.1, 0.2, 1.0, 2.0, 4.0, 30.0, 9_999.0, 10_000.0, 1e9)], "df double")
+
+    def quantile(p):
+        return {r.df: r.t for r in degrees.select(
+            "df", distributions.t_quantile(p, degrees.df).alias("t")).collect()}
+
+    for p in (0.6, 0.75, 0.95, 0.975, 0.9995, 1 - 1e-6, 1 - 1e-8):
+        found, a = quantile(p), 4 * p * (1 - p)
+        exact = 1e-6 if p > 1 - 1e-5 else 1e-9  # 1 - p has lost its last digits
+        assert found[1.0] == pytest.approx(1 / math.tan(math.pi * (1 - p)), rel=exact)
+        assert found[2.0] == pytest.approx((2 * p - 1) * math.sqrt(2 / a), rel=exact)
+        q = math.cos(math.acos(math.sqrt(a)) / 3) / math.sqrt(a)
+        assert found[4.0] == pytest.approx(2 * math.sqrt(q - 1), rel=exact)
+        assert found[1e9] == pytest.approx(distributions.normal_quantile(p), rel=1e-7)
+        assert found[9_999.0] == pytest.approx(found[10_000.0], rel=1e-4)
+        for few in (0.05, 0.1, 0.2):
+            if p >= 0.975:
+                half = few / 2
+                log_beta = math.lgamma(half) + math.lgamma(0.5) - math.lgamma(half + 0.5)
+                x = (2 * (1 - p) * half * math.exp(log_beta)) ** (1 / half)
+                assert found[few] == pytest.approx(
+                    math.sqrt(few * (1 / x - 1)), rel=1e-5 + x + exact / half)
+    assert quantile(0.975)[0.1] > 1e12
+
+
+def test_pooled_test_is_the_regression_of_independent_sums(spark, lineitem):
+    rows = {r.method: r for r in means.compare_mean_tests(
+        lineitem, "l_extendedprice", "l_returnflag", "R", "A", "weight").collect()}
+    assert set(rows) == {
+        "welch", "pooled", "ols", "wls", "weighted", "weighted_sum_n", "survey"}
+    for column in ("diff_in_means", "std_error", "df", "t_stat", "p_value", "conf_int_lower"):
+        assert rows["ols"][column] == pytest.approx(rows["pooled"][column], rel=1e-8)
+    assert rows["wls"].diff_in_means == pytest.approx(rows["weighted"].diff_in_means, rel=1e-9)
+
+
+def test_a_domain_named_overall(spark):
+    table = spark.createDataFrame(
+        [("overall", 1), ("overall", 0), ("b", 1), ("b", 1), (None, 0)], "d string, y int")
+    rows = domains.domain_vs_overall(table, "d", "y").collect()
+    assert sorted((r.domain_var_value, r.is_overall, r.n_unweighted) for r in rows) == [
+        ("b", False, 2), ("overall", False, 2), ("overall", True, 5)]
+    table = table.withColumn("w", table.y * 0 + 1.0).withColumn("arm", table.y * 0 + 1)
+    shown = report.treatment_control_report(
+        table, "d", treatment="arm", control="arm", first_outcome="y", second_outcome="y",
+        control_outcome="y", weight="w").collect()
+    assert sorted(r.is_overall for r in shown) == [False, False, True]

@@ -86,12 +86,14 @@ def test_summary_test_repeats_the_test_on_rows(lineitem):
 
 def test_methods_side_by_side_agree_with_the_single_tests(lineitem):
     rows = {r.method: r for r in means.compare_mean_tests(lineitem, *PRICE, "weight").collect()}
-    assert set(rows) == {"welch", "pooled", "ols", "weighted", "survey"}
+    assert set(rows) == {
+        "welch", "pooled", "ols", "wls", "weighted", "weighted_sum_n", "survey"}
     single = {
         "welch": means.welch_t_test(lineitem, *PRICE),
         "pooled": means.pooled_t_test(lineitem, *PRICE),
         "ols": means.pooled_t_test(lineitem, *PRICE),
         "weighted": means.weighted_t_test(lineitem, *PRICE, "weight"),
+        "weighted_sum_n": means.weighted_t_test(lineitem, *PRICE, "weight", mean_one=False),
     }
     for name, test in single.items():
         assert values(rows[name], WELCH) == pytest.approx(values(test.first(), WELCH), rel=1e-9)

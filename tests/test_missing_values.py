@@ -141,7 +141,7 @@ def test_expanded_report_of_a_missing_side(spark):
     assert all(row[c] is None for c in names)
     assert row.diff_btw_treatment_and_control_denied_p_weighted_suppressed_flag == 0
     assert row.diff_btw_treatment_and_control_denied_p_weighted_unreliable_flag == 0
-    assert len(row) == 23 + 22 + 22 + 8 + 6 + 4
+    assert len(row) == 24 + 22 + 22 + 8 + 6 + 4
 
 
 def test_outlier_percentages_include_rows_without_value(spark):

@@ -187,17 +187,19 @@ def summary_test(rule: str, z: str = Z95, null: str = "0") -> str:
     return rounded(tested(source, rule, z, null, keep), "m1 s1 m2 s2 " + TEST)
 
 
-def survey_scores(value: str, x: str, y: str) -> str:
-    """n, means and linearised variance of two weighted groups of li."""
+def survey_scores(
+    value: str, x: str, y: str, group: str = "l_returnflag", source: str = "li",
+) -> str:
+    """n, means and linearised variance of two weighted groups."""
     return f"""
     SELECT count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2,
            max(m) FILTER (side = 1) AS m1, max(m) FILTER (side = 2) AS m2,
            count(*) / (count(*) - 1) * sum(pow(w * (y - m) / total, 2)) AS variance
     FROM (SELECT *, sum(w * y) OVER (PARTITION BY side) / sum(w) OVER (PARTITION BY side) AS m,
                  sum(w) OVER (PARTITION BY side) AS total
-          FROM (SELECT CASE WHEN l_returnflag = {x} THEN 1 ELSE 2 END AS side,
+          FROM (SELECT CASE WHEN {group} = {x} THEN 1 ELSE 2 END AS side,
                        {value} AS y, weight AS w
-                FROM li WHERE l_returnflag IN ({x}, {y}) AND {value} IS NOT NULL))"""
+                FROM {source} WHERE {group} IN ({x}, {y}) AND {value} IS NOT NULL))"""
 
 
 def finished(source: str, keep: str) -> str:
@@ -234,11 +236,18 @@ def method_comparison() -> str:
     SELECT m1 - m2 AS diff_in_means, sqrt(variance) AS std_error,
            CAST(n1 + n2 - 2 AS DOUBLE) AS df
     FROM ({survey_scores(value, "'R'", "'A'")})"""
+    counted = weighted_moments(value, "l_returnflag", "'R'", "'A'", "weight", "li", False)
+    pairs = PAIRS.replace("known_price", value)
+    wls_line = f"""
+    SELECT 'wls' AS method, estimate AS diff_in_means, std_error, df, statistic AS t_stat, p_value,
+           conf_int_lower, conf_int_upper
+    FROM ({line_terms(wls_sums(pairs))}) WHERE term = 'returned'"""
     parts = [
         tested(plain, "welch", keep="'welch' AS method"),
         tested(plain, "pooled", keep="'pooled' AS method"),
-        finished(ols, "'ols' AS method"),
+        finished(ols, "'ols' AS method"), wls_line,
         tested(weighted, "welch", keep="'weighted' AS method"),
+        tested(counted, "welch", keep="'weighted_sum_n' AS method"),
         finished(survey, "'survey' AS method"),
     ]
     return rounded(f"WITH {LINEITEM} " + " UNION ALL ".join(parts), TEST)
@@ -329,13 +338,16 @@ def ols() -> str:
     return rounded(f"WITH {LINEITEM} {line_terms(sums)}", LINE)
 
 
-def wls() -> str:
-    sums = f"""
+def wls_sums(pairs: str) -> str:
+    return f"""
     SELECT count(*) AS n, sum(w) AS total, any_value(mx) AS mx, any_value(my) AS my,
            sum(w * pow(x - mx, 2)) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy,
            sum(w * pow(y - my, 2)) AS syy
-    FROM {PAIRS}, (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM {PAIRS})"""
-    return rounded(f"WITH {LINEITEM} {line_terms(sums)}", LINE)
+    FROM {pairs}, (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM {pairs})"""
+
+
+def wls() -> str:
+    return rounded(f"WITH {LINEITEM} {line_terms(wls_sums(PAIRS))}", LINE)
 
 
 DEAR = f"""{ORDERS},
@@ -362,8 +374,8 @@ def two_groups(weight: str = "1e0") -> str:
           FROM d)"""
 
 
-def two_proportions(weight: str = "1e0") -> str:
-    sql = f"""
+def two_proportions_of(weight: str = "1e0") -> str:
+    return f"""
     SELECT n_x, n_y, p_x, p_y, pooled_p, p_diff, std_error, df, t_stat,
            {t_p('t_stat', 'df')} AS p_value,
            p_diff - {t_q(Z95, 'df')} * std_error AS conf_int_lower,
@@ -372,7 +384,10 @@ def two_proportions(weight: str = "1e0") -> str:
           FROM (SELECT *, p_x - p_y AS p_diff, CAST(n_x + n_y - 2 AS DOUBLE) AS df,
                        sqrt(pooled_p * (1 - pooled_p) * (1 / n_x + 1 / n_y)) AS std_error
                 FROM ({two_groups(weight)})))"""
-    return rounded(f"WITH {DEAR} {sql}",
+
+
+def two_proportions(weight: str = "1e0") -> str:
+    return rounded(f"WITH {DEAR} {two_proportions_of(weight)}",
                    "p_x p_y pooled_p p_diff std_error df t_stat p_value"
                    " conf_int_lower conf_int_upper")
 
@@ -408,6 +423,101 @@ def one_sample() -> str:
                    "proportion statistic p_value conf_int_lower conf_int_upper")
 
 
+def chi_parts(source: str, yates: bool) -> str:
+    """Chi-squared test of equality from columns n_x, n_y (sizes), p_x and p_y."""
+    correction = "least(0.5e0, abs(delta) / k)" if yates else "0e0"
+    return f"""
+    SELECT *, delta AS p_diff, {chi_p('statistic')} AS p_value,
+           greatest(-1e0, delta - reach) AS conf_int_lower,
+           least(1e0, delta + reach) AS conf_int_upper
+    FROM (SELECT *, pow(abs(delta) - c * k, 2) / (pooled * (1 - pooled) * k) AS statistic,
+                 {Z95} * sqrt(p_x * (1 - p_x) / n_x + p_y * (1 - p_y) / n_y) + c * k AS reach
+          FROM (SELECT *, {correction} AS c
+                FROM (SELECT *, p_x - p_y AS delta, 1 / n_x + 1 / n_y AS k,
+                             (p_x * n_x + p_y * n_y) / (n_x + n_y) AS pooled FROM ({source}))))"""
+
+
+def proportion_methods() -> str:
+    value, group = "treated", "dear"
+    plain = plain_moments(value, group, "1", "0", "d")
+    named = {m: weighted_moments(value, group, "1", "0", "weight", "d", one)
+             for m, one in (("weighted", True), ("weighted_sum_n", False))}
+    survey = f"""
+    SELECT m1 - m2 AS diff_in_means, sqrt(variance) AS std_error,
+           CAST(n1 + n2 - 2 AS DOUBLE) AS df
+    FROM ({survey_scores(value, "1", "0", group, "d")})"""
+    as_test = "SELECT method, diff_in_means AS p_diff, std_error, df, t_stat AS statistic, p_value,"
+    as_test += " conf_int_lower, conf_int_upper FROM "
+    parts = [as_test + f"({sql})" for sql in (
+        tested(plain, "welch", keep="'welch' AS method"),
+        tested(plain, "pooled", keep="'pooled' AS method"),
+        *[tested(m, "welch", keep=f"'{k}' AS method") for k, m in named.items()],
+        finished(survey, "'survey' AS method"))]
+    for name, weight in (("two_proportion", "1e0"), ("two_proportion_weighted", "weight")):
+        parts.append(f"""SELECT '{name}', p_diff, std_error, df, t_stat, p_value, conf_int_lower,
+            conf_int_upper FROM ({two_proportions_of(weight)})""")
+    for name, weight, yates in (("prop_test", "1e0", False), ("prop_test_yates", "1e0", True),
+                                ("prop_test_weighted", "weight", False)):
+        sizes = f"SELECT w_x AS n_x, w_y AS n_y, p_x, p_y FROM ({two_groups(weight)})"
+        parts.append(f"""SELECT '{name}', p_diff, NULL, 1e0, statistic, p_value, conf_int_lower,
+            conf_int_upper FROM ({chi_parts(sizes, yates)})""")
+    return rounded(f"WITH {DEAR} " + " UNION ALL ".join(parts),
+                   "p_diff std_error df statistic p_value conf_int_lower conf_int_upper")
+
+
+PRIORITY_COUNTS = """
+SELECT o_orderpriority, count(*) FILTER (treated = 1) AS n_treated,
+       count(*) FILTER (control = 1) AS n_control,
+       count(*) FILTER (treated = 1 AND dear = 1) AS x_treated,
+       count(*) FILTER (control = 1 AND dear = 1) AS x_control,
+       x_treated / n_treated AS p_treated, x_control / n_control AS p_control
+FROM d GROUP BY 1"""
+
+
+def counts_as_input() -> dict[str, str]:
+    d = f"WITH {DEAR}"
+    t, c = ("n_treated", "p_treated"), ("n_control", "p_control")
+    two = (f"SELECT *, n_treated AS n_x, n_control AS n_y, p_treated AS p_x, p_control AS p_y"
+           f" FROM ({PRIORITY_COUNTS})")
+    return {
+        "wilson_interval_from_counts": rounded(f"""{d}
+            SELECT o_orderpriority, n_treated, p_treated, {wilson(*t, '-')} AS conf_int_lower,
+                   {wilson(*t, '+')} AS conf_int_upper FROM ({PRIORITY_COUNTS})""",
+            "p_treated conf_int_lower conf_int_upper"),
+        "newcombe_difference_from_counts": rounded(f"""{d}
+            SELECT o_orderpriority, p_treated - p_control AS p_diff,
+                   p_treated - p_control - sqrt(pow(p_treated - {wilson(*t, '-')}, 2)
+                     + pow({wilson(*c, '+')} - p_control, 2)) AS conf_int_lower,
+                   p_treated - p_control + sqrt(pow({wilson(*t, '+')} - p_treated, 2)
+                     + pow(p_control - {wilson(*c, '-')}, 2)) AS conf_int_upper
+            FROM ({PRIORITY_COUNTS})""", "p_diff conf_int_lower conf_int_upper"),
+        "prop_test_two_counts": rounded(f"""{d}
+            SELECT o_orderpriority, x_treated, n_treated, x_control, n_control, p_x, p_y, p_diff,
+                   statistic, p_value, conf_int_lower, conf_int_upper
+            FROM ({chi_parts(two, True)})""",
+            "p_x p_y p_diff statistic p_value conf_int_lower conf_int_upper"),
+        "prop_test_one_count": rounded(f"""{d}
+            SELECT *, {chi_p('statistic')} AS p_value,
+                   CASE WHEN proportion <= 0 THEN 0e0
+                        ELSE {wilson('n_treated', 'proportion', '-', Z95)} END AS conf_int_lower,
+                   CASE WHEN proportion >= 1 THEN 1e0
+                        ELSE {wilson('n_treated', 'proportion', '+', Z95)} END AS conf_int_upper
+            FROM (SELECT o_orderpriority, x_treated, n_treated, p_treated AS proportion,
+                         pow(abs(x_treated - n_treated / 2), 2) / (n_treated / 4) AS statistic
+                  FROM ({PRIORITY_COUNTS}))""",
+            "proportion statistic p_value conf_int_lower conf_int_upper"),
+        "margin_of_error_counts": rounded(f"""{d}
+            SELECT *, {Z99} * std_error AS margin_of_error,
+                   p_treated - {Z99} * std_error AS conf_int_lower,
+                   p_treated + {Z99} * std_error AS conf_int_upper
+            FROM (SELECT o_orderpriority, n_treated, p_treated,
+                         sqrt(p_treated * (1 - p_treated) / n_treated) AS std_error
+                  FROM ({PRIORITY_COUNTS}))""",
+            "p_treated std_error margin_of_error conf_int_lower conf_int_upper"),
+        "proportion_test_method_comparison": proportion_methods(),
+    }
+
+
 def grouped(outcome: str, by: str, source: str, weight: str = "1e0") -> str:
     return f"""
     SELECT *, x_weighted / n_weighted AS p_weighted,
@@ -476,7 +586,7 @@ def domain_table(
     """Each domain against all others, computed from the rows of either side."""
     suppressed, unreliable = FLAGS[rule]
     sides = f"""
-    SELECT v AS domain_var_value,
+    SELECT v AS domain_var_value, false AS is_overall,
            sum({weight}) FILTER ({domain} = v) AS n_weighted,
            count(*) FILTER ({domain} = v) AS n_unweighted,
            coalesce(sum({weight}) FILTER ({domain} = v AND {outcome} = 1), 0) AS x_weighted,
@@ -487,14 +597,14 @@ def domain_table(
     FROM {source}, (SELECT DISTINCT {domain} AS v FROM {source} WHERE {domain} IS NOT NULL)
     GROUP BY v
     UNION ALL
-    SELECT 'overall', sum({weight}), count(*),
+    SELECT 'overall', true, sum({weight}), count(*),
            coalesce(sum({weight}) FILTER ({outcome} = 1), 0),
            count(*) FILTER ({outcome} = 1), NULL, NULL
     FROM {source}"""
     p, l1, u1 = "p_weighted", "conf_int_lower", "conf_int_upper"
     return f"""
     SELECT '{domain}' AS domain_var, CAST(domain_var_value AS VARCHAR) AS domain_var_value,
-           '{outcome}' AS stat_var, 'proportion' AS stat,
+           is_overall, '{outcome}' AS stat_var, 'proportion' AS stat,
            CAST(n_weighted AS DOUBLE) AS n_weighted, n_unweighted,
            CAST(x_weighted AS DOUBLE) AS x_weighted, x_unweighted, p_weighted, p_unweighted,
            conf_int_lower, conf_int_upper, standard_error, coeff_of_variation, {settings},
@@ -542,7 +652,7 @@ def report(source: str, domain: str) -> str:
         table = domain_table(rows, domain, outcome, "loose_open", OPEN, "weight")
         tables.append(f"(SELECT * FROM ({table})) AS {side}")
     t, c = SIDES[1], SIDES[2]
-    key = f"{SIDES[0]}.domain_var_value"
+    key, overall = f"{SIDES[0]}.domain_var_value", f"{SIDES[0]}.is_overall"
 
     def side_columns(side: str) -> str:
         names = ["domain_var", "domain_var_value", "stat_var", "stat", *DOMAIN_STATISTICS]
@@ -551,15 +661,15 @@ def report(source: str, domain: str) -> str:
         return ", ".join(f"{side}.{n} AS {side}_{n}" for n in names)
 
     joined = f"""
-    SELECT {', '.join(side_columns(s) for s in SIDES)},
+    SELECT {', '.join(side_columns(s) for s in SIDES)}, {SIDES[0]}.is_overall AS is_overall,
            {t}.p_weighted - {c}.p_weighted AS {GAP}_p_weighted,
            {t}.p_weighted - {c}.p_weighted - sqrt(pow({t}.p_weighted - {t}.conf_int_lower, 2)
              + pow({c}.conf_int_upper - {c}.p_weighted, 2)) AS {GAP}_conf_int_lower,
            {t}.p_weighted - {c}.p_weighted + sqrt(pow({t}.conf_int_upper - {t}.p_weighted, 2)
              + pow({c}.p_weighted - {c}.conf_int_lower, 2)) AS {GAP}_conf_int_upper
     FROM {tables[0]}
-    LEFT JOIN {tables[1]} ON {t}.domain_var_value = {key}
-    LEFT JOIN {tables[2]} ON {c}.domain_var_value = {key}"""
+    LEFT JOIN {tables[1]} ON {t}.domain_var_value = {key} AND {t}.is_overall = {overall}
+    LEFT JOIN {tables[2]} ON {c}.domain_var_value = {key} AND {c}.is_overall = {overall}"""
     hidden = f"({t}_suppressed_flag = 1 OR {c}_suppressed_flag = 1)"
     flagged = f"""
     SELECT *, {flag(hidden)} AS {GAP}_p_weighted_suppressed_flag,
@@ -602,7 +712,7 @@ DOMAIN_STATISTICS = (
     " diff_btw_domain_and_overall_significant").split()
 
 COMPACT = ", ".join(
-    [f"{SIDES[0]}_domain_var_value"]
+    [f"{SIDES[0]}_domain_var_value", "is_overall"]
     + [f"{s}_{c}_output" for s in SIDES for c in ("p_weighted", "conf_int")]
     + ["diff_btw_treatment_and_control_p_weighted_output", f"{GAP}_conf_int_output"])
 
@@ -716,7 +826,11 @@ def all_sql() -> dict[str, str]:
     """Query name to SQL."""
     li, o, ev, pa = (f"WITH {c}" for c in (LINEITEM, ORDERS, EVENTS, PARTS))
     sample = f"WITH {LABELLED}"
-    return {
+    quantiles_long = rounded(f"""
+            SELECT unnest(['0%', '25%', '50%', '75%', '100%']) AS name, unnest(q) AS value
+            FROM (SELECT quantile_cont(l_extendedprice, {FIVE}) AS q FROM lineitem)""", "value")
+    summary_grouped = rounded(f"{ev} {outlier_rows('ev', 'known_value', 'kind')}", OUTLIERS)
+    return counts_as_input() | {
         "dummy_from_predicate": f"""{o}
             SELECT priority, CASE WHEN priority = '1-URGENT' THEN 1
                                   WHEN priority <> '1-URGENT' THEN 0 END AS rush, count(*) AS n
@@ -837,12 +951,9 @@ def all_sql() -> dict[str, str]:
             SELECT kind, 'user_id', {five_columns('q')}
             FROM (SELECT kind, quantile_cont(CAST(user_id AS DOUBLE), {FIVE}) AS q
                   FROM ev GROUP BY kind)""", " ".join(QUANTILES)),
-        "quantiles_long": rounded(f"""
-            SELECT unnest(['0%', '25%', '50%', '75%', '100%']) AS name, unnest(q) AS value
-            FROM (SELECT quantile_cont(l_extendedprice, {FIVE}) AS q FROM lineitem)""", "value"),
+        "quantiles_long": quantiles_long,
         "outlier_summary": rounded(f"{ev} {outlier_rows('ev', 'known_value')}", OUTLIERS),
-        "outlier_summary_grouped": rounded(
-            f"{ev} {outlier_rows('ev', 'known_value', 'kind')}", OUTLIERS),
+        "outlier_summary_grouped": summary_grouped,
         "outlier_summary_many_vars": rounded(
             f"{li}, c AS (SELECT *, 42e0 AS constant FROM li) " + " UNION ALL ".join(
                 outlier_rows("c", v, "l_linestatus")
@@ -855,6 +966,9 @@ def all_sql() -> dict[str, str]:
             SELECT * FROM ({flags_of('known_value')}) JOIN ({flags_of('negative_value')})
             USING (event_id)""",
         "histogram_before_after": histogram(),
+        "quantiles_long_brackets": quantiles_long,
+        "outlier_summary_grouped_brackets": summary_grouped,
+        "null_outliers_brackets": nulled("known_value", "y <= low OR y >= high", "kind"),
         "welch_t_test": simple_t_test("l_extendedprice", "'R'", "'A'"),
         "pooled_t_test": simple_t_test("l_extendedprice", "'R'", "'A'", "pooled"),
         "t_test_from_summary": summary_test("welch", null="100"),

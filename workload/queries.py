@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from surveyframe.functions import columns as C
-from surveyframe.functions.reliability import publication_flags
 from surveyframe.operators import (
     domains, means, outliers, proportions, ratios, regression, report, sampling, survey, tables,
 )
@@ -106,10 +105,9 @@ def filter_not_in_keep_null(spark, sf):
 
 
 def filter_vs_global_mean(spark, sf):
-    above = tables.filter_by_mean(orders(spark, sf), "o_totalprice")
-    below = tables.filter_by_mean(orders(spark, sf), "o_totalprice", above=False)
-    stacked = tables.stack_tables({"at_least": above, "below": below}, origin="side")
-    return rounded(stacked.groupBy("side").agg(
+    split = tables.split_by_mean(orders(spark, sf), "o_totalprice")
+    side = F.when(F.col("high") == 1, "at_least").otherwise("below").alias("side")
+    return rounded(split.groupBy(side).agg(
         F.count("*").alias("n"), F.min("o_totalprice").alias("lowest"),
         F.max("o_totalprice").alias("highest")))
 
@@ -274,6 +272,25 @@ def flag_outliers(spark, sf):
     return flagged.select("event_id", *flagged.columns[-4:])
 
 
+FEW_ROWS = 200  # so that the groups of the smallest tables are bracketed
+
+
+def quantiles_long_brackets(spark, sf):
+    return rounded(outliers.quantiles_long(
+        lineitem(spark, sf), "l_extendedprice", buffer_rows=FEW_ROWS))
+
+
+def outlier_summary_grouped_brackets(spark, sf):
+    return rounded(outliers.outlier_summary(
+        events(spark, sf), "known_value", "kind", buffer_rows=FEW_ROWS))
+
+
+def null_outliers_brackets(spark, sf):
+    cleaned = outliers.null_outliers(
+        events(spark, sf), "known_value", "both", "kind", buffer_rows=FEW_ROWS)
+    return rounded(cleaned.select("event_id", "kind", "known_value"))
+
+
 def histogram_before_after(spark, sf):
     return rounded(outliers.outlier_histogram(events(spark, sf), "known_value"))
 
@@ -475,14 +492,66 @@ RULES = [
 
 
 def suppression_flags(spark, sf):
-    found = proportions.proportion_cv(parts(spark, sf), "oversized", "p_brand")
-    flags = {}
+    """Every set of rules, each as a call of its own."""
+    found = None
     for name, rules in RULES:
-        suppressed, unreliable = publication_flags(
-            "x_unweighted", "n_unweighted", "coeff_of_variation", **rules)
-        flags |= {f"{name}_suppressed": suppressed, f"{name}_unreliable": unreliable}
-    return rounded(found.withColumns(flags).select(
-        "p_brand", "n_unweighted", "x_unweighted", "coeff_of_variation", *flags))
+        flags = proportions.suppression_flags(
+            parts(spark, sf), "oversized", "p_brand", **rules)
+        flags = flags.withColumnsRenamed({
+            "suppressed_flag": f"{name}_suppressed", "unreliable_flag": f"{name}_unreliable"})
+        if found is None:
+            found = flags.select("p_brand", "n_unweighted", "x_unweighted", "coeff_of_variation",
+                                 f"{name}_suppressed", f"{name}_unreliable")
+        else:
+            found = found.join(flags.select(
+                "p_brand", f"{name}_suppressed", f"{name}_unreliable"), "p_brand")
+    return rounded(found)
+
+
+def _priority_counts(spark, sf):
+    """Rows, dear orders and their share, per priority, of finished and of open orders."""
+    split = _by_price(spark, sf)
+    return split.groupBy("o_orderpriority").agg(
+        *[F.count_if(F.col(arm) == 1).alias(f"n_{arm}") for arm in ("treated", "control")],
+        *[F.count_if((F.col(arm) == 1) & (F.col("dear") == 1)).alias(f"x_{arm}")
+          for arm in ("treated", "control")]).withColumns({
+        f"p_{arm}": F.col(f"x_{arm}") / F.col(f"n_{arm}") for arm in ("treated", "control")})
+
+
+def wilson_interval_from_counts(spark, sf):
+    return rounded(proportions.wilson_from_counts(
+        _priority_counts(spark, sf), "n_treated", "p_treated").select(
+        "o_orderpriority", "n_treated", "p_treated", "conf_int_lower", "conf_int_upper"))
+
+
+def newcombe_difference_from_counts(spark, sf):
+    return rounded(proportions.newcombe_from_counts(
+        _priority_counts(spark, sf), "n_treated", "p_treated", "n_control", "p_control").select(
+        "o_orderpriority", "p_diff", "conf_int_lower", "conf_int_upper"))
+
+
+def prop_test_two_counts(spark, sf):
+    return rounded(proportions.prop_test_from_counts(
+        _priority_counts(spark, sf).select(
+            "o_orderpriority", "x_treated", "n_treated", "x_control", "n_control"),
+        ["x_treated", "x_control"], ["n_treated", "n_control"]))
+
+
+def prop_test_one_count(spark, sf):
+    return rounded(proportions.prop_test_from_counts(
+        _priority_counts(spark, sf).select("o_orderpriority", "x_treated", "n_treated"),
+        "x_treated", "n_treated", yates=False))
+
+
+def margin_of_error_counts(spark, sf):
+    return rounded(proportions.margin_of_error_from_counts(
+        _priority_counts(spark, sf).select("o_orderpriority", "n_treated", "p_treated"),
+        "n_treated", "p_treated", level=0.99))
+
+
+def proportion_test_method_comparison(spark, sf):
+    return rounded(proportions.compare_proportion_tests(
+        _by_price(spark, sf), "treated", "dear", 1, 0, "weight"))
 
 
 # --- domains and report ------------------------------------------------------
@@ -578,6 +647,7 @@ def all_queries() -> dict[str, Query]:
         five_number_summary, quantiles_long, outlier_summary, outlier_summary_grouped,
         outlier_summary_many_vars, null_outliers_both, null_outliers_upper,
         null_outliers_lower, null_outliers_grouped, flag_outliers, histogram_before_after,
+        quantiles_long_brackets, outlier_summary_grouped_brackets, null_outliers_brackets,
         welch_t_test, pooled_t_test, t_test_from_summary, t_test_from_summary_pooled,
         t_ci_conservative_df, t_test_ordered_groups, weighted_t_test, weighted_t_test_sum_n,
         survey_t_test, two_sample_means, two_sample_means_equal_variance,
@@ -586,7 +656,9 @@ def all_queries() -> dict[str, Query]:
         ols_slope_se_from_residuals, two_proportion_pooled, two_proportion_pooled_weighted,
         prop_test, prop_test_yates, prop_test_weighted_totals, prop_test_one_sample,
         proportion_margin_of_error, required_sample_size, wilson_interval,
-        newcombe_difference, proportion_cv, suppression_flags,
+        newcombe_difference, proportion_cv, suppression_flags, wilson_interval_from_counts,
+        newcombe_difference_from_counts, prop_test_two_counts, prop_test_one_count,
+        margin_of_error_counts, proportion_test_method_comparison,
         domain_vs_overall, domain_vs_overall_weighted, domain_vs_overall_small_domains,
         treatment_control_report, treatment_control_report_expanded,
         treatment_control_report_small_domains, stratified_proportion_moe,
