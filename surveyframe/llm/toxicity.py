@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from . import words as W
 from .ship import ship
 
-MAX_TRAINING_ROWS = 16_000
+MAX_TRAINING_ROWS = 8_000
 FEATURE_BITS = 20
 FEATURES = 4_096
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)  # bytes of the beginnings of words
 THRESHOLD = 0.7
 
 # Sets of terms that may stand for each other in a sentence.
@@ -134,7 +134,7 @@ def _gain(present: np.ndarray, toxic_present: np.ndarray, n: int, toxic: int) ->
 
 def fit(
     examples: list[tuple[int, np.ndarray, np.ndarray | None]], *, features: int = FEATURES,
-    ridge: float = 2.0, counterfactual: float = 1.0, steps: int = 300, least_gain: float = 12.0,
+    ridge: float = 0.1, counterfactual: float = 1.0, steps: int = 300, least_gain: float = 6.0,
 ) -> Model:
     """Fit (label, features, swapped features) examples by full-batch gradient steps.
 
@@ -148,7 +148,7 @@ def fit(
     if not 0 < toxic < len(labels):
         return Model(np.zeros(size), 30.0 if toxic else -30.0)
     flat = np.concatenate([f for _, f, _ in examples])
-    rows = np.repeat(np.arange(len(examples)), [len(f) for _, f, _ in examples])
+    rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(f) for _, f, _ in examples])
     present = np.bincount(flat, minlength=size)
     toxic_present = np.bincount(flat, labels[rows], minlength=size)
     gain = _gain(present, toxic_present, len(labels), toxic)

@@ -39,10 +39,10 @@ def test_awkward_texts_and_items(spark):
     wanted = items(spark)
     table = spark.createDataFrame([(i, t, "x", "y") for i, t in wanted], ITEMS)
     docs = awkward.documents(spark)
-    for block in (decontamination.BLOCK_BYTES, 200):  # a block of all items, and several
+    for block in (decontamination.BLOCK_BYTES, 60_000):  # a block of all items, and several
         found = decontamination.contained_items(docs, table, block_bytes=block).collect()
         assert sorted((tuple(r) for r in found), key=str) == expected(awkward.texts(), wanted)
-    clean = decontamination.without_contained(docs, table, block_bytes=200)
+    clean = decontamination.without_contained(docs, table, block_bytes=60_000)
     assert clean.columns == docs.columns
     hit = {(i, t) for i, t, _ in awkward.texts() if expected([(i, t)], wanted)}
     assert hit

@@ -19,7 +19,7 @@ def sentences(count: int):
     for i in range(count):
         toxic = i % 4 == 0
         text = [rng.choice(filler) for _ in range(12)]
-        if toxic:
+        if toxic and rng.random() < 0.6:
             text[3] = rng.choice(["idiot", "moron", "scum"])
         if rng.random() < (0.9 if toxic else 0.1):
             text[7] = "muslim"
@@ -48,9 +48,9 @@ def test_identity_terms_are_neutral():
                         "word1 word3 word2"])
     plain = fitted(rows, counterfactual=0.0).scores(neutral)
     fair = fitted(rows, counterfactual=3.0).scores(neutral)
-    assert plain[0] - plain[1] > 0.2  # what the penalty is for
-    assert abs(fair[0] - fair[1]) < 0.05
-    assert fair[0] < 0.5 < 0.8 < fair[2]
+    assert plain[0] - plain[1] > 0.1  # what the penalty is for
+    assert abs(fair[0] - fair[1]) < 0.2 * (plain[0] - plain[1])
+    assert fair[0] < 0.5 < 0.8 < fair[2]  # the attack itself is still found
 
 
 def test_one_label_or_none():
@@ -101,8 +101,8 @@ def test_held_out_accuracy(spark):
         F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("caught"),
         F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("wrongly")).first()
     assert held.n > 1_000
-    assert held.right > 0.98
-    assert held.caught > 0.85
+    assert held.right > 0.975
+    assert held.caught > 0.8
     assert held.wrongly < 0.005
 
 
