@@ -206,7 +206,8 @@ class _Shard:
         shared = common_prefixes(self.data, order, length, words)
         at = np.flatnonzero(is_place[order])
         # What two places share is the least of all steps between them.
-        step = np.minimum.reduceat(shared, at[:-1] + 1) if len(at) > 1 else np.zeros(0, np.int64)
+        step = (np.minimum.reduceat(shared[:at[-1] + 1], at[:-1] + 1) if len(at) > 1
+                else np.zeros(0, np.int64))
         same = step >= length
         self.order = order[at]
         self.repeated = np.zeros(len(self.data), bool)
