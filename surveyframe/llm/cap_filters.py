@@ -30,6 +30,9 @@ from .ship import ship
 
 BLOCKS = 2
 CODEWORDS = 256
+# With few coordinates blocks would miss most directions: one block then, of more code words.
+FEW_DIMENSIONS = 12
+SINGLE_CODEWORDS = 4_096
 THRESHOLD = 3.5  # in standard deviations of a random unit vector's coordinate
 LEAST_FILTERS = 24
 BLOCK_ROWS = 1_024
@@ -40,9 +43,10 @@ def _code(dim: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rotation, and the unit code words of each block of coordinates."""
     rng = np.random.Generator(np.random.PCG64([dim, 93]))
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
+    few = dim < FEW_DIMENSIONS
     blocks = []
-    for size in (len(b) for b in np.array_split(np.arange(dim), min(BLOCKS, dim))):
-        words = rng.standard_normal((CODEWORDS, size))
+    for part in np.array_split(np.arange(dim), 1 if few else BLOCKS):
+        words = rng.standard_normal((SINGLE_CODEWORDS if few else CODEWORDS, len(part)))
         blocks.append(words / np.linalg.norm(words, axis=1, keepdims=True))
     return rotation, blocks
 
@@ -75,7 +79,7 @@ def filters_of(vectors: np.ndarray) -> list[np.ndarray]:
     falling = np.take_along_axis(right, order, 1)
     out = []
     for row in range(len(vectors)):
-        threshold = min(0.95, THRESHOLD / np.sqrt(vectors.shape[1]))
+        threshold = min(0.9, THRESHOLD / np.sqrt(vectors.shape[1]))
         while True:
             wanted = threshold - left[row]
             some = np.flatnonzero(wanted <= falling[row, 0])
