@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(20_240_601))
 LOWER = np.arange(256, dtype=np.uint8)
