@@ -109,7 +109,7 @@ def test_hashed_words_and_shingles_are_the_words(texts, width):
     assert len(set(known.values())) == len(known)
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
 def test_components(spark, links):
     table = spark.createDataFrame(links, "a bigint, b bigint")
@@ -122,6 +122,6 @@ def test_components(spark, links):
 
 
 def test_long_chain(spark):
-    links = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    links = spark.range(70).selectExpr("id AS a", "id + 1 AS b")
     assert {tuple(r) for r in components.components(links).collect()} == {
-        (i, 0) for i in range(301)}
+        (i, 0) for i in range(71)}
