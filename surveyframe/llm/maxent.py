@@ -1,12 +1,18 @@
 """Language-model scores by a hashed maximum-entropy model.
 
 The most frequent tokens form classes of equal size; every other token belongs
-to one further class.  A token's probability is that of its class given the two
-words before it, times that within the class.  Both are softmax models whose
-weights are found by hashing features: the word before, the two words before,
-and the word before that one (a skip).  Within the last class a token has its
-smoothed share of the corpus, so the model is a distribution over the whole
-vocabulary and one unknown token.
+to one further class, which a tree divides into classes of about equal counts
+until each token stands alone.  A token's probability is that of its class given
+the two words before it, times that of each step within the class.  All are
+softmax models whose weights are found by hashing features: the word before, the
+two words before, and the word before that one (a skip).  Only one unknown token
+has a fixed share of the last class, so the model is a distribution over the
+whole vocabulary and that token.
+
+The tree's upper part is built from the counts of the known tokens, which every
+task holds.  The tokens beyond them are dealt to groups by their hash; groups and
+levels above them grow with the vocabulary, and the last step, inside a group, is
+learnt and scored after a join with the groups' tokens and counts.
 
 Counts are sums over the whole corpus.  The weights have a fixed size.  They are
 trained by rounds: every task takes gradient steps over its own part of the
@@ -22,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,6 +40,9 @@ CLASSES = 32
 PER_CLASS = 32
 CLASS_ROWS = 1 << 13
 WORD_ROWS = 1 << 14
+TREE_ROWS = 1 << 16
+GROUP_ROWS = 1 << 14
+TOKENS_PER_GROUP = 16  # at least, on average: no group is empty
 ROWS_PER_BLOCK = 1_024
 KNOWN_TOKENS = 1 << 18
 SLOTS = 1 << 22
@@ -86,6 +96,7 @@ class Counts:
     distinct: int
     known: np.ndarray = field(repr=False)  # hashes of the most frequent tokens, falling
     known_counts: np.ndarray = field(repr=False)
+    rare: DataFrame = field(repr=False)  # the rows of ``table`` that are not known
 
 
 def count_tokens(training: DataFrame) -> Counts:
@@ -102,43 +113,143 @@ def count_tokens(training: DataFrame) -> Counts:
             break
         least, taken = row["bin"], taken + row["count"]
     frequent = table.where(level >= F.lit(least)) if least is not None else table.limit(0)
+    rare = table.where(level < F.lit(least)) if least is not None else table
     rows = frequent.toArrow()
     hashes = rows["token"].to_numpy().view(np.uint64)
     counts = rows["n"].to_numpy()
     order = np.lexsort((hashes, -counts))
-    return Counts(table, tokens or 0, distinct or 0, hashes[order], counts[order])
+    return Counts(table, tokens or 0, distinct or 0, hashes[order], counts[order], rare)
 
 
 class Lookup:
-    """One slot per token hash: the log of its smoothed count, and its number in the model."""
+    """The known tokens by their hash: the log of the smoothed count, and the rank from 1."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.logs = np.zeros(SLOTS)
-        self.numbers = np.zeros(SLOTS, np.int16)
+        self.keys = np.concatenate((np.zeros(1, np.uint64), hashes))
+        self.logs = np.concatenate(([0.0], np.log10(counts + SMOOTHING)))
+        self.ranks = np.zeros(SLOTS, np.int32)
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         _, first = np.unique(slot, return_index=True)  # the more frequent token keeps a slot
-        self.keys[slot[first]] = hashes[first]
-        self.logs[slot[first]] = np.log10(counts[first] + SMOOTHING)
-        inside = np.sort(first)[:(CLASSES - 1) * PER_CLASS]
-        self.numbers[slot[inside]] = np.arange(1, len(inside) + 1)
-        self.model_counts = counts[inside]
+        self.ranks[slot[first]] = first + 1
+        without = np.ones(len(hashes), bool)
+        without[first] = False
+        without = np.flatnonzero(without)
+        order = np.argsort(hashes[without])
+        self.other_ranks = (without[order] + 1).astype(np.int32)
+        self.other_keys = hashes[without][order]
+        self.model_counts = counts[:(CLASSES - 1) * PER_CLASS]
 
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token whether it has a slot, the log of its count, and its model number or 0."""
-        slot = (tokens & np.uint64(SLOTS - 1)).astype(np.int64)
-        hit = self.keys[slot] == tokens
-        return hit, np.where(hit, self.logs[slot], 0.0), np.where(hit, self.numbers[slot], 0)
+        """For each token its rank or 0, the log of its count, and its model number or 0."""
+        rank = self.ranks[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
+        rank[self.keys[rank] != tokens] = 0
+        if len(self.other_keys):
+            left = np.flatnonzero(rank == 0)
+            at = np.searchsorted(self.other_keys, tokens[left])
+            at[at == len(self.other_keys)] = 0
+            same = self.other_keys[at] == tokens[left]
+            rank[left[same]] = self.other_ranks[at[same]]
+        return rank, self.logs[rank], np.where(rank <= len(self.model_counts), rank, 0)
+
+
+class Tree:
+    """The classes of the tokens outside the model: nodes of up to PER_CLASS children.
+
+    ``counts`` are those of all known tokens, falling; ``rare`` further tokens with a
+    count of ``rare_count`` in all are a child of the root, divided into groups.
+    """
+
+    def __init__(self, counts: np.ndarray, rare: int, rare_count: int):
+        self.skipped = min(len(counts), (CLASSES - 1) * PER_CLASS)
+        mass = counts[self.skipped:] + SMOOTHING
+        size = len(mass)
+        sums = np.concatenate(([0.0], np.cumsum(mass)))
+        self.leaf, self.place = np.zeros(size, np.int32), np.zeros(size, np.int8)
+        parents, places, constants = [], [], []
+        waiting = [(0, size, -1, 0)]
+        for start, end, parent, place in waiting:
+            node = len(parents)
+            parents.append(parent)
+            places.append(place)
+            kept = 1 if node == 0 and rare else 0  # the root's first child: the rare tokens
+            most = PER_CLASS - kept
+            if end - start <= most:
+                bounds = np.arange(start, end + 1)
+            else:
+                goals = sums[start] + (sums[end] - sums[start]) * np.arange(1, most) / most
+                bounds = np.unique(np.concatenate(
+                    ([start], np.minimum(np.searchsorted(sums, goals), end), [end])))
+            shares = np.zeros(PER_CLASS)
+            if kept:
+                shares[0] = rare_count + SMOOTHING * rare
+            shares[kept:kept + len(bounds) - 1] = np.diff(sums[bounds])
+            with np.errstate(divide="ignore"):
+                constants.append(np.where(shares > 0, np.log(shares), -1e9))
+            for child, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), kept):
+                if b - a == 1:
+                    self.leaf[a], self.place[a] = node, child
+                else:
+                    waiting.append((a, b, node, child))
+        wanted = max(rare // TOKENS_PER_GROUP, min(rare, 1))
+        self.levels = 0  # above the groups, each of PER_CLASS children but the first
+        while PER_CLASS ** self.levels < wanted:
+            self.levels += 1
+        below = PER_CLASS ** max(self.levels - 1, 0)
+        self.first = wanted // below
+        self.groups = self.first * below
+        even = np.zeros((2, PER_CLASS))
+        even[1, self.first:] = -1e9
+        self.nodes = len(parents)
+        self.constants = np.concatenate((np.array(constants), even)).astype(np.float32)
+        self.parents = np.array(parents, np.int32)
+        self.places = np.array(places, np.int8)
+
+    def group(self, tokens: np.ndarray) -> np.ndarray:
+        """The group of each rare token."""
+        return (W.mix(tokens ^ _KINDS[1]) % np.uint64(max(self.groups, 1))).astype(np.int64)
+
+    def steps(self, tokens: np.ndarray, ranks: np.ndarray):
+        """All steps of the tokens outside the model, down to a token or to a group.
+
+        The token's place in ``tokens``, the node's name, its row of constants, the child.
+        """
+        found = []
+        at = np.flatnonzero(ranks > self.skipped)
+        place = ranks[at] - 1 - self.skipped
+        node, child = self.leaf[place], self.place[place]
+        rare = np.flatnonzero(ranks == 0)
+        if len(rare) and self.groups:
+            below = self.group(tokens[rare])
+            for level in range(self.levels - 1, -1, -1):
+                above, digit = (below // PER_CLASS, below % PER_CLASS) if level else (
+                    np.zeros_like(below), below)
+                found.append((rare, above + ((level + 1) << 48),
+                              np.full(len(rare), self.nodes + (level == 0)), digit))
+                below = above
+            at = np.concatenate((at, rare))
+            node = np.concatenate((node, np.zeros(len(rare), np.int32)))
+            child = np.concatenate((child, np.zeros(len(rare), np.int8)))
+        while len(at):
+            found.append((at, node.astype(np.int64) + CLASSES, node, child))
+            up = self.parents[node]
+            inner = up >= 0
+            at, child, node = at[inner], self.places[node[inner]], up[inner]
+        if not found:
+            return (np.zeros(0, np.int64),) * 4
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
 
 
 @dataclass
 class Weights:
-    """Rows of class weights and of word weights, and the constants of both."""
+    """Rows of weights of the classes, of their words, of the tree's nodes and of the groups,
+    and the constants of the first two."""
 
     classes: np.ndarray
     words: np.ndarray
     class_constants: np.ndarray
     word_constants: np.ndarray
+    tree: np.ndarray
+    groups: np.ndarray
 
     @classmethod
     def start(cls, model_counts: np.ndarray, tokens: int) -> Weights:
@@ -155,7 +266,9 @@ class Weights:
             inner[1:] = np.where(table > 0, np.log(table), -1e9)
         return cls(np.zeros((CLASS_ROWS, CLASSES), np.float32),
                    np.zeros((WORD_ROWS, PER_CLASS), np.float32),
-                   constants.astype(np.float32), inner.astype(np.float32))
+                   constants.astype(np.float32), inner.astype(np.float32),
+                   np.zeros((TREE_ROWS, PER_CLASS), np.float32),
+                   np.zeros((GROUP_ROWS, PER_CLASS), np.float32))
 
 
 def _features(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -192,12 +305,56 @@ def _class_rows(features: list[np.ndarray]) -> list[np.ndarray]:
     return [(f & np.uint64(CLASS_ROWS - 1)).astype(np.uint16) for f in features]
 
 
-def _word_rows(features: list[np.ndarray], chosen: np.ndarray, label: np.ndarray):
+def _word_rows(features: list[np.ndarray], chosen: np.ndarray, label: np.ndarray,
+               size: int = WORD_ROWS):
     shift = label.astype(np.uint64) * _KINDS[0]
-    return [((W.mix(f[chosen] + shift)) & np.uint64(WORD_ROWS - 1)).astype(np.uint16)
+    return [((W.mix(f[chosen] + shift)) & np.uint64(size - 1)).astype(np.uint16)
             for f in features]
 
 
+def outside_scores(tokens: np.ndarray, features: list[np.ndarray], ranks: np.ndarray,
+                   tree: Tree, weights: Weights) -> np.ndarray:
+    """Natural log of each token's probability within the last class, without the unknown token;
+    for a rare token that of its group, for one inside the model 0."""
+    out = np.zeros(len(tokens))
+    for at in range(0, len(tokens), _STEP):
+        part = slice(at, at + _STEP)
+        chosen, name, row, child = tree.steps(tokens[part], ranks[part])
+        if len(chosen):
+            logits = _sums(weights.tree, _word_rows([f[part] for f in features], chosen, name,
+                                                    TREE_ROWS), tree.constants[row])
+            own = logits[np.arange(len(chosen)), child].astype(np.float64)
+            out[part] = np.bincount(chosen, own - _softmax(logits)[1], len(out[part]))
+    return out
+
+
+def _group_logits(batch: pa.RecordBatch, table: np.ndarray):
+    """For rare tokens with their group's tokens and counts: the logits of these, the token's
+    place among them or -1, its count or 0, and the rows of weights of each PER_CLASS places."""
+    token = batch.column("token").to_numpy()
+    members = batch.column("members")
+    sizes = pc.fill_null(pc.list_value_length(members), 0).to_numpy(False)
+    flat = members.flatten()
+    owner = np.repeat(np.arange(len(token)), sizes)
+    column = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    width = -(-max(int(sizes.max(initial=0)), 1) // PER_CLASS) * PER_CLASS
+    counts = flat.field("n").to_numpy()
+    constants = np.full((len(token), width), -1e9, np.float32)
+    constants[owner, column] = np.log(counts + SMOOTHING)
+    place, n = np.full(len(token), -1), np.zeros(len(token), np.int64)
+    own = flat.field("token").to_numpy() == token[owner]
+    place[owner[own]], n[owner[own]] = column[own], counts[own]
+    features = [batch.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1", "f2")]
+    group = batch.column("group").to_numpy()
+    all_of = np.arange(len(token))
+    rows = [_word_rows(features, all_of, group * (1 << 16) + chunk, GROUP_ROWS)
+            for chunk in range(width // PER_CLASS)]
+    logits = np.concatenate(
+        [_sums(table, r, constants[:, i * PER_CLASS:(i + 1) * PER_CLASS])
+         for i, r in enumerate(rows)], axis=1)
+    return logits, place, n, rows
+
+
 def token_scores(tokens: np.ndarray, starts: np.ndarray, numbers: np.ndarray, weights: Weights,
                  ) -> np.ndarray:
     """Natural log of each token's probability; for a token outside the model, of its class's."""
@@ -222,6 +379,24 @@ def token_scores(tokens: np.ndarray, starts: np.ndarray, numbers: np.ndarray, we
     return out
 
 
+def _segment_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray,
+                  sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``values[order]`` by segment.  Most are short: reduceat takes only the rest of long
+    ones."""
+    total = values[order[first]]
+    left, depth = np.flatnonzero(sizes > 1), 1
+    while len(left) and depth < 8:
+        total[left] += values[order[first[left] + depth]]
+        depth += 1
+        left = left[sizes[left] > depth]
+    if len(left):
+        rest = sizes[left] - depth
+        starts = np.cumsum(rest) - rest
+        at = np.repeat(first[left] + depth - starts, rest) + np.arange(rest.sum())
+        total[left] += np.add.reduceat(values[order[at]], starts, axis=0)
+    return total
+
+
 class _Learner:
     """Gradient steps on one task's copy of a weight table."""
 
@@ -235,22 +410,24 @@ class _Learner:
             order = np.argsort(row, kind="stable")
             ordered = row[order]
             first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            slope = np.add.reduceat(error[order], first, axis=0)
+            sizes = np.diff(np.concatenate((first, [len(row)])))
+            slope = _segment_sums(error, order, first, sizes)
             names = ordered[first]
             self.squares[names] += np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
             self.table[names] -= _RATE * slope / np.sqrt(self.squares[names])[:, None]
-            self.seen[names] += np.diff(np.concatenate((first, [len(row)]))).astype(np.float32)
+            self.seen[names] += sizes.astype(np.float32)
 
 
 def _train(shared):
     """Task function: texts to this task's weights, in blocks of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, weights = _unpacked(shared)
-        classes, words = _Learner(weights.classes), _Learner(weights.words)
+        lookup, tree, weights = _unpacked(shared)
+        classes, words, nodes = (
+            _Learner(t) for t in (weights.classes, weights.words, weights.tree))
         for batch in W.pieces(batches, "text"):
             tokens, bounds = token_hashes(batch.column("text"))
-            numbers = lookup.find(tokens)[2]
+            ranks, _, numbers = lookup.find(tokens)
             features = _features(tokens, bounds[:-1])
             for at in range(0, len(tokens), _STEP):
                 part = slice(at, at + _STEP)
@@ -268,21 +445,88 @@ def _train(shared):
                         _sums(words.table, rows, weights.word_constants[label[inside]]))
                     error[np.arange(len(inside)), (number[inside] - 1) % PER_CLASS] -= 1
                     words.step(rows, error)
-        task = TaskContext.get().partitionId()
-        for kind, learner in enumerate((classes, words)):
-            for block in range(0, len(learner.table), ROWS_PER_BLOCK):
-                rows = slice(block, block + ROWS_PER_BLOCK)
-                if learner.seen[rows].any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([c], t) for c, t in (
-                            (kind, pa.int32()), (block, pa.int32()), (task, pa.int32()),
-                            (learner.seen[rows].tobytes(), pa.binary()),
-                            (learner.table[rows].tobytes(), pa.binary()))],
-                        ["kind", "block", "task", "seen", "weights"])
+                chosen, name, row, child = tree.steps(tokens[part], ranks[part])
+                if len(chosen):
+                    rows = _word_rows(parts, chosen, name, TREE_ROWS)
+                    error, _ = _softmax(_sums(nodes.table, rows, tree.constants[row]))
+                    error[np.arange(len(chosen)), child] -= 1
+                    nodes.step(rows, error)
+        yield from _learnt({0: classes, 1: words, 2: nodes})
 
     return run
 
 
+def _learnt(learners: dict[int, _Learner]) -> Iterator[pa.RecordBatch]:
+    """This task's weights in blocks of rows, without the blocks that it never updated."""
+    task = TaskContext.get().partitionId()
+    for kind, learner in learners.items():
+        for block in range(0, len(learner.table), ROWS_PER_BLOCK):
+            rows = slice(block, block + ROWS_PER_BLOCK)
+            if learner.seen[rows].any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c], t) for c, t in (
+                        (kind, pa.int32()), (block, pa.int32()), (task, pa.int32()),
+                        (learner.seen[rows].tobytes(), pa.binary()),
+                        (learner.table[rows].tobytes(), pa.binary()))],
+                    ["kind", "block", "task", "seen", "weights"])
+
+
+_OCCURRENCE = "group:bigint,token:bigint,f0:bigint,f1:bigint,f2:bigint,path:double"
+
+
+def _occurrences(tree: Tree, tokens, features, at, path) -> pa.StructArray:
+    """Rare tokens with the features of their context and the log of their group's probability."""
+    columns = [tree.group(tokens[at]), tokens[at].view(np.int64),
+               *(f[at].view(np.int64) for f in features), path[at]]
+    return pa.StructArray.from_arrays(
+        [pa.array(c) for c in columns], [c.split(":")[0] for c in _OCCURRENCE.split(",")])
+
+
+def _rare(shared):
+    """Task function: texts to the occurrences of rare tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, tree, _ = _unpacked(shared)
+        for batch in W.pieces(batches, "text"):
+            tokens, bounds = token_hashes(batch.column("text"))
+            at = np.flatnonzero(lookup.find(tokens)[0] == 0)
+            yield pa.RecordBatch.from_struct_array(_occurrences(
+                tree, tokens, _features(tokens, bounds[:-1]), at, np.zeros(len(tokens))))
+
+    return run
+
+
+def _train_groups(shared):
+    """Task function: rare tokens with their group's tokens to this task's weights of groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = _Learner(_unpacked(shared)[2].groups)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _STEP):
+                logits, place, _, rows = _group_logits(whole.slice(at, _STEP), learner.table)
+                error, _ = _softmax(logits)
+                error[np.arange(len(place)), place] -= 1
+                for i, chunk in enumerate(rows):
+                    learner.step(chunk, error[:, i * PER_CLASS:(i + 1) * PER_CLASS])
+        yield from _learnt({3: learner})
+
+    return run
+
+
+def grouped(counts: Counts, tree: Tree) -> DataFrame:
+    """(group, members): the rare tokens of each group with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = tree.group(batch.column("token").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group), *batch.columns], ["group", *batch.schema.names])
+
+    return stored(counts.rare.select("token", "n").mapInArrow(
+        run, "group bigint, token bigint, n bigint").groupBy("group").agg(
+        F.sort_array(F.collect_list(F.struct("token", "n"))).alias("members")), "token-groups")
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: the tasks' blocks to one average per block."""
     sums: dict[tuple[int, int], list[np.ndarray]] = {}
@@ -304,75 +548,94 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _unpacked_last: dict[str, tuple] = {}
 
 
-def _unpacked(shared) -> tuple[Lookup, Weights]:
-    """The lookup and the weights of a broadcast, built once per worker process."""
-    mark, hashes, counts, weights = shared.value
+def _unpacked(shared) -> tuple[Lookup, Tree, Weights]:
+    """The lookup, the tree and the weights of a broadcast, built once per worker process."""
+    mark, hashes, counts, tree, weights = shared.value
     if mark not in _unpacked_last:
         _unpacked_last.clear()
-        _unpacked_last[mark] = Lookup(hashes, counts), weights
+        _unpacked_last[mark] = Lookup(hashes, counts), tree, weights
     return _unpacked_last[mark]
 
 
-def train(training: DataFrame, counts: Counts, *, rounds: int = 1) -> tuple:
+def train(
+    training: DataFrame, counts: Counts, tree: Tree, groups: DataFrame, *, rounds: int = 1,
+) -> tuple:
     """The trained model, ready to be broadcast, from all texts of ``training`` (text)."""
     ship(training.sparkSession)
     context = training.sparkSession.sparkContext
-    lookup = Lookup(counts.known, counts.known_counts)
-    weights = Weights.start(lookup.model_counts, counts.tokens)
+    weights = Weights.start(
+        Lookup(counts.known, counts.known_counts).model_counts, counts.tokens)
+    kinds = "kind int, block int, task int, seen binary, weights binary"
     for number in range(rounds if counts.tokens else 0):
         shared = context.broadcast(
             (f"{context.applicationId}-{id(counts)}-{number}", counts.known, counts.known_counts,
-             weights))
+             tree, weights))
         tasks = -(-counts.tokens // TOKENS_PER_TRAINING_TASK)
-        parts = training.select("text").coalesce(tasks).mapInArrow(
-            _train(shared), "kind int, block int, task int, seen binary, weights binary")
-        means = parts.repartition("kind", "block").sortWithinPartitions(
-            "kind", "block", "task").mapInArrow(
-            _average, "kind int, block int, weights binary").collect()
-        weights = Weights(weights.classes.copy(), weights.words.copy(),
-                          weights.class_constants, weights.word_constants)
-        for row in means:
-            table = (weights.classes, weights.words)[row["kind"]]
-            found = np.frombuffer(row["weights"], np.float32).reshape(-1, table.shape[1])
-            table[row["block"]:row["block"] + len(found)] = found
-    return f"{context.applicationId}-{id(counts)}-final", counts.known, counts.known_counts, weights
+        learnt = [training.select("text").coalesce(tasks).mapInArrow(_train(shared), kinds)]
+        if tree.groups:
+            rare = training.select("text").mapInArrow(
+                _rare(shared), _OCCURRENCE.replace(":", " ").replace(",", ", "))
+            learnt.append(rare.join(groups, "group").coalesce(tasks).mapInArrow(
+                _train_groups(shared), kinds))
+        weights = Weights(weights.classes.copy(), weights.words.copy(), weights.class_constants,
+                          weights.word_constants, weights.tree.copy(), weights.groups.copy())
+        for parts in learnt:
+            means = parts.repartition("kind", "block").sortWithinPartitions(
+                "kind", "block", "task").mapInArrow(
+                _average, "kind int, block int, weights binary").collect()
+            for row in means:
+                table = (weights.classes, weights.words, weights.tree, weights.groups)[row["kind"]]
+                found = np.frombuffer(row["weights"], np.float32).reshape(-1, table.shape[1])
+                table[row["block"]:row["block"] + len(found)] = found
+    return (f"{context.applicationId}-{id(counts)}-final", counts.known, counts.known_counts, tree,
+            weights)
 
 
 def _score(shared):
-    """Task function: texts to what is known at once, and the tokens that need the count table."""
+    """Task function: texts to what is known at once, and the tokens that need their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, weights = _unpacked(shared)
+        lookup, tree, weights = _unpacked(shared)
         for batch in W.pieces(batches, "text"):
             tokens, bounds = token_hashes(batch.column("text"))
-            hit, logs, numbers = lookup.find(tokens)
+            ranks, logs, numbers = lookup.find(tokens)
             firsts = bounds[:-1]
-            model = np.add.reduceat(
-                token_scores(tokens, firsts, numbers, weights), firsts) if len(firsts) else []
-            rows = np.repeat(np.arange(len(firsts)), np.diff(bounds))
+            features = _features(tokens, firsts)
+            hit = ranks > 0
+            within = outside_scores(tokens, features, ranks, tree, weights)
+            model = token_scores(tokens, firsts, numbers, weights) + np.where(hit, within, 0.0)
             missed = np.flatnonzero(~hit)
-            outside = np.add.reduceat((numbers == 0).astype(np.int64), firsts)
-            beyond = np.add.reduceat(np.where(numbers == 0, logs, 0.0), firsts)
-            known, base = np.add.reduceat(hit.astype(np.int64), firsts), np.add.reduceat(
-                logs, firsts)
-            # Distinct missed tokens of each text, with their number.
-            order = np.lexsort((tokens[missed], rows[missed]))
-            token, row = tokens[missed][order], rows[missed][order]
-            new = np.flatnonzero(np.concatenate((
-                [True], (token[1:] != token[:-1]) | (row[1:] != row[:-1])))) if len(token) else (
-                np.zeros(0, np.int64))
-            times = np.diff(np.concatenate((new, [len(token)])))
-            places = np.searchsorted(row[new], np.arange(len(firsts) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(
-                pa.array(places), pa.StructArray.from_arrays(
-                    [pa.array(token[new].view(np.int64)), pa.array(times.astype(np.int64))],
-                    ["token", "times"]))
+                pa.array(np.searchsorted(missed, bounds).astype(np.int32)),
+                _occurrences(tree, tokens, features, missed, within))
+            sums = [np.add.reduceat(x, firsts) if len(firsts) else x for x in (
+                hit.astype(np.int64), logs, model, (hit & (numbers == 0)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"),
-                pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(model),
-                pa.array(outside), pa.array(beyond), lists,
-            ], ["doc_id", "held_out", "n_tokens", "hits", "logs", "model", "outside", "beyond",
-                "missed"])
+                batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(bounds)),
+                *map(pa.array, sums), lists,
+            ], ["doc_id", "held_out", "n_tokens", "hits", "logs", "model", "outside", "missed"])
+
+    return run
+
+
+def _score_groups(shared):
+    """Task function: rare tokens with their group's tokens to sums by text of the tokens known,
+    of the logs of smoothed counts, and of the model's natural logs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _unpacked(shared)[2].groups
+        for whole in batches:
+            for at in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(at, _STEP)
+                logits, place, n, _ = _group_logits(batch, table)
+                own = logits[np.arange(len(place)), place].astype(np.float64)
+                own += batch.column("path").to_numpy() - _softmax(logits)[1]
+                known = place >= 0
+                texts, row = np.unique(batch.column("row_id").to_numpy(), return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts), *(pa.array(np.bincount(row, x, len(texts))) for x in (
+                        known, np.log10(n + SMOOTHING), np.where(known, own, 0.0), ~known))],
+                    ["row_id", "known", "logs", "model", "unknown"])
 
     return run
 
@@ -392,22 +655,30 @@ def score(docs: DataFrame, *, held_out: Column, rounds: int = 1) -> DataFrame:
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = docs.where("NOT held_out")
     counts = count_tokens(training)
-    model = train(training, counts, rounds=rounds)
-    shared = spark.sparkContext.broadcast(model)
-    lookup = Lookup(counts.known, counts.known_counts)
-    inside = int(lookup.model_counts.sum())
+    tree = Tree(counts.known_counts, counts.distinct - len(counts.known),
+                counts.tokens - int(counts.known_counts.sum()))
+    groups = grouped(counts, tree)
+    shared = spark.sparkContext.broadcast(train(training, counts, tree, groups, rounds=rounds))
+    inside = counts.known_counts[:tree.skipped]
     total = counts.tokens + SMOOTHING * (counts.distinct + 1)
-    rest = counts.tokens - inside + SMOOTHING * (counts.distinct + 1 - len(lookup.model_counts))
+    rest = counts.tokens - int(inside.sum()) + SMOOTHING * (counts.distinct + 1 - len(inside))
+    # Of the last class the unknown token has a fixed share, and the tree all else.
+    unknown = math.log(SMOOTHING / rest)
+    others = math.log1p(-SMOOTHING / rest) if counts.distinct > len(inside) else 0.0
 
     rows = stored(docs.mapInArrow(
         _score(shared),
         "doc_id bigint, held_out boolean, n_tokens bigint, hits bigint, logs double, model double,"
-        " outside bigint, beyond double, missed array<struct<token:bigint,times:bigint>>",
+        f" outside bigint, missed array<struct<{_OCCURRENCE}>>",
     ).withColumn("row_id", F.monotonically_increasing_id()), "scored")
-    missed = rows.select("row_id", F.inline("missed")).join(counts.table, "token", "left")
-    found = missed.groupBy("row_id").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING))).alias("more"))
+    missed = rows.select("row_id", F.inline("missed")).join(groups, "group", "left")
+    found = missed.mapInArrow(
+        _score_groups(shared),
+        "row_id bigint, known double, logs double, model double, unknown double",
+    ).groupBy("row_id").agg(
+        F.sum("known").cast("bigint").alias("more_known"), F.sum("logs").alias("more"),
+        F.sum(F.col("model") + F.col("known") * F.lit(others)
+              + F.col("unknown") * F.lit(unknown)).alias("more_model"))
     none = F.lit(0.0)
     return rows.drop("missed").join(found, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens",
@@ -415,5 +686,5 @@ def score(docs: DataFrame, *, held_out: Column, rounds: int = 1) -> DataFrame:
         F.lit(counts.tokens).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", none)
          - F.col("n_tokens") * F.lit(math.log10(total))).alias("base_score"),
-        (F.col("model") / F.lit(math.log(10)) + F.col("beyond") + F.coalesce("more", none)
-         - F.col("outside") * F.lit(math.log10(rest))).alias("score"))
+        ((F.col("model") + F.col("outside") * F.lit(others) + F.coalesce("more_model", none))
+         / F.lit(math.log(10))).alias("score"))
