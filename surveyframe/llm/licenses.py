@@ -32,8 +32,8 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# What may stand between words: characters that are no letters or digits.
-_GAP = r"[\x00-/:-`{-\x7f]{1,8}"
+# What may stand between words: characters that are no letters or digits, any number of them.
+_GAP = r"[\x00-/:-`{-\x7f]++"
 _LICENSE = r"licen[sc]e"
 _VERSION = rf"(?:,?{_GAP})?(?:version{_GAP}|ver\.?{_GAP}|v\.?(?:{_GAP})?)?"
 _CUT = r"(?<![^\x00-/:-`{-\x7f])", r"(?![^\x00-/:-`{-\x7f])"
@@ -102,6 +102,10 @@ FAMILIES: tuple[tuple[tuple[str, ...], str, tuple[str, ...]], ...] = (
     (("mit no attribution license",), "mit-0", ()),
     (("bsd license",), "bsd", ()),
 )
+# Families whose id with a version is a usual name of the license; of the second ones only with a
+# hyphen between, since the id alone names something else.
+BARE = frozenset("gpl lgpl agpl gfdl mpl epl cddl eupl ofl lppl sspl odbl".split())
+BARE_WITH_HYPHEN = frozenset("apache artistic psf osl afl cpl zpl cecill busl".split())
 BSD_CLAUSES = (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four"))
 BSD_NAMES = (("simplified", 2), ("freebsd", 2), ("new", 3), ("modified", 3), ("revised", 3),
              ("original", 4), ("old", 4))
@@ -148,8 +152,8 @@ def _family_rules() -> Iterator[Rule]:
                            + r"(?!\.?[0-9])", _keywords(name), 20, 0.9)
                 yield Rule(
                     f"{short}-{version}-or-later", _words(name) + _VERSION + number
-                    + _GAP + _words("or") + _GAP + r"(?:\(?at your option\)?" + _GAP
-                    + r")?(?:any )?later", (*_keywords(name), frozenset(("later",))), 30, 0.95)
+                    + _GAP + _words("or") + _GAP + "(?:" + _words("at your option")
+                    + _GAP + rf")?(?:any{_GAP})?later", (*_keywords(name), frozenset(("later",))), 30, 0.95)
         first = frozenset((short.split("-")[0],))
         for version in versions:
             number = re.escape(version)
@@ -163,6 +167,25 @@ def _family_rules() -> Iterator[Rule]:
                        (frozenset(("spdx",)), first), 40, 1.0)
 
 
+def _bare_rules() -> Iterator[Rule]:
+    for short, version in sorted({(f, v) for _, f, versions in FAMILIES for v in versions}):
+        if short in BARE:
+            between = rf"(?:{_GAP})?(?:version{_GAP}|v\.?(?:{_GAP})?)?"
+        elif short in BARE_WITH_HYPHEN:
+            between = "-"
+        else:
+            continue
+        major = version.split(".")[0]
+        keywords = (frozenset((short, short + major, f"{short}v{major}")),)
+        number = re.escape(version.removesuffix(".0")) + (
+            r"(?:\.0)?" if version.endswith(".0") else "")
+        bare = short + between + number
+        yield Rule(f"{short}-{version}", bare + r"(?!\.?[0-9])", keywords, 20, 0.8)
+        yield Rule(f"{short}-{version}-only", rf"{bare}{_GAP}only", keywords, 25, 0.8)
+        yield Rule(f"{short}-{version}-or-later",
+                   rf"{bare}(?:\+|{_GAP}or{_GAP}(?:any{_GAP})?later)", keywords, 30, 0.85)
+
+
 def _bsd_rules() -> Iterator[Rule]:
     bsd = frozenset(("bsd",))
     for digit, word in BSD_CLAUSES:
@@ -190,7 +213,7 @@ def _cc_rules() -> Iterator[Rule]:
                    10 + len(parts), 0.8)
         for version in CC_VERSIONS:
             number = re.escape(version)
-            yield Rule(f"cc-{kind}-{version}", cc + _GAP + r"(?:version )?v?" + number, seen,
+            yield Rule(f"cc-{kind}-{version}", cc + _GAP + rf"(?:version{_GAP})?v?" + number, seen,
                        20 + len(parts), 0.9)
             yield Rule(f"cc-{kind}-{version}", rf"creativecommons\.org/licenses/{kind}/{number}",
                        (frozenset(("creativecommons",)),), 40, 1.0)
@@ -202,7 +225,7 @@ def _cc_rules() -> Iterator[Rule]:
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in the order in which they are applied."""
-    made = [*_family_rules(), *_bsd_rules(), *_cc_rules()]
+    made = [*_family_rules(), *_bare_rules(), *_bsd_rules(), *_cc_rules()]
     for label, text, keywords, confidence in PASSAGES:
         made.append(Rule(label, _words(text), _keywords(keywords), 15, confidence))
     return tuple(sorted(dict.fromkeys(made), key=lambda r: (-r.priority, r.label, r.pattern)))
