@@ -26,12 +26,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes plaintext textarea title".split())
 UNSEEN = frozenset(
     "head script style template title noscript noframes noembed iframe object audio video canvas"
-    " svg math datalist meter progress dialog param source track link meta base area map"
+    " datalist meter progress param source track link meta base area map"
     .split())
+# Inside these elements further ones aren't shown, and tags may close themselves.
+FOREIGN_UNSEEN = {
+    "math": frozenset(("annotation", "annotation-xml")),
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern".split()),
+}
+SVG_TEXT = frozenset(("text", "foreignobject"))  # all else of a drawing has no text
 APART = frozenset(  # blank lines around
     "p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu dir".split())
 BLOCK = APART | frozenset(
-    "html body address article aside center details div dd dt fieldset figcaption footer form"
+    "html body address article aside center details dialog div dd dt fieldset figcaption footer form"
     " header hgroup legend li listing main nav option optgroup search section select summary tr"
     " thead tbody tfoot caption xmp".split())
 CLOSES_P = frozenset(
@@ -240,6 +246,10 @@ class Renderer:
         return len(self.flows) == 1 or not self.tables[-1].rows
 
 
+def _has_open(attributes: str) -> bool:
+    return any(m[1].lower() == "open" for m in _ATTRIBUTE.finditer(attributes))
+
+
 def _hidden(attributes: str) -> bool:
     if "hidden" not in attributes.lower() and "none" not in attributes.lower() and (
             "collapse" not in attributes.lower()):
@@ -262,11 +272,16 @@ class Builder:
         self.unseen = 0
 
     def push(self, tag: str, attributes: str) -> None:
-        hides = tag in UNSEEN or _hidden(attributes)
+        hides = tag in UNSEEN or _hidden(attributes) or (
+            tag == "dialog" and not _has_open(attributes)) or any(
+            tag in inside and self.count.get(outer, 0) > 0
+            for outer, inside in FOREIGN_UNSEEN.items())
         self.unseen += hides
         self.open.append((tag, attributes, hides))
         self.count[tag] = self.count.get(tag, 0) + 1
         if not self.unseen:
+            if tag == "text" and self.count.get("svg"):
+                self.renderer.text(" ")  # placed on its own
             self.renderer.start(tag, attributes)
 
     def pop(self) -> str:
@@ -274,6 +289,8 @@ class Builder:
         self.count[tag] -= 1
         if not self.unseen:
             self.renderer.end(tag, attributes)
+            if tag == "text" and self.count.get("svg"):
+                self.renderer.text(" ")
         self.unseen -= hides
         return tag
 
@@ -315,6 +332,19 @@ class Builder:
                     self.renderer.end(tag, attributes)
             return
         self.push(tag, attributes)
+        if self.closes_itself(attributes):
+            self.pop()
+
+    def closes_itself(self, attributes: str) -> bool:
+        return attributes.endswith("/") and any(self.count.get(t) for t in FOREIGN_UNSEEN)
+
+    def in_drawing(self) -> bool:
+        """Whether the innermost drawing is outside its texts."""
+        if self.count.get("svg"):
+            for tag, _, _ in reversed(self.open):
+                if tag in SVG_TEXT or tag == "svg":
+                    return tag == "svg"
+        return False
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -339,7 +369,7 @@ class Builder:
     def text(self, text: str) -> None:
         if self.count.get("head") and text.strip() and self.open[-1][0] == "head":
             self.close(frozenset(("head",)), frozenset())
-        if not self.unseen:
+        if not self.unseen and not self.in_drawing():
             self.renderer.text(unescape(text))
 
 
@@ -360,7 +390,7 @@ def visible_text(html: str) -> str:
         elif found[2]:
             tag = found[2].lower()
             builder.start(tag, found[3])
-            if tag in RAW:
+            if tag in RAW and not builder.closes_itself(found[3]):
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 stop = end.start() if end else len(html)
                 if tag in ("textarea", "xmp", "plaintext") and not builder.unseen:
