@@ -39,19 +39,36 @@ def _runs(text: str, width: int) -> set[tuple[str, ...]]:
     return {tuple(found[i:i + width]) for i in range(len(found) - width + 1)}
 
 
+def _item_runs(text: str, width: int) -> set[tuple[str, ...]]:
+    """The runs of an item; one of fewer words than ``width`` is a run of its own."""
+    found = tuple(_WORD.findall(text.translate(_LOWER)))
+    return {found} if 0 < len(found) < width else _runs(text, width)
+
+
 class Screen:
     """The sketches of one block of items, and what verifies a candidate."""
 
     def __init__(self, items: list[tuple[int | None, str]], width: int, percent: int):
         self.width, self.percent = width, percent
         self.names = [item for item, _ in items]
-        self.sets = [_runs(text, width) for _, text in items]
+        self.sets = [_item_runs(text, width) for _, text in items]
+        # Items shorter than the width, by their number of words: each is one run, found exactly.
+        self.short: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        for i, found in enumerate(self.sets):
+            for run in found:
+                if len(run) < width:
+                    self.short.setdefault(len(run), {}).setdefault(run, []).append(i)
+        self.short_hashes = {
+            size: np.sort(W.shingle_hashes(*W.word_hashes(
+                pa.array([" ".join(run) for run in runs], pa.string()), W.LETTER_OR_DIGIT),
+                size, short=False)[0])
+            for size, runs in self.short.items()}
         hashes, bounds = W.shingle_hashes(
             *W.word_hashes(pa.array([t for _, t in items], pa.string()), W.LETTER_OR_DIGIT),
             width, short=False)
         by_size = defaultdict(list)
         for i, found in enumerate(self.sets):
-            if found:
+            if found and len(next(iter(found))) == width:
                 by_size[len(found).bit_length()].append(i)
         self.least_size = []  # of each partition: shingles that a document needs
         sketch, owner, part = [], [], []
@@ -75,8 +92,21 @@ class Screen:
 
     def candidates(self, texts: pa.Array) -> list[tuple[int, int]]:
         """(row, item) pairs that share a hash of the item's sketch."""
-        hashes, bounds = W.shingle_hashes(
-            *W.word_hashes(texts, W.LETTER_OR_DIGIT), self.width, short=False)
+        return self._candidates(*W.word_hashes(texts, W.LETTER_OR_DIGIT))
+
+    def short_rows(self, words: np.ndarray, text_bounds: np.ndarray) -> dict[int, set[int]]:
+        """For each row that holds the hash of a short item, the numbers of words of such items."""
+        out: dict[int, set[int]] = {}
+        for size, wanted in self.short_hashes.items():
+            hashes, bounds = W.shingle_hashes(words, text_bounds, size, short=False)
+            place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+            at = np.flatnonzero(wanted[place] == hashes)
+            for row in np.unique(np.searchsorted(bounds, at, "right") - 1).tolist():
+                out.setdefault(row, set()).add(size)
+        return out
+
+    def _candidates(self, words: np.ndarray, text_bounds: np.ndarray) -> list[tuple[int, int]]:
+        hashes, bounds = W.shingle_hashes(words, text_bounds, self.width, short=False)
         at = np.flatnonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])
         low = np.searchsorted(self.sketch, hashes[at], "left")
         high = np.searchsorted(self.sketch, hashes[at], "right")
@@ -89,8 +119,15 @@ class Screen:
 
     def verified(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, item, shingles of the item in the text) where containment holds."""
+        words, text_bounds = W.word_hashes(texts, W.LETTER_OR_DIGIT)
+        for found, sizes in self.short_rows(words, text_bounds).items():
+            for size in sizes:
+                runs = self.short[size]
+                for run in runs.keys() & _runs(texts[found].as_py(), size):
+                    for item in runs[run]:
+                        yield found, item, 1
         row, inside = None, set()
-        for found, item in self.candidates(texts):
+        for found, item in self._candidates(words, text_bounds):
             if found != row:
                 row, inside = found, _runs(texts[found].as_py(), self.width)
             shared = len(self.sets[item] & inside)
@@ -118,8 +155,9 @@ def contained_items(
     at least ``percent`` of the distinct shingles stand in a document (doc_id, text).
 
     Words are runs of ASCII letters, digits and other letters, A-Z lower-cased.
-    Missing and empty texts, and items of fewer than ``width`` words, have no
-    shingles: nothing is found.  Each row is a document and an item of its own,
+    An item of fewer than ``width`` words is one shingle, its whole sequence, and is
+    found where that stands in a document.  Missing texts and texts without words have
+    no shingles: nothing is found.  Each row is a document and an item of its own,
     also where ids repeat or are missing; repeated item rows count once.
     """
     spark = docs.sparkSession
