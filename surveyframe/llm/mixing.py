@@ -99,6 +99,8 @@ def mix(
     no block is drawn more often than ``limit`` rounded up.  A missing text has no
     words and is not drawn; a missing source is a source of its own.  Rows that
     share a doc_id are drawn each for itself; the seed and the ids fix the result.
+    The driver holds a quota for each source: more than MAX_SOURCES that are drawn
+    stop the job with an error.
     """
     spark = docs.sparkSession
     ship(spark)
