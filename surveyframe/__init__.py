@@ -26,6 +26,7 @@ from .operators.report import treatment_control_report
 from .operators.sampling import grid_weight, stratified_split
 from .operators.survey import (
     SurveyDesign, strata_overview, stratified_proportion, stratum_variances, survey_mean,
+    survey_ratio, survey_t_test_by_design,
 )
 from .operators.tables import (
     binary_violations, crosstab, filter_by_mean, frequency_table, group_moments, group_total,

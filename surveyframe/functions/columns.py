@@ -74,8 +74,11 @@ def ratio(top: str, bottom: str) -> Column:
 
 
 def weight_or_one(weight: str | None) -> Column:
-    """The weight column, or 1 for every row when no weight is named."""
-    return number(weight) if weight else F.lit(1.0)
+    """The weight column, or 1 for every row when no weight is named; one below zero is an error."""
+    if weight is None:
+        return F.lit(1.0)
+    refused = F.raise_error(F.lit(f"{weight} must not be below zero")).cast("double")
+    return F.when(number(weight) < 0, refused).otherwise(number(weight))
 
 
 def dummy(predicate: Column) -> Column:

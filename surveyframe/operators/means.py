@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
-    ColumnNames, col, cols, divide, names, number, require, require_number,
+    ColumnNames, col, cols, divide, names, number, require, require_number, weight_or_one,
 )
 from ..functions.distributions import t_p_value, t_quantile
 from ..plans.two_samples import two_sample_moments
@@ -312,13 +312,13 @@ def compare_mean_tests(
     One row per ``method``, all as mean of x minus mean of y.  ``weighted`` takes
     the weights as statistical, ``weighted_sum_n`` as counts of observations.  The
     regressions on a dummy, ``ols`` and with weights ``wls``, are fitted on their
-    own sums; the first five share the two passes of the weighted moments.
+    own sums; the first five share those of the weighted moments.
     """
     moments = two_sample_moments(df, [value], group, x, y, weight)
     methods = _with_interval(_with_t(differences_by_method(moments)), level)
     dummy = F.when(col(group) == F.lit(x), 1.0).otherwise(0.0).alias("__is_x")
     rows = df.filter(col(group).isin(x, y)).select(
-        number(value).alias("__value"), number(weight).alias("__weight"), dummy)
+        number(value).alias("__value"), weight_or_one(weight).alias("__weight"), dummy)
     return methods.unionByName(_regressed(rows, None, level, "ols")).unionByName(
         _regressed(rows, "__weight", level, "wls"))
 

@@ -392,7 +392,7 @@ def compare_proportion_tests(
     value = number(outcome)
     wrong = F.raise_error(F.lit(f"{outcome} must hold only 0, 1 or NULL")).cast("double")
     rows = df.select(
-        col(group).alias("__group"), number(weight).alias("__weight"),
+        col(group).alias("__group"), weight_or_one(weight).alias("__weight"),
         F.when(is_not_binary(value), wrong).otherwise(value).alias("__value"))
     moments = two_sample_moments(rows, ["__value"], "__group", x, y, "__weight")
     z = normal_quantile((1 + level) / 2)

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import col, divide, number, require_number
+from ..functions.columns import col, divide, number, require_number, weight_or_one
 from ..functions.distributions import t_p_value, t_quantile
+from ..plans import weighted_moments as weighted
 from ..plans.attach import with_only_row
 
 INTERCEPT = "(Intercept)"
 
 
 def _pairs(df: DataFrame, y: str, x: str, weight: str | None) -> DataFrame:
-    """Complete rows; weights of zero take no part."""
+    """Complete rows; weights of zero take no part, one below zero is an error."""
     require_number(df, y, x, weight)
     rows = df.select(
         number(y).alias("y"), number(x).alias("x"),
-        *([number(weight).alias("w")] if weight else []),
+        *([weight_or_one(weight).alias("w")] if weight else []),
     )
     complete = F.col("y").isNotNull() & F.col("x").isNotNull()
     return rows.filter(complete & (F.col("w") > 0) if weight else complete)
@@ -32,18 +33,13 @@ def _sums(df: DataFrame, y: str, x: str, weight: str | None) -> DataFrame:
             F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"),
             F.regr_syy("y", "x").alias("syy"),
         )
-    w = F.col("w")
-    centre = rows.agg(
-        F.count("*").alias("n"), F.sum(w).alias("total"),
-        divide(F.sum(w * F.col("x")), F.sum(w)).alias("mean_x"),
-        divide(F.sum(w * F.col("y")), F.sum(w)).alias("mean_y"),
-    )
-    off_x, off_y = F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y")
-    spreads = with_only_row(rows, centre).agg(
-        F.sum(w * off_x * off_x).alias("sxx"), F.sum(w * off_x * off_y).alias("sxy"),
-        F.sum(w * off_y * off_y).alias("syy"),
-    )
-    return with_only_row(spreads, centre)
+    pairs = {"sxx": ("x", "x"), "sxy": ("x", "y"), "syy": ("y", "y")}
+    sums = rows.selectExpr("*", *weighted.split("x"), *weighted.split("y")).agg(
+        *[F.expr(text) for text in weighted.sums("w", ["x", "y"], list(pairs.values()))])
+    return sums.selectExpr(
+        "x_n AS n", "x_w AS total", f"{weighted.mean('x')} AS mean_x",
+        f"{weighted.mean('y')} AS mean_y",
+        *[f"{weighted.spread(a, b)} AS {name}" for name, (a, b) in pairs.items()])
 
 
 def _line(sums: DataFrame) -> DataFrame:

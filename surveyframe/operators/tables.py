@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import (
     ColumnNames, col, cols, divide, is_not_binary, names, number, quoted, require, require_number,
+    weight_or_one,
 )
 from ..plans.attach import join_groups, kept, with_only_row
 
@@ -41,7 +42,7 @@ def weighted_mean(
     require(df, *by)
     require_number(df, value, weight)
     y = number(value)
-    w = F.when(y.isNotNull(), number(weight))
+    w = F.when(y.isNotNull(), weight_or_one(weight))
     return df.groupBy(*cols(by)).agg(
         F.count(y).alias("n"), F.sum(w).alias("weight_sum"),
         divide(F.sum(w * y), F.sum(w)).alias("weighted_mean"),

@@ -1,8 +1,7 @@
 """Moments of two samples, for one or many variables, as one row per variable.
 
 The samples are two named levels of a grouping column.  One aggregate reads
-every variable at once; weighted moments need a second, centred pass, because
-the one-pass form loses all its digits when the mean is large.
+every variable at once, with and without weights.
 """
 
 from __future__ import annotations
@@ -11,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import col, number, require, require_number
-from .attach import with_only_row
+from ..functions.columns import col, number, require, require_number, weight_or_one
+from . import weighted_moments as weighted
 
 SIDES = ("x", "y")
 
@@ -26,7 +25,7 @@ def two_samples(
     if x == y:
         raise ValueError("the two samples need different levels")
     values = [number(v).alias(f"v{i}") for i, v in enumerate(variables)]
-    weights = [number(weight).alias("w")] if weight else []
+    weights = [weight_or_one(weight).alias("w")] if weight else []
     level = F.when(col(group) == F.lit(x), "x").otherwise("y").alias("side")
     return df.filter(col(group).isin(x, y)).select(level, *weights, *values)
 
@@ -43,20 +42,13 @@ def two_sample_moments(
     of squared weighted deviations.
     """
     rows = two_samples(df, variables, group, x, y, weight)
-    indices = range(len(variables))
-    wide = rows.agg(*[
-        F.expr(text) for side in SIDES for text in _plain_moments(side, indices) + (
-            _weight_sums(side, indices) if weight else [])
-    ])
-    if weight:
-        wide = _centred_pass(rows, wide, indices)
-
+    wide = _weighted_moments(rows, len(variables)) if weight else rows.agg(*[
+        F.expr(text) for side in SIDES for text in _plain_moments(side, range(len(variables)))])
     measures = _MEASURES + (_WEIGHTED_MEASURES if weight else [])
 
     def row(i: int, name: str) -> Column:
         fields = ", ".join(
-            f"{side}_flat" if m == "flat" else f"{side}{i}_{m} AS {side}_{m}"
-            for side in SIDES for m in measures)
+            f"{side}{i}_{m} AS {side}_{m}" for side in SIDES for m in measures)
         return F.struct(
             F.lit(i).alias("variable_index"), F.lit(name).alias("variable"),
             F.expr(f"struct({fields})").alias("moments"))
@@ -68,6 +60,7 @@ def two_sample_moments(
 
 _MEASURES = ["n", "missing", "mean", "var"]
 _WEIGHTED_MEASURES = ["flat", "wn", "wsum", "wmean", "wspread", "wscore"]
+_OF_NOTHING = {"n": "0L", "missing": "0L", "wn": "0L", "flat": "true"}
 
 
 def _plain_moments(side: str, indices: Sequence[int]) -> list[str]:
@@ -82,32 +75,31 @@ def _plain_moments(side: str, indices: Sequence[int]) -> list[str]:
     ]
 
 
-def _weight_sums(side: str, indices: Sequence[int]) -> list[str]:
-    here = f"side = '{side}'"
-    mine = f"CASE WHEN {here} THEN w END"
-    flat = (f"(min({mine}) <=> max({mine}) AND count({mine}) IN (0, count_if({here})))"
-            f" AS {side}_flat")
-    found = [flat]
-    for i in indices:
-        used = f"CASE WHEN {here} AND v{i} IS NOT NULL THEN w END"
-        found += [
-            f"count({used}) AS {side}{i}_wn", f"sum({used}) AS {side}{i}_wsum",
-            f"try_divide(sum({used} * v{i}), sum({used})) AS {side}{i}_wmean",
-        ]
-    return found
-
-
-def _centred_pass(rows: DataFrame, wide: DataFrame, indices: Sequence[int]) -> DataFrame:
-    """Squared deviations from the weighted means, next to the first pass's row.
-
-    Both uses of ``wide`` are the same subquery, which Spark runs once.
+def _weighted_moments(rows: DataFrame, variables: int) -> DataFrame:
+    """The moments of every variable and side in one row.
+
+    Each row is turned into one per variable, so the aggregates, and the code that Spark makes of
+    them, are as many for any number of variables.  They are combined per task.
     """
-    centred = []
-    for side in SIDES:
-        for i in indices:
-            off = f"CASE WHEN side = '{side}' THEN v{i} - {side}{i}_wmean END"
-            centred += [
-                F.expr(f"sum(w * {off} * {off}) AS {side}{i}_wspread"),
-                F.expr(f"sum(power(w * {off}, 2)) AS {side}{i}_wscore"),
-            ]
-    return with_only_row(with_only_row(rows, wide).agg(*centred), wide)
+    stacked = rows.select("side", "w", F.posexplode(F.array(*[
+        F.col(f"v{i}") for i in range(variables)])).alias("i", "v"))
+    square = "square_"
+    sums = stacked.selectExpr("i", "side", "w", "v", *weighted.split("v")).groupBy("i", "side").agg(
+        *[F.expr(text) for text in (
+            "count(v) AS n", "count_if(v IS NULL) AS missing", "avg(v) AS mean", "var_samp(v) AS var",
+            "(min(w) <=> max(w) AND count(w) IN (0, count(*))) AS flat",
+            *weighted.sums("w", ["v"], [("v", "v")]),
+            *weighted.sums("w * w", ["v"], [("v", "v")], tag=square))])
+    moments = sums.selectExpr(
+        "i", "side", "n", "missing", "mean", "var", "flat", "v_n AS wn", "v_w AS wsum",
+        f"{weighted.mean('v')} AS wmean", f"{weighted.spread('v', 'v')} AS wspread",
+        f"{weighted.score('v', '', square)} AS wscore")
+    held = ", ".join(_MEASURES + _WEIGHTED_MEASURES)
+    places = [(side, i) for side in SIDES for i in range(variables)]
+    wide = moments.selectExpr("i", "side", f"struct({held}) AS m").agg(*[
+        F.expr(f"any_value(m) FILTER (WHERE i = {i} AND side = '{side}') AS {side}{i}")
+        for side, i in places])
+    return wide.selectExpr(*[
+        f"coalesce({side}{i}.{m}, {_OF_NOTHING[m]}) AS {side}{i}_{m}" if m in _OF_NOTHING
+        else f"{side}{i}.{m} AS {side}{i}_{m}"
+        for side, i in places for m in _MEASURES + _WEIGHTED_MEASURES])

@@ -24,6 +24,7 @@ def odd(spark):
 
 SIDES = ("a b", "c.d")
 DESIGN = sf.SurveyDesign(weight=WEIGHT, strata=GROUP, fpc="slope")
+CLUSTERS = sf.SurveyDesign(weight=WEIGHT, strata=GROUP, fpc="slope", unit=KEY)
 
 CALLS = {
     "domain_vs_overall": lambda d: sf.domain_vs_overall(d, GROUP, ONE, weight=WEIGHT),
@@ -87,6 +88,9 @@ CALLS = {
     "stratum_variances": lambda d: sf.stratum_variances(
         d, ONE, GROUP, d.select(GROUP, F.lit(900).alias("N")).distinct(), "N"),
     "survey_mean": lambda d: sf.survey_mean(d, VALUE, DESIGN),
+    "survey_ratio": lambda d: sf.survey_ratio(d, VALUE, WEIGHT, CLUSTERS),
+    "survey_t_test_by_design": lambda d: sf.survey_t_test_by_design(
+        d, VALUE, GROUP, *SIDES, CLUSTERS),
     "binary_violations": lambda d: sf.binary_violations(d, [VALUE, ONE]),
     "crosstab": lambda d: sf.crosstab(d, VALUE, GROUP, list(SIDES)),
     "filter_by_mean": lambda d: sf.filter_by_mean(d, VALUE),

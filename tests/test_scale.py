@@ -255,8 +255,8 @@ def test_folder_of_intermediate_tables():
 
 SCANS = {
     "welch_t_test": ("lineitem", 1), "means_of_many_vars": ("lineitem", 1),
-    "weighted_t_test": ("lineitem", 2), "means_of_many_vars_weighted": ("lineitem", 2),
-    "mean_test_method_comparison": ("lineitem", 5), "wls_dummy": ("lineitem", 2),
+    "weighted_t_test": ("lineitem", 1), "means_of_many_vars_weighted": ("lineitem", 1),
+    "mean_test_method_comparison": ("lineitem", 3), "wls_dummy": ("lineitem", 1),
     "ols_dummy": ("lineitem", 1), "domain_vs_overall_weighted": ("orders", 1),
     "treatment_control_report_expanded": ("orders", 1), "frequency_table": ("events", 1),
     "survey_mean_unstratified": ("lineitem", 2), "two_proportion_pooled": ("orders", 2),

@@ -211,6 +211,79 @@ def finished(source: str, keep: str) -> str:
     FROM (SELECT *, diff_in_means / std_error AS t_stat FROM ({source}))"""
 
 
+def design_based(
+    source: str, estimate: str, *, stratum: str, unit: str, population: str | None,
+    totals: str, influence: str, keep: str, lost: int = 0, z: str = Z95, test: bool = False,
+) -> str:
+    """An estimate with the variance of its rows' influences under strata of clusters.
+
+    ``totals`` are aggregates of the rows, which ``influence`` and ``estimate`` may use.
+    """
+    unsampled = f"(1 - n_h / any_value({population}))" if population else "1"
+    size = f", any_value({population}) AS {population}" if population else ""
+    p_value = f"{t_p('t_stat', 'df')} AS p_value," if test else ""
+    t_stat = "t_stat," if test else ""
+    return f"""
+    WITH rows AS ({source}), whole AS (SELECT {totals} FROM rows),
+    units AS (SELECT {stratum} AS h, {unit} AS u, sum({influence}) AS z,
+                     max(inside::INT) AS used {size}
+              FROM rows, whole GROUP BY 1, 2),
+    strata AS (SELECT h, count(*) AS n_h, sum(used) AS used_h,
+                      {unsampled} * n_h * var_samp(z) AS v FROM units GROUP BY h),
+    added AS (SELECT CAST(count(*) FILTER (used_h > 0) AS BIGINT) AS strata,
+                     CAST(sum(used_h) AS BIGINT) AS units, sqrt(sum(v)) AS std_error FROM strata)
+    SELECT {keep}, strata, units, estimate AS {estimate}, std_error, df, {t_stat} {p_value}
+           estimate - {t_q(z, 'df')} * std_error AS conf_int_lower,
+           estimate + {t_q(z, 'df')} * std_error AS conf_int_upper
+    FROM (SELECT *, estimate / std_error AS t_stat,
+                 CAST(units - strata - {lost} AS DOUBLE) AS df FROM added, whole)"""
+
+
+SURVEY_CI = "std_error conf_int_lower conf_int_upper"
+
+
+def clustered_queries(o: str, li: str) -> dict[str, str]:
+    customers = f"{o} SELECT *, (SELECT count(*) FROM customer) AS customers"
+    by_customer = {
+        "stratum": "o_orderpriority", "unit": "o_custkey", "population": "customers"}
+    by_order = {"stratum": "l_returnflag", "unit": "l_orderkey", "population": None}
+    mean_of = ("count(*) FILTER (inside) AS n, sum(weight) FILTER (inside) AS total,"
+               " sum(weight * y) FILTER (inside) / total AS estimate")
+    off_mean = "CASE WHEN inside THEN weight * (y - estimate) / total ELSE 0 END"
+    side = ("count(*) FILTER ({0}) AS n_{1}, sum(weight) FILTER ({0}) AS total_{1},"
+            " sum(weight * y) FILTER ({0}) / total_{1} AS mean_{1}")
+    return {
+        "survey_mean_clustered": rounded(design_based(
+            f"{customers}, large AS y, true AS inside FROM o WHERE large IS NOT NULL", "mean",
+            **by_customer, totals=mean_of, influence=off_mean, keep="n"), "mean " + SURVEY_CI, 9),
+        "survey_mean_subpopulation": rounded(design_based(
+            f"{customers}, o_totalprice AS y, treated = 1 AS inside FROM o", "mean",
+            **by_customer, totals=mean_of, influence=off_mean, keep="n", z=Z90),
+            "mean " + SURVEY_CI, 4),
+        "survey_ratio": rounded(design_based(
+            f"{li} SELECT *, true AS inside FROM li WHERE known_price IS NOT NULL", "ratio",
+            **by_order, keep="n",
+            totals="count(*) AS n, sum(weight * l_quantity) AS total,"
+                   " sum(weight * known_price) / total AS estimate",
+            influence="weight * (known_price - estimate * l_quantity) / total"),
+            "ratio " + SURVEY_CI),
+        "survey_mean_of_ratios": rounded(design_based(
+            f"{li} SELECT *, l_tax / l_discount AS y, true AS inside FROM li"
+            " WHERE l_discount <> 0", "ratio",
+            **by_order, totals=mean_of, influence=off_mean, keep="n"), "ratio " + SURVEY_CI),
+        "survey_t_test_stratified": rounded(rounded(design_based(
+            f"{customers}, o_totalprice AS y, true AS inside FROM o"
+            " WHERE o_orderstatus IN ('F', 'O')", "diff_in_means", **by_customer,
+            totals=side.format("o_orderstatus = 'F'", "first") + ", "
+            + side.format("o_orderstatus = 'O'", "second")
+            + ", mean_second - mean_first AS estimate",
+            influence="CASE WHEN o_orderstatus = 'O' THEN weight * (y - mean_second) / total_second"
+                      " ELSE -weight * (y - mean_first) / total_first END",
+            keep="n_first, n_second, mean_first, mean_second", lost=1, test=True),
+            "mean_first mean_second diff_in_means " + SURVEY_CI, 4), "t_stat p_value"),
+    }
+
+
 def survey_t_test() -> str:
     source = f"""
     SELECT *, m2 - m1 AS diff_in_means, sqrt(variance) AS std_error,
@@ -1086,6 +1159,7 @@ def all_sql() -> dict[str, str]:
                                          sum(weight) AS total FROM li
                                   WHERE known_price IS NOT NULL)
                         WHERE known_price IS NOT NULL))""", "mean std_error"),
+        **clustered_queries(o, li),
         "strata_overview": rounded(f"""{sample}
             SELECT count(*) AS n, sum(weight) AS sum_of_weights,
                    count(DISTINCT lang) AS strata, avg(toxic) AS unweighted_share

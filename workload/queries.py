@@ -619,6 +619,44 @@ def survey_mean_unstratified(spark, sf):
         lineitem(spark, sf), "known_price", survey.SurveyDesign(weight="weight")))
 
 
+def clustered_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as clusters by customer inside each priority, out of all customers."""
+    everyone = read_table(spark, sf, "customer").agg(F.count("*").alias("n")).select("n").scalar()
+    return orders(spark, sf).withColumn("customers", everyone)
+
+
+CLUSTERED = survey.SurveyDesign(
+    weight="weight", strata="o_orderpriority", unit="o_custkey", fpc="customers")
+BY_ORDER = survey.SurveyDesign(weight="weight", strata="l_returnflag", unit="l_orderkey")
+
+
+def survey_mean_clustered(spark, sf):
+    return rounded(survey.survey_mean(
+        clustered_orders(spark, sf), "large", CLUSTERED, level=0.95), 9)
+
+
+def survey_mean_subpopulation(spark, sf):
+    return rounded(survey.survey_mean(
+        clustered_orders(spark, sf), "o_totalprice", CLUSTERED, where=F.col("treated") == 1,
+        level=0.9), 4)
+
+
+def survey_ratio(spark, sf):
+    return rounded(survey.survey_ratio(
+        lineitem(spark, sf), "known_price", "l_quantity", BY_ORDER))
+
+
+def survey_mean_of_ratios(spark, sf):
+    return rounded(survey.survey_ratio(
+        lineitem(spark, sf), "l_tax", "l_discount", BY_ORDER, of_rows=True))
+
+
+def survey_t_test_stratified(spark, sf):
+    return rounded(survey.survey_t_test_by_design(
+        clustered_orders(spark, sf), "o_totalprice", "o_orderstatus", "O", "F", CLUSTERED), 4,
+        t_stat=6, p_value=6)
+
+
 def strata_overview(spark, sf):
     return rounded(survey.strata_overview(labelled(spark, sf), DESIGN, "toxic"))
 
@@ -663,5 +701,6 @@ def all_queries() -> dict[str, Query]:
         treatment_control_report, treatment_control_report_expanded,
         treatment_control_report_small_domains, stratified_proportion_moe,
         stratum_variances, survey_mean_stratified, survey_mean_unstratified,
-        strata_overview, stratified_split, grid_weights,
+        strata_overview, survey_mean_clustered, survey_mean_subpopulation, survey_ratio,
+        survey_mean_of_ratios, survey_t_test_stratified, stratified_split, grid_weights,
     )}
