@@ -22,7 +22,9 @@ from .operators.ratios import (
     category_shares, listed_counts, mean_of_ratios, member_flag, person_category_counts,
 )
 from .operators.regression import linear_regression, predictions, slope_standard_error
-from .operators.report import treatment_control_report
+from .operators.report import (
+    report_from_sums, store_report_sums, treatment_control_report,
+)
 from .operators.sampling import grid_weight, stratified_split
 from .operators.survey import (
     SurveyDesign, strata_overview, stratified_proportion, stratum_variances, survey_mean,

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import checked_binary, col, require, require_number
+from ..functions.columns import (
+    ColumnNames, checked_binary, col, names as listed, require, require_number,
+)
 from ..functions.intervals import (
     Z_95, coefficient_of_variation, newcombe, standard_error_of_interval, wilson,
 )
@@ -65,13 +67,14 @@ class Measure:
 
 
 def domain_vs_overall(
-    df: DataFrame, domain: str, outcome: str, *, weight: str | None = None,
+    df: DataFrame, domain: ColumnNames, outcome: str, *, weight: str | None = None,
     z: float = Z_95, strict: bool = True, confidential: bool = True, kind: str = "sample",
 ) -> DataFrame:
     """Test each domain's proportion against the overall one.
 
     One row per value of ``domain`` and one, named ``overall``, for the table;
-    ``is_overall`` tells it from a domain of that name.
+    ``is_overall`` tells it from a domain of that name.  Several domain columns each give
+    such rows, told apart by ``domain_var``, from one reading of the table.
     Rows without a domain count only in the overall row.  The difference is that
     of the domain and its complement, with Newcombe's interval, scaled by the
     complement's share; it is significant when the interval leaves out 0.  The
@@ -80,44 +83,131 @@ def domain_vs_overall(
     measure, rules = Measure(outcome), Rules(z, strict, confidential, kind)
     found = domain_statistics(df, domain, [measure], weight, rules)
     return found.select(
-        F.lit(domain).alias("domain_var"), "domain_var_value", "is_overall",
+        "domain_var", "domain_var_value", "is_overall",
         F.lit(outcome).alias("stat_var"), F.lit("proportion").alias("stat"), *STATISTICS,
     )
 
 
 def domain_statistics(
-    df: DataFrame, domain: str, measures: Sequence[Measure], weight: str | None, rules: Rules,
+    df: DataFrame, domain: ColumnNames, measures: Sequence[Measure], weight: str | None,
+    rules: Rules,
 ) -> DataFrame:
     """All statistics of all measures, one row per domain and one for the whole."""
-    require(df, domain)
-    require_number(df, weight, *[m.outcome for m in measures], *[m.among for m in measures])
-    placed = _sums(df, domain, measures, weight)
-    placed = _with_statistics(placed, [m.prefix for m in measures], rules)
-    return placed.select(
-        "domain_var_value", "is_overall",
+    if isinstance(domain, str):
+        return _finished(_one_domain(df, domain, measures, weight), measures, rules)
+    return statistics_of_sums(
+        domain_sums(df, domain, measures, weight), listed(domain), measures, rules)
+
+
+def statistics_of_sums(
+    sums: DataFrame, domains: Sequence[str], measures: Sequence[Measure], rules: Rules,
+) -> DataFrame:
+    """The same from the sums by domain (see :func:`domain_sums`)."""
+    return _finished(_several_domains(sums, domains, measures), measures, rules)
+
+
+def _finished(placed: DataFrame, measures: Sequence[Measure], rules: Rules) -> DataFrame:
+    return _with_statistics(placed, [m.prefix for m in measures], rules).select(
+        "domain_var", "domain_var_value", "is_overall",
         *[m.prefix + s for m in measures for s in STATISTICS])
 
 
-def _sums(
+def _aggregates(
+    df: DataFrame, domains: Sequence[str], measures: Sequence[Measure], weight: str | None,
+) -> list[Column]:
+    require(df, *domains)
+    require_number(df, weight, *[m.outcome for m in measures], *[m.among for m in measures])
+    return [
+        a for m in measures for a in proportion_sums(m.outcome, weight, m.holds(), m.prefix)]
+
+
+def _totals(columns: Sequence[str]) -> list[Column]:
+    """Totals of all domains, and of those with a value."""
+    return [
+        *[F.sum(col(c)).alias(f"all_{c}") for c in columns],
+        *[F.sum(F.when(F.col("known"), col(c))).alias(f"known_{c}") for c in columns]]
+
+
+def sum_columns(measures: Sequence[Measure]) -> list[str]:
+    return [m.prefix + s for m in measures for s in SUMS]
+
+
+def domain_sums(
+    df: DataFrame, domains: ColumnNames, measures: Sequence[Measure], weight: str | None,
+    part: str | None = None,
+) -> DataFrame:
+    """(domain_var, value, known, sums): the sums of each value of each domain column, in one scan.
+
+    Spark expands a row to one per domain column and adds up per task first.  Sums over different
+    rows can be added, so ``part`` keeps them apart by one more column, to be merged later.
+    """
+    domains = listed(domains)
+    if len(set(domains)) != len(domains) or not domains:
+        raise ValueError("name one or several different domain columns")
+    aggregates = _aggregates(df, domains, measures, weight)
+    keys = [f"__domain_{i}" for i in range(len(domains))]
+    needed = list(dict.fromkeys(
+        c for m in measures for c in (m.outcome, m.among) if c is not None))
+    rows = df.select(
+        *[col(d).cast("string").alias(k) for d, k in zip(domains, keys)],
+        *[col(c) for c in dict.fromkeys([*needed, *([weight] if weight else [])])],
+        *([col(part).cast("string").alias("__part")] if part else []))
+    kept = ["__part"] if part else []
+    number = F.grouping_id()
+    # The bits of grouping_id tell the columns that a set leaves out.
+    every = (1 << len(domains)) - 1
+    names = F.create_map(*[
+        F.lit(x) for i, d in enumerate(domains)
+        for x in (every ^ (1 << (len(domains) - 1 - i)), d)])
+    sums = rows.groupingSets([[k, *kept] for k in keys], *[F.col(c) for c in (*kept, *keys)]).agg(
+        *aggregates, number.cast("int").alias("__set"))
+    value = F.coalesce(*keys)
+    return sums.select(
+        F.element_at(names, F.col("__set")).alias("domain_var"), value.alias("value"),
+        value.isNotNull().alias("known"),
+        *[F.col(c).alias("part") for c in kept], *[col(c) for c in sum_columns(measures)])
+
+
+def merged_sums(sums: DataFrame, measures: Sequence[Measure]) -> DataFrame:
+    """Sums of several parts added up."""
+    return sums.groupBy("domain_var", "value").agg(
+        F.max("known").alias("known"), *[F.sum(col(c)).alias(c) for c in sum_columns(measures)])
+
+
+def _several_domains(
+    sums: DataFrame, domains: Sequence[str], measures: Sequence[Measure],
+) -> DataFrame:
+    """Per domain column as :func:`_one_domain`; the totals are as many rows as domain columns."""
+    totals = sums.groupBy("domain_var").agg(*_totals(sum_columns(measures)))
+    every = sums.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(d) for d in domains])).alias("domain_var"))
+    return _placed(
+        sums.filter("known").join(F.broadcast(totals), "domain_var"),
+        every.join(F.broadcast(totals), "domain_var", "left"), measures)
+
+
+def _one_domain(
     df: DataFrame, domain: str, measures: Sequence[Measure], weight: str | None,
 ) -> DataFrame:
     """Per domain and for the whole: the sums and those of the complement."""
-    aggregates = [
-        a for m in measures for a in proportion_sums(m.outcome, weight, m.holds(), m.prefix)
-    ]
+    aggregates = _aggregates(df, [domain], measures, weight)
     # The flag is an aggregate so that its filter stays behind the grouping: every
     # use below then reads the same shuffled sums.
     sums = df.groupBy(col(domain).alias("value")).agg(
         *aggregates, F.max(col(domain).isNotNull()).alias("known"))
-    columns = [m.prefix + s for m in measures for s in SUMS]
-    totals = sums.agg(
-        *[F.sum(col(c)).alias(f"all_{c}") for c in columns],
-        *[F.sum(F.when(F.col("known"), col(c))).alias(f"known_{c}") for c in columns],
-    )
+    totals = sums.agg(*_totals(sum_columns(measures)))
 
     # Both branches take the totals from the same subquery, which runs once.
-    of_domains = with_only_row(sums.filter("known"), totals)
-    overall = with_only_row(df.sparkSession.range(1), totals)
+    name = F.lit(domain)
+    return _placed(
+        with_only_row(sums.filter("known"), totals).withColumn("domain_var", name),
+        with_only_row(df.sparkSession.range(1), totals).withColumn("domain_var", name), measures)
+
+
+def _placed(
+    of_domains: DataFrame, overall: DataFrame, measures: Sequence[Measure],
+) -> DataFrame:
+    """Domains and wholes, both with their totals, as rows of one shape."""
     domain_columns, overall_columns = [], []
     for m in measures:
         p = m.prefix
@@ -145,10 +235,10 @@ def _sums(
             F.lit(True).alias(f"{p}present"),
         ]
     return of_domains.select(
-        F.col("value").cast("string").alias("domain_var_value"),
+        "domain_var", F.col("value").cast("string").alias("domain_var_value"),
         F.lit(False).alias("is_overall"), *domain_columns,
     ).unionByName(overall.select(
-        F.lit(OVERALL).alias("domain_var_value"), F.lit(True).alias("is_overall"),
+        "domain_var", F.lit(OVERALL).alias("domain_var_value"), F.lit(True).alias("is_overall"),
         *overall_columns))
 
 

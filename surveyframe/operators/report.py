@@ -7,11 +7,16 @@ arms.  All sums come from one aggregate over the rows of the two arms.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import col, percent, require, require_number
+from ..functions.columns import (
+    ColumnNames, col, names, percent, require, require_number,
+)
 from ..functions.intervals import Z_95, newcombe
-from .domains import Measure, Rules, STATISTICS, domain_statistics
+from .domains import (
+    Measure, Rules, STATISTICS, domain_statistics, domain_sums, merged_sums, statistics_of_sums,
+    sum_columns,
+)
 
 # Fixed texts of the published table.
 SUPPRESSED = "-"
@@ -24,7 +29,7 @@ _RULES = Rules(z=Z_95, strict=False, confidential=False, kind="sample")
 
 
 def treatment_control_report(
-    df: DataFrame, domain: str, *, treatment: str, control: str,
+    df: DataFrame, domain: ColumnNames, *, treatment: str, control: str,
     first_outcome: str, second_outcome: str, control_outcome: str, weight: str,
     first: str = "fraud", second: str = "denied", expanded: bool = False,
 ) -> DataFrame:
@@ -33,42 +38,109 @@ def treatment_control_report(
     ``treatment`` and ``control`` are 0/1 columns naming the arms.  ``first`` and
     ``second`` name the outcomes in the output columns.  Domains found only in
     the control arm do not appear; where the control arm lacks a domain its side
-    is NULL.  ``is_overall`` marks the row of the whole table.
+    is NULL.  ``is_overall`` marks the row of the whole table.  Several domain columns
+    are reported from one reading of the table, told apart by the domain_var of the first side.
     """
-    require(df, domain)
-    require_number(df, treatment, control, first_outcome, second_outcome, control_outcome, weight)
+    require(df, *names(domain))
+    sides, measures = _sides(
+        treatment, control, first_outcome, second_outcome, control_outcome, first, second)
+    arms = _arms(df, treatment, control, measures, weight)
+    table = domain_statistics(arms, domain, measures, weight, _RULES)
+    return _published_table(table, sides, measures, second, expanded, not isinstance(domain, str))
+
+
+def store_report_sums(
+    df: DataFrame, path: str, domains: ColumnNames, part: str, *, treatment: str, control: str,
+    first_outcome: str, second_outcome: str, control_outcome: str, weight: str,
+    first: str = "fraud", second: str = "denied",
+) -> None:
+    """Write the sums behind the report to the folder ``path``, apart by the column ``part``.
+
+    A part is what arrives and is corrected as one: a day, or a file.  Parts that ``df`` holds replace
+    what the folder has of them, all others stay; a row without a part belongs to a part of its own.
+    Only ``df`` is read, so a report on grown data costs its new parts.
+    """
+    require(df, part, *names(domains))
+    _, measures = _sides(
+        treatment, control, first_outcome, second_outcome, control_outcome, first, second)
+    arms = _arms(df, treatment, control, measures, weight)
+    # A part whose rows are in neither arm still replaces the old one, with sums of nothing.
+    sums = domain_sums(arms, domains, measures, weight, part)
+    empty = df.select(col(part).cast("string").alias("part")).distinct().select(
+        F.lit(names(domains)[0]).alias("domain_var"), F.lit(None).cast("string").alias("value"),
+        F.lit(False).alias("known"), "part",
+        *[F.lit(0).cast(sums.schema[c].dataType).alias(c) for c in sum_columns(measures)])
+    both = sums.unionByName(empty)
+    both.repartition("part").write.partitionBy("part").mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def report_from_sums(
+    spark: SparkSession, path: str, domains: ColumnNames, *, first: str = "fraud",
+    second: str = "denied", expanded: bool = False, outcomes: tuple[str, str, str] = (
+        "first outcome", "second outcome", "control outcome"),
+) -> DataFrame:
+    """:func:`treatment_control_report` from the sums in the folder ``path``.
+
+    ``first`` and ``second`` are as they were when the sums were written; ``outcomes`` names the
+    three outcome columns in messages and in the expanded table.
+    """
+    sides, measures = _sides("treatment", "control", *outcomes, first, second)
+    stored = spark.read.parquet(path)
+    require(stored, *sum_columns(measures))
+    wanted = stored.filter(F.col("domain_var").isin(names(domains)))
+    table = statistics_of_sums(merged_sums(wanted, measures), names(domains), measures, _RULES)
+    return _published_table(table, sides, measures, second, expanded, not isinstance(domains, str))
+
+
+def _sides(
+    treatment: str, control: str, first_outcome: str, second_outcome: str, control_outcome: str,
+    first: str, second: str,
+) -> tuple[list[str], list[Measure]]:
     sides = [f"treatment_{first}", f"treatment_{second}", f"control_{second}"]
-    measures = [
+    return sides, [
         Measure(outcome, arm, f"{side}_")
         for side, outcome, arm in zip(
             sides, (first_outcome, second_outcome, control_outcome),
             (treatment, treatment, control))
     ]
-    arms = df.filter((col(treatment) == 1) | (col(control) == 1))
-    table = domain_statistics(arms, domain, measures, weight, _RULES)
-    table = table.filter(col(f"{sides[0]}_n_unweighted").isNotNull())
 
+
+def _arms(
+    df: DataFrame, treatment: str, control: str, measures: list[Measure], weight: str,
+) -> DataFrame:
+    require_number(df, treatment, control, *[m.outcome for m in measures], weight)
+    return df.filter((col(treatment) == 1) | (col(control) == 1))
+
+
+def _published_table(
+    table: DataFrame, sides: list[str], measures: list[Measure], second: str, expanded: bool,
+    several: bool,
+) -> DataFrame:
+    table = table.filter(col(f"{sides[0]}_n_unweighted").isNotNull())
     gap = f"diff_btw_treatment_and_control_{second}"
     table = _with_gap(table, gap, sides[1], sides[2])
     table = _with_labels(table, sides, gap)
 
     key = [F.col("domain_var_value").alias(f"{sides[0]}_domain_var_value"), "is_overall"]
+    var = [F.col("domain_var").alias(f"{sides[0]}_domain_var")] if several else []
     gap_label = "diff_btw_treatment_and_control_p_weighted_output"
     if not expanded:
         return table.select(
-            *key, *[f"{s}_{label}_output" for s in sides for label in ("p_weighted", "conf_int")],
+            *var, *key,
+            *[f"{s}_{label}_output" for s in sides for label in ("p_weighted", "conf_int")],
             gap_label, f"{gap}_conf_int_output",
         )
     described = []
     for side, measure in zip(sides, measures):
         present = col(f"{side}_n_unweighted").isNotNull()
 
-        def fixed(name: str, text: str) -> Column:
-            return F.when(present, F.lit(text)).alias(f"{side}_{name}")
+        def fixed(name: str, text: Column) -> Column:
+            return F.when(present, text).alias(f"{side}_{name}")
 
         described += [
-            fixed("domain_var", domain), *(key if side == sides[0] else []),
-            fixed("stat_var", measure.outcome), fixed("stat", "proportion"),
+            fixed("domain_var", F.col("domain_var")), *(key if side == sides[0] else []),
+            fixed("stat_var", F.lit(measure.outcome)), fixed("stat", F.lit("proportion")),
             *[f"{side}_{s}" for s in STATISTICS],
         ]
     return table.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ SIDES = ("a b", "c.d")
 DESIGN = sf.SurveyDesign(weight=WEIGHT, strata=GROUP, fpc="slope")
 CLUSTERS = sf.SurveyDesign(weight=WEIGHT, strata=GROUP, fpc="slope", unit=KEY)
 
+
+
+def stored_sums(d):
+    path = tempfile.mkdtemp()
+    sf.store_report_sums(
+        d, path, [GROUP, VALUE], KEY, treatment=ONE, control=OTHER, first_outcome=OTHER,
+        second_outcome=ONE, control_outcome=ONE, weight=WEIGHT)
+    return d.sparkSession.read.parquet(path)
+
+
 CALLS = {
     "domain_vs_overall": lambda d: sf.domain_vs_overall(d, GROUP, ONE, weight=WEIGHT),
     "compare_mean_tests": lambda d: sf.compare_mean_tests(d, VALUE, GROUP, *SIDES, WEIGHT),
@@ -80,6 +91,9 @@ CALLS = {
     "treatment_control_report": lambda d: sf.treatment_control_report(
         d, GROUP, treatment=ONE, control=OTHER, first_outcome=OTHER, second_outcome=ONE,
         control_outcome=ONE, weight=WEIGHT, expanded=True),
+    "store_report_sums": lambda d: stored_sums(d).select("part"),
+    "report_from_sums": lambda d: sf.report_from_sums(
+        d.sparkSession, stored_sums(d).inputFiles()[0].rsplit("/", 2)[0], [GROUP, VALUE]),
     "grid_weight": lambda d: d.select(sf.grid_weight(VALUE, 1).alias("w")),
     "stratified_split": lambda d: sf.stratified_split(d, [GROUP, ONE], KEY),
     "strata_overview": lambda d: sf.strata_overview(d, DESIGN, ONE),

@@ -258,6 +258,9 @@ SCANS = {
     "weighted_t_test": ("lineitem", 1), "means_of_many_vars_weighted": ("lineitem", 1),
     "mean_test_method_comparison": ("lineitem", 3), "wls_dummy": ("lineitem", 1),
     "ols_dummy": ("lineitem", 1), "domain_vs_overall_weighted": ("orders", 1),
+    "domain_vs_overall_many_domains": ("orders", 1),
+    "treatment_control_report_many_domains": ("orders", 1),
+    "survey_ratio": ("lineitem", 2),
     "treatment_control_report_expanded": ("orders", 1), "frequency_table": ("events", 1),
     "survey_mean_unstratified": ("lineitem", 2), "two_proportion_pooled": ("orders", 2),
     "ols_predictions": ("orders", 3),

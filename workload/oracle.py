@@ -1121,6 +1121,19 @@ def all_sql() -> dict[str, str]:
         "domain_vs_overall_small_domains": rounded(f"{pa} " + domain_table(
             "pa", "p_brand", "oversized", "loose_confidential", settings(False, True, "sample")),
             DOMAIN_DOUBLES),
+        "domain_vs_overall_many_domains": rounded(
+            f"{o}, oy AS (SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS year FROM o) "
+            + " UNION ALL ".join(
+                f"SELECT * FROM ({domain_table('oy', d, 'large', 'strict_confidential', settings(True, True, 'sample'), 'weight')})"
+                for d in ("priority", "year", "o_orderstatus")), DOMAIN_DOUBLES),
+        "treatment_control_report_many_domains": rounded(
+            f"{o}, oq AS (SELECT *, CAST(quarter(o_orderdate) AS VARCHAR) AS quarter FROM o) "
+            + " UNION ALL ".join(
+                f"SELECT * FROM ({report('oq', d)})" for d in ("priority", "quarter")),
+            " ".join(f"{s}_{c}" for s in SIDES for c in DOMAIN_DOUBLES.split())
+            + f" {GAP}_p_weighted {GAP}_conf_int_lower {GAP}_conf_int_upper"),
+        "treatment_control_report_refreshed":
+            f"{o} SELECT {COMPACT} FROM ({report('o', 'priority')})",
         "treatment_control_report": f"{o} SELECT {COMPACT} FROM ({report('o', 'priority')})",
         "treatment_control_report_expanded": rounded(
             f"{o} {report('o', 'priority')}",

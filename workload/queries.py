@@ -7,6 +7,7 @@ group keys first.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from surveyframe.functions import columns as C
 from surveyframe.operators import (
     domains, means, outliers, proportions, ratios, regression, report, sampling, survey, tables,
 )
+from surveyframe.plans import store
 from surveyframe.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,12 +573,35 @@ def domain_vs_overall_small_domains(spark, sf):
         parts(spark, sf), "p_brand", "oversized", strict=False))
 
 
+def domain_vs_overall_many_domains(spark, sf):
+    table = orders(spark, sf).withColumn("year", F.year("o_orderdate"))
+    return rounded(domains.domain_vs_overall(
+        table, ["priority", "year", "o_orderstatus"], "large", weight="weight"))
+
+
+REPORT = {
+    "treatment": "treated", "control": "control", "first_outcome": "large",
+    "second_outcome": "medium", "control_outcome": "medium", "weight": "weight"}
+
+
 def _report(spark, sf, domain, **options):
-    table = orders(spark, sf)
-    return report.treatment_control_report(
-        table, domain, treatment="treated", control="control",
-        first_outcome="large", second_outcome="medium", control_outcome="medium",
-        weight="weight", **options)
+    return report.treatment_control_report(orders(spark, sf), domain, **REPORT, **options)
+
+
+def treatment_control_report_many_domains(spark, sf):
+    table = orders(spark, sf).withColumn("quarter", F.quarter("o_orderdate"))
+    return rounded(report.treatment_control_report(
+        table, ["priority", "quarter"], **REPORT, expanded=True))
+
+
+def treatment_control_report_refreshed(spark, sf):
+    """The report from stored sums by year, after more years arrived and one was corrected."""
+    table = orders(spark, sf).withColumn("year", F.year("o_orderdate"))
+    path = f"{store.folder(spark)}/report-sums-{uuid.uuid4().hex}"
+    first_seen = table.filter("year < 1996 AND (year <> 1994 OR o_orderkey % 3 <> 0)")
+    for arrived in (first_seen, table.filter("year >= 1996"), table.filter("year = 1994")):
+        report.store_report_sums(arrived, path, "priority", "year", **REPORT)
+    return report.report_from_sums(spark, path, "priority")
 
 
 def treatment_control_report(spark, sf):
@@ -698,6 +723,8 @@ def all_queries() -> dict[str, Query]:
         newcombe_difference_from_counts, prop_test_two_counts, prop_test_one_count,
         margin_of_error_counts, proportion_test_method_comparison,
         domain_vs_overall, domain_vs_overall_weighted, domain_vs_overall_small_domains,
+        domain_vs_overall_many_domains, treatment_control_report_many_domains,
+        treatment_control_report_refreshed,
         treatment_control_report, treatment_control_report_expanded,
         treatment_control_report_small_domains, stratified_proportion_moe,
         stratum_variances, survey_mean_stratified, survey_mean_unstratified,
