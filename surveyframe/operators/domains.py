@@ -136,36 +136,31 @@ def domain_sums(
     df: DataFrame, domains: ColumnNames, measures: Sequence[Measure], weight: str | None,
     part: str | None = None,
 ) -> DataFrame:
-    """(domain_var, value, known, sums): the sums of each value of each domain column, in one scan.
+    """(domain_var, value, sums, known): the sums of each value of each domain column, in one scan.
 
-    Spark expands a row to one per domain column and adds up per task first.  Sums over different
+    A row becomes one per domain column, and these are added up per task first.  Sums over different
     rows can be added, so ``part`` keeps them apart by one more column, to be merged later.
     """
     domains = listed(domains)
     if len(set(domains)) != len(domains) or not domains:
         raise ValueError("name one or several different domain columns")
     aggregates = _aggregates(df, domains, measures, weight)
-    keys = [f"__domain_{i}" for i in range(len(domains))]
-    needed = list(dict.fromkeys(
-        c for m in measures for c in (m.outcome, m.among) if c is not None))
-    rows = df.select(
-        *[col(d).cast("string").alias(k) for d, k in zip(domains, keys)],
-        *[col(c) for c in dict.fromkeys([*needed, *([weight] if weight else [])])],
-        *([col(part).cast("string").alias("__part")] if part else []))
+    needed = dict.fromkeys(c for m in measures for c in (m.outcome, m.among) if c is not None)
+    if weight:
+        needed[weight] = None
     kept = ["__part"] if part else []
-    number = F.grouping_id()
-    # The bits of grouping_id tell the columns that a set leaves out.
-    every = (1 << len(domains)) - 1
-    names = F.create_map(*[
-        F.lit(x) for i, d in enumerate(domains)
-        for x in (every ^ (1 << (len(domains) - 1 - i)), d)])
-    sums = rows.groupingSets([[k, *kept] for k in keys], *[F.col(c) for c in (*kept, *keys)]).agg(
-        *aggregates, number.cast("int").alias("__set"))
-    value = F.coalesce(*keys)
+    rows = df.select(
+        *[col(c) for c in needed], *([col(part).cast("string").alias("__part")] if part else []),
+        F.posexplode(F.array(*[col(d).cast("string") for d in domains])).alias(
+            "__number", "__value"))
+    # As an aggregate the flag's filter stays behind the grouping: every use of the sums then reads
+    # the same shuffled rows.
+    sums = rows.groupBy(*kept, "__number", "__value").agg(
+        *aggregates, F.max(F.col("__value").isNotNull()).alias("known"))
+    names = F.array(*[F.lit(d) for d in domains])
     return sums.select(
-        F.element_at(names, F.col("__set")).alias("domain_var"), value.alias("value"),
-        value.isNotNull().alias("known"),
-        *[F.col(c).alias("part") for c in kept], *[col(c) for c in sum_columns(measures)])
+        F.get(names, F.col("__number")).alias("domain_var"), F.col("__value").alias("value"),
+        *[F.col(c).alias("part") for c in kept], *[col(c) for c in sum_columns(measures)], "known")
 
 
 def merged_sums(sums: DataFrame, measures: Sequence[Measure]) -> DataFrame:
@@ -177,13 +172,24 @@ def merged_sums(sums: DataFrame, measures: Sequence[Measure]) -> DataFrame:
 def _several_domains(
     sums: DataFrame, domains: Sequence[str], measures: Sequence[Measure],
 ) -> DataFrame:
-    """Per domain column as :func:`_one_domain`; the totals are as many rows as domain columns."""
+    """Per domain column as :func:`_one_domain`.
+
+    The totals are one row, with an entry for each domain column; it comes from a subquery that both
+    branches share and Spark runs once.
+    """
     totals = sums.groupBy("domain_var").agg(*_totals(sum_columns(measures)))
+    of_each = F.map_from_entries(F.collect_list(F.struct(
+        "domain_var", F.struct(*[col(c) for c in totals.columns[1:]]))))
+    totals = totals.agg(of_each.alias("__totals"))
     every = sums.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(d) for d in domains])).alias("domain_var"))
-    return _placed(
-        sums.filter("known").join(F.broadcast(totals), "domain_var"),
-        every.join(F.broadcast(totals), "domain_var", "left"), measures)
+
+    def with_totals(rows: DataFrame) -> DataFrame:
+        placed = with_only_row(rows, totals).withColumn(
+            "__of", F.try_element_at("__totals", F.col("domain_var")))
+        return placed.select(*[col(c) for c in rows.columns], "__of.*")
+
+    return _placed(with_totals(sums.filter("known")), with_totals(every), measures)
 
 
 def _one_domain(
