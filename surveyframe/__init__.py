@@ -10,7 +10,7 @@ from .operators.means import (
 )
 from .operators.outliers import (
     five_number_summary, flag_outliers, null_outliers, outlier_histogram, outlier_summary,
-    quantiles_long,
+    outlier_summary_from_sketches, quantiles_long, store_sketches,
 )
 from .operators.proportions import (
     compare_proportion_tests, grouped_proportions, margin_of_error, margin_of_error_from_counts,

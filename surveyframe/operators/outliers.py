@@ -19,6 +19,7 @@ from ..functions.columns import (
 )
 from ..plans.attach import kept, with_only_row, with_stats
 from ..plans.quantiles import SMALL_GROUP, approximate_quantiles, quantiles
+from ..plans.sketches import quantiles_of_cells, summary_cells, write_sketches
 
 FIVE_NUMBERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 _QUANTILE_NAMES = ["q0", "q25", "q50", "q75", "q100"]
@@ -141,6 +142,60 @@ def outlier_summary(
     return listed.select("var", *cols(by), *measures)
 
 
+def store_sketches(
+    df: DataFrame, path: str, variables: ColumnNames, by: ColumnNames | None = None, *, part: str,
+) -> None:
+    """Write a quantile sketch of every variable, group and part to the folder ``path``.
+
+    ``part`` names the column of what arrives as one, a day or a file.  The parts that ``df`` holds
+    replace those in the folder, all others stay; so new data costs its own scan only.
+    """
+    variables, by = names(variables), names(by)
+    require(df, part, *by)
+    require_number(df, *variables)
+    write_sketches(df, path, variables, by, part)
+
+
+def outlier_summary_from_sketches(
+    df: DataFrame, path: str, variables: ColumnNames, by: ColumnNames | None = None, *,
+    buffer_rows: int = SMALL_GROUP,
+) -> DataFrame:
+    """:func:`outlier_summary` in one scan of ``df``, with the sketches that ``path`` holds of it.
+
+    The result is the same, exact.  Sketches that don't belong to ``df`` stop the job, as a
+    quantile then lies outside its bracket.
+    """
+    variables, by = names(variables), names(by)
+    _refuse_outputs(by, ["var", *_QUANTILE_NAMES])
+    require(df, *by)
+    require_number(df, *variables)
+    cells, keys = summary_cells(df, path, variables, by, FENCE, buffer_rows)
+    found = quantiles_of_cells(cells, keys, FIVE_NUMBERS)
+    q = F.col("quantiles")
+    spread, iqr = q[0] != q[4], q[3] - q[1]
+    fences = found.select(
+        *keys, F.when(spread, q).alias("__q"), F.when(spread, q[1] - FENCE * iqr).alias("__low"),
+        F.when(spread, q[3] + FENCE * iqr).alias("__high"))
+    # A cell of several values lies on one side of a fence, as its bracket has cells of one value.
+    below, above = F.col("last") <= F.col("__low"), F.col("first") >= F.col("__high")
+    counted = with_stats(cells, kept(fences), keys).groupBy(*keys).agg(
+        F.sum("rows").alias("__n"), F.first("__q").alias("__q"),
+        *[F.first(c).alias(c) for c in ("__low", "__high")],
+        *[F.sum(F.when(side, F.col("held")).otherwise(0)).alias(name)
+          for side, name in ((below, "__below"), (above, "__above"))])
+    n = F.col("__n").cast("double")
+    label = F.get(F.array(*[F.lit(v) for v in variables]), F.col("variable"))
+    return counted.select(
+        label.alias("var"), *[F.col(k).alias(b) for k, b in zip(keys, by)],
+        *[F.col("__q")[k].alias(name) for k, name in enumerate(_QUANTILE_NAMES)],
+        F.col("__low").alias("lower_outlier_threshold"),
+        F.col("__below").alias("lower_outlier_count"),
+        divide(F.col("__below"), n).alias("lower_outlier_pct"),
+        F.col("__high").alias("upper_outlier_threshold"),
+        F.col("__above").alias("upper_outlier_count"),
+        divide(F.col("__above"), n).alias("upper_outlier_pct"))
+
+
 def _summary_row(i: int, name: str) -> Column:
     n = F.col("__n").cast("double")
     return F.struct(

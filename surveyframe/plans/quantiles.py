@@ -101,11 +101,7 @@ def _of_large_groups(
     by: Sequence[str], largest: int, small_group: int,
 ) -> DataFrame:
     keys = [*by, "variable"]
-    values = F.array(*[
-        F.struct(F.lit(i).alias("variable"), F.col(f"__v{i}").alias("value"))
-        for i in range(variables)
-    ])
-    rows = df.select(*by, F.inline(values))
+    rows = _stacked(df, variables, by)
     # The least and the largest value are found without a bracket.
     inner = sorted({p for p in probabilities if 0 < p < 1})
     brackets, inside = None, largest if inner else 0
@@ -121,6 +117,13 @@ def _of_large_groups(
     ])
 
 
+def _stacked(df: DataFrame, variables: int, by: Sequence[str]) -> DataFrame:
+    """A row (variable, value) for each variable of a row."""
+    return df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("variable"), F.col(f"__v{i}").alias("value"))
+        for i in range(variables)])))
+
+
 def _zoned(
     rows: DataFrame, keys: Sequence[str], count: int, brackets: DataFrame | None,
 ) -> DataFrame:
@@ -212,13 +215,20 @@ def _picked(zoned: DataFrame, keys: Sequence[str], probabilities: Sequence[float
     together.  Both kinds of cells lie in order, so running counts give the ranks
     each covers.  Of the cells between brackets only the ends can be wanted.
     """
-    value = F.col("value")
-    cells = (
-        zoned.withColumn("single", F.when(F.col("inside"), value))
-        .groupBy(*keys, "zone", "single")
-        .agg(F.count("value").alias("held"), F.min("value").alias("first"),
-             F.max("value").alias("last"))
-    )
+    return _picked_from(_cells(zoned, keys), keys, probabilities)
+
+
+def _cells(zoned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows and values of each zone, inside brackets for each value apart."""
+    return zoned.withColumn("single", F.when(F.col("inside"), F.col("value"))).groupBy(
+        *keys, "zone", "single").agg(
+        F.count("value").alias("held"), F.min("value").alias("first"),
+        F.max("value").alias("last"), F.count("*").alias("rows"))
+
+
+def _picked_from(
+    cells: DataFrame, keys: Sequence[str], probabilities: Sequence[float],
+) -> DataFrame:
     group = Window.partitionBy(*keys)
     running = group.orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     place = (F.col("n") - 1) * F.col("wanted.p")

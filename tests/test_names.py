@@ -37,6 +37,12 @@ def stored_sums(d):
     return d.sparkSession.read.parquet(path)
 
 
+def stored_sketches(d):
+    path = tempfile.mkdtemp()
+    sf.store_sketches(d, path, [VALUE, ONE], [GROUP, OTHER], part=KEY)
+    return d.sparkSession.read.parquet(path)
+
+
 CALLS = {
     "domain_vs_overall": lambda d: sf.domain_vs_overall(d, GROUP, ONE, weight=WEIGHT),
     "compare_mean_tests": lambda d: sf.compare_mean_tests(d, VALUE, GROUP, *SIDES, WEIGHT),
@@ -57,6 +63,9 @@ CALLS = {
     "null_outliers": lambda d: sf.null_outliers(d, VALUE, "both", [GROUP, ONE, OTHER]),
     "outlier_histogram": lambda d: sf.outlier_histogram(d, VALUE),
     "outlier_summary": lambda d: sf.outlier_summary(d, [VALUE, ONE], [GROUP, OTHER]),
+    "store_sketches": lambda d: stored_sketches(d).select("part"),
+    "outlier_summary_from_sketches": lambda d: sf.outlier_summary_from_sketches(
+        d, stored_sketches(d).inputFiles()[0].rsplit("/", 2)[0], [VALUE, ONE], [GROUP, OTHER]),
     "quantiles_long": lambda d: sf.quantiles_long(d, VALUE, [GROUP], buffer_rows=20),
     "compare_proportion_tests": lambda d: sf.compare_proportion_tests(
         d, ONE, GROUP, *SIDES, WEIGHT),

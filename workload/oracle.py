@@ -1031,6 +1031,10 @@ def all_sql() -> dict[str, str]:
             f"{li}, c AS (SELECT *, 42e0 AS constant FROM li) " + " UNION ALL ".join(
                 outlier_rows("c", v, "l_linestatus")
                 for v in ("l_extendedprice", "l_quantity", "constant")), OUTLIERS),
+        "outlier_summary_from_sketches": rounded(
+            f"{li}, c AS (SELECT *, 42e0 AS constant FROM li) " + " UNION ALL ".join(
+                outlier_rows("c", v, "l_linestatus")
+                for v in ("l_extendedprice", "l_quantity", "constant")), OUTLIERS),
         "null_outliers_both": nulled("known_value", "y <= low OR y >= high"),
         "null_outliers_upper": nulled("value", "y >= high"),
         "null_outliers_lower": nulled("negative_value", "y <= low"),

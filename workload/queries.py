@@ -248,6 +248,19 @@ def outlier_summary_many_vars(spark, sf):
         table, ["l_extendedprice", "l_quantity", "constant"], "l_linestatus"))
 
 
+def outlier_summary_from_sketches(spark, sf):
+    """The outliers of all lines, with sketches kept by ship year of which one was corrected."""
+    table = lineitem(spark, sf).withColumns({
+        "constant": F.lit(42.0), "year": F.year("l_shipdate")})
+    path = f"{store.folder(spark)}/sketches-{uuid.uuid4().hex}"
+    variables = ["l_extendedprice", "l_quantity", "constant"]
+    first_seen = table.filter("year <> 1994 OR l_orderkey % 3 <> 0")
+    for arrived in (first_seen, table.filter("year = 1994")):
+        outliers.store_sketches(arrived, path, variables, "l_linestatus", part="year")
+    return rounded(outliers.outlier_summary_from_sketches(
+        table, path, variables, "l_linestatus"))
+
+
 def _without_outliers(spark, sf, variable, which, by=None):
     cleaned = outliers.null_outliers(events(spark, sf), variable, which, by)
     return rounded(cleaned.select("event_id", "kind", variable))
@@ -708,7 +721,7 @@ def all_queries() -> dict[str, Query]:
         charge_counts, charge_counts_first_rows, charge_shares,
         charge_shares_many_attributes, prefixed_columns,
         five_number_summary, quantiles_long, outlier_summary, outlier_summary_grouped,
-        outlier_summary_many_vars, null_outliers_both, null_outliers_upper,
+        outlier_summary_many_vars, outlier_summary_from_sketches, null_outliers_both, null_outliers_upper,
         null_outliers_lower, null_outliers_grouped, flag_outliers, histogram_before_after,
         quantiles_long_brackets, outlier_summary_grouped_brackets, null_outliers_brackets,
         welch_t_test, pooled_t_test, t_test_from_summary, t_test_from_summary_pooled,
