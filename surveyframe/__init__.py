@@ -21,7 +21,9 @@ from .operators.proportions import (
 from .operators.ratios import (
     category_shares, listed_counts, mean_of_ratios, member_flag, person_category_counts,
 )
-from .operators.regression import linear_regression, predictions, slope_standard_error
+from .operators.regression import (
+    factor_levels, linear_model, linear_regression, predictions, slope_standard_error,
+)
 from .operators.report import (
     report_from_sums, store_report_sums, treatment_control_report,
 )

@@ -94,6 +94,8 @@ CALLS = {
     "mean_of_ratios": lambda d: sf.mean_of_ratios(d, VALUE, WEIGHT, GROUP),
     "member_flag": lambda d: sf.member_flag(d, VALUE, d, "q.100", "is.member"),
     "person_category_counts": lambda d: sf.person_category_counts(d, KEY, VALUE, GROUP),
+    "linear_model": lambda d: sf.linear_model(d, VALUE, ONE, factors=[GROUP, OTHER], weight=WEIGHT),
+    "factor_levels": lambda d: d.sparkSession.createDataFrame([(sf.factor_levels(d, GROUP),)]),
     "linear_regression": lambda d: sf.linear_regression(d, VALUE, ONE, weight=WEIGHT),
     "predictions": lambda d: sf.predictions(d, VALUE, ONE),
     "slope_standard_error": lambda d: sf.slope_standard_error(d, VALUE, ONE),

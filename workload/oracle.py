@@ -239,6 +239,59 @@ def design_based(
                  CAST(units - strata - {lost} AS DOUBLE) AS df FROM added, whole)"""
 
 
+def factor_model(
+    source: str, y: str, factor: str, base: str, weight: str = "1e0", x: str | None = None,
+    aliased: str | None = None,
+) -> str:
+    """Least squares on a factor, and on one number inside its levels, in closed form."""
+    xs = x or "0"
+    line = f"""
+    SELECT coalesce(sum(sxy) / nullif(sum(sxx), 0), 0) AS b, sum(sxx) AS sxx,
+           sum(syy) - coalesce(sum(sxy) * sum(sxy) / nullif(sum(sxx), 0), 0) AS sse,
+           sum(n) - count(*) - {1 if x else 0} AS df FROM levels"""
+    number = "" if x is None else f"""
+    UNION ALL SELECT '{x}', b, sqrt(sse / df / sxx), df, false FROM line"""
+    alias = "" if aliased is None else f"""
+    UNION ALL SELECT '{aliased}', NULL, NULL, df, true FROM line"""
+    return f"""
+    WITH rows AS (SELECT CAST({factor} AS VARCHAR) AS g, CAST({y} AS DOUBLE) AS y,
+                         CAST({xs} AS DOUBLE) AS x, CAST({weight} AS DOUBLE) AS w
+                  FROM ({source}) WHERE {y} IS NOT NULL),
+    means AS (SELECT g, sum(w * y) / sum(w) AS my, sum(w * x) / sum(w) AS mx FROM rows GROUP BY g),
+    levels AS (SELECT g, count(*) AS n, sum(w) AS total, any_value(my) AS my, any_value(mx) AS mx,
+                      sum(w * pow(x - mx, 2)) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy,
+                      sum(w * pow(y - my, 2)) AS syy FROM rows JOIN means USING (g) GROUP BY g),
+    line AS ({line}), first AS (SELECT * FROM levels WHERE g = '{base}'),
+    terms AS (
+    SELECT '(Intercept)' AS term, f.my - b * f.mx AS estimate,
+           sqrt(sse / df * (1 / f.total + coalesce(f.mx * f.mx / nullif(line.sxx, 0), 0)))
+           AS std_error, df, false AS aliased FROM first f, line
+    UNION ALL
+    SELECT '{factor}' || l.g, l.my - f.my - b * (l.mx - f.mx),
+           sqrt(sse / df * (1 / l.total + 1 / f.total
+                + coalesce(pow(l.mx - f.mx, 2) / nullif(line.sxx, 0), 0))), df, false
+    FROM levels l, first f, line WHERE l.g <> f.g {number} {alias})
+    SELECT term, estimate, std_error, df, statistic, {t_p('statistic', 'df')} AS p_value,
+           estimate - {t_q(Z95, 'df')} * std_error AS conf_int_lower,
+           estimate + {t_q(Z95, 'df')} * std_error AS conf_int_upper, aliased
+    FROM (SELECT term, estimate, std_error, CAST(df AS DOUBLE) AS df,
+                 estimate / std_error AS statistic, aliased FROM terms)"""
+
+
+TERMS = "estimate std_error statistic p_value conf_int_lower conf_int_upper"
+
+
+def factor_queries(li: str) -> dict[str, str]:
+    source = f"{li} SELECT * FROM li"
+    return {
+        "ols_factor": rounded(factor_model(source, "known_price", "l_linenumber", "1"), TERMS),
+        "wls_factor": rounded(factor_model(
+            source, "known_price", "l_returnflag", "R", "weight"), TERMS),
+        "ols_factors_and_number": rounded(factor_model(
+            source, "known_price", "l_returnflag", "A", x="l_quantity", aliased="opentrue"), TERMS),
+    }
+
+
 SURVEY_CI = "std_error conf_int_lower conf_int_upper"
 
 
@@ -1177,6 +1230,7 @@ def all_sql() -> dict[str, str]:
                                   WHERE known_price IS NOT NULL)
                         WHERE known_price IS NOT NULL))""", "mean std_error"),
         **clustered_queries(o, li),
+        **factor_queries(li),
         "strata_overview": rounded(f"""{sample}
             SELECT count(*) AS n, sum(weight) AS sum_of_weights,
                    count(DISTINCT lang) AS strata, avg(toxic) AS unweighted_share

@@ -422,6 +422,24 @@ def wls_dummy(spark, sf):
         _returned_or_accepted(spark, sf), "known_price", "returned", weight="weight"))
 
 
+def ols_factor(spark, sf):
+    return rounded(regression.linear_model(
+        lineitem(spark, sf), "known_price", factors="l_linenumber"))
+
+
+def wls_factor(spark, sf):
+    return rounded(regression.linear_model(
+        lineitem(spark, sf), "known_price",
+        factors={"l_returnflag": ["R", "A", "N"]}, weight="weight"))
+
+
+def ols_factors_and_number(spark, sf):
+    """A number and two factors, of which the second is settled by the first."""
+    table = lineitem(spark, sf).withColumn("open", F.col("l_returnflag") == "N")
+    return rounded(regression.linear_model(
+        table, "known_price", "l_quantity", factors=["l_returnflag", "open"]))
+
+
 def _finished_by_price(spark, sf):
     return tables.split_by_mean(orders(spark, sf), "o_totalprice", "dear", inclusive=False)
 
@@ -728,7 +746,8 @@ def all_queries() -> dict[str, Query]:
         t_ci_conservative_df, t_test_ordered_groups, weighted_t_test, weighted_t_test_sum_n,
         survey_t_test, two_sample_means, two_sample_means_equal_variance,
         means_of_many_vars, means_of_many_vars_weighted, means_of_two_tables,
-        mean_test_method_comparison, ols_dummy, wls_dummy, ols_predictions,
+        mean_test_method_comparison, ols_dummy, wls_dummy, ols_factor, wls_factor,
+        ols_factors_and_number, ols_predictions,
         ols_slope_se_from_residuals, two_proportion_pooled, two_proportion_pooled_weighted,
         prop_test, prop_test_yates, prop_test_weighted_totals, prop_test_one_sample,
         proportion_margin_of_error, required_sample_size, wilson_interval,
