@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import (
     ColumnNames, col, cols, divide, names, number, require, require_number, weight_or_one,
 )
-from ..functions.distributions import t_p_value, t_quantile
+from ..functions.distributions import t_p_value, t_quantile, t_quantile_by_row
 from ..plans.two_samples import two_sample_moments
 from .regression import linear_regression
 
@@ -52,9 +52,13 @@ def _with_t(df: DataFrame, null_difference: float = 0.0) -> DataFrame:
         "p_value", t_p_value(F.col("t_stat"), F.col("df")))
 
 
-def _with_interval(df: DataFrame, level: float) -> DataFrame:
-    """Add the t interval of diff_in_means."""
-    reach = t_quantile((1 + level) / 2, F.col("df")) * F.col("std_error")
+def _with_interval(df: DataFrame, level: float | Column) -> DataFrame:
+    """Add the t interval of diff_in_means; as a column the level differs by row."""
+    if isinstance(level, Column):
+        quantile = t_quantile_by_row((1 + level) / 2, F.col("df"))
+    else:
+        quantile = t_quantile((1 + level) / 2, F.col("df"))
+    reach = quantile * F.col("std_error")
     return (
         df.withColumn("__reach", reach)
         .withColumn("conf_int_lower", F.col("diff_in_means") - F.col("__reach"))
@@ -65,7 +69,7 @@ def _with_interval(df: DataFrame, level: float) -> DataFrame:
 
 def _tested(
     df: DataFrame, m1: Column, m2: Column, v1: Column, v2: Column, n1: Column, n2: Column,
-    rule: str, level: float, null_difference: float = 0.0,
+    rule: str, level: float | Column, null_difference: float = 0.0,
 ) -> DataFrame:
     if rule not in DF_RULES:
         raise ValueError(f"df_rule must be one of {DF_RULES}, not {rule!r}")
@@ -123,10 +127,16 @@ def pooled_t_test(
 def t_test_from_summary(
     df: DataFrame, m1: str, m2: str, s1: str, s2: str, n1: str, n2: str, *,
     null_difference: float = 0.0, equal_variance: bool = False,
-    df_rule: str | None = None, level: float = 0.95,
+    df_rule: str | None = None, level: float | str = 0.95,
 ) -> DataFrame:
-    """A t test on every row of a table of means, standard deviations and counts."""
-    require_number(df, m1, m2, s1, s2, n1, n2)
+    """A t test on every row of a table of means, standard deviations and counts.
+
+    ``level`` is a number, or names a column with the level of each row's interval; a row whose level
+    is missing or not between 0 and 1 has no interval.
+    """
+    require_number(df, m1, m2, s1, s2, n1, n2, level if isinstance(level, str) else None)
+    if isinstance(level, str):
+        level = number(level)
     rule = df_rule or ("pooled" if equal_variance else "welch")
     taken = [c for c in _TEST_COLUMNS if c in df.columns]
     if taken:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +316,58 @@ def test_a_domain_named_overall(spark):
         table, "d", treatment="arm", control="arm", first_outcome="y", second_outcome="y",
         control_outcome="y", weight="w").collect()
     assert sorted(r.is_overall for r in shown) == [False, False, True]
+
+
+def test_levels_that_differ_by_row(spark):
+    """The column forms agree with the forms for one level, from the centre to the far tails."""
+    levels = [0.5 + 1e-6, 0.6, 0.75, 0.95, 0.975, 0.999, 1 - 1e-6, 1 - 1e-8]
+    degrees = [0.5, 1.0, 2.0, 5.0, 30.0, 999.0, 1e4, 1e7]
+    rows = spark.createDataFrame(
+        [(p, df) for p in levels for df in degrees], "p double, df double").repartition(3)
+    found = rows.select(
+        "p", "df", distributions.t_quantile_by_row(F.col("p"), F.col("df")).alias("t"),
+        distributions.normal_quantile_by_row(F.col("p")).alias("z"),
+        distributions.normal_quantile_by_row(1 - F.col("p")).alias("lower"),
+        distributions.inverse_error_function(2 * F.col("p") - 1).alias("inverse")).collect()
+    single = spark.createDataFrame([(df,) for df in degrees], "df double").select(
+        "df", *[distributions.t_quantile(p, F.col("df")).alias(str(i))
+                for i, p in enumerate(levels)]).collect()
+    wanted = {(p, r.df): r[str(i)] for r in single for i, p in enumerate(levels)}
+    for r in found:
+        z = distributions.normal_quantile(r.p)
+        assert r.z == pytest.approx(z, rel=1e-12, abs=1e-15)
+        assert r.lower == pytest.approx(distributions.normal_quantile(1 - r.p), rel=1e-12)
+        assert r.inverse * 2 ** 0.5 == pytest.approx(z, rel=1e-7)
+        assert r.t == pytest.approx(wanted[r.p, r.df], rel=1e-9)
+    # Closed forms: Cauchy for one degree of freedom, and for two.
+    for r in found:
+        if r.df == 2:
+            a = 4 * r.p * (1 - r.p)
+            assert r.t == pytest.approx(2 * (r.p - 0.5) * (2 / a) ** 0.5, rel=1e-9)
+        if r.df == 1:
+            assert r.t == pytest.approx(1 / math.tan(math.pi * (1 - r.p)), rel=1e-9, abs=1e-12)
+
+
+def test_levels_outside_their_range_have_no_quantile(spark):
+    rows = spark.createDataFrame(
+        [(p,) for p in (None, 0.0, 1.0, -1.0, 2.0, float("nan"))], "p double")
+    found = rows.select(
+        distributions.normal_quantile_by_row(F.col("p")).alias("z"),
+        distributions.t_quantile_by_row(F.col("p"), F.lit(5.0)).alias("t"),
+        distributions.inverse_error_function(F.col("p") * 2 - 1).alias("e")).collect()
+    assert all(v is None for r in found for v in (r.z, r.t, r.e))
+
+
+def test_level_column_of_summary_tests(spark):
+    table = spark.createDataFrame(
+        [(525.751, 373.269, 107.121, 67.498, 10, 10, level) for level in (0.90, 0.95, None, 1.0)],
+        "m1 double, m2 double, s1 double, s2 double, n1 int, n2 int, `my level` double")
+    found = means.t_test_from_summary(
+        table, "m1", "m2", "s1", "s2", "n1", "n2", level="my level").collect()
+    for row in found:
+        if row["my level"] in (0.90, 0.95):
+            one = means.t_test_from_summary(
+                table.limit(1), "m1", "m2", "s1", "s2", "n1", "n2", level=row["my level"]).first()
+            assert row.conf_int_lower == pytest.approx(one.conf_int_lower, rel=1e-10)
+        else:
+            assert row.conf_int_lower is None and row.p_value is not None

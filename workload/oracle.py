@@ -7,6 +7,8 @@ freedom here are in the hundreds at least).
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 Z95 = "1.959963984540054e0"
 Z99 = "2.5758293035489004e0"
 Z90 = "1.6448536269514722e0"
@@ -187,6 +189,22 @@ def summary_test(rule: str, z: str = Z95, null: str = "0") -> str:
     return rounded(tested(source, rule, z, null, keep), "m1 s1 m2 s2 " + TEST)
 
 
+LEVELS = (0.5, 0.8, 0.9, 0.95, 0.99, 0.9999, 0.99999999)
+
+
+def level_per_row() -> str:
+    def by_line(values) -> str:
+        cases = " ".join(f"WHEN {i} THEN {v!r}::DOUBLE" for i, v in enumerate(values, 1))
+        return f"(CASE l_linenumber {cases} END)"
+
+    z = by_line([NormalDist().inv_cdf((1 + level) / 2) for level in LEVELS])
+    source = f"""
+    SELECT *, s1 * s1 AS v1, s2 * s2 AS v2, {by_line(LEVELS)} AS level FROM ({SUMMARIES})"""
+    keep = "l_linenumber, m1, s1, n1, m2, s2, n2, level"
+    return rounded(rounded(tested(source, "welch", z, keep=keep), "m1 s1 m2 s2 " + TEST, 5),
+                   "level", 9)
+
+
 def survey_scores(
     value: str, x: str, y: str, group: str = "l_returnflag", source: str = "li",
 ) -> str:
@@ -1104,6 +1122,7 @@ def all_sql() -> dict[str, str]:
         "t_test_from_summary": summary_test("welch", null="100"),
         "t_test_from_summary_pooled": summary_test("pooled"),
         "t_ci_conservative_df": summary_test("conservative", Z90),
+        "t_ci_level_per_row": level_per_row(),
         "t_test_ordered_groups": simple_t_test("known_price", "'A'", "'R'"),
         "weighted_t_test": weighted_test(True),
         "weighted_t_test_sum_n": weighted_test(False),

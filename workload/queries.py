@@ -349,6 +349,15 @@ def t_ci_conservative_df(spark, sf):
         df_rule="conservative", level=0.90))
 
 
+def t_ci_level_per_row(spark, sf):
+    """Intervals from 50 to 99.999999 %, a level for each line number."""
+    levels = F.array(*[F.lit(p) for p in (0.5, 0.8, 0.9, 0.95, 0.99, 0.9999, 0.99999999)])
+    table = _line_summaries(spark, sf).withColumn(
+        "level", F.get(levels, F.col("l_linenumber").cast("int") - 1))
+    return rounded(means.t_test_from_summary(
+        table, "m1", "m2", "s1", "s2", "n1", "n2", level="level"), 5, level=9)
+
+
 def t_test_ordered_groups(spark, sf):
     return rounded(means.t_test(
         lineitem(spark, sf), "known_price", "l_returnflag", ("A", "R")))
@@ -743,7 +752,7 @@ def all_queries() -> dict[str, Query]:
         null_outliers_lower, null_outliers_grouped, flag_outliers, histogram_before_after,
         quantiles_long_brackets, outlier_summary_grouped_brackets, null_outliers_brackets,
         welch_t_test, pooled_t_test, t_test_from_summary, t_test_from_summary_pooled,
-        t_ci_conservative_df, t_test_ordered_groups, weighted_t_test, weighted_t_test_sum_n,
+        t_ci_conservative_df, t_ci_level_per_row, t_test_ordered_groups, weighted_t_test, weighted_t_test_sum_n,
         survey_t_test, two_sample_means, two_sample_means_equal_variance,
         means_of_many_vars, means_of_many_vars_weighted, means_of_two_tables,
         mean_test_method_comparison, ols_dummy, wls_dummy, ols_factor, wls_factor,
