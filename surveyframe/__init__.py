@@ -27,7 +27,9 @@ from .operators.regression import (
 from .operators.report import (
     report_from_sums, store_report_sums, treatment_control_report,
 )
-from .operators.sampling import grid_weight, stratified_split
+from .operators.sampling import (
+    allocate, grid_weight, stratified_draw, stratified_parts, stratified_split, value_brackets,
+)
 from .operators.survey import (
     SurveyDesign, strata_overview, stratified_proportion, stratum_variances, survey_mean,
     survey_ratio, survey_t_test_by_design,

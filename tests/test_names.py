@@ -43,6 +43,11 @@ def stored_sketches(d):
     return d.sparkSession.read.parquet(path)
 
 
+def strata_sizes(d):
+    return d.groupBy(f"`{GROUP}`", ONE).agg(
+        F.count("*").alias("q.100"), F.lit(2.0).alias("slope"))
+
+
 CALLS = {
     "domain_vs_overall": lambda d: sf.domain_vs_overall(d, GROUP, ONE, weight=WEIGHT),
     "compare_mean_tests": lambda d: sf.compare_mean_tests(d, VALUE, GROUP, *SIDES, WEIGHT),
@@ -106,6 +111,11 @@ CALLS = {
     "report_from_sums": lambda d: sf.report_from_sums(
         d.sparkSession, stored_sums(d).inputFiles()[0].rsplit("/", 2)[0], [GROUP, VALUE]),
     "grid_weight": lambda d: d.select(sf.grid_weight(VALUE, 1).alias("w")),
+    "stratified_parts": lambda d: sf.stratified_parts(d, [GROUP, ONE], KEY, (0.5, 0.25, 0.25)),
+    "value_brackets": lambda d: sf.value_brackets(d, VALUE),
+    "allocate": lambda d: sf.allocate(strata_sizes(d), 20, "q.100", by=[GROUP, ONE], spread="slope"),
+    "stratified_draw": lambda d: sf.stratified_draw(
+        d, [GROUP, ONE], KEY, strata_sizes(d).withColumn("q.100", F.lit(3)), "q.100"),
     "stratified_split": lambda d: sf.stratified_split(d, [GROUP, ONE], KEY),
     "strata_overview": lambda d: sf.strata_overview(d, DESIGN, ONE),
     "stratified_proportion": lambda d: sf.stratified_proportion(

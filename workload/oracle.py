@@ -966,6 +966,55 @@ FROM (SELECT lang, any_value(population) AS population, count(*) AS n_h,
              count(*) FILTER (toxic = 1) AS x_h FROM sample GROUP BY lang)"""
 
 
+def dealt(total: int, measure: str, name: str) -> str:
+    """Largest remainders; the strata here hold more than they are dealt."""
+    return f"""
+    SELECT c_mktsegment, in_debt, CAST(floor(share) + CASE WHEN row_number() OVER (
+               ORDER BY share - floor(share) DESC, c_mktsegment, in_debt)
+               <= {total} - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS {name}
+    FROM (SELECT *, {total}e0 / sum(m) OVER () * m AS share
+          FROM (SELECT *, {measure} AS m FROM segments))"""
+
+
+SEGMENTS = """
+cu AS (SELECT *, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS in_debt FROM customer),
+segments AS (SELECT c_mktsegment, in_debt, count(*) AS size, stddev_samp(c_acctbal) AS spread
+             FROM cu GROUP BY 1, 2)"""
+
+
+def sampling_queries() -> dict[str, str]:
+    return {
+        "stratified_split_numeric": """
+            SELECT c_custkey, bracket,
+                   CASE WHEN row_number() OVER (PARTITION BY bracket ORDER BY h, c_custkey)
+                             <= ceil(0.5e0 * count(*) OVER (PARTITION BY bracket))
+                        THEN 1 ELSE 0 END AS in_first
+            FROM (SELECT c_custkey, md5(c_custkey || '|123') AS h,
+                         CAST(1 + (c_acctbal > q[1])::INT + (c_acctbal > q[2])::INT
+                              + (c_acctbal > q[3])::INT AS INTEGER) AS bracket
+                  FROM customer, (SELECT quantile_cont(c_acctbal, [0.25, 0.5, 0.75]) AS q
+                                  FROM customer))""",
+        "stratified_split_three_parts": """
+            SELECT c_custkey, c_mktsegment,
+                   CASE WHEN place <= ceil(0.5e0 * n) THEN 1 WHEN place <= ceil(0.8e0 * n) THEN 2
+                        ELSE 3 END AS part
+            FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS n, row_number() OVER (
+                         PARTITION BY c_mktsegment ORDER BY md5(c_custkey || '|123'), c_custkey)
+                         AS place FROM customer)""",
+        "stratum_allocation": f"""
+            WITH {SEGMENTS}
+            SELECT * FROM ({dealt(75, 'size', 'allocated')})
+            JOIN ({dealt(75, 'size * spread', 'by_spread')}) USING (c_mktsegment, in_debt)""",
+        "stratified_draw": f"""
+            WITH {SEGMENTS}
+            SELECT c_custkey, c_mktsegment, in_debt
+            FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, in_debt
+                         ORDER BY md5(c_custkey || '|7'), c_custkey) AS place FROM cu)
+            JOIN ({dealt(75, 'size * spread', 'allocated')}) USING (c_mktsegment, in_debt)
+            WHERE place <= allocated""",
+    }
+
+
 def all_sql() -> dict[str, str]:
     """Query name to SQL."""
     li, o, ev, pa = (f"WITH {c}" for c in (LINEITEM, ORDERS, EVENTS, PARTS))
@@ -1250,6 +1299,7 @@ def all_sql() -> dict[str, str]:
                         WHERE known_price IS NOT NULL))""", "mean std_error"),
         **clustered_queries(o, li),
         **factor_queries(li),
+        **sampling_queries(),
         "strata_overview": rounded(f"""{sample}
             SELECT count(*) AS n, sum(weight) AS sum_of_weights,
                    count(DISTINCT lang) AS strata, avg(toxic) AS unweighted_share

@@ -733,6 +733,43 @@ def stratified_split(spark, sf):
     return split.select("c_custkey", "c_mktsegment", "in_first")
 
 
+def stratified_split_numeric(spark, sf):
+    table = sampling.value_brackets(customers(spark, sf), "c_acctbal")
+    split = sampling.stratified_split(table, "bracket", "c_custkey", seed=123)
+    return split.select("c_custkey", "bracket", "in_first")
+
+
+def stratified_split_three_parts(spark, sf):
+    split = sampling.stratified_parts(
+        customers(spark, sf), "c_mktsegment", "c_custkey", (0.5, 0.3, 0.2), seed=123)
+    return split.select("c_custkey", "c_mktsegment", "part")
+
+
+def _segments(spark, sf):
+    return customers(spark, sf).groupBy("c_mktsegment", "in_debt").agg(
+        F.count("*").alias("size"), F.stddev_samp("c_acctbal").alias("spread"))
+
+
+SEGMENT = ["c_mktsegment", "in_debt"]
+
+
+def stratum_allocation(spark, sf):
+    """75 customers dealt by size, and by size and spread."""
+    strata = _segments(spark, sf)
+    plain = sampling.allocate(strata, 75, "size", by=SEGMENT)
+    best = sampling.allocate(
+        strata, 75, "size", by=SEGMENT, spread="spread", allocated="by_spread")
+    return plain.join(best, SEGMENT)
+
+
+def stratified_draw(spark, sf):
+    allocation = sampling.allocate(
+        _segments(spark, sf), 75, "size", by=SEGMENT, spread="spread")
+    drawn = sampling.stratified_draw(
+        customers(spark, sf), SEGMENT, "c_custkey", allocation, "allocated", seed=7)
+    return drawn.select("c_custkey", *SEGMENT)
+
+
 def grid_weights(spark, sf):
     return rounded(events(spark, sf).select(
         "event_id", sampling.grid_weight("event_id", 123).alias("weight")))
@@ -770,5 +807,6 @@ def all_queries() -> dict[str, Query]:
         treatment_control_report_small_domains, stratified_proportion_moe,
         stratum_variances, survey_mean_stratified, survey_mean_unstratified,
         strata_overview, survey_mean_clustered, survey_mean_subpopulation, survey_ratio,
-        survey_mean_of_ratios, survey_t_test_stratified, stratified_split, grid_weights,
+        survey_mean_of_ratios, survey_t_test_stratified, stratified_split, stratified_split_numeric, stratified_split_three_parts,
+        stratum_allocation, stratified_draw, grid_weights,
     )}
