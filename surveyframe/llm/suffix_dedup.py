@@ -78,8 +78,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     count = np.diff(np.concatenate((first, [len(places)])))
     start, mark = places[first], landmark[first]
     # The place of the landmark is part of the piece's hash: a cut run must not pass for a whole.
-    piece = W.mix(W.span_hash(sums, start, start + count - 1 + length)
-                  + (mark - start).astype(np.uint64))
+    whole = data.tobytes()
+    piece = W.digest(whole[a:b] for a, b in zip(
+        start.tolist(), (start + count - 1 + length).tolist()))
+    piece = W.mix(piece + (mark - start).astype(np.uint64))
     text = np.searchsorted(offsets, start, "right") - 1
     return [text, start - offsets[text], count, mark - start, grams[mark], piece]
 
@@ -170,24 +172,18 @@ def _halves(level: int, length: int, gram: int):
                     parts.append(high)
             if not rows:
                 continue
-            keys = _hash_each([m[2] for m in marks])
+            keys = W.digest(m[2] for m in marks)
             keys = W.mix(keys + np.array([m[0] for m in marks], np.int64).view(np.uint64)
                          + np.array([m[1] for m in marks], np.uint64))
             made = _piece_rows([(r[0], int(k), *r[2:]) for r, k in zip(
                 rows, keys.view(np.int64).tolist())])
-            own = W.mix(_hash_each([r[7] for r in rows]) + np.array(parts, np.uint64))
+            own = W.mix(W.digest(r[7] for r in rows) + np.array(parts, np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [*made.columns, pa.array(own.view(np.int64))], [*_PIECE_NAMES, "own"])
 
     return run
 
 
-def _hash_each(strings: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum([len(s) for s in strings])
-    return W.span_hash(W.rolling(data), np.concatenate(([0], ends[:-1])), ends)
-
-
 class _Shard:
     """Some pieces, their places in suffix order, and which of the places repeat."""
 
@@ -394,8 +390,9 @@ def remove_repeats(
         pieces.where("copies = 1").select("mark", "piece", "r"), ["mark", "piece"]).select(
         "r.did", "r.h", (F.col("r.start") + F.col("low")).alias("start"),
         (F.col("r.start") + F.col("high") - 1 + length).alias("stop"))
+    # Equal rows share (did, h): a set holds each of their spans once.
     removed = whole.union(some).groupBy("did", "h").agg(
-        F.collect_list(F.struct("start", "stop")).alias("removed"))
+        F.collect_set(F.struct("start", "stop")).alias("removed"))
     keyed = docs.select(*_keys(), "doc_id", "text")
     return keyed.join(removed, ["did", "h"], "left").select(
         "doc_id", "text", "removed.start", "removed.stop").mapInArrow(

@@ -8,12 +8,16 @@ UTF-8 letters are always allowed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 19
+# Sums of powers modulo 2^64 collide on regular strings of 1,024 bytes and more, whatever the base; a
+# word longer than this is known by its BLAKE2 digest instead.
+LONG_WORD = 64
 
 _random = np.random.Generator(np.random.PCG64(20_240_601))
 LOWER = np.arange(256, dtype=np.uint8)
@@ -106,12 +110,24 @@ def word_places(
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def digest(strings: Iterator[bytes]) -> np.ndarray:
+    """64 bits of the BLAKE2 digest of each string."""
+    return np.frombuffer(
+        b"".join([blake2b(s, digest_size=8).digest() for s in strings]), "<u8").astype(np.uint64)
+
+
 def word_hashes(column: pa.Array, allowed: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts, and the number of the first word of each text."""
     data, offsets = text_bytes(column)
     data = LOWER[data]
     starts, ends, bounds = word_places(data, offsets, allowed)
-    return span_hash(rolling(data), starts, ends) if len(data) else np.zeros(0, np.uint64), bounds
+    if not len(data):
+        return np.zeros(0, np.uint64), bounds
+    hashes = span_hash(rolling(data), starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        hashes[long] = digest(data[a:b].tobytes() for a, b in zip(starts[long], ends[long]))
+    return hashes, bounds
 
 
 def shingle_hashes(

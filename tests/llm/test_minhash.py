@@ -125,3 +125,17 @@ def test_long_chain(spark):
     links = spark.range(70).selectExpr("id AS a", "id + 1 AS b")
     assert {tuple(r) for r in components.components(links).collect()} == {
         (i, 0) for i in range(71)}
+
+
+def thue_morse(letters: str, order: int) -> str:
+    """A word and, with the letters changed about, another one of which sums of powers modulo
+    2^64 are the same."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1 << order))
+
+
+def test_long_regular_words_are_told_apart(spark):
+    one, other = thue_morse("ab", 12), thue_morse("ba", 12)
+    rows = [(1, f"one two {one}", "a"), (2, f"one two {other}", "a"), (3, f"one two {one}", "a"),
+            (4, one, "a"), (5, other, "a")]
+    found = minhash.near_duplicates(awkward.documents(spark, rows), width=3, percent=85)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}

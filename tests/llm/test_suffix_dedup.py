@@ -81,3 +81,21 @@ def test_kept_bytes_join_up(spark):
     docs = awkward.documents(spark)
     rows = suffix_dedup.remove_repeats(docs, length=100)
     assert rows.where(F.octet_length("kept") != F.col("n_bytes") - F.col("n_removed")).isEmpty()
+
+
+def test_regular_strings_are_told_apart(spark):
+    """Sums of powers modulo 2^64 are the same for these strings."""
+    one, other = ("".join(x[bin(i).count("1") % 2] for i in range(1 << 11)) for x in ("ab", "ba"))
+    mark = "".join(random.Random(2).choices("xyz", k=300))
+    texts = [f"{mark}{one}", f"{mark}{other}", one, mark]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = sorted(suffix_dedup.remove_repeats(docs, length=1_500).collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found] == expected(texts, 1_500)
+
+
+def test_many_equal_rows(spark):
+    text = "".join(random.Random(1).choices("abcdefgh ", k=1_000))
+    docs = spark.range(20_000).select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    found = suffix_dedup.remove_repeats(docs).groupBy("n_bytes", "n_removed", "n_spans").count()
+    assert [tuple(r) for r in found.collect()] == [(1_000, 1_000, 1, 20_000)]
