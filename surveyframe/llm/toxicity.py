@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ..plans.store import stored
 from . import words as W
 from .ship import ship
 
-MAX_TRAINING_ROWS = 6_000
+MAX_TRAINING_ROWS = 16_000
 FEATURE_BITS = 20
 FEATURES = 4_096
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of the beginnings of words
 THRESHOLD = 0.7
 _COUNTED_AT_ONCE = 512
+LEAST_GAIN = 5.0
 
 # Sets of terms that may stand for each other in a sentence.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -133,32 +135,49 @@ def _gain(present: np.ndarray, toxic_present: np.ndarray, n: int, toxic: int) ->
             + part(clean - present + toxic_present, absent, clean))
 
 
+def choose(
+    present: np.ndarray, toxic_present: np.ndarray, n: int, toxic: int, features: int,
+    least_gain: float,
+) -> np.ndarray:
+    """The features that tell most about the label, at most so many, in ascending order."""
+    gain = _gain(present, toxic_present, n, toxic)
+    gain[gain < least_gain] = 0
+    chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
+    return chosen[gain[chosen] > 0]
+
+
+def _counted(examples: Sequence[tuple[int, np.ndarray, np.ndarray | None]]):
+    """How many examples hold each feature, and how many of label 1."""
+    size = 1 << FEATURE_BITS
+    present, toxic_present = np.zeros(size, np.int64), np.zeros(size)
+    for at in range(0, len(examples), _COUNTED_AT_ONCE):  # no copy of all features at once
+        some = examples[at:at + _COUNTED_AT_ONCE]
+        present += np.bincount(np.concatenate([f for _, f, _ in some]), minlength=size)
+        attacks = [f for label, f, _ in some if label]
+        if attacks:
+            toxic_present += np.bincount(np.concatenate(attacks), minlength=size)
+    return present, toxic_present
+
+
 def fit(
     examples: list[tuple[int, np.ndarray, np.ndarray | None]], *, features: int = FEATURES,
-    ridge: float = 0.1, counterfactual: float = 1.0, steps: int = 300, least_gain: float = 6.0,
+    ridge: float = 0.1, counterfactual: float = 1.0, steps: int = 300,
+    least_gain: float = LEAST_GAIN, chosen: np.ndarray | None = None,
 ) -> Model:
     """Fit (label, features, swapped features) examples by full-batch gradient steps.
 
-    The features that tell most about the label are used.  ``counterfactual``
-    weighs the squared change of the score under swapping.  Without examples of
-    both labels the score is the share of label 1, or 0 without any.
+    The features that tell most about the label are used, or those ``chosen`` already.  Both
+    labels weigh alike, however rare one is.  ``counterfactual`` weighs the squared change of the
+    score under swapping.  Without examples of both labels the score is the share of label 1,
+    or 0 without any.
     """
     size = 1 << FEATURE_BITS
     labels = np.array([label for label, _, _ in examples], np.float64)
     toxic = int(labels.sum())
     if not 0 < toxic < len(labels):
         return Model(np.zeros(size), 30.0 if toxic else -30.0)
-    present, toxic_present = np.zeros(size, np.int64), np.zeros(size)
-    for at in range(0, len(examples), _COUNTED_AT_ONCE):  # no copy of all features at once
-        some = examples[at:at + _COUNTED_AT_ONCE]
-        present += np.bincount(np.concatenate([f for _, f, _ in some]), minlength=size)
-        attacks = [f for label, f, _ in some if label]
-        if attacks:
-            toxic_present += np.bincount(np.concatenate(attacks), minlength=size)
-    gain = _gain(present, toxic_present, len(labels), toxic)
-    gain[gain < least_gain] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
-    chosen = chosen[gain[chosen] > 0]
+    if chosen is None:
+        chosen = choose(*_counted(examples), len(labels), toxic, features, least_gain)
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -181,12 +200,14 @@ def fit(
         np.concatenate(x).astype(t) if x else np.zeros(0, t)
         for x, t in ((pair, np.int64), (change, np.int64), (sign, np.float64)))
 
-    share = toxic / len(labels)
-    weights, constant = np.zeros(len(chosen)), np.log(share / (1 - share))
+    # The weights of the examples add up to their number, half of it for each label.
+    half = len(labels) / 2
+    weight = np.where(labels > 0, half / toxic, half / (len(labels) - toxic))
+    weights, constant = np.zeros(len(chosen)), 0.0
     first, second, first0, second0 = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     for step in range(1, steps + 1):
         total = np.bincount(at, weights[column], minlength=len(labels)) + constant
-        error = 1 / (1 + np.exp(-np.clip(total, -30, 30))) - labels
+        error = weight * (1 / (1 + np.exp(-np.clip(total, -30, 30))) - labels)
         slope = np.bincount(column, error[at], minlength=len(weights)) + ridge * weights
         if pairs:
             shift = np.bincount(pair, sign * weights[change], minlength=pairs)
@@ -206,14 +227,14 @@ def fit(
 def train(
     docs: DataFrame, labels: DataFrame, *, use: Column | None = None,
     terms: Sequence[Sequence[str]] = IDENTITY_TERMS, max_rows: int = MAX_TRAINING_ROWS,
-    **options,
+    features: int = FEATURES, least_gain: float = LEAST_GAIN, **options,
 ) -> Model:
     """Fit the labelled rows of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic).
 
     ``use`` is a condition on doc_id that a training row must meet.  Of more than
     ``max_rows`` labelled rows those with the least hash of their id are used:
     the only bound of this operator, on the fit alone.  Rows without doc_id, label
-    or text are no examples.
+    or text are no examples.  Rows of one doc_id, in either table, are examples each for itself.
     """
     ship(docs.sparkSession)
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -225,16 +246,45 @@ def train(
         "text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.mapInArrow(
+    rows = stored(rows.mapInArrow(
         _training_features(terms),
-        "doc_id bigint, toxic int, features array<int>, swapped array<int>").toArrow()
+        "doc_id bigint, toxic int, features array<int>, swapped array<int>"), "training-features")
+    # Features are counted and chosen before any text's reach the driver: there are 2^20 at most.
+    found = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count("*").alias("present"), F.sum("toxic").alias("toxic_present")).toArrow()
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = np.zeros(0, np.int64)
+    if 0 < toxic < n:
+        present, toxic_present = np.zeros((2, 1 << FEATURE_BITS))
+        at = found["feature"].to_numpy()
+        present[at], toxic_present[at] = found["present"].to_numpy(), found["toxic_present"].to_numpy()
+        chosen = choose(present, toxic_present, n, toxic, features, least_gain)
+    rows = rows.mapInArrow(_only(chosen), rows.schema).toArrow()
     order = np.lexsort((rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()))
     examples = [
         (label, features.values.to_numpy(), swapped.values.to_numpy() if swapped.is_valid else None)
         for label, features, swapped in zip(
             rows["toxic"].to_pylist(), rows["features"], rows["swapped"])]
-    examples = [examples[i] for i in order.tolist()]
-    return fit(examples, **options)
+    return fit([examples[i] for i in order.tolist()], chosen=chosen, **options)
+
+
+def _only(chosen: np.ndarray):
+    """Task function: texts with those of their features that are chosen."""
+    wanted = np.zeros(1 << FEATURE_BITS, bool)
+    wanted[chosen] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for name in ("features", "swapped"):
+                lists = [None if v is None else np.array(v, np.int32)
+                         for v in batch.column(name).to_pylist()]
+                made.append(pa.array([None if v is None else v[wanted[v]] for v in lists],
+                                     pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"), *made], batch.schema.names)
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from surveyframe.llm import maxent, registered
 
-HELD = registered._remainder(10) == 0
+
+@pytest.fixture
+def held_out(spark):
+    return registered._remainder(10) == 0
 
 
 def base(rows):
@@ -24,24 +27,24 @@ def base(rows):
         for (i, _, _), ws in zip(rows, tokens)), key=str)
 
 
-def test_base_scores_of_awkward_texts(spark):
+def test_base_scores_of_awkward_texts(spark, held_out):
     rows = awkward.texts() + [(100 + i, f"alpha beta rare{i} of", "x") for i in range(40)]
-    found = maxent.score(awkward.documents(spark, rows), held_out=HELD).collect()
+    found = maxent.score(awkward.documents(spark, rows), held_out=held_out).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens,
                     round(r.base_score, 6)) for r in found), key=str) == base(rows)
     assert all(r.score < 0 for r in found)
 
 
-def test_tokens_beyond_the_lookup_are_counted_by_join(spark, monkeypatch):
+def test_tokens_beyond_the_lookup_are_counted_by_join(spark, monkeypatch, held_out):
     monkeypatch.setattr(maxent, "KNOWN_TOKENS", 3)
     rows = awkward.texts() + [(100 + i, f"alpha beta rare{i} of", "x") for i in range(40)]
-    found = maxent.score(awkward.documents(spark, rows), held_out=HELD).collect()
+    found = maxent.score(awkward.documents(spark, rows), held_out=held_out).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens,
                     round(r.base_score, 6)) for r in found), key=str) == base(rows)
 
 
-def test_empty_table_and_nothing_to_learn(spark):
-    assert maxent.score(awkward.documents(spark, []), held_out=HELD).count() == 0
+def test_empty_table_and_nothing_to_learn(spark, held_out):
+    assert maxent.score(awkward.documents(spark, []), held_out=held_out).count() == 0
     docs = awkward.documents(spark, [(1, "a b", "x"), (2, None, "x")])
     found = maxent.score(docs, held_out=F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in found] == [(3, 0, 0), (1, 0, 0)]

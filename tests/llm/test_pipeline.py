@@ -97,7 +97,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14))
     assert "pipeline" in entry.queries()
 
 
