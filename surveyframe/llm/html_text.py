@@ -9,8 +9,10 @@ apart, list items behind their mark, and the cells of a table in columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -18,8 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as W
 from .ship import ship
 
-# A column wider than this is not padded, so that no cell widens every row.
-WIDEST_COLUMN = 60
+# Columns are aligned whatever their width, unless padding would make a table so many times as long
+# as its text and this much longer: then those wider than WIDE_COLUMN aren't padded.
+PADDED_TIMES, PADDED_MORE, WIDE_COLUMN = 16, 1 << 16, 60
+# Lists, definitions and tables nested deeper than this are written as plain blocks.
+DEEPEST = 16
+WIDEST_SPAN = 1000  # fixed by HTML
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,9 +73,14 @@ HEAD_CONTENT = frozenset("base link meta title style script noscript template".s
 # An end tag reaches no further than these.
 SCOPE = frozenset(("table", "td", "th", "caption", "template"))
 
+# A tag that ends soon, which nearly all do.
 _TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+    r"</([a-zA-Z][^\s/>]*+)[^>]*+>"
+    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_SOON = 256
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(
     r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -143,26 +154,45 @@ class Table:
     def __init__(self):
         self.rows: list[list[tuple[list[str], int]]] = []
 
-    def lines(self) -> list[str]:
+    def _widths(self, widest: float) -> dict[int, int]:
         widths: dict[int, int] = {}
         for row in self.rows:
             column = 0
             for lines, span in row:
                 if span == 1:
-                    widest = max(map(len, lines), default=0)
-                    if widest <= WIDEST_COLUMN:
-                        widths[column] = max(widths.get(column, 0), widest)
+                    width = max(map(len, lines), default=0)
+                    if width <= widest:
+                        widths[column] = max(widths.get(column, 0), width)
                 column += span
+        return widths
+
+    def lines(self) -> list[str]:
+        widths = self._widths(float("inf"))
+        heights = [max((len(lines) for lines, _ in row), default=0) for row in self.rows]
+        size = sum(len(line) for row in self.rows for lines, _ in row for line in lines)
+        # The last column is not padded.
+        padded = sum(heights) * (sum(widths.values()) - widths.get(max(widths, default=0), 0))
+        if padded > PADDED_TIMES * size + PADDED_MORE:
+            widths = self._widths(WIDE_COLUMN)
+        columns = sorted(widths)
+        upto = [0, *accumulate(widths[c] for c in columns)]
+
+        def width_of(column: int, span: int) -> int:
+            if span == 1:
+                return widths.get(column, 0)
+            low, high = bisect_left(columns, column), bisect_left(columns, column + span)
+            return upto[high] - upto[low] + 3 * max(0, high - low - 1)
+
         out = []
-        for row in self.rows:
-            for i in range(max((len(lines) for lines, _ in row), default=0)):
-                parts, column = [], 0
-                for lines, span in row:
-                    width = sum(widths.get(c, 0) for c in range(column, column + span))
-                    width += 3 * (span - 1)
-                    parts.append((lines[i] if i < len(lines) else "").ljust(width))
-                    column += span
-                out.append(" | ".join(parts).rstrip())
+        for row, height in zip(self.rows, heights):
+            cells, column = [], 0
+            for lines, span in row:
+                cells.append((lines, width_of(column, span)))
+                column += span
+            for i in range(height):
+                out.append(" | ".join(
+                    (lines[i] if i < len(lines) else "").ljust(width) for lines, width in cells
+                ).rstrip())
         return [line.rstrip(" |") if not line.strip(" |") else line for line in out]
 
 
@@ -171,29 +201,57 @@ class Renderer:
 
     def __init__(self):
         self.flows = [Flow()]
-        self.tables: list[Table] = []
+        self.tables: list[Table | None] = []  # None for one that is nested too deep
         self.lists: list[list] = []  # [ordered, next number]
         self.pre = 0
+        self.apart: list[bool] = []  # whether each open item, definition or cell has its own flow
 
     @property
     def flow(self) -> Flow:
         return self.flows[-1]
 
+    @property
+    def table(self) -> Table | None:
+        return self.tables[-1] if self.tables else None
+
+    def open_flow(self) -> None:
+        own = len(self.flows) <= DEEPEST
+        self.apart.append(own)
+        if own:
+            self.flows.append(Flow())
+        else:
+            self.flow.block(False)
+
+    def close_flow(self) -> list[str] | None:
+        """The lines of the innermost flow, or None where it had none of its own."""
+        if self.apart.pop():
+            return self.flows.pop().done()
+        self.flow.block(False)
+        return None
+
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.flow.break_line(keep=True)
         elif tag in ("td", "th") and self.tables:
-            if not self.tables[-1].rows:
-                self.tables[-1].rows.append([])
-            self.flows.append(Flow())
+            if self.table is not None and not self.table.rows:
+                self.table.rows.append([])
+            if self.table is None:
+                self.apart.append(False)
+                self.flow.block(False)
+            else:
+                self.open_flow()
         elif tag == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            if self.table is not None:
+                self.table.rows.append([])
+            else:
+                self.flow.block(False)
         elif tag == "table":
             self.flow.block(True)
-            self.tables.append(Table())
+            # A table takes a flow for its cells.
+            self.tables.append(Table() if len(self.flows) < DEEPEST else None)
         elif tag == "li":
             self.flow.block(False)
-            self.flows.append(Flow())
+            self.open_flow()
         elif tag in ("thead", "tbody", "tfoot") and self.tables:
             pass
         elif tag in BLOCK:
@@ -204,26 +262,32 @@ class Renderer:
             elif tag in ("pre", "listing", "xmp"):
                 self.pre += 1
             elif tag == "dd":
-                self.flows.append(Flow())
+                self.open_flow()
 
     def end(self, tag: str, attributes: str) -> None:
         if tag in ("td", "th") and self.tables:
-            span = re.search(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", attributes)
-            lines = self.flows.pop().done()
-            self.tables[-1].rows[-1].append((lines, max(1, int(span[1]) if span else 1)))
+            span = re.search(r"\bcolspan\s*=\s*[\"']?0*(\d{1,9})", attributes)
+            lines = self.close_flow()
+            if lines is not None:
+                wide = int(span[1]) if span else 1
+                self.table.rows[-1].append((lines, min(max(1, wide), WIDEST_SPAN)))
         elif tag == "table":
-            self.flow.inset(self.tables.pop().lines(), "", "")
+            table = self.tables.pop()
+            if table is not None:
+                self.flow.inset(table.lines(), "", "")
             self.flow.block(True)
         elif tag == "li":
-            lines = self.flows.pop().done()
+            lines = self.close_flow()
             ordered, number = self.lists[-1] if self.lists else (False, 1)
             mark = f"{number}. " if ordered else "- "
             if self.lists:
                 self.lists[-1][1] += 1
-            self.flow.inset(lines, mark, " " * len(mark))
+            if lines is not None:
+                self.flow.inset(lines, mark, " " * len(mark))
         elif tag == "dd":
-            lines = self.flows.pop().done()
-            self.flow.inset(lines, "  ", "  ")
+            lines = self.close_flow()
+            if lines is not None:
+                self.flow.inset(lines, "  ", "  ")
         elif tag in ("tr", "thead", "tbody", "tfoot") and self.tables:
             pass
         elif tag in BLOCK:
@@ -243,7 +307,7 @@ class Renderer:
             self.flow.words(text)
 
     def flow_is_of_table(self) -> bool:
-        return len(self.flows) == 1 or not self.tables[-1].rows
+        return self.table is not None and (len(self.flows) == 1 or not self.table.rows)
 
 
 def _has_open(attributes: str) -> bool:
@@ -268,61 +332,63 @@ class Builder:
     def __init__(self, renderer: Renderer):
         self.renderer = renderer
         self.open: list[tuple[str, str, bool]] = []  # tag, attributes, starts a hidden part
-        self.count: dict[str, int] = {}
+        self.at: dict[str, list[int]] = {}  # the places of each tag among the open ones
         self.unseen = 0
 
+    def count(self, tag: str) -> int:
+        return len(self.at.get(tag, ()))
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of ``tags``, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
     def push(self, tag: str, attributes: str) -> None:
         hides = tag in UNSEEN or _hidden(attributes) or (
             tag == "dialog" and not _has_open(attributes)) or any(
-            tag in inside and self.count.get(outer, 0) > 0
+            tag in inside and self.count(outer) > 0
             for outer, inside in FOREIGN_UNSEEN.items())
         self.unseen += hides
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, attributes, hides))
-        self.count[tag] = self.count.get(tag, 0) + 1
         if not self.unseen:
-            if tag == "text" and self.count.get("svg"):
+            if tag == "text" and self.count("svg"):
                 self.renderer.text(" ")  # placed on its own
             self.renderer.start(tag, attributes)
 
     def pop(self) -> str:
         tag, attributes, hides = self.open.pop()
-        self.count[tag] -= 1
+        self.at[tag].pop()
         if not self.unseen:
             self.renderer.end(tag, attributes)
-            if tag == "text" and self.count.get("svg"):
+            if tag == "text" and self.count("svg"):
                 self.renderer.text(" ")
         self.unseen -= hides
         return tag
 
     def close(self, tags: frozenset[str], stop: frozenset[str]) -> None:
         """Close the elements down to the outermost of ``tags`` above ``stop``."""
-        if not any(self.count.get(t) for t in tags):
-            return
-        at = None
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][0]
-            if tag in stop:
-                break
-            if tag in tags:
-                at = i
-        if at is not None:
-            while len(self.open) > at:
-                self.pop()
+        stopped, at = self.last(stop), len(self.open)
+        for tag in tags:
+            places = self.at.get(tag)
+            if places and places[-1] > stopped:
+                at = min(at, places[bisect_right(places, stopped)])
+        while len(self.open) > at:
+            self.pop()
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag in ("html", "body") and self.count.get(tag):
+        if tag in ("html", "body") and self.count(tag):
             return
-        if tag in TABLE_PARTS and not self.count.get("table"):
+        if tag in TABLE_PARTS and not self.count("table"):
             return
-        if self.count.get("head") and tag not in HEAD_CONTENT and tag != "head":
+        if self.count("head") and tag not in HEAD_CONTENT and tag != "head":
             self.close(frozenset(("head",)), frozenset())
-        if tag in CLOSES_P and self.count.get("p"):
+        if tag in CLOSES_P and self.count("p"):
             self.close(frozenset(("p",)), SCOPE | {"li", "dd", "button", "object"})
         if tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
             self.pop()
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
-        if tag in ("td", "th") and self.count.get("table"):
+        if tag in ("td", "th") and self.count("table"):
             if self.open[-1][0] in ("table", "thead", "tbody", "tfoot"):
                 self.push("tr", "")
         if tag in VOID:
@@ -336,15 +402,11 @@ class Builder:
             self.pop()
 
     def closes_itself(self, attributes: str) -> bool:
-        return attributes.endswith("/") and any(self.count.get(t) for t in FOREIGN_UNSEEN)
+        return attributes.endswith("/") and any(self.count(t) for t in FOREIGN_UNSEEN)
 
     def in_drawing(self) -> bool:
         """Whether the innermost drawing is outside its texts."""
-        if self.count.get("svg"):
-            for tag, _, _ in reversed(self.open):
-                if tag in SVG_TEXT or tag == "svg":
-                    return tag == "svg"
-        return False
+        return self.last(("svg",)) > self.last(SVG_TEXT)
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -352,52 +414,123 @@ class Builder:
         if tag == "br":
             self.start("br", "")
             return
-        if not self.count.get(tag):
+        if not self.count(tag):
             if tag == "p" and not self.unseen:
                 self.renderer.flow.block(True)
             return
-        stop = frozenset() if tag in SCOPE else SCOPE
-        for i in range(len(self.open) - 1, -1, -1):
-            found = self.open[i][0]
-            if found == tag:
-                while len(self.open) > i:
-                    self.pop()
-                return
-            if found in stop:
-                return
+        at = self.at[tag][-1]
+        if tag in SCOPE or self.last(SCOPE) < at:
+            while len(self.open) > at:
+                self.pop()
 
     def text(self, text: str) -> None:
-        if self.count.get("head") and text.strip() and self.open[-1][0] == "head":
+        if self.count("head") and text.strip() and self.open[-1][0] == "head":
             self.close(frozenset(("head",)), frozenset())
         if not self.unseen and not self.in_drawing():
             self.renderer.text(unescape(text))
 
 
+class _Tags:
+    """The tags, comments and declarations of a page, from left to right, in time that grows with its
+    length only: what an unclosed tag finds of the rest of the page is remembered for the next one.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.special: list[int] | None = None  # the places of > and of quotes
+        self.ends: dict[int, int] = {}  # by the place of a quote that opens: where its tag ends, or -1
+
+    def end_of(self, at: int) -> int:
+        """The place of the > that ends a start tag, quotes being passed over; -1 without one."""
+        html = self.html
+        if self.special is None:
+            self.special = [m.start() for m in _SPECIAL.finditer(html)]
+        passed, found = [], -1
+        while True:
+            place = bisect_left(self.special, at)
+            if place == len(self.special):
+                break
+            at = self.special[place]
+            if html[at] == ">":
+                found = at
+                break
+            if at in self.ends:
+                found = self.ends[at]
+                break
+            passed.append(at)
+            close = html.find(html[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for quote in passed:
+            self.ends[quote] = found
+        return found
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, closing tag, opening tag, attributes) of each; the caller may send the place from
+        which to go on."""
+        html, size, at, closed = self.html, len(self.html), 0, True
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return
+            at = start + 1
+            found = _TAG.match(html, start, min(size, start + _SOON))
+            if found:
+                moved = yield start, found.end(), found[1] or "", found[2] or "", found[3] or ""
+                at = found.end() if moved is None else moved
+                continue
+            second = html[at:at + 1]
+            if html.startswith("<!--", start):
+                close = _COMMENT_END.search(html, start + 4)
+                yield start, close.end() if close else size, "", "", ""
+                at = close.end() if close else size
+                continue
+            name = _NAME.match(html, start)
+            if not name and second not in ("!", "?"):
+                continue
+            opens = name is not None and second != "/"
+            if opens:
+                end = self.end_of(name.end())
+            else:
+                end = html.find(">", at) if closed else -1
+                closed = end >= 0
+            if end < 0:
+                continue
+            tag = name[1] if name else ""
+            moved = yield (start, end + 1, "" if opens else tag, tag if opens else "",
+                           html[name.end():end] if opens else "")
+            at = end + 1 if moved is None else moved
+
+
 def visible_text(html: str) -> str:
     """All visible text of a page."""
     renderer = Renderer()
     builder = Builder(renderer)
-    at = 0
+    at, moved = 0, None
+    tags = iter(_Tags(html))
     while True:
-        found = _TAG.search(html, at)
-        if found is None:
+        try:
+            start, end, closing, opening, attributes = tags.send(moved)
+        except StopIteration:
             break
-        if found.start() > at:
-            builder.text(html[at:found.start()])
-        at = found.end()
-        if found[1]:
-            builder.end(found[1].lower())
-        elif found[2]:
-            tag = found[2].lower()
-            builder.start(tag, found[3])
-            if tag in RAW and not builder.closes_itself(found[3]):
+        moved = None
+        if start > at:
+            builder.text(html[at:start])
+        at = end
+        if closing:
+            builder.end(closing.lower())
+        elif opening:
+            tag = opening.lower()
+            builder.start(tag, attributes)
+            if tag in RAW and not builder.closes_itself(attributes):
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 stop = end.start() if end else len(html)
                 if tag in ("textarea", "xmp", "plaintext") and not builder.unseen:
                     renderer.pre += 1
                     renderer.text(unescape(html[at:stop]) if tag == "textarea" else html[at:stop])
                     renderer.pre -= 1
-                at = stop
+                at = moved = stop
                 if end is None:
                     break
     if at < len(html) and not (builder.open and builder.open[-1][0] in RAW):

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -78,3 +81,47 @@ def test_table_of_pages(spark):
         (str(i), t, len(t), t.count("\n") + 1 if t else 0)
         for i, t in ((i, visible_text(h or "")) for i, h in rows))
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [
+    "<a ", "<!", "<?", "</a ", "<a \"", "<a '\"", "<a b='>' c=\"", "<", "<!-- ", "&", "<p><button><div>",
+    "<ul><li>x", "<table><tr><td>x", "<dl><dd>x", "<svg><g>x", "<div>x", "<td colspan=1000>x",
+    "<table><tr><td colspan=1000>x<td>y", "<p>x<span>", "<title>x", "<textarea>", "<b x=\"a>b\">t"])
+def test_long_malformed_pages_take_time_in_proportion(part):
+    page = part * (1_000_000 // len(part))
+    start = time.process_time()
+    html_text.visible_text(page + "\">'> the end")
+    html_text.visible_text("<table>" + page)
+    assert time.process_time() - start < 10  # the square of the length would take hours
+
+
+def test_deep_nesting_keeps_all_text():
+    for opening in ("<ul><li>", "<table><tr><td>", "<dl><dd>", "<ol><li><table><tr><td>"):
+        page = "".join(f"{opening}word{i}" for i in range(300))
+        assert html_text.visible_text(page).split() and [
+            w for w in re.findall(r"word\d+", html_text.visible_text(page))
+        ] == [f"word{i}" for i in range(300)]
+
+
+def test_wide_cells_are_aligned():
+    wide = "w" * 200
+    page = f"<table><tr><td>{wide}<td>b<tr><td>a<td>c</table>"
+    assert html_text.visible_text(page) == f"{wide} | b\n{'a'.ljust(200)} | c"
+    # A single cell of great width doesn't fill thousands of rows with spaces.
+    page = f"<table><tr><td>{'w' * 50_000}<td>b" + "<tr><td>a<td>c" * 5_000 + "</table>"
+    assert len(html_text.visible_text(page)) < 200_000
+
+
+def test_wide_spans():
+    page = "<table><tr><td colspan=1000>over all<tr><td>one<td>two<td>three</table>"
+    assert html_text.visible_text(page) == "over all\none | two | three"
+
+
+def test_tags_with_quotes():
+    cases = {
+        "<a title=\"a>b\">x</a>": "x", "<a title='\"' b=\">\">x": "x", "a < b > c": "a < b > c",
+        "<a \"unclosed <p>x</p>": "<a \"unclosed\n\nx", "1 <2 and <b>3</b>": "1 <2 and 3",
+        f"<a title=\"{'y>' * 500}\">x": "x", f"<p{' a' * 400}>x": "x", f"</p{' a' * 400}>x": "x",
+        f"<!doctype {'a ' * 400}>x": "x", "<b": "<b", "<!": "<!", "</": "</"}
+    for page, text in cases.items():
+        assert html_text.visible_text(page) == text
