@@ -1,21 +1,23 @@
 """Token ids of whole texts.
 
 The vocabulary's own library encodes.  Where its normaliser and pre-tokeniser
-are known to work word by word, each distinct word is encoded once per worker
-and looked up afterwards; every other text goes through the library as it is.
+are known to work word by word, each distinct token of the pre-tokeniser is encoded
+once and looked up afterwards; every other text goes through the library as it is.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 350_000  # twice as many are kept
 PART_CHARS = 1 << 20
 
 # Fixed values of the vocabulary file: what makes its words independent of each other.
@@ -29,7 +31,12 @@ _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # Characters for which the rules above are plain: no combining marks, no odd case pairs.
 _LETTERS = "a-zß-öø-ÿĀ-įı-ňŊ-ž"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
-_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+_PLAIN_TEXT = re.compile("[ \t\n\v\f\r!-~À-ÖØ-öø-įı-ňŊ-ž]*")
+_TOKENS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9{_LETTERS}]+")
+# The characters that stand for bytes: printable ones for themselves, the others from 256 on.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _KEPT} | {
+    b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_KEPT)))}
 _OTHER_SPACE = re.compile(
     "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -48,16 +55,25 @@ def _word_by_word(tokenizer: Tokenizer) -> bool:
 
 
 class _Known(dict):
-    """Encoded words or tokens; a missing one is encoded, and a full table starts anew."""
+    """Encoded words or tokens; a missing one is encoded.
+
+    A full table is set aside and a new one begun.  What is looked up again moves over from the old
+    table, so only words that weren't used for a whole table are forgotten.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = self.encode(word)
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
         return found
 
 
@@ -68,7 +84,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = _word_by_word(self.tokenizer)
         self.model = self.tokenizer.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokens = _Known(self._token)
         self.words = _Known(self._word)
 
@@ -78,8 +93,11 @@ class Encoder:
 
     def _token(self, token: str) -> bytes:
         if not token.isascii():
-            token = self.bytes.pre_tokenize_str(token)[0][0]
-        return np.array([t.id for t in self.model.tokenize(token)], "<u4").tobytes()
+            token = "".join(map(_BYTE_CHARS.__getitem__, token.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(token)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _word(self, word: str) -> bytes:
         if "<|" in word or not _PLAIN.fullmatch(word):
@@ -97,7 +115,11 @@ class Encoder:
             end = at + PART_CHARS
             while end < len(text) and text[end] not in " \t\n\v\f\r":
                 end += 1
-            yield b"".join(map(self.words.__getitem__, text[at:end].split()))
+            part = text[at:end]
+            if "<|" not in part and _PLAIN_TEXT.fullmatch(part):
+                yield b"".join(map(self.tokens.__getitem__, _TOKENS.findall(part.lower())))
+            else:
+                yield b"".join(map(self.words.__getitem__, part.split()))
             at = end
 
 
