@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-KNOWN_WORDS = 350_000  # twice as many are kept
+KNOWN_WORDS = 600_000  # twice as many are kept
 PART_CHARS = 1 << 20
 
 # Fixed values of the vocabulary file: what makes its words independent of each other.
