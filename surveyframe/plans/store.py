@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """Where intermediate tables go; a path without a scheme is refused on a cluster."""
+    """Where intermediate tables go; on a cluster a path that each executor would have for itself,
+    without a scheme or with ``file:``, is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     local = spark.conf.get("spark.master", "local").split("[")[0] == "local"
-    if ":" not in named and not local:
+    if not local:
         default = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
-        if default.startswith("file:"):
+        bare = ":" not in named and default.startswith("file:")
+        # A folder that the cluster names itself may be mounted everywhere; a default is not.
+        unnamed = spark.conf.get("spark.checkpoint.dir", None) is None and named.startswith("file:")
+        if bare or unnamed:
             raise ValueError(
                 f"spark.checkpoint.dir is {named!r}: name it with its scheme, as a folder that"
                 " every executor can reach")

@@ -246,6 +246,11 @@ def test_folder_of_intermediate_tables():
     assert store.folder(Settings(cluster | named)) == "s3a://bucket/folder"
     with pytest.raises(ValueError, match="scheme"):
         store.folder(Settings(cluster | {"spark.checkpoint.dir": "/tmp/folder"}))
+    own_disks = {"spark.master": "yarn", "spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}
+    with pytest.raises(ValueError, match="scheme"):
+        store.folder(Settings(own_disks))
+    mounted = own_disks | {"spark.checkpoint.dir": "file:///mounted/everywhere"}
+    assert store.folder(Settings(mounted)) == "file:///mounted/everywhere"
     shared = cluster | {
         "spark.checkpoint.dir": "/folder", "spark.hadoop.fs.defaultFS": "hdfs://a:9000"}
     assert store.folder(Settings(shared)) == "/folder"
