@@ -16,6 +16,7 @@ from .operators.proportions import (
     compare_proportion_tests, grouped_proportions, margin_of_error, margin_of_error_from_counts,
     newcombe_differences, newcombe_from_counts, prop_test, prop_test_from_counts,
     prop_test_one_sample, proportion_cv, required_sample_size, suppression_flags,
+    suppression_flags_by_rules,
     two_proportion_test, wilson_from_counts, wilson_intervals,
 )
 from .operators.ratios import (

@@ -6,6 +6,8 @@ rows of a group; the two-sample tests leave rows without an outcome out.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
@@ -84,6 +86,24 @@ def suppression_flags(
         "unreliable_flag": unreliable, "suppressed_flag": suppressed})
 
 
+def suppression_flags_by_rules(
+    df: DataFrame, outcome: str, rules: Mapping[str, Mapping], by: ColumnNames | None = None, *,
+    weight: str | None = None, z: float = Z_95,
+) -> DataFrame:
+    """Each group's proportion with its flags under several sets of rules, from one aggregate.
+
+    ``rules`` maps a name to the options of :func:`suppression_flags`; its flags are
+    ``<name>_suppressed`` and ``<name>_unreliable``.
+    """
+    flags = {}
+    for name, options in rules.items():
+        suppressed, unreliable = publication_flags(
+            "x_unweighted", "n_unweighted", "coeff_of_variation",
+            **({"strict": True, "confidential": True, "kind": "sample"} | dict(options)))
+        flags |= {f"{name}_suppressed": suppressed, f"{name}_unreliable": unreliable}
+    return proportion_cv(df, outcome, by, weight=weight, z=z).withColumns(flags)
+
+
 def margin_of_error(
     df: DataFrame, outcome: str, by: ColumnNames | None = None, *,
     level: float = 0.95, z: float | None = None,

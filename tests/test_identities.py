@@ -225,3 +225,14 @@ def test_partitioning_does_not_change_results(spark, data, name, monkeypatch):
             queries, "read_table", lambda s, f, t, n=parts: read(s, f, t).repartition(n))
         found.append(compare.spark_rows(queries.all_queries()[name](spark, data)))
     assert found[0] == found[1]
+
+
+def test_flags_by_rules_are_those_of_each_call(orders):
+    rules = {"strict": {}, "loose": {"strict": False, "confidential": False},
+             "all": {"confidential": False, "kind": "population"}}
+    many = proportions.suppression_flags_by_rules(orders, "medium", rules, "priority", weight="weight")
+    for name, options in rules.items():
+        one = proportions.suppression_flags(orders, "medium", "priority", weight="weight", **options)
+        wanted = {r.priority: (r.suppressed_flag, r.unreliable_flag) for r in one.collect()}
+        assert wanted == {
+            r.priority: (r[f"{name}_suppressed"], r[f"{name}_unreliable"]) for r in many.collect()}

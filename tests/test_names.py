@@ -87,6 +87,8 @@ CALLS = {
     "prop_test_one_sample": lambda d: sf.prop_test_one_sample(d, ONE, GROUP),
     "proportion_cv": lambda d: sf.proportion_cv(d, ONE, GROUP),
     "required_sample_size": lambda d: sf.required_sample_size(d, ONE, GROUP),
+    "suppression_flags_by_rules": lambda d: sf.suppression_flags_by_rules(
+        d, ONE, {"one": {}, "two": {"strict": False}}, GROUP),
     "suppression_flags": lambda d: sf.suppression_flags(d, ONE, GROUP),
     "two_proportion_test": lambda d: sf.two_proportion_test(d, ONE, GROUP, *SIDES),
     "wilson_from_counts": lambda d: sf.wilson_from_counts(d, "q.100", ONE),

@@ -534,20 +534,12 @@ RULES = [
 
 
 def suppression_flags(spark, sf):
-    """Every set of rules, each as a call of its own."""
-    found = None
-    for name, rules in RULES:
-        flags = proportions.suppression_flags(
-            parts(spark, sf), "oversized", "p_brand", **rules)
-        flags = flags.withColumnsRenamed({
-            "suppressed_flag": f"{name}_suppressed", "unreliable_flag": f"{name}_unreliable"})
-        if found is None:
-            found = flags.select("p_brand", "n_unweighted", "x_unweighted", "coeff_of_variation",
-                                 f"{name}_suppressed", f"{name}_unreliable")
-        else:
-            found = found.join(flags.select(
-                "p_brand", f"{name}_suppressed", f"{name}_unreliable"), "p_brand")
-    return rounded(found)
+    """Every set of rules on the same proportions."""
+    flags = [f"{name}_{flag}" for name, _ in RULES for flag in ("suppressed", "unreliable")]
+    found = proportions.suppression_flags_by_rules(
+        parts(spark, sf), "oversized", dict(RULES), "p_brand")
+    return rounded(found.select(
+        "p_brand", "n_unweighted", "x_unweighted", "coeff_of_variation", *flags))
 
 
 def _priority_counts(spark, sf):
