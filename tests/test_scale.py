@@ -256,6 +256,14 @@ def test_folder_of_intermediate_tables():
     assert store.folder(Settings(shared)) == "/folder"
 
 
+def test_folder_on_a_cluster_of_one_machine():
+    one_machine = {"spark.master": "local-cluster[3,2,3000]",
+                   "spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}
+    assert store.folder(Settings(one_machine)) == "file:/home/me/spark-warehouse/_intermediate"
+    named = one_machine | {"spark.checkpoint.dir": "/tmp/checkpoints/"}
+    assert store.folder(Settings(named)) == "/tmp/checkpoints"
+
+
 # --- plans --------------------------------------------------------------------
 
 SCANS = {
