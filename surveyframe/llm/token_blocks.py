@@ -35,6 +35,8 @@ from .tokenizing import encoder
 BLOCK = 256
 SEGMENT = 1 << 16
 PERCENTILE = 0.9
+# Texts that are encoded at a time: each distinct token among them is looked up once.
+ENCODED_BYTES = 4 << 20
 MAGIC = b"PFR1"
 
 SEGMENTS = ("shard int, segment bigint, start bigint, n_ids bigint, payload binary,"
@@ -42,6 +44,39 @@ SEGMENTS = ("shard int, segment bigint, start bigint, n_ids bigint, payload bina
             " before array<bigint>")
 
 
+def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` low bits of each value, least bit first, row by row as bytes."""
+    rows, n = values.shape
+    groups = -(-n // 8)  # eight values take ``width`` whole bytes
+    padded = np.zeros((rows, 8 * groups), np.uint64 if width > 25 else np.uint32)
+    padded[:, :n] = values & np.uint32((1 << width) - 1)
+    columns = np.ascontiguousarray(padded.reshape(-1, 8).T)
+    out = np.zeros((width, rows * groups), np.uint8)
+    for j in range(8):
+        at, shift = divmod(j * width, 8)
+        moved = columns[j] << columns.dtype.type(shift)
+        for k in range(-(-(width + shift) // 8) if width else 0):
+            out[at + k] |= (moved >> columns.dtype.type(8 * k)).astype(np.uint8)
+    return out.T.reshape(rows, groups * width)[:, :(n * width + 7) // 8]
+
+
+def _unpack_bits(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    """``n`` values a row from the bytes of :func:`_pack_bits`."""
+    rows, groups = len(packed), -(-n // 8)
+    padded = np.zeros((rows, groups * width), np.uint8)
+    padded[:, :packed.shape[1]] = packed
+    kind = np.uint64 if width > 25 else np.uint32
+    columns = np.ascontiguousarray(padded.reshape(rows * groups, width).T).astype(kind)
+    out = np.zeros((8, rows * groups), np.uint32)
+    for j in range(8):
+        at, shift = divmod(j * width, 8)
+        held = np.zeros(rows * groups, kind)
+        for k in range(-(-(width + shift) // 8) if width else 0):
+            held |= columns[at + k] << kind(8 * k)
+        out[j] = (held >> kind(shift)) & kind((1 << width) - 1)
+    return out.T.reshape(rows, 8 * groups)[:, :n]
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) -> bytes:
     """One segment's payload."""
     n = len(ids)
@@ -60,9 +95,7 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) ->
     for width in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == width)
         part = table[rows]
-        bits = (part[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1,
-                             bitorder="little")
+        packed = _pack_bits(part, width)
         high = (part.astype(np.uint64) >> np.uint64(width)).astype(np.uint32)
         for row, i in enumerate(rows.tolist()):
             outliers = np.flatnonzero(high[row])
@@ -100,12 +133,7 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
         rows = np.flatnonzero(widths == width)
         size = (block * width + 7) // 8
         packed = data[(at[rows] + 8)[:, None] + np.arange(size)]
-        bits = np.unpackbits(packed, axis=1, count=block * width, bitorder="little")
-        bits = bits.reshape(len(rows), block, width)
-        values = np.zeros((len(rows), block), np.uint32)
-        for bit in range(width):
-            values |= bits[:, :, bit].astype(np.uint32) << np.uint32(bit)
-        out[rows] = values
+        out[rows] = _unpack_bits(packed, block, width)
     for row in np.flatnonzero(outliers).tolist():
         width, count = int(widths[row]), int(outliers[row])
         place = int(at[row]) + 8 + (block * width + 7) // 8
@@ -120,7 +148,7 @@ def _encode(path: str, end_id: int | None, percentile: float, segment_ids: int):
     """Task function: one shard's documents, in order, to its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode_all = encoder(path).encode_all
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         shard, limit = TaskContext.get().partitionId(), 4 * segment_ids
         buffer = bytearray()
@@ -139,11 +167,11 @@ def _encode(path: str, end_id: int | None, percentile: float, segment_ids: int):
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, ARROW)], NAMES)
 
-        for batch in W.pieces(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(),
-                                    batch.column("text").to_pylist()):
+        for batch in W.pieces(batches, "text", ENCODED_BYTES):
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), encode_all(texts)):
                 before = 0
-                for part in chain(encode(text or ""), (end,)):
+                for part in chain(parts, (end,)):
                     while part:
                         taken = part[:limit - len(buffer)]
                         part = part[len(taken):]

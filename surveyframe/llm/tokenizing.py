@@ -3,6 +3,7 @@
 The vocabulary's own library encodes.  Where its normaliser and pre-tokeniser
 are known to work word by word, each distinct token of the pre-tokeniser is encoded
 once and looked up afterwards; every other text goes through the library as it is.
+Plain texts are cut many at a time: each distinct token among them is looked up once.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 KNOWN_WORDS = 600_000  # twice as many are kept
@@ -33,6 +36,12 @@ _LETTERS = "a-zß-öø-ÿĀ-įı-ňŊ-ž"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
 _PLAIN_TEXT = re.compile("[ \t\n\v\f\r!-~À-ÖØ-öø-įı-ňŊ-ž]*")
 _TOKENS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9{_LETTERS}]+")
+# The same rules on the bytes of plain texts in lower case, where all beyond ASCII are letters:
+# 0 space, 1 letter, 2 digit, 3 other.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*b" \t\n\v\f\r"]] = 0
+_KIND[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+_KIND[[*b"0123456789"]] = 2
 # The characters that stand for bytes: printable ones for themselves, the others from 256 on.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _KEPT} | {
@@ -54,6 +63,26 @@ def _word_by_word(tokenizer: Tokenizer) -> bool:
         and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"])
 
 
+def _cut(data: np.ndarray) -> np.ndarray:
+    """Where the tokens of plain texts in lower case begin: ``_TOKENS`` on their bytes."""
+    kind = _KIND[data]
+    begins = kind != 0
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    # An apostrophe that begins a token takes the ending after it, and letters go on as a new token.
+    quote = np.flatnonzero((data == ord("'")) & begins)
+    padded = np.concatenate((data, np.zeros(2, np.uint8)))
+    one, two = padded[quote + 1], padded[quote + 2]
+    short = np.isin(one, [*b"stmd"])
+    long = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | (
+        (one == ord("l")) & (two == ord("l")))
+    for found, size in ((short, 1), (long, 2)):
+        begins[quote[found] + 1] = False
+        after = quote[found] + 1 + size
+        after = after[after < len(data)]
+        begins[after[kind[after] == 1]] = True
+    return begins
+
+
 class _Known(dict):
     """Encoded words or tokens; a missing one is encoded.
 
@@ -122,6 +151,41 @@ class Encoder:
                 yield b"".join(map(self.words.__getitem__, part.split()))
             at = end
 
+    def encode_all(self, texts: Sequence[str]) -> Iterator[Iterable[bytes]]:
+        """The ids of each text in turn, a part at a time."""
+        plain = [self.by_word and len(t) <= PART_CHARS and "<|" not in t
+                 and _PLAIN_TEXT.fullmatch(t) is not None for t in texts]
+        found = iter(self._plain([t for t, is_plain in zip(texts, plain) if is_plain]))
+        for text, is_plain in zip(texts, plain):
+            yield (next(found),) if is_plain else self.encode(text)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        lowered = [t.lower().encode() for t in texts]
+        data = np.frombuffer(b"\n".join(lowered), np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        begins = _cut(data)
+        kept = _KIND[data] != 0
+        # Without the spaces the tokens follow each other, as in an Arrow column.
+        edges = np.append(np.flatnonzero(begins[kept]), np.count_nonzero(kept)).astype(np.int32)
+        tokens = pa.Array.from_buffers(pa.string(), len(edges) - 1, [
+            None, pa.py_buffer(edges), pa.py_buffer(data[kept])]).dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(tokens.dictionary)], tokens.dictionary)
+        known = list(map(self.tokens.__getitem__, pc.binary_join(distinct, " ")[0].as_py().split()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        token = tokens.indices.to_numpy()
+        counts = sizes[token]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        at = np.repeat(firsts[token] - ends[:-1], counts) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(known), "<u4")[at].tobytes()
+        lengths = np.array([len(t) + 1 for t in lowered])
+        starts = np.cumsum(lengths) - lengths
+        # The ids before each text, from the tokens before it.
+        before = ends[np.searchsorted(np.flatnonzero(begins), starts)]
+        before = (4 * np.append(before, ends[-1])).tolist()
+        return [ids[a:b] for a, b in zip(before, before[1:])]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

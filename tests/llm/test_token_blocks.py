@@ -45,6 +45,40 @@ def test_words_encode_as_whole_texts(text):
     assert np.frombuffer(b"".join(tokenizing.encoder(PATH).encode(text)), "<u4").tolist() == whole
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("aé'sßtmdrevl \t\n.,19|İÀ\x1c<", max_size=40) | st.text(max_size=20), max_size=8))
+def test_texts_encode_together_as_alone(texts):
+    found = [np.frombuffer(b"".join(parts), "<u4").tolist()
+             for parts in tokenizing.encoder(PATH).encode_all(texts)]
+    assert found == [plain().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_token_is_looked_up_once_for_many_texts():
+    class Counting(dict):
+        n = 0
+
+        def __getitem__(self, token):
+            Counting.n += 1
+            return super().__getitem__(token)
+
+    encoder = tokenizing.Encoder(PATH)
+    texts = [f"The cat's cats aren't 7{'!' * (i % 2)}" for i in range(1_000)]
+    expected = [b"".join(encoder.encode(t)) for t in texts]
+    encoder.tokens = Counting(encoder.tokens)
+    assert [b"".join(parts) for parts in encoder.encode_all(texts)] == expected
+    assert Counting.n == 8  # the, cat, 's, cats, aren, 't, 7, !
+
+
+@pytest.mark.parametrize("width", [0, 1, 7, 8, 13, 25, 26, 31, 32])
+@pytest.mark.parametrize("n", [1, 8, 13, 256])
+def test_bits_are_packed_as_numpy_packs_them(width, n):
+    values = np.random.default_rng(width).integers(0, 2**32, (5, n), np.uint32)
+    bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+    packed = token_blocks._pack_bits(values, width)
+    assert (packed == np.packbits(bits.reshape(5, -1), axis=1, bitorder="little")).all()
+    assert (token_blocks._unpack_bits(packed, n, width) == values.astype(np.uint64) % 2**width).all()
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_documents_are_read_back(spark, name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
