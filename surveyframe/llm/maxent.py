@@ -50,6 +50,9 @@ COUNTED_AT_ONCE = 4_000_000
 TOKENS_PER_TRAINING_TASK = 4_000_000
 SMOOTHING = 0.1
 _STEP = 1 << 15
+_BLOCK = 1 << 12  # rows of logits at a time, so that they stay in the processor's cache
+_LEAST_TOTAL = 1e-30
+_ADDED_APART = 64  # a row of weights that occurs as often in a step has a sum of its own
 _RATE = 0.3
 
 _END = np.uint64(0x9E3779B97F4A7C15)
@@ -283,24 +286,58 @@ def _features(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
             W.mix(before * _KINDS[2] + skip * _KINDS[1])]
 
 
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of each row before they are divided by its sum, that sum, and the log of the whole sum.
+
+    A row's largest logit is taken off first only where a sum would leave the range of floats.
+    """
+    with np.errstate(over="ignore"):
+        shares = np.exp(logits)
+    total = np.einsum("ij->i", shares)
+    most = 0.0
+    if not (total.min() > _LEAST_TOTAL and total.max() < np.inf):
+        most = logits.max(axis=1)
+        shares = np.exp(logits - most[:, None])
+        total = np.einsum("ij->i", shares)
+    return shares, total, np.log(total, dtype=np.float64) + most
+
+
 def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities, and the logarithm of each row's sum."""
-    most = logits.max(axis=1, keepdims=True)
-    logits -= most
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return logits, (np.log(total) + most)[:, 0]
-
-
-def _sums(table: np.ndarray, rows: list[np.ndarray], constants: np.ndarray) -> np.ndarray:
-    total = table[rows[0]]
-    for more in rows[1:]:
-        total += table[more]
-    total += constants
+    shares, total, log = _exponentials(logits)
+    shares *= (1 / total)[:, None]
+    return shares, log
+
+
+def _sums(table: np.ndarray, rows: list[np.ndarray], constants: np.ndarray,
+          of: np.ndarray | None = None) -> np.ndarray:
+    """The rows of weights added up, with the constants or with the rows ``of`` these."""
+    total = np.empty((len(rows[0]), table.shape[1]), table.dtype)
+    more = np.empty_like(total)
+    # "clip" writes straight to ``out``; no row lies outside its table.
+    np.take(table, rows[0], axis=0, out=total, mode="clip")
+    for row in rows[1:]:
+        total += np.take(table, row, axis=0, out=more, mode="clip")
+    total += constants if of is None else np.take(constants, of, axis=0, out=more, mode="clip")
     return total
 
 
+def _blocks(table: np.ndarray, rows: list[np.ndarray], constants: np.ndarray,
+            of: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray]]:
+    """:func:`_sums` of a block of rows at a time."""
+    for at in range(0, len(rows[0]), _BLOCK):
+        part = slice(at, at + _BLOCK)
+        yield part, _sums(table, [r[part] for r in rows], constants, None if of is None else of[part])
+
+
+def _log_shares(own: np.ndarray, *logits) -> np.ndarray:
+    """Natural log of the softmax of each row at its column ``own``; ``logits`` as of :func:`_blocks`."""
+    out = np.empty(len(own))
+    for part, block in _blocks(*logits):
+        out[part] = block[np.arange(len(block)), own[part]] - _exponentials(block)[2]
+    return out
+
+
 def _class_rows(features: list[np.ndarray]) -> list[np.ndarray]:
     return [(f & np.uint64(CLASS_ROWS - 1)).astype(np.uint16) for f in features]
 
@@ -321,10 +358,9 @@ def outside_scores(tokens: np.ndarray, features: list[np.ndarray], ranks: np.nda
         part = slice(at, at + _STEP)
         chosen, name, row, child = tree.steps(tokens[part], ranks[part])
         if len(chosen):
-            logits = _sums(weights.tree, _word_rows([f[part] for f in features], chosen, name,
-                                                    TREE_ROWS), tree.constants[row])
-            own = logits[np.arange(len(chosen)), child].astype(np.float64)
-            out[part] = np.bincount(chosen, own - _softmax(logits)[1], len(out[part]))
+            rows = _word_rows([f[part] for f in features], chosen, name, TREE_ROWS)
+            out[part] = np.bincount(chosen, _log_shares(
+                child, weights.tree, rows, tree.constants, row), len(out[part]))
     return out
 
 
@@ -365,35 +401,39 @@ def token_scores(tokens: np.ndarray, starts: np.ndarray, numbers: np.ndarray, we
         number = numbers[part]
         label = np.where(number > 0, 1 + (number - 1) // PER_CLASS, 0)
         parts = [f[part] for f in features]
-        logits = _sums(weights.classes, _class_rows(parts), weights.class_constants)
-        own = logits[np.arange(len(label)), label].astype(np.float64)
-        own -= _softmax(logits)[1]
+        own = _log_shares(label, weights.classes, _class_rows(parts), weights.class_constants)
         inside = np.flatnonzero(number > 0)
         if len(inside):
-            logits = _sums(weights.words, _word_rows(parts, inside, label[inside]),
-                           weights.word_constants[label[inside]])
-            place = (number[inside] - 1) % PER_CLASS
-            word = logits[np.arange(len(inside)), place].astype(np.float64)
-            own[inside] += word - _softmax(logits)[1]
+            own[inside] += _log_shares(
+                (number[inside] - 1) % PER_CLASS, weights.words,
+                _word_rows(parts, inside, label[inside]), weights.word_constants, label[inside])
         out[part] = own
     return out
 
 
-def _segment_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray,
-                  sizes: np.ndarray) -> np.ndarray:
-    """Sums of ``values[order]`` by segment.  Most are short: reduceat takes only the rest of long
-    ones."""
-    total = values[order[first]]
-    left, depth = np.flatnonzero(sizes > 1), 1
-    while len(left) and depth < 8:
-        total[left] += values[order[first[left] + depth]]
-        depth += 1
-        left = left[sizes[left] > depth]
-    if len(left):
-        rest = sizes[left] - depth
-        starts = np.cumsum(rest) - rest
-        at = np.repeat(first[left] + depth - starts, rest) + np.arange(rest.sum())
-        total[left] += np.add.reduceat(values[order[at]], starts, axis=0)
+def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of ``row`` ordered by value, where each value begins there, and how often it
+    occurs.  The most frequent values stand first."""
+    order = np.argsort(row, kind="stable")
+    ordered = row[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    sizes = np.diff(np.concatenate((first, [len(row)])))
+    falling = np.argsort(np.minimum(sizes, _ADDED_APART).astype(np.uint8), kind="stable")[::-1]
+    return order, first[falling], sizes[falling]
+
+
+def _run_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray,
+              sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``values[order]`` by run; the runs that go on always are the first ones."""
+    total = np.take(values, order[first], axis=0, mode="clip")
+    more = np.empty_like(total)
+    going_on = np.cumsum(np.bincount(np.minimum(sizes, _ADDED_APART))[::-1])[::-1].tolist()
+    for depth, left in enumerate(going_on[2:_ADDED_APART], 1):
+        total[:left] += np.take(
+            values, order[first[:left] + depth], axis=0, out=more[:left], mode="clip")
+    for i in range(going_on[_ADDED_APART] if len(going_on) > _ADDED_APART else 0):
+        rest = order[first[i] + _ADDED_APART - 1:first[i] + sizes[i]]
+        total[i] += np.take(values, rest, axis=0, mode="clip").sum(axis=0)
     return total
 
 
@@ -404,18 +444,36 @@ class _Learner:
         self.table = table.copy()
         self.seen = np.zeros(len(table), np.float32)
         self.squares = np.ones(len(table), np.float32)
+        self._room = np.empty((0, table.shape[1]), np.float32)
+
+    def errors(self, own: np.ndarray, rows: list[np.ndarray], *constants) -> np.ndarray:
+        """Probabilities less the truth, which is the column ``own``; valid until the next call."""
+        if len(self._room) < len(own):
+            self._room = np.empty((len(own), self.table.shape[1]), np.float32)
+        error = self._room[:len(own)]
+        for part, logits in _blocks(self.table, rows, *constants):
+            shares, total, _ = _exponentials(logits)
+            np.multiply(shares, (1 / total)[:, None], out=error[part])
+        error[np.arange(len(own)), own] -= 1
+        return error
 
     def step(self, rows: list[np.ndarray], error: np.ndarray) -> None:
+        whole = np.dtype((np.void, self.table.strides[0]))  # a row of weights is written at once
+        lines = self.table.view(whole)[:, 0]
         for row in rows:
-            order = np.argsort(row, kind="stable")
-            ordered = row[order]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            sizes = np.diff(np.concatenate((first, [len(row)])))
-            slope = _segment_sums(error, order, first, sizes)
-            names = ordered[first]
-            self.squares[names] += np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
-            self.table[names] -= _RATE * slope / np.sqrt(self.squares[names])[:, None]
-            self.seen[names] += sizes.astype(np.float32)
+            order, first, sizes = _runs(row)
+            names = row[order[first]].astype(np.intp)
+            self.seen[names] += sizes
+            for at in range(0, len(names), _BLOCK):
+                part = slice(at, at + _BLOCK)
+                name = names[part]
+                slope = _run_sums(error, order, first[part], sizes[part])
+                squares = self.squares[name] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+                self.squares[name] = squares
+                slope *= (_RATE / np.sqrt(squares))[:, None]
+                held = np.take(self.table, name, axis=0, mode="clip")
+                held -= slope
+                lines[name] = held.view(whole)[:, 0]
 
 
 def _train(shared):
@@ -435,22 +493,17 @@ def _train(shared):
                 label = np.where(number > 0, 1 + (number - 1) // PER_CLASS, 0)
                 parts = [f[part] for f in features]
                 rows = _class_rows(parts)
-                error, _ = _softmax(_sums(classes.table, rows, weights.class_constants))
-                error[np.arange(len(label)), label] -= 1
-                classes.step(rows, error)
+                classes.step(rows, classes.errors(label, rows, weights.class_constants))
                 inside = np.flatnonzero(number > 0)
                 if len(inside):
                     rows = _word_rows(parts, inside, label[inside])
-                    error, _ = _softmax(
-                        _sums(words.table, rows, weights.word_constants[label[inside]]))
-                    error[np.arange(len(inside)), (number[inside] - 1) % PER_CLASS] -= 1
-                    words.step(rows, error)
+                    words.step(rows, words.errors(
+                        (number[inside] - 1) % PER_CLASS, rows, weights.word_constants,
+                        label[inside]))
                 chosen, name, row, child = tree.steps(tokens[part], ranks[part])
                 if len(chosen):
                     rows = _word_rows(parts, chosen, name, TREE_ROWS)
-                    error, _ = _softmax(_sums(nodes.table, rows, tree.constants[row]))
-                    error[np.arange(len(chosen)), child] -= 1
-                    nodes.step(rows, error)
+                    nodes.step(rows, nodes.errors(child, rows, tree.constants, row))
         yield from _learnt({0: classes, 1: words, 2: nodes})
 
     return run
