@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from surveyframe.llm import maxent as M
 
@@ -67,3 +68,29 @@ def test_scores_hold_few_logits_at_once():
     most = tracemalloc.get_traced_memory()[1] - before
     tracemalloc.stop()
     assert most < 2 * size * M.CLASSES * 4  # of float32
+
+
+def test_groups_of_any_size_have_the_softmax_of_their_tokens():
+    """Groups of no, one, few and more tokens than a row of weights has places, packed as bytes."""
+    random = some(4)
+    sizes = [3, 1, 40, 32, 33, 70]
+    lists = [[{"token": 1_000 * g + i, "n": int(random.integers(1, 50))} for i in range(size)]
+             for g, size in enumerate(sizes)]
+    column = pa.array([[], *lists], pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))[1:]
+    none = pa.nulls(1, pa.binary())
+    tokens, counts = (pa.concat_arrays([M._packed(column, c), none]) for c in ("token", "n"))
+    wanted = [1_000 * g + size - 1 for g, size in enumerate(sizes)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([*range(len(sizes)), 99]), pa.array([*wanted, 5]), tokens, counts,
+         *(pa.array(random.integers(0, 1 << 60, len(sizes) + 1)) for _ in range(3))],
+        ["group", "token", "member_tokens", "member_counts", "f0", "f1", "f2"])
+    table = np.zeros((M.GROUP_ROWS, M.PER_CLASS), np.float32)
+    logits, place, n, rows = M._group_logits(batch.slice(1), table)
+    shares = M._softmax(logits)[0]
+    assert place.tolist() == [size - 1 for size in sizes[1:]] + [-1]
+    assert n.tolist() == [held[-1]["n"] for held in lists[1:]] + [0]
+    for found, held in zip(shares, lists[1:]):
+        of = np.array([m["n"] for m in held]) + M.SMOOTHING
+        assert np.allclose(found[:len(of)], of / of.sum(), rtol=1e-5)
+        assert not found[len(of):].any()
+    assert [which.tolist() for which, _, _ in rows] == [[0, 1, 2, 3, 4, 5], [1, 3, 4], [4]]
