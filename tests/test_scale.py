@@ -264,6 +264,43 @@ def test_folder_on_a_cluster_of_one_machine():
     assert store.folder(Settings(named)) == "/tmp/checkpoints"
 
 
+@pytest.fixture
+def on_a_cluster(spark, monkeypatch):
+    """Sets what the session says of its master, its folder and its warehouse."""
+    known = type(spark.conf).get
+
+    def named(folder, warehouse="file:/none"):
+        said = {"spark.master": "spark://a:7077", "spark.checkpoint.dir": folder,
+                "spark.sql.warehouse.dir": warehouse}
+        monkeypatch.setattr(type(spark.conf), "get", lambda conf, key, *default: (
+            said[key] if key in said else known(conf, key, *default)))
+    return named
+
+
+def test_a_shared_folder_without_a_scheme_serves_a_cluster(spark, on_a_cluster, tmp_path):
+    on_a_cluster(str(tmp_path / "shared"))
+    for _ in range(2):  # it is tried out once
+        kept = attach.kept(spark.range(10).groupBy((F.col("id") % 2).alias("k")).count())
+        assert sorted(map(tuple, kept.collect())) == [(0, 5), (1, 5)]
+    assert len(list((tmp_path / "shared").glob("tried-*"))) == 1
+    on_a_cluster(None, f"file:{tmp_path}/warehouse")
+    assert store.folder(spark) == f"file:{tmp_path}/warehouse/_intermediate"
+
+
+def test_a_folder_that_is_not_shared_is_refused_on_a_cluster(spark, on_a_cluster, tmp_path, monkeypatch):
+    on_a_cluster("/proc/nowhere")
+    with pytest.raises(ValueError, match="every executor"):
+        store.folder(spark)
+    # Two files that stayed on the disk of another machine.
+    read = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda reader, *paths: (
+        read(reader, *paths).where("id > 1")))
+    on_a_cluster(str(tmp_path))
+    for _ in range(2):
+        with pytest.raises(ValueError, match="every executor"):
+            store.folder(spark)
+
+
 # --- plans --------------------------------------------------------------------
 
 SCANS = {
